@@ -146,6 +146,8 @@ def grouped_median(rows: DataFrame, by: list[str], x: str,
     middle ranks, and passes only their rows on; the last level folds equal values.
     """
     from pyspark.sql import Window
+    from alloscan.session import cut_lineage
+    rows = cut_lineage(rows)
     counts = rows.groupBy(*by).agg(F.count("*").alias("n")).select(
         *by, "n", F.floor((F.col("n") + 1) / 2).alias("lo"),
         F.floor((F.col("n") + 2) / 2).alias("hi"), F.lit(0).cast("bigint").alias("before"))

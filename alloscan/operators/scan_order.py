@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from alloscan.session import shuffle_width
+from alloscan.session import cut_lineage, shuffle_width
 
 _SAMPLE_PER_RANGE = 40
 _FOLD = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
@@ -45,6 +45,8 @@ def ordered_scan(df: DataFrame, keys: list[str], running: dict[str, tuple[str, C
     ignored), ``sum``, ``min`` or ``max``; the current row is included.
     """
     n = ranges or shuffle_width(df.sparkSession)
+    # the input is read three times (bounds, totals, rows): compute it once, durably
+    df = cut_lineage(df)
     vals = {o: (F.lit(1).cast("bigint") if kind == "count" else
                 (F.col(v) if isinstance(v, str) else v))
             for o, (kind, v) in running.items()}
