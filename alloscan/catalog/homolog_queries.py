@@ -194,7 +194,7 @@ def join_orthology_wide(spark, d):
     un, table = members(spark, d)
     # a wide row lists the genes of one homolog group: a handful by definition
     wide = table.groupBy("grp").agg(F.array_join(F.collect_list("gene"), ", ").alias("genes"))
-    ex = wide.select("grp", F.trim(F.explode(F.split("genes", ","))).alias("gene")).where(F.col("gene") != "")
+    ex = wide.select("grp", F.explode(F.split("genes", ",")).alias("gene")).withColumn("gene", F.trim("gene")).where(F.col("gene") != "")
     return ex.join(un.select("gene", "sub", "n_snp"), "gene").select("grp", "sub", "gene", "n_snp")
 
 
