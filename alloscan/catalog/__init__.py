@@ -4,7 +4,8 @@ import importlib
 
 from alloscan.catalog.registry import ORACLES, QUERIES
 
-for _m in ("genotype_queries", "ranking_queries", "interval_queries", "homolog_queries", "kernel_queries", "model_queries"):
+for _m in ("genotype_queries", "ranking_queries", "interval_queries", "homolog_queries", "kernel_queries",
+           "model_queries", "source_queries", "candidate_queries"):
     importlib.import_module(f"alloscan.catalog.{_m}")
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -127,7 +127,7 @@ def join_emmax(spark, d):
 
 _RK = """
 , rk AS (SELECT *, row_number() OVER (ORDER BY p, v) AS rn FROM ss), an AS (SELECT DISTINCT chrom, qpos FROM qt),
-kg AS (SELECT unnest([10, 50, 100, 500]) AS k)
+kg AS (SELECT CAST(unnest([10, 50, 100, 500]) AS BIGINT) AS k)
 """
 
 

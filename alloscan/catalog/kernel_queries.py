@@ -61,7 +61,7 @@ def agg_grm_loco(spark, d):
 
 
 @query("agg_grm_checksum", _G + """
-SELECT sum(n_used) AS n_used_parts, (SELECT count(*) FROM q WHERE maf >= 0.01) AS n_used_global, abs(sum(den) - (SELECT sum(2 * af * (1 - af)) FROM q WHERE maf >= 0.01)) <= 1e-8 * sum(den) AS den_ok FROM den""")
+SELECT CAST(sum(n_used) AS BIGINT) AS n_used_parts, (SELECT count(*) FROM q WHERE maf >= 0.01) AS n_used_global, abs(sum(den) - (SELECT sum(2 * af * (1 - af)) FROM q WHERE maf >= 0.01)) <= 1e-8 * sum(den) AS den_ok FROM den""")
 def agg_grm_checksum(spark, d):
     a = rel.part_totals(parts(spark, d, "chrom")).agg(F.sum("n_used").alias("n_used_parts"), F.sum("den").alias("da"))
     b = rel.part_totals(parts(spark, d, "all")).select(F.col("n_used").alias("n_used_global"), F.col("den").alias("db"))

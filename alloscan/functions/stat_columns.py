@@ -138,19 +138,23 @@ def genomic_inflation(stats: DataFrame, levels: list[str], chi2: str = "chi2") -
                       (F.col("median") / sp.CHI2_1_MEDIAN).alias("lambda_gc"))
 
 
-def grouped_median(rows: DataFrame, by: list[str], x: str,
-                   widths: tuple[float, ...] = (1 / 512, 1 / 2 ** 22)) -> DataFrame:
-    """Exact median per group: histograms narrow the middle ranks, only that bin is ordered.
+def grouped_median(rows: DataFrame, by: list[str], x: str) -> DataFrame:
+    return grouped_quantile(rows, by, x, 0.5).withColumnRenamed("q", "median")
 
-    Each level counts rows per (group, bin), keeps the at most two bins that hold the
-    middle ranks, and passes only their rows on; the last level folds equal values.
+
+def grouped_quantile(rows: DataFrame, by: list[str], x: str, prob: float,
+                     widths: tuple[float, ...] = (1 / 512, 1 / 2 ** 22)) -> DataFrame:
+    """Exact quantile (linear between ranks) per group: histograms narrow the wanted ranks.
+
+    Each level counts rows per (group, bin), keeps the at most two bins that hold the two
+    ranks, and passes only their rows on; the last level folds equal values before ordering.
     """
     from pyspark.sql import Window
     from alloscan.session import cut_lineage
     rows = cut_lineage(rows)
     counts = rows.groupBy(*by).agg(F.count("*").alias("n")).select(
-        *by, "n", F.floor((F.col("n") + 1) / 2).alias("lo"),
-        F.floor((F.col("n") + 2) / 2).alias("hi"), F.lit(0).cast("bigint").alias("before"))
+        *by, "n", (F.floor((F.col("n") - 1) * prob) + 1).alias("lo"),
+        (F.ceil((F.col("n") - 1) * prob) + 1).alias("hi"), F.lit(0).cast("bigint").alias("before"))
     # ``edges`` has a row per group and open bin: levels are a closed set (genome parts)
     edges, keys, t = counts, list(by), rows
     for i, width in enumerate(widths):
@@ -171,4 +175,5 @@ def grouped_median(rows: DataFrame, by: list[str], x: str,
     vals = vals.withColumn("first", F.col("upto") - F.col("k"))
     lo = F.min(F.when((F.col("first") < F.col("lo")) & (F.col("upto") >= F.col("lo")), F.col(x)))
     hi = F.min(F.when((F.col("first") < F.col("hi")) & (F.col("upto") >= F.col("hi")), F.col(x)))
-    return vals.groupBy(*by).agg(F.max("n").alias("n"), ((lo + hi) / 2).alias("median"))
+    frac = (F.max("n") - 1) * prob - F.floor((F.max("n") - 1) * prob)
+    return vals.groupBy(*by).agg(F.max("n").alias("n"), (lo + frac * (hi - lo)).alias("q"))

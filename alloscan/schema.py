@@ -1,29 +1,23 @@
-"""Declared table layouts and the required-column check."""
+"""Declared table layouts (DDL, as readers take them) and the required-column check."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
 
-
-def _s(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
-
-
-VARIANT_ROW = _s("variant_index bigint, snp_id string, subgenome string, chrom string, "
+VARIANT_ROW = ("variant_index bigint, snp_id string, subgenome string, chrom string, "
                  "pos bigint, a1 string, a2 string, dosage array<float>")
-TALL_GENOTYPE = _s("sample string, snp_id string, dosage tinyint")
-SUMSTATS = _s("snp_id string, subgenome string, chrom string, pos bigint, beta double, se double, "
+TALL_GENOTYPE = ("sample string, snp_id string, dosage tinyint")
+SUMSTATS = ("snp_id string, subgenome string, chrom string, pos bigint, beta double, se double, "
               "chi2 double, p double, n_obs bigint, maf double, call_rate double")
-BIM = _s("chrom string, snp_id string, cm double, pos bigint, a1 string, a2 string")
-GENES = _s("gene_id string, subgenome string, chrom string, start bigint, end bigint, "
+BIM = ("chrom string, snp_id string, cm double, pos bigint, a1 string, a2 string")
+GENES = ("gene_id string, subgenome string, chrom string, start bigint, end bigint, "
            "strand string, n_snp bigint")
-KNOWN_QTL = _s("qtl_name string, chrom string, start bigint, end bigint, qtl_pos bigint, "
+KNOWN_QTL = ("qtl_name string, chrom string, start bigint, end bigint, qtl_pos bigint, "
                "window_bp bigint, qtl_class string")
-BLAST6 = _s("qseqid string, sseqid string, pident double, length bigint, mismatch bigint, "
+BLAST6 = ("qseqid string, sseqid string, pident double, length bigint, mismatch bigint, "
             "gapopen bigint, qstart bigint, qend bigint, sstart bigint, send bigint, "
             "evalue double, bitscore double")
-LAMBDA_GC = _s("scope string, level string, n_markers bigint, lambda_gc double")
+LAMBDA_GC = ("scope string, level string, n_markers bigint, lambda_gc double")
 
 
 def require_columns(df: DataFrame, needed, what: str = "table") -> DataFrame:
