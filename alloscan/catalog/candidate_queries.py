@@ -45,9 +45,8 @@ def joined(spark, d):
 
 
 def scored(spark, d):
-    c = cut_lineage(joined(spark, d).withColumn("a1", F.abs("l1")).withColumn("a2", F.abs("l2")))
-    for x, o in (("chi2", "z_gwas"), ("a1", "z1"), ("a2", "z2")):
-        c = rk.robust_z(c, x, o)
+    c = joined(spark, d).withColumn("a1", F.abs("l1")).withColumn("a2", F.abs("l2"))
+    c = rk.robust_z(c, {"chi2": "z_gwas", "a1": "z1", "a2": "z2"})
     z = [F.round(x, 9).alias(x) for x in ("z_gwas", "z1", "z2")]
     return cut_lineage(c.select("v", "snp", "qtl", F.coalesce("in_window", F.lit(False)).alias("in_window"), *z))
 

@@ -160,7 +160,7 @@ rm AS (SELECT *, median(abs(chi2 - m)) OVER () AS mad FROM rz)
 
 @query("win_robust_z", _Z + "SELECT snp, round((chi2 - m) / (1.4826 * mad), 6) + 0.0 AS z FROM rm")
 def win_robust_z(spark, d):
-    return rk.robust_z(t.sumstats(spark, d, p=False).select("snp", "chi2"), "chi2", "z").select("snp", r("z", "z"))
+    return rk.robust_z(t.sumstats(spark, d, p=False).select("snp", "chi2"), {"chi2": "z"}).select("snp", r("z", "z"))
 
 
 @query("win_runs", """

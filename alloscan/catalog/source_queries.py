@@ -14,7 +14,7 @@ from alloscan.sources import text as tx
 S = lambda c: F.col(c).cast("string")
 
 
-@query("src_bed", "SELECT v, round(sum(d), 3) AS dose_sum, count(*) AS n_called FROM g GROUP BY v")
+@query("src_bed", "SELECT v, round(CAST(sum(d) AS DOUBLE), 3) AS dose_sum, count(*) AS n_called FROM g GROUP BY v")
 def src_bed(spark, d):
     """Two-bit records of every marker, packed and decoded."""
     n = len(panel(spark, d))

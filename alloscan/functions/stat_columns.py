@@ -138,6 +138,9 @@ def genomic_inflation(stats: DataFrame, levels: list[str], chi2: str = "chi2") -
                       (F.col("median") / sp.CHI2_1_MEDIAN).alias("lambda_gc"))
 
 
+_SMALL_ROWS = 200_000  # counted before one group may be folded by the built-in percentile
+
+
 def grouped_median(rows: DataFrame, by: list[str], x: str) -> DataFrame:
     return grouped_quantile(rows, by, x, 0.5).withColumnRenamed("q", "median")
 
@@ -152,6 +155,8 @@ def grouped_quantile(rows: DataFrame, by: list[str], x: str, prob: float,
     from pyspark.sql import Window
     from alloscan.session import cut_lineage
     rows = cut_lineage(rows)
+    if rows.limit(_SMALL_ROWS + 1).count() <= _SMALL_ROWS:
+        return rows.groupBy(*by).agg(F.count("*").alias("n"), F.percentile(x, prob).alias("q"))
     counts = rows.groupBy(*by).agg(F.count("*").alias("n")).select(
         *by, "n", (F.floor((F.col("n") - 1) * prob) + 1).alias("lo"),
         (F.ceil((F.col("n") - 1) * prob) + 1).alias("hi"), F.lit(0).cast("bigint").alias("before"))

@@ -32,3 +32,32 @@ def predicted_pairs(retained: Column, g_full: Column, lambda_full: Column) -> Co
     now = interpolate(lambda_full * retained, DENSITY, CALLABLE)
     rho = F.when(full > 0, F.least(F.lit(1.0), F.pow(now / full, 2))).otherwise(0.0)
     return g_full * rho
+
+
+def detectable_share(df, power: float, alpha: float):
+    """Variance share ncp^2 / (ncp^2 + n) with the exact noncentral-t power at alpha / g.
+
+    ``df`` has columns ``n`` (samples) and ``g`` (tests); one small root search per row.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from alloscan.functions import special as sp
+
+    def power_at(ncp, crit, nu):
+        # mean over the chi distribution of the scale, by quadrature
+        w = np.linspace(1e-6, 1 - 1e-6, 400)
+        q = np.array([sp.bisect_root(lambda x, p=p: (1 - sp.gamma_q(nu / 2, x / 2)) - p, 0.0, nu + 12 * np.sqrt(2 * nu) + 40, 60) for p in w[::8]])
+        s = np.sqrt(q / nu)
+        z = (ncp - crit * s) / np.sqrt(2)
+        import math
+        return float(np.mean([0.5 * math.erfc(-v) for v in z]))
+
+    def run(batches):
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                nu = max(int(r.n) - 4, 2)
+                crit = sp.t_ppf(1 - alpha / max(int(r.g), 1) / 2, nu)
+                ncp = sp.bisect_root(lambda v: power_at(v, crit, nu) - power, 0.0, crit + 20, 40)
+                yield pd.DataFrame({"n": [r.n], "g": [r.g], "ncp": [ncp], "mde_pve": [ncp * ncp / (ncp * ncp + r.n)]})
+    return df.select("n", "g").mapInPandas(run, "n bigint, g bigint, ncp double, mde_pve double")

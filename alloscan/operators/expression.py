@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from alloscan.functions import stat_columns as sc
 from alloscan.operators import ranking as rk
 from alloscan.operators import scan_order as so
+from alloscan.session import cut_lineage
 
 # fixed values: ideal expression shares (A, B, D) of the seven balance categories
 IDEALS = {
@@ -98,12 +99,18 @@ def unique_kmers(seqs: DataFrame, k: int) -> DataFrame:
     Repeats fold before the shuffle; a k-mer then meets its copies under (group, k-mer), so a
     group is never gathered.
     """
-    s = seqs.where(F.length("seq") >= k)
-    km = s.select("grp", "cp", F.posexplode(F.sequence(F.lit(1), F.length("seq") - (k - 1))).alias("_i", "_p"), "seq").select(
-        "grp", "cp", F.substring("seq", F.col("_p"), F.lit(k)).alias("kmer"))
-    per = km.groupBy("grp", "kmer").agg(F.min("cp").alias("lo"), F.max("cp").alias("hi"), F.bit_or(F.shiftleft(F.lit(1), F.col("cp").cast("int"))).alias("mask"))
-    rows = per.select("grp", "mask", F.explode(F.expr("filter(sequence(lo, hi), c -> (shiftright(mask, cast(c as int)) & 1) = 1)")).alias("cp"))
-    return rows.groupBy("grp", "cp").agg(F.count("*").alias("n_kmers"), F.count_if(F.bit_count("mask") == 1).alias("u")).select(
+    # pieces first: a substring walks the text from its start, so long texts are cut once
+    step = 2048
+    s = seqs.where(F.length("seq") >= k).select("grp", "cp", "seq", F.explode(
+        F.sequence(F.lit(1), F.length("seq") - (k - 1), F.lit(step))).alias("_s"))
+    s = s.select("grp", "cp", F.substring("seq", F.col("_s"), F.lit(step + k - 1)).alias("piece"))
+    km = s.select("grp", "cp", "piece", F.explode(F.sequence(F.lit(1), F.length("piece") - (k - 1))).alias("_p")).select(
+        "grp", "cp", F.substring("piece", F.col("_p"), F.lit(k)).alias("kmer"))
+    # copies of a k-mer as bits: copy numbers are small (the ploidy)
+    per = km.groupBy("grp", "kmer").agg(F.expr("bit_or(shiftleft(1L, cast(cp as int)))").alias("mask"))
+    rows = per.select("grp", "mask", F.explode(F.expr("filter(sequence(0, 62), c -> (shiftright(mask, c) & 1L) = 1L)")).alias("cp"))
+    return rows.groupBy("grp", F.col("cp").cast("bigint").alias("cp")).agg(
+        F.count("*").alias("n_kmers"), F.count_if(F.bit_count("mask") == 1).alias("u")).select(
         "grp", "cp", "n_kmers", (F.col("u") / F.col("n_kmers")).alias("unique_fraction"))
 
 
@@ -124,11 +131,13 @@ def stratum_enrichment(df: DataFrame, n_perm: int, seed: int = 7) -> DataFrame:
     pool = pool.withColumn("h", F.xxhash64(F.lit(seed), "rep", "id")).select("rep", "stratum", "h", "id", "pct", "k")
     s = so.ordered_scan(pool, ["rep", "stratum", "h", "id"], {"g": ("count", "")})
     first = s.groupBy("rep", "stratum").agg(F.min("g").alias("f"))
-    draw = s.join(first, ["rep", "stratum"]).where(F.col("g") - F.col("f") < F.col("k")).groupBy("rep").agg(F.avg("pct").alias("m"))
+    draw = cut_lineage(s.join(first, ["rep", "stratum"]).where(F.col("g") - F.col("f") < F.col("k"))
+                       .groupBy("rep").agg(F.avg("pct").alias("m")))
     o = obs.select("obs").scalar()
     mid = draw.agg(F.avg("m")).scalar()
+    draw = draw.withColumn("far", F.abs(F.col("m") - mid) >= F.abs(o - mid))
     a = draw.agg(F.avg("m").alias("null_mean"), F.stddev_samp("m").alias("null_sd"), F.count("*").alias("n_perm"),
-                 ((1 + F.count_if(F.abs(F.col("m") - mid) >= F.abs(o - mid))) / (F.count("*") + 1)).alias("p_two_sided"))
+                 ((1 + F.count_if("far")) / (F.count("*") + 1)).alias("p_two_sided"))
     return a.select(o.alias("observed"), obs.select("n_top").scalar().alias("n_top"), "null_mean", "null_sd", "n_perm", "p_two_sided")
 
 
@@ -144,20 +153,21 @@ def matched_controls(df: DataFrame, covariates: dict[str, int], target: str, cal
     t = df
     for c, k in covariates.items():
         n = t.agg(F.count("*")).scalar()
-        t = so.attach_by_value(t, so.value_ranks(t, c), c)
+        t = cut_lineage(so.attach_by_value(t, so.value_ranks(t, c), c))
         t = t.withColumn(f"_b_{c}", F.least(F.lit(k - 1), F.floor((F.col("rank_avg") - 0.5) / n * k))).drop(
             "n_tie", "rank_min", "rank_max", "rank_avg")
     t = t.withColumn("stratum", F.concat_ws("|", *[F.col(f"_b_{c}").cast("string") for c in names]))
     size = t.groupBy("stratum").agg(F.count("*").alias("_n"))
     x = names[0]
     sd = df.agg(F.stddev_pop(x)).scalar()
-    t = t.join(size, "stratum").withColumn("_w", caliper * sd)
+    t = cut_lineage(t.join(size, "stratum").withColumn("_w", caliper * sd))
     pts = t.select(F.col("stratum").alias("pool"), F.col(x).alias("_x"), F.lit(0).alias("_k"), F.col("id").alias("_id"), F.col("pct").alias("_y"), F.lit(1).alias("_c")).unionByName(
         t.select(F.lit("all").alias("pool"), F.col(x).alias("_x"), F.lit(0).alias("_k"), F.col("id").alias("_id"), F.col("pct").alias("_y"), F.lit(1).alias("_c")))
     tg = t.where(F.col(target)).withColumn("pool", F.when(F.col("_n") >= pool_min, F.col("stratum")).otherwise("all"))
     lo = tg.select("pool", (F.col(x) - F.col("_w")).alias("_x"), F.lit(-1).alias("_k"), F.col("id").alias("_id"), F.lit(0.0).alias("_y"), F.lit(0).alias("_c"))
     hi = tg.select("pool", (F.col(x) + F.col("_w")).alias("_x"), F.lit(1).alias("_k"), F.col("id").alias("_id"), F.lit(0.0).alias("_y"), F.lit(0).alias("_c"))
     s = so.ordered_scan(pts.unionByName(lo).unionByName(hi), ["pool", "_x", "_k", "_id"], {"cn": ("sum", "_c"), "cy": ("sum", "_y")})
+    s = cut_lineage(s)
     end = s.where(F.col("_k") == 1).select("_id", F.col("cn").alias("n1"), F.col("cy").alias("y1"))
     beg = s.where(F.col("_k") == -1).select("_id", F.col("cn").alias("n0"), F.col("cy").alias("y0"))
     m = end.join(beg, "_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from alloscan.functions.stat_columns import grouped_median
 from alloscan.operators import scan_order as so
+from alloscan.session import cut_lineage
 
 
 def finite(c: str) -> Column:
@@ -15,27 +16,28 @@ def finite(c: str) -> Column:
 
 def rank_with_ties(df: DataFrame, p: str, key: list[str]) -> DataFrame:
     """0-based stable position by (p, key) and the position of the first row with equal p."""
-    pos = so.row_position(df, [p, *key], "rank0")
+    pos = cut_lineage(so.row_position(df, [p, *key], "rank0"))
     ties = pos.groupBy(p).agg(F.min("rank0").alias("tie_group"), F.count("*").alias("n_tie"))
     return so.attach_by_value(pos, ties, p)
 
 
 def average_rank(df: DataFrame, x: str) -> DataFrame:
+    df = cut_lineage(df)  # read by the ranks and by the join back
     return so.attach_by_value(df, so.value_ranks(df, x), x)
 
 
 def decile(df: DataFrame, x: str, out: str = "decile") -> DataFrame:
     """floor((average rank - 0.5) / n * 10) within 0..9; ties share a decile."""
-    n = df.where(F.col(x).isNotNull()).agg(F.count("*")).scalar()
     r = average_rank(df, x)
+    n = r.agg(F.count(x)).scalar()
     d = F.floor((F.col("rank_avg") - 0.5) / n * 10)
     return r.withColumn(out, F.greatest(F.lit(0), F.least(F.lit(9), d)).cast("bigint"))
 
 
 def bh(df: DataFrame, p: str, out: str = "q") -> DataFrame:
     """Step-up q values over the finite p; others keep null."""
-    t = df.withColumn("_p", F.when(finite(p), F.col(p)))
-    ranks = so.value_ranks(t, "_p")
+    t = cut_lineage(df.withColumn("_p", F.when(finite(p), F.col(p))))
+    ranks = cut_lineage(so.value_ranks(t, "_p"))
     m = ranks.agg(F.sum("n_tie")).scalar()
     raw = ranks.withColumn("_raw", F.col("_p") * m / F.col("rank_max"))
     q = so.ordered_scan(raw, ["_p"], {out: ("min", "_raw")}, descending=True)
@@ -45,7 +47,8 @@ def bh(df: DataFrame, p: str, out: str = "q") -> DataFrame:
 
 def holm(df: DataFrame, p: str, out: str = "p_holm") -> DataFrame:
     """Step-down adjusted p: running maximum of (m - rank + 1) p, capped at 1."""
-    ranks = so.value_ranks(df, p)
+    df = cut_lineage(df)
+    ranks = cut_lineage(so.value_ranks(df, p))
     m = ranks.agg(F.sum("n_tie")).scalar()
     raw = ranks.withColumn("_raw", F.least(F.lit(1.0), (m - F.col("rank_min") + 1) * F.col(p)))
     adj = so.ordered_scan(raw, [p], {out: ("max", "_raw")}).select(p, "n_tie", out)
@@ -103,15 +106,25 @@ def genome_layout(df: DataFrame) -> DataFrame:
             .withColumn("x", F.col("offset") + F.col("pos") - F.col("lo")).drop("lo", "offset"))
 
 
-def robust_z(df: DataFrame, x: str, out: str) -> DataFrame:
-    """(x - median) / (1.4826 MAD); MAD = 0 falls back to the sd; under 2 values gives null."""
-    ok = df.where(finite(x)).select(F.lit(1).alias("g"), F.col(x).alias("x"))
-    med = grouped_median(ok, ["g"], "x")
-    n, m = med.select("n").scalar(), med.select("median").scalar()
-    mad = grouped_median(ok.withColumn("x", F.abs(F.col("x") - m)), ["g"], "x").select("median").scalar()
-    sd = ok.agg(F.stddev_pop("x")).scalar()
-    scale = F.when(mad > 0, 1.4826 * mad).when(sd > 0, sd).otherwise(1.0)
-    return df.withColumn(out, F.when(finite(x) & (n >= 2), (F.col(x) - m) / scale))
+def robust_z(df: DataFrame, cols: dict[str, str]) -> DataFrame:
+    """(x - median) / (1.4826 MAD) for each ``x -> output``; MAD = 0 falls back to the sd;
+    under 2 values gives null. All columns share the passes; only their few medians, spreads
+    and counts reach the driver."""
+    def long(shift):
+        cells = [F.struct(F.lit(c).alias("c"), F.when(finite(c), F.abs(F.col(c) - shift[c]) if shift else F.col(c)
+                                                      ).cast("double").alias("x")) for c in cols]
+        return df.select(F.explode(F.array(*cells)).alias("s")).select("s.c", "s.x").where(F.col("x").isNotNull())
+    df = cut_lineage(df)
+    med = {x["c"]: (x["n"], x["median"]) for x in grouped_median(long(None), ["c"], "x").collect()}
+    mad = {x["c"]: x["median"] for x in grouped_median(long({c: med.get(c, (0, 0.0))[1] for c in cols}), ["c"], "x").collect()}
+    out = df
+    for c, o in cols.items():
+        n, m = med.get(c, (0, 0.0))
+        scale = 1.4826 * mad.get(c, 0.0)
+        if n >= 2 and scale <= 0:
+            scale = df.where(finite(c)).agg(F.stddev_pop(c)).first()[0] or 1.0
+        out = out.withColumn(o, F.when(finite(c), (F.col(c) - m) / scale) if n >= 2 else F.lit(None).cast("double"))
+    return out
 
 
 def chrom_runs(df: DataFrame, order: list[str]) -> DataFrame:
@@ -126,6 +139,7 @@ def chrom_runs(df: DataFrame, order: list[str]) -> DataFrame:
 
 def power_curve(df: DataFrame, p: str, is_true: str, key: list[str]) -> DataFrame:
     """Power and false share among calls when calling every row up to each p threshold."""
+    df = cut_lineage(df.select(p, is_true))
     n_true = df.agg(F.count_if(F.col(is_true))).scalar()
     c = df.groupBy(p).agg(F.count("*").alias("n"), F.count_if(F.col(is_true)).alias("t"))
     s = so.ordered_scan(c, [p], {"called": ("sum", "n"), "hits": ("sum", "t")})

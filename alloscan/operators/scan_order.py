@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from alloscan.session import cut_lineage, shuffle_width
 
 _SAMPLE_PER_RANGE = 40
+SMALL_ROWS = 200_000  # a counted table up to this size is ordered in one range
 _FOLD = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
 
 
@@ -50,9 +51,16 @@ def ordered_scan(df: DataFrame, keys: list[str], running: dict[str, tuple[str, C
     vals = {o: (F.lit(1).cast("bigint") if kind == "count" else
                 (F.col(v) if isinstance(v, str) else v))
             for o, (kind, v) in running.items()}
-    t = df.withColumn("_rng", _range_column(df, keys, n))
-    for o, v in vals.items():
-        t = t.withColumn(f"_v_{o}", v)
+    order = [F.col(k).desc() if descending else F.col(k).asc() for k in keys]
+    upto = Window.unboundedPreceding, Window.currentRow
+    small = df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+    t = df if small else df.withColumn("_rng", _range_column(df, keys, n))
+    t = t.select("*", *[v.alias(f"_v_{o}") for o, v in vals.items()])
+    if small:
+        # the size was just counted, so one ordered pass is bounded
+        w = Window.orderBy(*order).rowsBetween(*upto)
+        return t.select(*df.columns, *[_FOLD[kind](f"_v_{o}").over(w).alias(o)
+                                       for o, (kind, _) in running.items()])
     # one row per range (at most n): this window is bounded by the range count
     carry_w = Window.orderBy(F.col("_rng").desc() if descending else F.col("_rng"))
     carry_w = carry_w.rowsBetween(Window.unboundedPreceding, -1)
@@ -60,21 +68,17 @@ def ordered_scan(df: DataFrame, keys: list[str], running: dict[str, tuple[str, C
                                      for o, (k, _) in running.items()])
     carry = totals.select("_rng", *[_FOLD[k](f"_t_{o}").over(carry_w).alias(f"_c_{o}")
                                     for o, (k, _) in running.items()])
-    order = [F.col(k).desc() if descending else F.col(k).asc() for k in keys]
-    w = (Window.partitionBy("_rng").orderBy(*order)
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    w = Window.partitionBy("_rng").orderBy(*order).rowsBetween(*upto)
     out = t.join(F.broadcast(carry), "_rng")
+    cols = []
     for o, (kind, _) in running.items():
-        here = _FOLD[kind](f"_v_{o}").over(w)
-        before = F.col(f"_c_{o}")
+        here, before = _FOLD[kind](f"_v_{o}").over(w), F.col(f"_c_{o}")
         if kind in ("sum", "count"):
             col = here + F.coalesce(before, F.lit(0))
-        elif kind == "min":
-            col = F.least(here, before)
         else:
-            col = F.greatest(here, before)
-        out = out.withColumn(o, col)
-    return out.drop("_rng", *[f"_v_{o}" for o in running], *[f"_c_{o}" for o in running])
+            col = F.least(here, before) if kind == "min" else F.greatest(here, before)
+        cols.append(col.alias(o))
+    return out.select(*df.columns, *cols)
 
 
 def row_position(df: DataFrame, keys: list[str], out: str = "pos0",
