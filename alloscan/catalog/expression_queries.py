@@ -82,7 +82,7 @@ _POP = _EX + """
 bs AS (SELECT base * 1000000 + jj AS u, count(*) FILTER (sub = 'A') / count(*) AS ba, count(*) FILTER (sub = 'B') / count(*) AS bb, count(*) FILTER (sub = 'D') / count(*) AS bd FROM mk GROUP BY ALL),
 dv AS (SELECT xg.u, a / (a + b + d) - ba AS a, b / (a + b + d) - bb AS b, d / (a + b + d) - bd AS d FROM xg JOIN bs USING (u) WHERE a + b + d >= 1),
 ms AS (SELECT u, count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(d) AS md, stddev_pop(a) AS sa, stddev_pop(b) AS sb, stddev_pop(d) AS sd FROM dv GROUP BY u HAVING count(*) >= 8),
-dm AS (SELECT *, CASE WHEN abs(ma) >= abs(mb) AND abs(ma) >= abs(md) THEN 'a' WHEN abs(mb) >= abs(md) THEN 'b' ELSE 'd' END AS c FROM ms),
+dm AS (SELECT *, CASE WHEN round(abs(ma), 12) >= round(abs(mb), 12) AND round(abs(ma), 12) >= round(abs(md), 12) THEN 'a' WHEN round(abs(mb), 12) >= round(abs(md), 12) THEN 'b' ELSE 'd' END AS c FROM ms),
 dd AS (SELECT u, n, c, CASE c WHEN 'a' THEN ma WHEN 'b' THEN mb ELSE md END AS m, CASE c WHEN 'a' THEN sa WHEN 'b' THEN sb ELSE sd END AS s FROM dm)
 """
 

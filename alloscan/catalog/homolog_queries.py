@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from alloscan.catalog import tables as t
 from alloscan.catalog.registry import big, query, r
 from alloscan.operators import homologs as hm
-from alloscan.operators import ranking as rk
-from alloscan.operators import scan_order as so
+from alloscan.session import cut_lineage
 
 _HIT = """
 , hit AS (SELECT 'ab' AS pr, 'A' || o_custkey AS x, 'B' || (o_custkey + CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END) AS y, o_totalprice AS bit, o_orderkey AS ok FROM orders
@@ -286,7 +285,7 @@ cc AS (SELECT comp, count(*) AS n_genes, count(DISTINCT left(node, 1)) AS k FROM
 SELECT comp, n_genes, CASE WHEN k < n_genes THEN 'ambiguous' WHEN k = 4 THEN 'strict4' WHEN k = 3 THEN 'partial3' ELSE 'pair' END AS kind,
        coalesce(n_edges, 0) AS n_edges, CASE WHEN k >= n_genes THEN round(n_edges / (k * (k - 1) / 2), 6) END AS completeness FROM cc LEFT JOIN ne USING (comp)""")
 def set_graph(spark, d):
-    e = rbh(spark, d).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    e = cut_lineage(rbh(spark, d).select(F.col("x").alias("a"), F.col("y").alias("b")))
     c = hm.classify_components(hm.components(e), e, F.substring("node", 1, 1))
     return c.select("comp", big("n_genes"), "kind", big("n_edges"), r("completeness", "completeness"))
 

@@ -13,6 +13,7 @@ from alloscan.operators import pair_scan as ps
 from alloscan.operators import relationship as rel
 from alloscan.operators import replicates as rp
 from alloscan.operators import score_scan as scan
+from alloscan.session import cut_lineage
 
 
 def trait(spark, d, which=1):
@@ -106,6 +107,7 @@ def loco_contexts(spark, d):
 
 @query("k_loco_kernels")
 def k_loco_kernels(spark, d):
+    """Trace and retained information of each chromosome's kernel."""
     of = t.markers(spark, d).select(F.col("chrom").alias("grp"), F.col("sub").alias("family")).distinct()
     return rel.loco(parts(spark, d, "chrom"), of).groupBy("grp", "family").agg(
         F.sum(F.when(F.col("i") == F.col("j"), F.col("k"))).alias("trace"), F.max("retained").alias("retained"))
@@ -172,6 +174,7 @@ def k_whiten(spark, d):
 def pair_setup(spark, d, **kw):
     y, x, k = model(spark, d)
     b = ps.burden_vectors(t.geno(spark, d), t.stats(spark, d), t.markers(spark, d).select("v", "gene"), panel(spark, d), **kw)
+    b = cut_lineage(b)  # one row per gene, read by both sides of every pair
     g = t.markers(spark, d).select("gene", "sub", "base", "jj").distinct()
     a = g.select("base", "jj", F.col("gene").alias("gene_x"), F.col("sub").alias("sub_x"))
     c = g.select("base", "jj", F.col("gene").alias("gene_y"), F.col("sub").alias("sub_y"))
@@ -212,7 +215,7 @@ def k_pair_scan(spark, d):
     y, x, k, b, pairs = pair_setup(spark, d)
     ab = pairs.where((F.col("sub_x") == "A") & (F.col("sub_y") == "B"))
     ctx = (mm.whitener(y, x, k)[0], y, None)
-    tests = ps.pair_tests(ab, b, {"t": ctx})
+    tests = cut_lineage(ps.pair_tests(ab, b, {"t": ctx}))
     ranked = ps.pair_ranking(tests, ps.marginal_tests(b, ctx), ps.gene_sizes(t.markers(spark, d)))
     return ranked
 

@@ -74,7 +74,7 @@ def population_bias(expr: DataFrame, base: DataFrame, unit: str, copies: list[st
     e = e.select(unit, *[(F.col(c) / tot - F.col(f"base_{c}")).alias(c) for c in copies])
     g = e.groupBy(unit).agg(F.count("*").alias("n"), *[x for c in copies for x in (
         F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"), F.count_if(F.col(c) > 0).alias(f"p_{c}"), F.count_if(F.col(c) < 0).alias(f"q_{c}"))])
-    dom = F.array_max(F.array(*[F.struct(F.abs(F.col(f"m_{c}")).alias("eff"), F.lit(-i).alias("o"), F.lit(c).alias("copy"), F.col(f"m_{c}").alias("m"), F.col(f"s_{c}").alias("s"),
+    dom = F.array_max(F.array(*[F.struct(F.round(F.abs(F.col(f"m_{c}")), 12).alias("eff"), F.lit(-i).alias("o"), F.lit(c).alias("copy"), F.col(f"m_{c}").alias("m"), F.col(f"s_{c}").alias("s"),
                                          F.when(F.col(f"m_{c}") > 0, F.col(f"p_{c}")).when(F.col(f"m_{c}") < 0, F.col(f"q_{c}")).otherwise(F.lit(0)).alias("same"))
                                 for i, c in enumerate(copies)]))
     g = g.where(F.col("n") >= min_n).withColumn("dm", dom)

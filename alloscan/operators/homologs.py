@@ -100,14 +100,15 @@ def pair_audit(pairs: DataFrame) -> DataFrame:
     Best partner within the block for both sides, rank of the pair among all pairs of each
     gene (by e, then order), reciprocal best, final one-to-one flag and the drop reason.
     """
-    p = pairs
+    p = pairs = cut_lineage(pairs)
+    n = p.count()
     o = F.struct("e", "ord")
     for name, keys in (("ba", ["block", "a"]), ("bd", ["block", "d"])):
-        m = p.groupBy(*keys).agg(F.min_by("ord", o).alias(f"_{name}"))
-        p = hot_join(p, m, keys)
+        m = pairs.groupBy(*keys).agg(F.min_by("ord", o).alias(f"_{name}"))
+        p = hot_join(p, m, keys, left_rows=n)
     for name, key in (("rank_a", "a"), ("rank_d", "d")):
         # position within a gene = global position minus the gene's first position
-        s = ordered_scan(p.select(key, "e", "ord"), [key, "e", "ord"], {"_g": ("count", "")})
+        s = ordered_scan(pairs.select(key, "e", "ord"), [key, "e", "ord"], {"_g": ("count", "")})
         f = s.groupBy(key).agg(F.min("_g").alias("_f"))
         s = s.join(f, key).select("ord", (F.col("_g") - F.col("_f") + 1).alias(name))
         p = p.join(s, "ord")
@@ -133,6 +134,7 @@ def components(edges: DataFrame) -> DataFrame:
     a hub is folded by a map-side min before its edges are rewritten. Lineage is cut in
     the shared checkpoint folder after each round.
     """
+    edges = cut_lineage(edges.select("a", "b"))
     e = cut_lineage(edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
                     .where(F.col("lo") < F.col("hi")).distinct())
     nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
@@ -141,21 +143,27 @@ def components(edges: DataFrame) -> DataFrame:
         both = e.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionByName(
             e.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
         m = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        return (hot_join(both.where(F.col("v") > F.col("u")), m, ["u"])
+        return (hot_join(both.where(F.col("v") > F.col("u")), m, ["u"], left_rows=size)
                 .select(F.col("m").alias("lo"), F.col("v").alias("hi")).where(F.col("lo") < F.col("hi")).distinct())
 
     def small(e):
         m = e.groupBy("hi").agg(F.min("lo").alias("m"))
-        j = hot_join(e, m, ["hi"])
+        j = hot_join(e, m, ["hi"], left_rows=size)
         return (j.select(F.col("m").alias("lo"), F.col("lo").alias("hi"))
                 .unionByName(m.select(F.col("m").alias("lo"), "hi"))
                 .where(F.col("lo") < F.col("hi")).distinct())
 
+    mark = lambda d: d.agg(F.count("*"), F.sum(F.hash("lo", "hi").cast("bigint"))).first()
+    seen = mark(e)
     while True:
+        size = seen[0]
         nxt = cut_lineage(small(large(e)))
-        if nxt.exceptAll(e).isEmpty() and e.exceptAll(nxt).isEmpty():
+        now = mark(nxt)
+        # equal counts and hash sums first, then the exact test
+        same = now == seen and nxt.exceptAll(e).isEmpty()
+        e, seen = nxt, now
+        if same:
             break
-        e = nxt
     return nodes.join(e.select(F.col("hi").alias("node"), F.col("lo").alias("comp")), "node", "left").select(
         "node", F.coalesce("comp", "node").alias("comp"))
 

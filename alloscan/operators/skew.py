@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 
 def hot_join(left: DataFrame, right: DataFrame, keys: list[str], rows_per_task: int = 1_000_000,
-             how: str = "inner") -> DataFrame:
+             how: str = "inner", left_rows: int | None = None) -> DataFrame:
     """Join on ``keys``; a key with over ``rows_per_task`` left rows is split over salts.
 
     Hot keys number at most rows / rows_per_task, so their table is safe to broadcast;
     only the right rows of hot keys are repeated, once per salt. ``how`` is ``inner``,
-    ``left`` or ``left_semi``.
+    ``left`` or ``left_semi``. Where the caller has counted the left side (``left_rows``)
+    and it fits one task, no key can be hot and the join is plain.
     """
+    if left_rows is not None and left_rows <= rows_per_task:
+        return left.join(right, keys, how)
     hot = (left.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > rows_per_task)
            .select(*keys, F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_m")))
     lt = (left.join(F.broadcast(hot), keys, "left")
