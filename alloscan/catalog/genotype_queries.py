@@ -245,8 +245,8 @@ def fn_ld_lead(spark, d):
 
 
 @query("fn_ldbin", _LEAD + """
-SELECT CASE WHEN r2 IS NULL THEN 'NA' WHEN r2 <= 0.2 THEN '0.0-0.2' WHEN r2 <= 0.4 THEN '0.2-0.4'
-       WHEN r2 <= 0.6 THEN '0.4-0.6' WHEN r2 <= 0.8 THEN '0.6-0.8' ELSE '0.8-1.0' END AS bin,
+SELECT CASE WHEN r2 IS NULL THEN 'NA' WHEN round(r2, 12) <= 0.2 THEN '0.0-0.2' WHEN round(r2, 12) <= 0.4 THEN '0.2-0.4'
+       WHEN round(r2, 12) <= 0.6 THEN '0.4-0.6' WHEN round(r2, 12) <= 0.8 THEN '0.6-0.8' ELSE '0.8-1.0' END AS bin,
        count(*) AS n FROM lr GROUP BY 1""")
 def fn_ldbin(spark, d):
     lead, tg = lead_targets(spark, d)

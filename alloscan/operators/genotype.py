@@ -102,6 +102,7 @@ def ld_to_lead(geno: DataFrame, lead: DataFrame, targets: DataFrame, min_shared:
 
 
 def ld_bin(r2: Column) -> Column:
+    r2 = F.round(r2, 12)  # a value on a bin edge stays there whatever the summation order
     return (F.when(r2.isNull() | F.isnan(r2), "NA").when(r2 <= 0.2, "0.0-0.2")
             .when(r2 <= 0.4, "0.2-0.4").when(r2 <= 0.6, "0.4-0.6")
             .when(r2 <= 0.8, "0.6-0.8").otherwise("0.8-1.0"))

@@ -179,7 +179,7 @@ def partial_auc(curve: DataFrame, cap: float = 0.1, points: int = 101) -> DataFr
     g = grid.select("cell", x.alias("x"), below.alias("b"), above.alias("a"))
     end = last.select("e").scalar()
     fend = last.select("f").scalar()
-    val = F.when(F.col("x") >= fend, end).when(F.col("b.fdr") == F.col("x"), F.col("b.e")).otherwise(
+    val = F.when(F.col("x") >= fend, end).when(F.abs(F.col("b.fdr") - F.col("x")) <= 1e-12, F.col("b.e")).otherwise(
         F.col("b.e") + (F.col("x") - F.col("b.fdr")) * (F.col("a.e") - F.col("b.e"))
         / (F.col("a.fdr") - F.col("b.fdr")))
     edge = F.when((F.col("cell") == 0) | (F.col("cell") == points - 1), 0.5).otherwise(1.0)
