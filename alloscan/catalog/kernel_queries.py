@@ -77,6 +77,12 @@ def agg_kernel_had(spark, d):
     return rel.hadamard(kernels(spark, d)).select(big("i"), big("j"), r("k", "k"))
 
 
+@query("agg_kernel_auto", _G + "SELECT i, j, round(product(k), 6) + 0.0 AS k FROM kk GROUP BY i, j")
+def agg_kernel_auto(spark, d):
+    """Homolog kernel by the number of subgenomes (three here: the product)."""
+    return rel.homolog_kernel(kernels(spark, d), 3).select(big("i"), big("j"), r("k", "k"))
+
+
 @query("agg_kernel_pair", _G + """
 SELECT a.i, a.j, round(avg(a.k * b.k), 6) + 0.0 AS k FROM kk a JOIN kk b ON a.i = b.i AND a.j = b.j AND a.grp < b.grp GROUP BY a.i, a.j""")
 def agg_kernel_pair(spark, d):

@@ -220,6 +220,17 @@ def k_pair_scan(spark, d):
     return ranked
 
 
+@query("sink_ranking")
+def sink_ranking(spark, d):
+    """Per-sample burdens of the five best A-B pairs."""
+    y, x, k, b, pairs = pair_setup(spark, d)
+    ab = pairs.where((F.col("sub_x") == "A") & (F.col("sub_y") == "B"))
+    tests = cut_lineage(ps.pair_tests(ab, b, {"t": (mm.whitener(y, x, k)[0], y, None)}))
+    from alloscan.operators import ranking as rk
+    ranked = rk.rank_with_ties(tests, "p", ["gene_x", "gene_y"]).withColumnRenamed("rank0", "rank")
+    return ps.top_burdens(ranked, b, y, y - y.mean())
+
+
 @query("k_pair_perm")
 def k_pair_perm(spark, d):
     """Observed combined p of the A-B scan against permuted traits."""
@@ -232,7 +243,11 @@ def k_pair_perm(spark, d):
 def k_clique(spark, d):
     """Every subgenome pair of each homolog group, combined per group."""
     y, x, k, b, pairs = pair_setup(spark, d)
-    return ps.group_ranking(ps.pair_tests(pairs, b, {"t": (mm.whitener(y, x, k)[0], y, None)}), ["grp"])
+    tests = ps.pair_tests(pairs, b, {"t": (mm.whitener(y, x, k)[0], y, None)})
+    m = t.markers(spark, d)
+    g = m.groupBy(F.concat_ws("_", F.col("base").cast("string"), F.col("jj").cast("string")).alias("grp")).agg(
+        *[F.max(F.when(F.col("sub") == s, F.col("gene"))).alias(f"gene_{s}") for s in "ABD"])
+    return ps.group_table(tests, g, ["A", "B", "D"], ps.gene_sizes(m))
 
 
 @query("k_multitrait")

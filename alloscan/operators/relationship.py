@@ -109,6 +109,13 @@ def pairwise_mean(k: DataFrame) -> DataFrame:
     return k.groupBy("i", "j").agg(((s1 * s1 - s2) / (c * (c - 1))).alias("k"))
 
 
+def homolog_kernel(k: DataFrame, n_groups: int, mode: str = "auto", threshold: int = 3) -> DataFrame | None:
+    """Product kernel for 2..threshold groups, mean of pair products beyond, none for one group."""
+    if mode == "none" or n_groups < 2:
+        return None
+    return hadamard(k) if mode == "hadamard" or (mode == "auto" and n_groups <= threshold) else pairwise_mean(k)
+
+
 def weighted_sum(k: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     w = F.lit(1.0)
     for g, x in (weights or {}).items():
@@ -146,7 +153,3 @@ def dense(k: DataFrame, n: int) -> dict[str, np.ndarray]:
         out[str(grp)] = m
     return out
 
-
-def standardized_kernel(parts: DataFrame, n: int) -> DataFrame:
-    """Kernel of standardised markers from parts whose rows were standardised (den = count)."""
-    return grm(parts)

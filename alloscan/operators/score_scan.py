@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from alloscan.functions.special import chi2_1_sf
 from alloscan.functions.stat_columns import chi2_sf1
 from alloscan.operators import genotype as gt
+from alloscan.operators.relationship import MAX_PANEL
 
 SCAN_DDL = ("v bigint, beta double, se double, chi2 double, p double, n_obs bigint, "
             "maf double, call_rate double, status string")
@@ -20,6 +21,9 @@ SCAN_DDL = ("v bigint, beta double, se double, chi2 double, p double, n_obs bigi
 def centered_trait(pheno: DataFrame, y: str = "y") -> DataFrame:
     """Trait minus its panel mean, plus panel size and residual variance (n-1)."""
     tot = pheno.agg(F.avg(y).alias("m"), F.count(y).alias("n"))
+    # one row per sample is broadcast to every marker task: refuse a panel beyond its bound
+    size = F.when(F.col("n") <= MAX_PANEL, F.col("n")).otherwise(F.raise_error(F.lit("panel beyond its bound")))
+    tot = tot.select("m", size.alias("n"))
     c = pheno.join(F.broadcast(tot)).select("s", (F.col(y) - F.col("m")).alias("yc"), "n")
     var = c.agg((F.sum(F.col("yc") * F.col("yc")) / (F.max("n") - 1)).alias("sigma2"))
     return c.join(F.broadcast(var))

@@ -91,11 +91,18 @@ def run_interact(spark: SparkSession, dosages: DataFrame, snp_gene: DataFrame, g
     doc = {"traits": list(names), "trait_set_digest": digest, "n": len(ids), "transform": transform, "subgenomes": subgenomes}
     if len(subgenomes) == 2 and len(names) == 1:
         ranked = ps.pair_ranking(tests, ps.marginal_tests(burden, ctx[names[0]]), ps.gene_sizes(snp_gene))
-        sinks.write_ranking(ranked, f"{out}/pair_ranking", ["rank"])
+        a, b = subgenomes
+        names_out = {f"{c}_{side}": f"{c}_{s}" for c in ("gene", "n_snp", "gene_len") for side, s in (("x", a), ("y", b))}
+        sinks.write_ranking(ranked.withColumnsRenamed(names_out), f"{out}/pair_ranking", ["rank"])
+        yy = y[names[0]]
+        resid = yy - x @ np.linalg.lstsq(x, yy, rcond=None)[0]
+        sinks.write_tsv(ps.top_burdens(ranked, burden, yy, resid), f"{out}/top_burdens", gzip=False)
         p = "p_interaction"
     else:
-        keys = ["grp"] if len(subgenomes) > 2 else ["grp", "gene_x", "gene_y"]
-        ranked = ps.group_ranking(tests, keys)
+        if len(names) == 1:
+            ranked = ps.group_table(tests, g.select("grp", *[f"gene_{s}" for s in subgenomes]), subgenomes, ps.gene_sizes(snp_gene))
+        else:
+            ranked = ps.group_ranking(tests, ["grp"] if len(subgenomes) > 2 else ["grp", "gene_x", "gene_y"])
         sinks.write_ranking(ranked, f"{out}/group_ranking", ["rank"])
         p = "p_acat"
     ranked = cut_lineage(ranked)

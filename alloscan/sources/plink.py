@@ -137,8 +137,8 @@ def read_bim(spark: SparkSession, path: str) -> DataFrame:
 def parse_bim(lines: DataFrame) -> DataFrame:
     c = F.split(F.trim("value"), r"\s+")
     return lines.where(F.trim("value") != "").select(
-        c[0].alias("chrom"), c[1].alias("snp_id"), c[2].cast("double").alias("cm"),
-        c[3].cast("bigint").alias("pos"), c[4].alias("a1"), c[5].alias("a2"))
+        F.get(c, F.lit(0)).alias("chrom"), F.get(c, F.lit(1)).alias("snp_id"), F.get(c, F.lit(2)).cast("double").alias("cm"),
+        F.get(c, F.lit(3)).cast("bigint").alias("pos"), F.get(c, F.lit(4)).alias("a1"), F.get(c, F.lit(5)).alias("a2"))
 
 
 def write_bed(variants: DataFrame, prefix: str, samples: list[str]) -> int:

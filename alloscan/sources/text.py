@@ -37,9 +37,9 @@ def gff_attribute(attrs: Column, key: str) -> Column:
 
 def parse_gff(lines: DataFrame, feature: str = "gene", id_attr: str = "ID", keep_chroms=None) -> DataFrame:
     c = F.split("value", "\t")
-    g = lines.where(~F.col("value").startswith("#") & (F.size(c) >= 9) & (c[2] == feature)).select(
-        gff_attribute(c[8], id_attr).alias("gene_id"), c[0].alias("chrom"), c[3].cast("bigint").alias("start"),
-        c[4].cast("bigint").alias("end"), c[6].alias("strand"))
+    g = lines.where(~F.col("value").startswith("#") & (F.size(c) >= 9) & (F.get(c, F.lit(2)) == feature)).select(
+        gff_attribute(F.get(c, F.lit(8)), id_attr).alias("gene_id"), F.get(c, F.lit(0)).alias("chrom"), F.get(c, F.lit(3)).cast("bigint").alias("start"),
+        F.get(c, F.lit(4)).cast("bigint").alias("end"), F.get(c, F.lit(6)).alias("strand"))
     g = g.where(F.col("gene_id").isNotNull())
     return g if keep_chroms is None else g.where(F.col("chrom").isin(list(keep_chroms)))
 
@@ -47,11 +47,11 @@ def parse_gff(lines: DataFrame, feature: str = "gene", id_attr: str = "ID", keep
 def parse_genes_any(lines: DataFrame) -> DataFrame:
     """Gene track rows: name by priority of attributes, then position; strand defaults to +."""
     c = F.split("value", "\t")
-    name = F.coalesce(*[gff_attribute(c[8], k) for k in ("gene_name", "Name", "gene_id", "ID")],
-                      F.concat(c[0], F.lit(":"), c[3]))
-    return lines.where(~F.col("value").startswith("#") & (F.size(c) >= 9) & (c[2] == "gene")).select(
-        name.alias("name"), c[0].alias("chrom"), c[3].cast("bigint").alias("start"), c[4].cast("bigint").alias("end"),
-        F.when(c[6].isin("+", "-"), c[6]).otherwise("+").alias("strand"))
+    name = F.coalesce(*[gff_attribute(F.get(c, F.lit(8)), k) for k in ("gene_name", "Name", "gene_id", "ID")],
+                      F.concat(F.get(c, F.lit(0)), F.lit(":"), F.get(c, F.lit(3))))
+    return lines.where(~F.col("value").startswith("#") & (F.size(c) >= 9) & (F.get(c, F.lit(2)) == "gene")).select(
+        name.alias("name"), F.get(c, F.lit(0)).alias("chrom"), F.get(c, F.lit(3)).cast("bigint").alias("start"), F.get(c, F.lit(4)).cast("bigint").alias("end"),
+        F.when(F.get(c, F.lit(6)).isin("+", "-"), F.get(c, F.lit(6))).otherwise("+").alias("strand"))
 
 
 def vcf_samples(lines: DataFrame) -> list[str]:
@@ -66,15 +66,15 @@ def parse_vcf(lines: DataFrame, multiallelic: bool = False) -> DataFrame:
     """One row per variant: position, alleles and first-alternate dosage per sample (null = missing)."""
     c = F.split("value", "\t")
     v = lines.where(~F.col("value").startswith("#")).select(c.alias("c"))
-    v = v if multiallelic else v.where(~F.col("c")[4].contains(","))
+    v = v if multiallelic else v.where(~F.get("c", F.lit(4)).contains(","))
 
     def dose(call):
-        gt = F.split(F.split(call, ":")[0], r"[/|]")
+        gt = F.split(F.get(F.split(call, ":"), F.lit(0)), r"[/|]")
         return F.when(F.exists(gt, lambda a: a == "."), None).otherwise(
             F.aggregate(gt, F.lit(0.0), lambda s, a: s + F.when(a == "1", 1.0).otherwise(0.0)))
-    return v.select(F.col("c")[0].alias("chrom"), F.col("c")[1].cast("bigint").alias("pos"),
-                    F.when(F.col("c")[2] == ".", F.concat_ws(":", F.col("c")[0], F.col("c")[1])).otherwise(F.col("c")[2]).alias("snp_id"),
-                    F.col("c")[3].alias("ref"), F.col("c")[4].alias("alt"),
+    return v.select(F.get("c", F.lit(0)).alias("chrom"), F.get("c", F.lit(1)).cast("bigint").alias("pos"),
+                    F.when(F.get("c", F.lit(2)) == ".", F.concat_ws(":", F.get("c", F.lit(0)), F.get("c", F.lit(1)))).otherwise(F.get("c", F.lit(2))).alias("snp_id"),
+                    F.get("c", F.lit(3)).alias("ref"), F.get("c", F.lit(4)).alias("alt"),
                     F.transform(F.slice("c", 10, 1_000_000), dose).alias("dosage"))
 
 
@@ -125,7 +125,7 @@ def parse_blast6(lines: DataFrame) -> DataFrame:
     names = ["qseqid", "sseqid", "pident", "length", "mismatch", "gapopen", "qstart", "qend", "sstart", "send", "evalue", "bitscore"]
     kinds = ["string", "string", "double"] + ["bigint"] * 7 + ["double", "double"]
     t = lines.withColumn("c", c).where(F.size("c") >= 12).select(
-        *[F.col("c")[i].try_cast(k).alias(n) for i, (n, k) in enumerate(zip(names, kinds))])
+        *[F.get("c", F.lit(i)).try_cast(k).alias(n) for i, (n, k) in enumerate(zip(names, kinds))])
     return t.where(F.col("bitscore").isNotNull())
 
 
