@@ -311,6 +311,16 @@ def plt_manhattan(spark, d):
                     F.when(F.col("p") <= 0.001, "genomewide").when(F.col("p") <= 0.05, "suggestive").otherwise("none").alias("level"))
 
 
+@query("plt_from_results", """
+, o AS (SELECT *, row_number() OVER (PARTITION BY p <= 0.05 ORDER BY sub, chrom, pos, snp) - 1 AS rn FROM ss), n AS (SELECT greatest(1, ceil(count(*) / 100)) AS st FROM ss WHERE p > 0.05)
+SELECT snp, sub AS subgenome, chrom, pos, round(p, 6) AS p FROM o CROSS JOIN n WHERE p <= 0.05 OR rn % st = 0""")
+def plt_from_results(spark, d):
+    """Plot frame of a finished scan: all strong markers, a regular sample of the others (display feature)."""
+    from alloscan.plans.locus import plot_points
+    s = t.sumstats(spark, d).select(F.col("snp").alias("snp_id"), F.col("sub").alias("subgenome"), "chrom", "pos", "p")
+    return plot_points(cut_lineage(s), 100, 0.05).select(F.col("snp_id").alias("snp"), "subgenome", "chrom", "pos", r("p", "p"))
+
+
 @query("plt_lambda", """
 SELECT level, round(median(chi2) / 0.4549364231195724, 6) AS lambda_gc, CASE level WHEN 'all' THEN 0 WHEN 'A' THEN 1 WHEN 'B' THEN 2 ELSE 3 END::BIGINT AS bar_order
 FROM (SELECT 'all' AS level, chi2 FROM ss UNION ALL SELECT sub, chi2 FROM ss) GROUP BY level""")

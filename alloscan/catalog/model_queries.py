@@ -88,6 +88,15 @@ def k_scan(spark, d):
     return s.where(F.col("status") == "ok").drop("status")
 
 
+@query("k_scan_stream")
+def k_scan_stream(spark, d):
+    """The same scan in another chunking: results do not depend on how markers are split."""
+    w = wide(spark, d).select("v", "snp", "sub", "chrom", "pos", "dosage").repartition(7)
+    s = scan.kernel_scan(w, {None: contexts(spark, d)}, keep=["snp", "sub", "chrom", "pos"])
+    return s.where(F.col("status") == "ok").select("snp", "sub", "chrom", "pos", F.col("v").alias("variant_index"), "beta", "se", "chi2", "p",
+                                                   "n_obs", "maf", "call_rate")
+
+
 @query("flt_scan_status")
 def flt_scan_status(spark, d):
     s = scan.kernel_scan(wide(spark, d).select("v", "dosage"), {None: contexts(spark, d)}, maf_min=0.25)

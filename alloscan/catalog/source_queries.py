@@ -18,8 +18,8 @@ S = lambda c: F.col(c).cast("string")
 def src_bed(spark, d):
     """Two-bit records of every marker, packed and decoded."""
     n = len(panel(spark, d))
-    rec = wide(spark, d).select("v", plink.unpack_calls(plink.pack_calls(F.col("dosage")), n).alias("x"))
-    e = rec.select("v", F.explode("x").alias("d"))
+    rec = plink.unpack_calls(plink.pack_calls(wide(spark, d), ["v"]), ["v"], n)
+    e = rec.select("v", F.explode("dosage").alias("d"))
     return e.groupBy("v").agg(r(F.sum("d"), "dose_sum", 3), F.count("d").alias("n_called"))
 
 

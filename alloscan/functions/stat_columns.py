@@ -155,7 +155,7 @@ def grouped_quantile(rows: DataFrame, by: list[str], x: str, prob: float,
     from pyspark.sql import Window
     from alloscan.session import cut_lineage
     rows = cut_lineage(rows)
-    if rows.limit(_SMALL_ROWS + 1).count() <= _SMALL_ROWS:
+    if rows.count() <= _SMALL_ROWS:
         return rows.groupBy(*by).agg(F.count("*").alias("n"), F.percentile(x, prob).alias("q"))
     counts = rows.groupBy(*by).agg(F.count("*").alias("n")).select(
         *by, "n", (F.floor((F.col("n") - 1) * prob) + 1).alias("lo"),

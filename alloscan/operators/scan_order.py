@@ -18,11 +18,14 @@ SMALL_ROWS = 200_000  # a counted table up to this size is ordered in one range
 _FOLD = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
 
 
-def _range_column(df: DataFrame, keys: list[str], n: int) -> Column:
-    """Range number of a row: how many sampled bounds sort at or before its key."""
+def _range_column(df: DataFrame, keys: list[str], n: int, total: int) -> Column:
+    """Range number of a row: how many sampled bounds sort at or before its key.
+
+    The sample holds about ``n * _SAMPLE_PER_RANGE`` keys whatever the table size.
+    """
     if n <= 1:
         return F.lit(0)
-    probe = (df.select(*keys).orderBy(F.rand(11)).limit(n * _SAMPLE_PER_RANGE)
+    probe = (df.select(*keys).sample(False, min(1.0, n * _SAMPLE_PER_RANGE / max(total, 1)), 11)
              .select(F.struct(*keys).alias("k")))
     rows = (probe.agg(F.sort_array(F.collect_list("k")).alias("ks"))
             .select(F.expr(f"transform(sequence(1, {n - 1}), i -> "
@@ -53,8 +56,9 @@ def ordered_scan(df: DataFrame, keys: list[str], running: dict[str, tuple[str, C
             for o, (kind, v) in running.items()}
     order = [F.col(k).desc() if descending else F.col(k).asc() for k in keys]
     upto = Window.unboundedPreceding, Window.currentRow
-    small = df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
-    t = df if small else df.withColumn("_rng", _range_column(df, keys, n))
+    total = df.count()
+    small = total <= SMALL_ROWS
+    t = df if small else df.withColumn("_rng", _range_column(df, keys, n, total))
     t = t.select("*", *[v.alias(f"_v_{o}") for o, v in vals.items()])
     if small:
         # the size was just counted, so one ordered pass is bounded

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from alloscan.functions.special import chi2_1_sf
@@ -19,14 +19,16 @@ SCAN_DDL = ("v bigint, beta double, se double, chi2 double, p double, n_obs bigi
 
 
 def centered_trait(pheno: DataFrame, y: str = "y") -> DataFrame:
-    """Trait minus its panel mean, plus panel size and residual variance (n-1)."""
-    tot = pheno.agg(F.avg(y).alias("m"), F.count(y).alias("n"))
-    # one row per sample is broadcast to every marker task: refuse a panel beyond its bound
-    size = F.when(F.col("n") <= MAX_PANEL, F.col("n")).otherwise(F.raise_error(F.lit("panel beyond its bound")))
-    tot = tot.select("m", size.alias("n"))
-    c = pheno.join(F.broadcast(tot)).select("s", (F.col(y) - F.col("m")).alias("yc"), "n")
-    var = c.agg((F.sum(F.col("yc") * F.col("yc")) / (F.max("n") - 1)).alias("sigma2"))
-    return c.join(F.broadcast(var))
+    """Trait minus its panel mean, plus panel size and residual variance (n-1).
+
+    ``pheno`` has one row per sample of the bounded panel, so its windows are bounded and the
+    result may be broadcast to every marker task; a larger table is refused.
+    """
+    w = Window.partitionBy()
+    n = F.count(y).over(w)
+    size = F.when(n <= MAX_PANEL, n).otherwise(F.raise_error(F.lit("panel beyond its bound")))
+    c = pheno.select("s", (F.col(y) - F.avg(y).over(w)).alias("yc"), size.alias("n"))
+    return c.select("s", "yc", "n", (F.sum(F.col("yc") * F.col("yc")).over(w) / (F.col("n") - 1)).alias("sigma2"))
 
 
 def null_scan(geno: DataFrame, trait: DataFrame, maf_min: float = 0.01,

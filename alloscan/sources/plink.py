@@ -7,7 +7,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -110,23 +110,35 @@ def read_bed(spark: SparkSession, prefix: str, chunk_size: int = 20_000, subgeno
             .option("subgenome", subgenome).load(prefix))
 
 
-def pack_calls(dosage: Column) -> Column:
-    """Dosage array -> hexadecimal bed record, four samples per byte, lowest bits first."""
-    code = F.transform(dosage, lambda x: F.when(x.isNull(), 1).when(x == 2, 0).when(x == 1, 2).otherwise(3))
-    n = F.size(dosage)
-    byte = F.transform(F.sequence(F.lit(0), F.ceil(n / 4).cast("int") - 1), lambda b: F.aggregate(
-        F.array(*[F.lit(i) for i in range(4)]), F.lit(0),
-        lambda acc, i: acc + F.coalesce(F.get(code, b * 4 + i), F.lit(0)) * F.pow(F.lit(4), i).cast("int")))
-    return F.array_join(F.transform(byte, lambda b: F.lpad(F.hex(b), 2, "0")), "")
+def encode_dosages(dose: np.ndarray) -> np.ndarray:
+    """(markers x n) first-allele counts, NaN = missing -> (markers x bytes)."""
+    code = np.select([np.isnan(dose), dose == 2, dose == 1], [1, 0, 2], 3).astype(np.uint8)
+    code = np.pad(code, ((0, 0), (0, -dose.shape[1] % 4))).reshape(len(dose), -1, 4)
+    return (code << np.array([0, 2, 4, 6], dtype=np.uint8)).sum(2).astype(np.uint8)
 
 
-def unpack_calls(hex_record: Column, n: int) -> Column:
-    """Hexadecimal bed record -> dosage array of ``n`` samples (null = missing)."""
-    def call(i):
-        byte = F.conv(F.substring(hex_record, F.floor(i / 4).cast("int") * 2 + 1, F.lit(2)), 16, 10).cast("int")
-        code = F.floor(byte / F.pow(F.lit(4), i % 4)).cast("int") % 4
-        return F.when(code == 0, 2.0).when(code == 2, 1.0).when(code == 3, 0.0)
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), call)
+def pack_calls(variants: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` columns and ``rec``: the binary bed record of each dosage array."""
+    ddl = ", ".join(f"{c} {variants.schema[c].dataType.simpleString()}" for c in keep) + ", rec binary"
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                raw = encode_dosages(np.stack([np.asarray(a, float) for a in pdf["dosage"]]))
+                yield pdf[keep].assign(rec=[r.tobytes() for r in raw])
+    return variants.select(*keep, "dosage").mapInPandas(run, ddl)
+
+
+def unpack_calls(records: DataFrame, keep: list[str], n: int) -> DataFrame:
+    """``keep`` columns and ``dosage``: the decoded array of ``n`` samples (null = missing)."""
+    ddl = ", ".join(f"{c} {records.schema[c].dataType.simpleString()}" for c in keep) + ", dosage array<float>"
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                dose = decode_bytes(np.stack([np.frombuffer(b, dtype=np.uint8) for b in pdf["rec"]]), n)
+                yield pdf[keep].assign(dosage=[[None if x != x else x for x in row] for row in dose.tolist()])
+    return records.select(*keep, "rec").mapInPandas(run, ddl)
 
 
 def read_bim(spark: SparkSession, path: str) -> DataFrame:
@@ -149,12 +161,12 @@ def write_bed(variants: DataFrame, prefix: str, samples: list[str]) -> int:
     """
     Path(prefix).parent.mkdir(parents=True, exist_ok=True)
     Path(prefix + ".fam").write_text("".join(f"{s} {s} 0 0 0 -9\n" for s in samples))
-    rows = variants.select("chrom", "snp_id", "pos", "a1", "a2", pack_calls(F.col("dosage")).alias("rec"), "variant_index")
+    rows = pack_calls(variants, ["chrom", "snp_id", "pos", "a1", "a2", "variant_index"])
     n = 0
     with open(prefix + ".bed", "wb") as bed, open(prefix + ".bim", "w") as bim:
         bed.write(MAGIC)
         for x in rows.orderBy("variant_index").drop("variant_index").toLocalIterator():
-            bed.write(bytes.fromhex(x["rec"]))
+            bed.write(bytes(x["rec"]))
             bim.write(f"{x['chrom']}\t{x['snp_id']}\t0\t{x['pos']}\t{x['a1']}\t{x['a2']}\n")
             n += 1
     return n

@@ -183,3 +183,19 @@ def test_stream_equals_batch(spark, tmp_path):
     # batch shapes differ, so sums may differ in the last bits
     assert got.keys() == want.keys() and np.allclose([got[v] for v in want], list(want.values()), rtol=1e-10)
     assert scan_stream.inflation_of_sink(spark, str(tmp_path / "out"), []).first()["n_markers"] == len(want)
+
+
+def test_stored_kernels_and_settings(spark, tmp_path):
+    from alloscan.sources import sinks
+    k = spark.createDataFrame([("A", 0, 0, 1.0), ("A", 0, 1, 0.1), ("A", 1, 1, 0.9)], "grp string, i int, j int, k double")
+    sinks.write_kernels(k, str(tmp_path / "k"))
+    assert sinks.read_kernels(spark, str(tmp_path / "k"), ["a", "b"]).count() == 3
+    with pytest.raises(ValueError, match="square"):
+        sinks.read_kernels(spark, str(tmp_path / "k"), ["a"])
+    with pytest.raises(ValueError, match="repeat"):
+        sinks.read_kernels(spark, str(tmp_path / "k"), ["a", "a"])
+    (tmp_path / "panel.json").write_text('{"trait": "x", "loco": true}')
+    (tmp_path / "run.json").write_text('{"panel_manifest": "panel.json", "trait": "y"}')
+    assert config.load_run_config(str(tmp_path / "run.json")) == {"trait": "y", "loco": True}
+    sinks.write_json({"a": np.float64(1.5), "b": np.arange(2)}, str(tmp_path / "o" / "s.json"))
+    assert json.loads((tmp_path / "o" / "s.json").read_text()) == {"a": 1.5, "b": [0, 1]}
