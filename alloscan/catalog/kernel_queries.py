@@ -18,17 +18,17 @@ def panel(spark, d):
     return rel.panel_of(t.pheno(spark, d))
 
 
-def wide(spark, d):
-    return t.with_map(gt.wide_variants(t.geno(spark, d), panel(spark, d)))
+def wide(spark, d, geno=None):
+    return t.with_map(gt.wide_variants(t.geno(spark, d) if geno is None else geno, panel(spark, d)))
 
 
-def parts(spark, d, group="sub", maf=0.01):
-    w = wide(spark, d).withColumn("all", F.lit("all"))
+def parts(spark, d, group="sub", maf=0.01, geno=None):
+    w = wide(spark, d, geno).withColumn("all", F.lit("all"))
     return rel.gram_parts(w, len(panel(spark, d)), group, maf)
 
 
-def kernels(spark, d, group="sub"):
-    return rel.grm(parts(spark, d, group))
+def kernels(spark, d, group="sub", geno=None):
+    return rel.grm(parts(spark, d, group, geno=geno))
 
 
 _G = """

@@ -9,6 +9,7 @@ from alloscan.catalog import tables as t
 from alloscan.catalog.kernel_queries import kernels, panel, parts, wide
 from alloscan.catalog.registry import big, query, r
 from alloscan.functions import mixed_model as mm
+from alloscan.operators import genotype as gt
 from alloscan.operators import pair_scan as ps
 from alloscan.operators import relationship as rel
 from alloscan.operators import replicates as rp
@@ -22,14 +23,14 @@ def trait(spark, d, which=1):
     return np.array([x["y"] for x in df.orderBy("s").collect()], dtype=float)
 
 
-def grms(spark, d):
+def grms(spark, d, geno=None):
     n = len(panel(spark, d))
-    return {k: mm.pull_psd(m, 1e-6) for k, m in sorted(rel.dense(kernels(spark, d), n).items())}
+    return {k: mm.pull_psd(m, 1e-6) for k, m in sorted(rel.dense(kernels(spark, d, geno=geno), n).items())}
 
 
-def model(spark, d):
+def model(spark, d, geno=None):
     y = trait(spark, d)
-    return y, np.ones((len(y), 1)), grms(spark, d)
+    return y, np.ones((len(y), 1)), grms(spark, d, geno)
 
 
 def _rows(spark, rows, ddl):
@@ -103,12 +104,13 @@ def flt_scan_status(spark, d):
     return s.groupBy("status").agg(F.count("*").alias("n"))
 
 
-def loco_contexts(spark, d):
+def loco_contexts(spark, d, geno=None):
     """One context per chromosome: only its own subgenome's kernel loses the chromosome."""
-    y, x, k = model(spark, d)
+    geno = cut_lineage(t.geno(spark, d)) if geno is None else geno
+    y, x, k = model(spark, d, geno)
     f = mm.fit_reml(y, x, k, n_starts=2, seed=1)
     of = t.markers(spark, d).select(F.col("chrom").alias("grp"), F.col("sub").alias("family")).distinct()
-    lk = rel.loco(parts(spark, d, "chrom"), of)
+    lk = rel.loco(parts(spark, d, "chrom", geno=geno), of)
     subs = {x_["grp"]: x_["family"] for x_ in of.collect()}  # one row per chromosome of the karyotype
     dense = rel.dense(lk, len(y))
     return {c: mm.null_context(y, x, {**k, subs[c]: mm.pull_psd(m, 1e-6)}, f.sigma2) for c, m in dense.items()}
@@ -130,7 +132,8 @@ def k_loco_ctx(spark, d):
 
 @query("k_scan_loco")
 def k_scan_loco(spark, d):
-    s = scan.kernel_scan(wide(spark, d).select("v", "chrom", "dosage"), loco_contexts(spark, d), chrom_col="chrom", keep=["chrom"])
+    geno = cut_lineage(t.geno(spark, d))
+    s = scan.kernel_scan(wide(spark, d, geno).select("v", "chrom", "dosage"), loco_contexts(spark, d, geno), chrom_col="chrom", keep=["chrom"])
     return s.where(F.col("status") == "ok").drop("status")
 
 
@@ -181,8 +184,10 @@ def k_whiten(spark, d):
 
 
 def pair_setup(spark, d, **kw):
-    y, x, k = model(spark, d)
-    b = ps.burden_vectors(t.geno(spark, d), t.stats(spark, d), t.markers(spark, d).select("v", "gene"), panel(spark, d), **kw)
+    geno = cut_lineage(t.geno(spark, d))  # the genotype table, read by kernels, statistics and burdens
+    y, x, k = model(spark, d, geno)
+    stats = gt.allele_stats(geno, len(panel(spark, d)))
+    b = ps.burden_vectors(geno, stats, stats.select("v").transform(t.with_map).select("v", "gene"), panel(spark, d), **kw)
     b = cut_lineage(b)  # one row per gene, read by both sides of every pair
     g = t.markers(spark, d).select("gene", "sub", "base", "jj").distinct()
     a = g.select("base", "jj", F.col("gene").alias("gene_x"), F.col("sub").alias("sub_x"))
