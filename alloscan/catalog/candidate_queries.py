@@ -332,7 +332,7 @@ def plt_lambda(spark, d):
 
 @query("plt_locus", """
 , ld AS (SELECT chrom, v AS lead_v, pos AS lead_pos FROM (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY chi2 DESC, v) AS rn FROM ss) WHERE rn = 1),
-lr AS (SELECT ss.v, ld.lead_v, max(ss.snp) AS snp, max(ss.pos) AS pos, max(ss.chi2) AS chi2, CASE WHEN ss.v = ld.lead_v THEN 1.0 WHEN count(b.d) < 3 THEN NULL ELSE power(corr(a.d, b.d), 2) END AS r2
+lr AS (SELECT ss.v, ld.lead_v, max(ss.snp) AS snp, max(ss.pos) AS pos, max(ss.chi2) AS chi2, CASE WHEN ss.v = ld.lead_v THEN 1.0 WHEN count(b.d) < 3 THEN NULL ELSE nullif(power(corr(a.d, b.d), 2), 'NaN'::DOUBLE) END AS r2
   FROM ss JOIN ld ON ld.chrom = ss.chrom AND abs(ss.pos - lead_pos) <= 500000 JOIN g a ON a.v = ss.v LEFT JOIN g b ON b.v = lead_v AND b.s = a.s GROUP BY ss.v, ld.lead_v)
 SELECT 'm' || lead_v AS lead_snp, snp, pos, round(chi2, 6) AS chi2, CASE WHEN r2 IS NULL THEN 'NA' WHEN round(r2, 12) <= 0.2 THEN '0.0-0.2' WHEN round(r2, 12) <= 0.4 THEN '0.2-0.4' WHEN round(r2, 12) <= 0.6 THEN '0.4-0.6' WHEN round(r2, 12) <= 0.8 THEN '0.6-0.8' ELSE '0.8-1.0' END AS ld_bin FROM lr""")
 def plt_locus(spark, d):

@@ -232,7 +232,7 @@ _LEAD = """
 tg AS (SELECT mk.v, lead_v FROM mk JOIN ld USING (chrom) WHERE abs(pos - lead_pos) <= 500000),
 lr AS (SELECT tg.v, tg.lead_v, count(b.d) AS n_shared,
        CASE WHEN tg.v = tg.lead_v THEN 1.0 WHEN count(b.d) < 3 THEN NULL
-            ELSE power(corr(a.d, b.d), 2) END AS r2
+            ELSE nullif(power(corr(a.d, b.d), 2), 'NaN'::DOUBLE) END AS r2
        FROM tg JOIN g a ON a.v = tg.v LEFT JOIN g b ON b.v = tg.lead_v AND b.s = a.s GROUP BY tg.v, tg.lead_v)
 """
 
