@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from alloscan.llm import quality_hosts
+from alloscan.llm import quality_hosts, secret_markov
 from alloscan.llm.common import table
 
 
@@ -14,8 +14,13 @@ def op2_quality_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_hosts.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op5_secret_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_markov.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_hosts": op2_quality_hosts,
+    "op5_secret_markov": op5_secret_markov,
 }
 
 ORACLES: dict[str, str] = {
