@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from alloscan.llm import quality_hosts, secret_markov
+from alloscan.llm import decontaminate, quality_hosts, secret_markov
 from alloscan.llm.common import table
 
 
@@ -18,11 +18,17 @@ def op5_secret_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_markov.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_hosts": op2_quality_hosts,
     "op5_secret_markov": op5_secret_markov,
+    "op7_decontaminate": op7_decontaminate,
 }
 
 ORACLES: dict[str, str] = {
     "op2_quality_hosts": quality_hosts.ORACLE_SQL,
+    "op7_decontaminate": decontaminate.ORACLE_SQL,
 }
