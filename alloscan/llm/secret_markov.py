@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alloscan.llm.common import constant_array
+from alloscan.llm.common import bounded_sample, constant_array, written
 
 
 def _either(word: str) -> str:
@@ -32,7 +32,7 @@ HEX, HEX_LENGTH = r"[0-9a-f]+", 32
 TOKEN_CLASS, TOKEN_LENGTH = r"A-Za-z0-9+/_=-", 20
 #: Log-likelihood ratio (nats) from which a token counts as random.
 THRESHOLD = 15.0
-#: The models learn ordinary identifiers from at most so many documents (those with the least hash of their id) ...
+#: The models learn ordinary identifiers from at most so many documents (those with the least hash of their text) ...
 SAMPLE_DOCS = 2000
 #: ... and random strings from the secrets in them and from so many hashes.
 RANDOM_STRINGS = 2000
@@ -81,7 +81,7 @@ def labelled_samples(docs: DataFrame, text: str = "text") -> DataFrame:
     """``token, random`` of the bounded sample of documents and of hashes in hex, upper hex, base 64 and its URL form."""
     spark = docs.sparkSession
     t = F.coalesce(F.col(text), F.lit(""))
-    sample = docs.select("doc_id", t.alias("_t")).orderBy(F.xxhash64("doc_id", "_t")).limit(SAMPLE_DOCS)
+    sample = bounded_sample(docs.select(t.alias("_t")), "_t", bound=SAMPLE_DOCS)
     base = [f"AKIA[A-Z0-9]{{{ACCESS_LENGTH - 4},}}", f"[0-9a-f]{{{HEX_LENGTH},}}"]
     q = lambda p: p.replace("\\", "\\\\").replace('"', '\\"').replace("'", "\\'")
     found = F.concat(*[F.expr(f"regexp_extract_all(_t, '{q(p)}', {g})") for p, g in ((ASSIGN, 2), *((b, 0) for b in base))])
@@ -95,8 +95,8 @@ def labelled_samples(docs: DataFrame, text: str = "text") -> DataFrame:
     ids = spark.range(RANDOM_STRINGS).select(F.sha2(F.concat(F.lit("sample"), F.col("id").cast("string")), 256).alias("h"))
     b64 = F.base64(F.unhex("h"))
     hashes = ids.select(F.explode(F.array(F.col("h"), F.upper("h"), b64, F.translate(b64, "+/=", "-_"))).alias("token"))
-    return (secrets.unionByName(hashes).withColumn("random", F.lit(True))
-            .unionByName(ordinary.withColumn("random", F.lit(False))))
+    return written(secrets.unionByName(hashes).withColumn("random", F.lit(True))
+                   .unionByName(ordinary.withColumn("random", F.lit(False))))
 
 
 def ratio_table(samples: DataFrame) -> DataFrame:
