@@ -21,6 +21,7 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 #: Share of words in repeated three-word windows, of symbols to words, of repeated lines to lines.
 MAX_REPEAT_PCT, MAX_SYMBOL_PCT, MAX_DUP_LINE_PCT = 50, 50, 30
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 #: Mean length of a word.
 MEAN_WORD = (2, 20)
 #: A host is rejected when its shrunk failure rate is above this.
@@ -101,13 +102,14 @@ def host_rates(measured: DataFrame) -> DataFrame:
             .drop("p", "w"))
 
 
-def judge(docs: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
-    """Every row of ``docs`` with its counts, ``host_rate`` and ``kept``.
+def judge(docs: DataFrame, carry: list[str], text: str = "text", source: str = "source") -> DataFrame:
+    """Every row of ``docs`` with the columns ``carry``, its counts, ``host_rate`` and ``kept``.
 
     The measured rows are written once, because the hosts' rates need all of them before any is judged.
     Hosts are few next to documents; Spark broadcasts them if they are small and splits a hot one if not.
     """
-    measured = written(rule_counts(docs, text).withColumn("host", host_of(F.col(source))).withColumn("failed", rules_failed()))
+    measured = written(rule_counts(docs, text).withColumn("host", host_of(F.col(source))).withColumn("failed", rules_failed())
+                       .select(*carry, "host", "failed", *COUNTS))
     hosts = host_rates(measured).select("host", "host_rate")
     return (measured.join(hosts, "host")
             .withColumn("kept", ~F.col("failed") & (F.col("host_rate") <= MAX_HOST_RATE)))
@@ -115,8 +117,15 @@ def judge(docs: DataFrame, text: str = "text", source: str = "source") -> DataFr
 
 def verdicts(docs: DataFrame) -> DataFrame:
     """One row per document: the base counts and whether it is kept."""
-    return judge(docs.select("doc_id", "text", "source")).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judge(docs.select("doc_id", "text", "source"), ["doc_id"]).select("doc_id", *COUNTS, "kept")
+
+
+def kept_documents(docs: DataFrame) -> DataFrame:
+    """The kept rows of ``docs`` with its own columns; names that clash with the counts' are set aside meanwhile."""
+    aside = [f"_c{i}" for i in range(len(docs.columns))]
+    renamed = docs.toDF(*aside).withColumns({"text": F.col(aside[docs.columns.index("text")]),
+                                             "source": F.col(aside[docs.columns.index("source")])})
+    return judge(renamed, aside).where("kept").select(*aside).toDF(*docs.columns)
 
 
 ORACLE_SQL = r"""
