@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from alloscan.llm import decontaminate, quality_hosts, secret_markov
+from alloscan.llm import decontaminate, language_id, quality_hosts, secret_markov
 from alloscan.llm.common import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_hosts.verdicts(table(spark, sf_dir, "documents"))
 
@@ -23,6 +27,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_quality_hosts": op2_quality_hosts,
     "op5_secret_markov": op5_secret_markov,
     "op7_decontaminate": op7_decontaminate,
