@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from alloscan.llm import decontaminate, language_id, piece_codec, quality_hosts, secret_markov
+from alloscan.llm import decontaminate, language_id, main_text, piece_codec, quality_hosts, secret_markov
 from alloscan.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -35,6 +39,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_hosts": op2_quality_hosts,
     "op5_secret_markov": op5_secret_markov,
     "op7_decontaminate": op7_decontaminate,
+    "op8_main_text": op8_main_text,
     "op9_piece_codec": op9_piece_codec,
 }
 
