@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 #: Vocabulary file; a file of the same kind can be named instead.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -156,7 +157,7 @@ def encode(docs: DataFrame, text: str = "text", path: str = MODEL) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), flat, pa.array(sizes), pa.array(same, pa.bool_())],
                                                  names=[*keep, "ids", "n_tokens", "round_trip"])
 
-    schema = docs.select(*keep).schema.add("ids", "array<int>").add("n_tokens", "long").add("round_trip", "boolean")
+    schema = docs.select(*keep).schema.add("ids", ArrayType(IntegerType())).add("n_tokens", "long").add("round_trip", "boolean")
     return docs.select(*keep, F.col(text)).mapInArrow(run, schema)
 
 
