@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -71,41 +70,27 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_bounds(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of every maximal run of characters other than ``BLANKS``."""
-    inside = ~((cp == 32) | ((cp >= 9) & (cp <= 13)))
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8)))
+def blank(cp: np.ndarray) -> np.ndarray:
+    return (cp == 32) | ((cp >= 9) & (cp <= 13))
+
+
+def runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of every maximal run of true values."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], inside.view(np.int8), [0])).astype(np.int8)))
     return edge[0::2], edge[1::2]
 
 
-def word_hashes(cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word: its characters, scrambled with their place in the word, summed and scrambled."""
+def run_hashes(cp: np.ndarray, inside: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each run: its characters, scrambled with their place in the run, summed and scrambled."""
     if not len(start):
         return np.zeros(0, np.uint64)
-    size = end - start
-    place = np.arange(len(cp), dtype=np.uint64)
-    begins = np.zeros(len(cp), np.uint64)
-    begins[start] = start.astype(np.uint64)
-    place -= np.maximum.accumulate(begins)
-    part = mix64(cp.astype(np.uint64) + (place << np.uint64(21)))
-    # the sum between two starts also takes in the blanks behind the word; they are set to zero
-    inside = ~((cp == 32) | ((cp >= 9) & (cp <= 13)))
-    part *= inside
-    return mix64(np.add.reduceat(part, start) + size.astype(np.uint64))
+    begins = np.zeros(len(cp), np.int64)
+    begins[start] = start
+    place = np.arange(len(cp)) - np.maximum.accumulate(begins)
+    part = mix64(cp.astype(np.uint64) + (place.astype(np.uint64) << np.uint64(21)))
+    part *= inside  # reduceat also adds what lies between two runs
+    return mix64(np.add.reduceat(part, start) + (end - start).astype(np.uint64))
 
 
 def lower_ascii(cp: np.ndarray) -> np.ndarray:
     return np.where((cp >= 65) & (cp <= 90), cp + 32, cp).astype(np.uint32)
-
-
-def blocks(rows: Iterator[tuple[int, str]], chars: int) -> Iterator[list[tuple[int, str]]]:
-    """Rows in lists of about ``chars`` characters; a longer text is a list of its own."""
-    held, n = [], 0
-    for row in rows:
-        held.append(row)
-        n += len(row[1])
-        if n >= chars:
-            yield held
-            held, n = [], 0
-    if held:
-        yield held

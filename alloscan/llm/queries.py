@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from alloscan.llm import decontaminate, language_id, main_text, piece_codec, quality_hosts, secret_markov
+from alloscan.llm import decontaminate, language_id, main_text, piece_codec, quality_hosts, secret_markov, toxicity
 from alloscan.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op5_secret_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_markov.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -38,6 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_quality_hosts": op2_quality_hosts,
     "op5_secret_markov": op5_secret_markov,
+    "op6_toxicity": op6_toxicity,
     "op7_decontaminate": op7_decontaminate,
     "op8_main_text": op8_main_text,
     "op9_piece_codec": op9_piece_codec,
