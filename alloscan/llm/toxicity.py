@@ -322,7 +322,7 @@ def predict(docs: DataFrame, known: np.ndarray, p: dict[str, np.ndarray] | None,
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(scores),
                                               pa.array((scores >= THRESHOLD).astype(np.int32))], names=[*keep, "score", "predicted"])
 
-    return docs.select(*keep, F.col("text")).mapInArrow(run, docs.select(*keep).schema.add("score", "double").add("predicted", "int"))
+    return docs.select(*keep, F.col("text")).mapInArrow(run, docs.select(*keep).schema.add("score", "double").add("predicted", "integer"))
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[str, np.ndarray] | None]:
