@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from alloscan.llm import decontaminate, language_id, main_text, piece_codec, quality_hosts, secret_markov, toxicity
+from alloscan.llm import decontaminate, language_id, main_text, personal_data, piece_codec, quality_hosts, secret_markov, toxicity
 from alloscan.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_quality_hosts": op2_quality_hosts,
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontaminate": op7_decontaminate,
     "op8_main_text": op8_main_text,
     "op9_piece_codec": op9_piece_codec,
+    "op10_personal_data": op10_personal_data,
 }
 
 ORACLES: dict[str, str] = {
