@@ -64,10 +64,11 @@ def code_points(text: str) -> np.ndarray:
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit words (two multiply-xorshift rounds)."""
-    x = np.asarray(x, dtype=np.uint64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    with np.errstate(over="ignore"):
+        x = np.asarray(x, dtype=np.uint64)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
 
 
 def blank(cp: np.ndarray) -> np.ndarray:

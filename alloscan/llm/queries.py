@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from alloscan.llm import decontaminate, language_id, main_text, personal_data, piece_codec, quality_hosts, secret_markov, toxicity
+from alloscan.llm import decontaminate, jaccard_forest, language_id, main_text, personal_data, piece_codec, quality_hosts, secret_markov, toxicity
 from alloscan.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_quality_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_hosts.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op3_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_forest.join(table(spark, sf_dir, "documents"))
+
+
 def op5_secret_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_markov.digest(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_quality_hosts": op2_quality_hosts,
+    "op3_jaccard_forest": op3_jaccard_forest,
     "op5_secret_markov": op5_secret_markov,
     "op6_toxicity": op6_toxicity,
     "op7_decontaminate": op7_decontaminate,
