@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from alloscan.llm import decontaminate, jaccard_forest, language_id, main_text, personal_data, piece_codec, quality_hosts, secret_markov, toxicity
+from alloscan.llm import (decontaminate, interpolated_lm, jaccard_forest, language_id, main_text, personal_data, piece_codec,
+                          quality_hosts, secret_markov, toxicity)
 from alloscan.llm.common import table
 
 
@@ -22,6 +23,10 @@ def op3_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_forest.join(table(spark, sf_dir, "documents"))
 
 
+def op4_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolated_lm.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_secret_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_markov.digest(table(spark, sf_dir, "documents"))
 
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_quality_hosts": op2_quality_hosts,
     "op3_jaccard_forest": op3_jaccard_forest,
+    "op4_interpolated_lm": op4_interpolated_lm,
     "op5_secret_markov": op5_secret_markov,
     "op6_toxicity": op6_toxicity,
     "op7_decontaminate": op7_decontaminate,
