@@ -138,47 +138,27 @@ def genomic_inflation(stats: DataFrame, levels: list[str], chi2: str = "chi2") -
                       (F.col("median") / sp.CHI2_1_MEDIAN).alias("lambda_gc"))
 
 
-_SMALL_ROWS = 200_000  # counted before one group may be folded by the built-in percentile
-
-
 def grouped_median(rows: DataFrame, by: list[str], x: str) -> DataFrame:
     return grouped_quantile(rows, by, x, 0.5).withColumnRenamed("q", "median")
 
 
-def grouped_quantile(rows: DataFrame, by: list[str], x: str, prob: float,
-                     widths: tuple[float, ...] = (1 / 512, 1 / 2 ** 22)) -> DataFrame:
-    """Exact quantile (linear between ranks) per group: histograms narrow the wanted ranks.
+def grouped_quantile(rows: DataFrame, by: list[str], x: str, prob: float) -> DataFrame:
+    """Exact quantile (linear between ranks) per group; adds ``n`` and ``q``.
 
-    Each level counts rows per (group, bin), keeps the at most two bins that hold the two
-    ranks, and passes only their rows on; the last level folds equal values before ordering.
+    Equal values of a group are folded to one row; one ordered pass over (group, value)
+    gives every value its ranks, so no group is ever in one task.
     """
-    from pyspark.sql import Window
-    from alloscan.session import cut_lineage
-    rows = cut_lineage(rows)
-    if rows.count() <= _SMALL_ROWS:
-        return rows.groupBy(*by).agg(F.count("*").alias("n"), F.percentile(x, prob).alias("q"))
-    counts = rows.groupBy(*by).agg(F.count("*").alias("n")).select(
-        *by, "n", (F.floor((F.col("n") - 1) * prob) + 1).alias("lo"),
-        (F.ceil((F.col("n") - 1) * prob) + 1).alias("hi"), F.lit(0).cast("bigint").alias("before"))
-    # ``edges`` has a row per group and open bin: levels are a closed set (genome parts)
-    edges, keys, t = counts, list(by), rows
-    for i, width in enumerate(widths):
-        b = f"_b{i}"
-        t = t.withColumn(b, F.floor(F.col(x) / width))
-        w = Window.partitionBy(*keys).orderBy(b)
-        hist = (t.groupBy(*keys, b).agg(F.count("*").alias("c"))
-                .withColumn("cum", F.sum("c").over(w)).join(F.broadcast(edges), keys)
-                .withColumn("upto", F.col("before") + F.col("cum"))
-                .withColumn("first", F.col("upto") - F.col("c")))
-        keys = [*keys, b]
-        edges = hist.where((F.col("first") < F.col("hi")) & (F.col("upto") >= F.col("lo"))).select(
-            *keys, "n", "lo", "hi", F.col("first").alias("before"))
-        t = t.join(F.broadcast(edges.select(*keys)), keys, "left_semi")
-    vals = t.groupBy(*keys, x).agg(F.count("*").alias("k")).join(F.broadcast(edges), keys)
-    w = Window.partitionBy(*keys).orderBy(x)
-    vals = vals.withColumn("upto", F.col("before") + F.sum("k").over(w))
-    vals = vals.withColumn("first", F.col("upto") - F.col("k"))
-    lo = F.min(F.when((F.col("first") < F.col("lo")) & (F.col("upto") >= F.col("lo")), F.col(x)))
-    hi = F.min(F.when((F.col("first") < F.col("hi")) & (F.col("upto") >= F.col("hi")), F.col(x)))
-    frac = (F.max("n") - 1) * prob - F.floor((F.max("n") - 1) * prob)
-    return vals.groupBy(*by).agg(F.max("n").alias("n"), (lo + frac * (hi - lo)).alias("q"))
+    from alloscan.operators.scan_order import ordered_scan
+    folded = rows.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("_q_k"))
+    ranked = ordered_scan(folded, [*by, x], {"_q_upto": ("sum", "_q_k")})
+    sizes = ranked.groupBy(*by).agg(F.sum("_q_k").alias("_q_n"), F.min(F.col("_q_upto") - F.col("_q_k")).alias("_q_base"))
+    named = sizes.select(*[F.col(c).alias(f"_q_g{i}") for i, c in enumerate(by)], "_q_n", "_q_base")
+    same = [F.col(c).eqNullSafe(F.col(f"_q_g{i}")) for i, c in enumerate(by)]
+    at = (F.col("_q_n") - 1) * prob
+    upto, first = F.col("_q_upto") - F.col("_q_base"), F.col("_q_upto") - F.col("_q_base") - F.col("_q_k")
+    lo_rank, hi_rank = F.floor(at) + 1, F.ceil(at) + 1
+    lo = F.min(F.when((first < lo_rank) & (upto >= lo_rank), F.col(x)))
+    hi = F.min(F.when((first < hi_rank) & (upto >= hi_rank), F.col(x)))
+    frac = F.max(at - F.floor(at))
+    return ranked.join(named, same).groupBy(*by).agg(
+        F.max("_q_n").alias("n"), (lo + frac * (hi - lo)).alias("q"))

@@ -2,73 +2,50 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alloscan.operators.scan_order import ordered_scan
 from alloscan.session import cut_lineage
 
-SMALL = 200_000  # rows that one task may finish alone (checked before use)
 
-
-def clump_leads(hits: DataFrame, reach: int, small: int = SMALL) -> DataFrame:
+def clump_leads(hits: DataFrame, reach: int) -> DataFrame:
     """Leads of the greedy rule: lowest (p, id) first, absorbing all within ``reach`` bp.
 
     ``hits``: ``chrom, pos, p, id``. With bins as wide as the reach, every two hits of a
     bin absorb each other, so only a bin's best hit can lead; it leads when no better
     undecided hit lies in reach in the two neighbouring bins. Each round settles all such
-    local leads at once and drops what they cover (a covered hit can never lead).
+    local leads at once and drops what they cover (a covered hit can never lead). A round
+    is one stored table: what is still open, and its new leads.
     """
-    spark = hits.sparkSession
     # equal positions share their fate: one row per position bounds a bin by its width
-    left = hits.groupBy("chrom", "pos").agg(F.min(F.struct("p", "id")).alias("key"))
-    left = cut_lineage(left.withColumn("b", F.floor(F.col("pos") / reach)))
+    left = (hits.groupBy("chrom", "pos").agg(F.min(F.struct("p", "id")).alias("key"))
+            .withColumn("b", F.floor(F.col("pos") / reach)))
     leads = None
-    n = left.count()
-    while n > small:
+    while True:
         best = left.groupBy("chrom", "b").agg(F.min(F.struct("key", "pos")).alias("m")).select(
             "chrom", F.col("b").alias("cb"), F.col("m.key").alias("ckey"), F.col("m.pos").alias("cpos"))
         near = left.withColumn("cb", F.explode(F.array(F.col("b") - 1, F.col("b") + 1)))
         beaten = (near.join(best, ["chrom", "cb"])
                   .where((F.abs(F.col("pos") - F.col("cpos")) <= reach) & (F.col("key") < F.col("ckey")))
                   .select("chrom", "cb").distinct())
-        new = cut_lineage(best.join(beaten, ["chrom", "cb"], "left_anti")
-                          .select("chrom", F.col("cpos").alias("lpos"), F.col("ckey").alias("lkey")))
-        leads = new if leads is None else leads.unionByName(new)
-        cover = new.withColumn("lb", F.floor(F.col("lpos") / reach)).withColumn(
-            "b", F.explode(F.array(F.col("lb") - 1, F.col("lb"), F.col("lb") + 1)))
-        left = cut_lineage(left.join(
-            cover.select("chrom", "b", "lpos"), ["chrom", "b"], "left").groupBy("chrom", "pos", "b")
-            .agg(F.first("key").alias("key"),
-                 F.coalesce(F.bool_or(F.abs(F.col("pos") - F.col("lpos")) <= reach), F.lit(False)).alias("c"))
-            .where(~F.col("c")).drop("c"))
-        n = left.count()
-    id_type = hits.schema["id"].dataType.simpleString()
-    if n:
-        def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["p", "id"])
-            pos, open_ = pdf["pos"].to_numpy(), np.ones(len(pdf), bool)
-            out = []
-            for i in range(len(pdf)):
-                if open_[i]:
-                    out.append(i)
-                    open_ &= np.abs(pos - pos[i]) > reach
-            return pdf.iloc[out]
-        rest = (left.select("chrom", "pos", F.col("key.p").alias("p"), F.col("key.id").alias("id"))
-                .groupBy("chrom").applyInPandas(finish, f"chrom string, pos bigint, p double, id {id_type}")
-                .select("chrom", F.col("pos").alias("lpos"), F.struct("p", "id").alias("lkey")))
-        leads = rest if leads is None else leads.unionByName(rest)
-    if leads is None:
-        leads = spark.createDataFrame([], f"chrom string, lpos bigint, lkey struct<p:double,id:{id_type}>")
-    return cut_lineage(leads)
-
-
-def clump(hits: DataFrame, reach: int, small: int = SMALL) -> DataFrame:
+        new = best.join(beaten, ["chrom", "cb"], "left_anti").select(
+            "chrom", F.explode(F.array(F.col("cb") - 1, F.col("cb"), F.col("cb") + 1)).alias("b"),
+            F.col("cpos").alias("lpos"), F.col("ckey").alias("lkey"))
+        hit = F.abs(F.col("pos") - F.col("lpos")) <= reach
+        state = cut_lineage(left.join(new, ["chrom", "b"], "left").groupBy("chrom", "pos", "b").agg(
+            F.first("key").alias("key"), F.coalesce(F.bool_or(hit), F.lit(False)).alias("covered"),
+            F.coalesce(F.bool_or(F.col("lpos") == F.col("pos")), F.lit(False)).alias("lead")))
+        found = state.where("lead").select("chrom", F.col("pos").alias("lpos"), F.col("key").alias("lkey"))
+        leads = found if leads is None else leads.unionByName(found)
+        left = state.where(~F.col("covered")).select("chrom", "pos", "key", "b")
+        if left.isEmpty():
+            return leads
+
+
+def clump(hits: DataFrame, reach: int) -> DataFrame:
     """Hits with their lead: the best lead within reach (leads lie further apart than
     the reach, so at most two compete). Adds ``lead_id, lead_p, lead_pos``."""
-    leads = clump_leads(hits, reach, small).withColumn("lb", F.floor(F.col("lpos") / reach)).withColumn(
+    leads = clump_leads(hits, reach).withColumn("lb", F.floor(F.col("lpos") / reach)).withColumn(
         "b", F.explode(F.array(F.col("lb") - 1, F.col("lb"), F.col("lb") + 1))).drop("lb")
     h = hits.withColumn("b", F.floor(F.col("pos") / reach)).join(leads, ["chrom", "b"]).where(
         F.abs(F.col("pos") - F.col("lpos")) <= reach)
@@ -77,9 +54,9 @@ def clump(hits: DataFrame, reach: int, small: int = SMALL) -> DataFrame:
                                        F.col("m.lkey.p").alias("lead_p"), F.col("m.lpos").alias("lead_pos"))
 
 
-def clump_table(hits: DataFrame, reach: int, small: int = SMALL) -> DataFrame:
+def clump_table(hits: DataFrame, reach: int) -> DataFrame:
     """One row per lead with clump size and extent."""
-    return clump(hits, reach, small).groupBy("chrom", "lead_id", "lead_p", "lead_pos").agg(
+    return clump(hits, reach).groupBy("chrom", "lead_id", "lead_p", "lead_pos").agg(
         F.count("*").alias("clump_size"), F.min("pos").alias("clump_min_pos"),
         F.max("pos").alias("clump_max_pos"))
 
@@ -95,71 +72,28 @@ def spaced_leads(hits: DataFrame, top_n: int, apart: int, buffer: int | None = N
             .orderBy("p", "id").limit(top_n))
 
 
-def _islands(hits: DataFrame, window: int) -> DataFrame:
-    """Number runs of positions whose gaps do not exceed the window (loci never cross a gap)."""
-    s = ordered_scan(hits.select("grp", "pos").distinct(), ["grp", "pos"], {"i": ("count", "")})
-    prev = s.select((F.col("i") + 1).alias("i"), F.col("grp").alias("pg"), F.col("pos").alias("pp"))
-    s = s.join(prev, "i", "left").withColumn("new", F.when(
-        (F.col("pg") == F.col("grp")) & (F.col("pos") - F.col("pp") <= window), 0).otherwise(1))
-    s = ordered_scan(s.select("grp", "pos", "i", "new"), ["i"], {"island": ("sum", "new")})
-    return hits.join(s.select("grp", "pos", "island"), ["grp", "pos"])
-
-
-def collapse_loci(hits: DataFrame, window: int, island_limit: int = 1_000_000) -> DataFrame:
+def collapse_loci(hits: DataFrame, window: int) -> DataFrame:
     """Single-link loci in order of significance; adds ``locus`` (the founder's id).
 
     ``hits``: ``grp, pos, p, id``. Taken by ascending (p, id), a hit joins the earliest
     locus with a member within ``window``, else founds one. So the locus of a hit is the
-    earliest locus among its better neighbours, which needs nothing outside its island.
-    Islands up to ``island_limit`` rows are solved one per task; larger ones by rounds of
-    passing the earliest locus between neighbouring hits until nothing changes.
+    earliest locus among its better neighbours. Rounds pass it on from better to worse
+    neighbouring hits until nothing changes; each stores one table.
     """
-    id_t = hits.schema["id"].dataType.simpleString()
-    grp_t = hits.schema["grp"].dataType.simpleString()
-    hits = cut_lineage(_islands(hits.select("grp", "pos", "p", "id"), window))
-    sizes = hits.groupBy("island").agg(F.count("*").alias("n"))
-    big = sizes.where(F.col("n") > island_limit).select("island")
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["p", "id"], ignore_index=True)
-        # members of a locus chain within the window, so its reach is one interval
-        pos = pdf["pos"].to_numpy()
-        lo, hi, founder = np.empty(0), np.empty(0), []
-        label = np.empty(len(pdf), dtype=np.int64)
-        for i, x in enumerate(pos):
-            k = np.flatnonzero((lo - window <= x) & (x <= hi + window))
-            if len(k) == 0:
-                lo, hi = np.append(lo, x), np.append(hi, x)
-                founder.append(i)
-                label[i] = i
-            else:
-                f = k[0]
-                lo[f], hi[f] = min(lo[f], x), max(hi[f], x)
-                label[i] = founder[f]
-        return pdf[["grp", "pos", "p", "id"]].assign(locus=pdf["id"].to_numpy()[label])
-
-    ddl = f"grp {grp_t}, pos bigint, p double, id {id_t}, locus {id_t}"
-    out = hits.join(big, "island", "left_anti").groupBy("island").applyInPandas(solve, ddl)
-    rest = hits.join(F.broadcast(big), "island", "left_semi")
-    if big.isEmpty():
-        return out
     key = F.struct("p", "id")
-    state = cut_lineage(rest.select("island", "grp", "pos", "p", "id", key.alias("lab")))
+    b = F.floor(F.col("pos") / window)
+    state = cut_lineage(hits.select("grp", "pos", "p", "id", key.alias("lab")))
     while True:
-        b = F.floor(F.col("pos") / window)
         src = state.select("grp", F.explode(F.array(b - 1, b, b + 1)).alias("b"),
-                           F.col("pos").alias("np"), F.struct("p", "id").alias("nk"),
-                           F.col("lab").alias("nl"))
+                           F.col("pos").alias("np"), key.alias("nk"), F.col("lab").alias("nl"))
         best = (state.withColumn("b", b).join(src, ["grp", "b"])
-                .where((F.abs(F.col("pos") - F.col("np")) <= window) & (F.col("nk") < F.struct("p", "id")))
+                .where((F.abs(F.col("pos") - F.col("np")) <= window) & (F.col("nk") < key))
                 .groupBy("id").agg(F.min("nl").alias("nl")))
-        nxt = cut_lineage(state.join(best, "id", "left").select(
-            "island", "grp", "pos", "p", "id", F.least("lab", "nl").alias("lab")))
-        changed = nxt.select("id", "lab").exceptAll(state.select("id", "lab")).isEmpty() is False
-        state = nxt
-        if not changed:
-            break
-    return out.unionByName(state.select("grp", "pos", "p", "id", F.col("lab.id").alias("locus")))
+        moved = cut_lineage(state.join(best, "id", "left").select(
+            "grp", "pos", "p", "id", F.least("lab", "nl").alias("lab"), (F.col("nl") < F.col("lab")).alias("moved")))
+        state = moved.drop("moved")
+        if moved.where("moved").isEmpty():
+            return state.select("grp", "pos", "p", "id", F.col("lab.id").alias("locus"))
 
 
 def claim_loci(loci: DataFrame, truth: DataFrame) -> DataFrame:

@@ -1,9 +1,9 @@
 """Global ordered scans (row numbers, running min/max/sum) without a one-task window.
 
-A window without PARTITION BY moves every row to one task. Here the sort key is
-cut into ranges at literal bounds taken from a bounded random sample; each range
-is numbered on its own, and the totals of earlier ranges (one row per range) are
-added. Any bounds give exact results: the sample only balances the work.
+A window without PARTITION BY moves every row to one task. Here the rows are dealt
+into ranges of the sort key; each range is numbered on its own, and the totals of
+earlier ranges (one row per range) are added. Any bounds give exact results: Spark's
+sample only balances the work.
 """
 
 from __future__ import annotations
@@ -13,34 +13,9 @@ from pyspark.sql import functions as F
 
 from alloscan.session import cut_lineage, shuffle_width
 
-_SAMPLE_PER_RANGE = 40
-SMALL_ROWS = 200_000  # a counted table up to this size is ordered in one range
 _FOLD = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
 
 
-def _range_column(df: DataFrame, keys: list[str], n: int, total: int) -> Column:
-    """Range number of a row: how many sampled bounds sort at or before its key.
-
-    The sample holds about ``n * _SAMPLE_PER_RANGE`` keys whatever the table size.
-    """
-    if n <= 1:
-        return F.lit(0)
-    probe = (df.select(*keys).sample(False, min(1.0, n * _SAMPLE_PER_RANGE / max(total, 1)), 11)
-             .select(F.struct(*keys).alias("k")))
-    rows = (probe.agg(F.sort_array(F.collect_list("k")).alias("ks"))
-            .select(F.expr(f"transform(sequence(1, {n - 1}), i -> "
-                           f"ks[cast(floor(i * size(ks) / {n}) as int)])").alias("b"))
-            .first())
-    bounds = [b for b in (rows["b"] or []) if b is not None]
-    if not bounds:
-        return F.lit(0)
-    types = {f.name: f.dataType for f in df.select(*keys).schema.fields}
-    lits = F.array(*[F.struct(*[F.lit(b[k]).cast(types[k]).alias(k) for k in keys])
-                     for b in bounds])
-    key = F.struct(*keys)
-    return F.size(F.filter(lits, lambda b: b <= key))
-
-
 def ordered_scan(df: DataFrame, keys: list[str], running: dict[str, tuple[str, Column | str]],
                  descending: bool = False, ranges: int | None = None) -> DataFrame:
     """Add running aggregates over the total order of ``keys`` (a unique key last).
@@ -48,26 +23,17 @@ def ordered_scan(df: DataFrame, keys: list[str], running: dict[str, tuple[str, C
     ``running`` maps an output name to (kind, value): kind is ``count`` (value
     ignored), ``sum``, ``min`` or ``max``; the current row is included.
     """
-    n = ranges or shuffle_width(df.sparkSession)
-    # the input is read three times (bounds, totals, rows): compute it once, durably
-    df = cut_lineage(df)
     vals = {o: (F.lit(1).cast("bigint") if kind == "count" else
                 (F.col(v) if isinstance(v, str) else v))
             for o, (kind, v) in running.items()}
     order = [F.col(k).desc() if descending else F.col(k).asc() for k in keys]
+    dealt = df.select("*", *[v.alias(f"_v_{o}") for o, v in vals.items()]).repartitionByRange(
+        ranges or shuffle_width(df.sparkSession), *order)
+    # totals and rows must see the same ranges: they are stored once, with the range's number
+    t = cut_lineage(dealt.withColumn("_rng", F.spark_partition_id()))
     upto = Window.unboundedPreceding, Window.currentRow
-    total = df.count()
-    small = total <= SMALL_ROWS
-    t = df if small else df.withColumn("_rng", _range_column(df, keys, n, total))
-    t = t.select("*", *[v.alias(f"_v_{o}") for o, v in vals.items()])
-    if small:
-        # the size was just counted, so one ordered pass is bounded
-        w = Window.orderBy(*order).rowsBetween(*upto)
-        return t.select(*df.columns, *[_FOLD[kind](f"_v_{o}").over(w).alias(o)
-                                       for o, (kind, _) in running.items()])
-    # one row per range (at most n): this window is bounded by the range count
-    carry_w = Window.orderBy(F.col("_rng").desc() if descending else F.col("_rng"))
-    carry_w = carry_w.rowsBetween(Window.unboundedPreceding, -1)
+    # one row per range: this window is bounded by the range count
+    carry_w = Window.orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)
     totals = t.groupBy("_rng").agg(*[_FOLD[k](f"_v_{o}").alias(f"_t_{o}")
                                      for o, (k, _) in running.items()])
     carry = totals.select("_rng", *[_FOLD[k](f"_t_{o}").over(carry_w).alias(f"_c_{o}")

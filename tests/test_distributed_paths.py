@@ -1,4 +1,4 @@
-"""The paths for large tables, forced on small ones, against brute force."""
+"""Distributed scans, quantiles, clumps and joins against brute force."""
 
 import random
 
@@ -15,12 +15,6 @@ from alloscan.operators import scan_order as so
 from alloscan.operators.skew import hot_join
 
 
-@pytest.fixture(autouse=True)
-def large(monkeypatch):
-    monkeypatch.setattr(so, "SMALL_ROWS", 0)
-    monkeypatch.setattr(sc, "_SMALL_ROWS", 0)
-
-
 def hits(spark, n, seed, chroms=3, span=5000, pool=None):
     rnd = random.Random(seed)
     # a third of all hits share one chromosome and a narrow stretch
@@ -93,18 +87,17 @@ def greedy(rows, reach):
 @pytest.mark.parametrize("seed,pool", [(1, None), (2, [0.1, 0.2, 0.3]), (3, None)])
 def test_clump_rounds_equal_greedy(spark, seed, pool):
     rows, df = hits(spark, 240, seed, pool=pool)
-    got = {r["id"]: r["lead_id"] for r in cl.clump(df, 150, small=0).collect()}
+    got = {r["id"]: r["lead_id"] for r in cl.clump(df, 150).collect()}
     assert got == greedy(rows, 150)
 
 
 def test_clump_monotone_chain(spark):
     rows = [("c", 100 * i, 1.0 / (i + 1), i) for i in range(12)]
     df = spark.createDataFrame(rows, "chrom string, pos bigint, p double, id bigint")
-    assert {r["id"]: r["lead_id"] for r in cl.clump(df, 150, small=0).collect()} == greedy(rows, 150)
+    assert {r["id"]: r["lead_id"] for r in cl.clump(df, 150).collect()} == greedy(rows, 150)
 
 
-@pytest.mark.parametrize("limit", [10 ** 6, 5])
-def test_collapse_equals_sequential(spark, limit):
+def test_collapse_equals_sequential(spark):
     rows, df = hits(spark, 120, 9)
     loci, want = [], {}
     for c, pos, p, i in sorted(rows, key=lambda r: (r[2], r[3])):
@@ -114,15 +107,16 @@ def test_collapse_equals_sequential(spark, limit):
             k = loci[-1]
         k.append((c, pos, i))
         want[i] = k[0][2]
-    got = cl.collapse_loci(df.withColumnRenamed("chrom", "grp"), 60, limit)
+    got = cl.collapse_loci(df.withColumnRenamed("chrom", "grp"), 60)
     assert {r["id"]: r["locus"] for r in got.collect()} == want
 
 
 def test_locus_hand_table(spark):
-    rows = [("A|1", 100, 1e-9, 0), ("A|1", 200000, 1e-8, 1), ("A|1", 9000000, 1e-7, 2), ("A|2", 100, 1e-6, 3), ("C|1", 100, 1e-5, 4)]
+    # 40 and 90 reach each other through 65; 141 is one too far from 90; the same places elsewhere stay apart
+    rows = [("u", 65, 0.02, 7), ("u", 40, 0.03, 5), ("u", 90, 0.01, 6), ("u", 141, 0.04, 4), ("w", 65, 0.05, 3), ("w", 66, 0.06, 2)]
     df = spark.createDataFrame(rows, "grp string, pos bigint, p double, id bigint")
-    sizes = sorted(r["count"] for r in cl.collapse_loci(df, 500_000).groupBy("locus").count().collect())
-    assert sizes == [1, 1, 1, 2]
+    sizes = sorted(r["count"] for r in cl.collapse_loci(df, 50).groupBy("locus").count().collect())
+    assert sizes == [1, 2, 3]
 
 
 def test_claims_hand_table(spark):
@@ -133,6 +127,17 @@ def test_claims_hand_table(spark):
     assert abs(r["fdp"] - 1 / 3) < 1e-12
 
 
+def test_robust_z_with_a_key_named_like_a_count(spark):
+    rows = [(i, float(i * i % 97), float(i % 7)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id bigint, n double, k double")
+    got = {r["id"]: r for r in rk.robust_z(df, {"n": "zn", "k": "zk"}).collect()}
+    for j, c in ((1, "zn"), (2, "zk")):
+        x = np.array([r[j] for r in rows])
+        med = np.median(x)
+        mad = np.median(np.abs(x - med))
+        assert np.allclose([got[i][c] for i in range(200)], (x - med) / (1.4826 * mad))
+
+
 def test_interval_join_edges_and_hot_bin(spark):
     pts = [("c", 150 if i % 2 else i * 3, i) for i in range(200)]
     gs = [("g1", "c", 100, 200), ("g2", "c", 300, 400), ("g3", "c", 150, 150), ("g4", "d", 0, 900)]
