@@ -37,7 +37,7 @@ CLASSES = 1 << CLASS_BITS
 END, START = np.uint64(0x5D5F454E445F5F01), np.uint64(0x7A5F53544152545F)
 HOT_SHARE = 1e-4
 #: Tokens and texts of a block, and characters read at once.
-BLOCK_TOKENS, BLOCK_TEXTS, READ_CHARS = 2_000_000, 50_000, 1_000_000
+BLOCK_TOKENS, BLOCK_TEXTS, READ_CHARS = 1_200_000, 50_000, 1_000_000
 #: Held-out counts are gathered in cells of a quarter power of two.
 CELL = 4
 ROUNDS = 60
@@ -83,9 +83,11 @@ def unpack(blob: bytes, kinds: str) -> list[np.ndarray]:
 
 
 def _pieces(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of the batches with their tokens."""
+    """Slices of the batches without their texts, and with their tokens."""
     for batch in batches:
-        lo, values = 0, [t or "" for t in batch.column(text).to_pylist()]
+        lo, texts = 0, batch.column(text)
+        values = [t or "" for t in texts.to_pylist()]
+        batch = batch.drop_columns([text])
         while lo < len(values):
             hi, size = lo, 0
             while hi < len(values) and (hi == lo or size + len(values[hi]) <= READ_CHARS):
@@ -148,9 +150,13 @@ class Model:
         return np.where(c > 0, 1 + np.floor(np.log2(np.maximum(c, 1))).astype(np.int64), 0)
 
     def log10(self, ctx: np.ndarray, word_n: np.ndarray, pair_n: np.ndarray) -> np.ndarray:
-        w = self.weights[self.levels(ctx)]
-        p = (w[:, 0] * pair_n / np.maximum(self.classes[ctx], 1) + w[:, 1] * word_n / max(self.total, 1) + w[:, 2] / (self.distinct + 1))
-        return np.log10(p)
+        out = np.empty(len(ctx))
+        for lo in range(0, len(ctx), 1 << 18):
+            c, i = ctx[lo:lo + (1 << 18)], slice(lo, lo + (1 << 18))
+            w = self.weights[self.levels(c)]
+            out[i] = np.log10(w[:, 0] * pair_n[i] / np.maximum(self.classes[c], 1) + w[:, 1] * word_n[i] / max(self.total, 1)
+                              + w[:, 2] / (self.distinct + 1))
+        return out
 
 
 def _find(x: np.ndarray, known: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -315,15 +321,22 @@ def score(docs: DataFrame, model: Model, buckets: int) -> DataFrame:
                     yield batch.slice(lo, hi - lo)
                     continue
                 parts = [unpack(x, "QIHHIB") for x in batch.column("blob").slice(lo, hi - lo).to_pylist()]
-                words, number = np.unique(np.concatenate([np.repeat(p[0], p[1]) for p in parts]), return_inverse=True)
-                ctx = np.concatenate([p[2] for p in parts]).astype(np.int64)
-                tf = np.concatenate([p[4] for p in parts]).astype(np.int64)
+                # each block's words are sorted and distinct, so the bucket's are found without its entries
+                words = np.unique(np.concatenate([p[0] for p in parts]))
+                number = np.concatenate([np.repeat(np.searchsorted(words, p[0]).astype(np.int32), p[1]) for p in parts])
+                ctx = np.concatenate([p[2] for p in parts])
+                tf = np.concatenate([p[4] for p in parts]).astype(np.int32)
                 learned = np.concatenate([p[5][p[3]] for p in parts]) * tf
-                pair, at = np.unique((number.astype(np.int64) << CLASS_BITS) | ctx, return_inverse=True)
-                pair_n = np.bincount(at, learned, len(pair)).astype(np.int64)[at]
+                pair = (number.astype(np.int64) << CLASS_BITS) | ctx
+                known = np.unique(pair)
+                at = np.searchsorted(known, pair).astype(np.int32)
+                pair_n = np.bincount(at, learned, len(known)).astype(np.int64)[at]
+                del pair, known, at
                 is_hot, hot_n = model.find_hot(words)
                 word_n = np.where(is_hot, hot_n, np.bincount(number, learned, len(words)).astype(np.int64))[number]
-                values = tf * (word_n > 0), tf * np.log10(word_n + 1), tf * model.log10(ctx, word_n, pair_n)
+                del number, learned
+                values = tf * (word_n > 0), tf * np.log10(word_n + 1), tf * model.log10(ctx.astype(np.int32), word_n, pair_n)
+                del ctx, tf, word_n, pair_n
                 edge = np.cumsum([0] + [len(p[3]) for p in parts])
                 for k, p in enumerate(parts):
                     texts, where = np.unique(p[3], return_inverse=True)
