@@ -108,6 +108,9 @@ def agg_pop_heb_class(spark, d):
     return ex.classify_bias(population(spark, d)).select("u", "n", "dominant", r("p_t", "p_t", 9), r("q_dom", "q_dom"), "class")
 
 
+TOP_SHARE = 0.05
+
+
 def enrichment_input(spark, d):
     """Triads in strata of marker-count decile x 10 + length decile; the top by scan evidence."""
     b = triads(spark, d).where(F.col("dist").isNotNull()).select("base", "jj", F.round("dist", 9).alias("dist"), "total")
@@ -118,13 +121,16 @@ def enrichment_input(spark, d):
     x = rk.decile(x, "len", "dl").drop("n_tie", "rank_min", "rank_max", "rank_avg")
     best = t.with_map(t.sumstats(spark, d, p=False).select("v", "chi2")).groupBy("base", "jj").agg(F.max("chi2").alias("best"))
     x = x.join(best, ["base", "jj"], "left")
+    x = x.withColumn("best", F.coalesce("best", F.lit(0.0)))
+    x = so.row_position(x.withColumn("_least", -F.col("best")), ["_least", "base", "jj"], "_place")
+    n = x.agg(F.count("*")).scalar()
     return x.select((F.col("base") * 1000000 + F.col("jj")).alias("id"), (F.col("ds") * 10 + F.col("dl")).alias("stratum"), "pct",
-                    (F.coalesce("best", F.lit(0.0)) > 6).alias("top"), "total", F.col("n_snp").cast("double").alias("n_snp"))
+                    (F.col("_place") < F.ceil(TOP_SHARE * n)).alias("top"), "total", F.col("n_snp").cast("double").alias("n_snp"))
 
 
 @query("k_enrich")
 def k_enrich(spark, d):
-    return ex.stratum_enrichment(cut_lineage(enrichment_input(spark, d)), 50)
+    return ex.stratum_enrichment(cut_lineage(enrichment_input(spark, d)))
 
 
 @query("k_matched_null")
@@ -252,15 +258,14 @@ def k_paired_tests(spark, d):
 
 @query("top_enrich", """
 , o AS (SELECT s, row_number() OVER (ORDER BY y DESC, s) AS ro FROM ph), p AS (SELECT s, row_number() OVER (ORDER BY y DESC, s) AS rp FROM ph2),
-k AS (SELECT greatest(1, CAST(ceil(0.25 * count(*)) AS BIGINT)) AS k FROM ph)
-SELECT max(k) AS k, count(*) FILTER (ro <= k AND rp <= k) AS overlap, round(count(*) FILTER (ro <= k AND rp <= k) / max(k) / 0.25, 6) AS enrichment FROM o JOIN p USING (s) CROSS JOIN k""")
+k AS (SELECT greatest(1, CAST(round_even(0.1125 * count(*), 0) AS BIGINT)) AS k FROM ph)
+SELECT max(k) AS k, count(*) FILTER (ro <= k AND rp <= k) AS overlap, round(count(*) FILTER (ro <= k AND rp <= k) / max(k) / 0.1125, 6) AS enrichment FROM o JOIN p USING (s) CROSS JOIN k""")
 def top_enrich(spark, d):
-    a = so.row_position(t.pheno(spark, d), ["y", "s"], "x", descending=True)
     a = so.row_position(t.pheno(spark, d).withColumn("ny", -F.col("y")), ["ny", "s"], "ro")
     b = so.row_position(t.pheno2(spark, d).withColumn("ny", -F.col("y")), ["ny", "s"], "rp").select("s", "rp")
-    k = t.pheno(spark, d).agg(F.greatest(F.lit(1), F.ceil(0.25 * F.count("*")))).scalar()
+    k = t.pheno(spark, d).agg(F.greatest(F.lit(1), F.bround(0.1125 * F.count("*"), 0).cast("bigint"))).scalar()
     j = a.join(b, "s").agg(F.count_if((F.col("ro") < k) & (F.col("rp") < k)).alias("overlap"), F.first(k).alias("k"))
-    return j.select(big("k"), big("overlap"), r(F.col("overlap") / F.col("k") / 0.25, "enrichment"))
+    return j.select(big("k"), big("overlap"), r(F.col("overlap") / F.col("k") / 0.1125, "enrichment"))
 
 
 _DEPTH = """

@@ -143,7 +143,7 @@ def join_crosswalk(spark, d):
     ase = o.select("o_orderkey", key(F.col("o_custkey")).alias("f"), key(F.col("o_custkey") + 1).alias("b"))
     j = (ase.join(ok.select(F.col("q").alias("f"), F.col("best").alias("fs")), "f", "left")
          .join(ok.select(F.col("q").alias("b"), F.col("best").alias("bs")), "b", "left"))
-    grp = lambda c: F.substring(c, 2, 30)
+    grp = lambda c: F.substr(F.col(c), F.lit(2))
     both = F.col("fs").isNotNull() & F.col("bs").isNotNull()
     st = (F.when(both & (F.col("fs") != F.col("bs")) & (grp("fs") == grp("bs")), "quartet_contained")
           .when(both & (F.col("fs") == F.col("bs")), "same_gene_excluded").when(both, "mapped_not_same_quartet")

@@ -309,7 +309,7 @@ def k_cap_sweep(spark, d):
 def k_loo(spark, d):
     """Interaction p of every pair with each sample left out: smallest and largest."""
     y, x, k, b, pairs = pair_setup(spark, d)
-    return ps.leave_one_out(pairs, b, (mm.whitener(y, x, k)[0], y, None))
+    return ps.leave_one_out(pairs, b, (y, x), k)
 
 
 @query("k_nested")

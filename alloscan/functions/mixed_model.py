@@ -46,6 +46,9 @@ def _reml_state(theta, mats, y, x):
     return ll, proj, py, np.linalg.solve(c, vx.T @ y)
 
 
+FLAT = 1e-4  # slope of the log-likelihood in log theta below which a fit has converged
+
+
 def fit_reml(y, x, kernels: dict, n_starts: int = 1, seed: int | None = None, max_iter: int = 200) -> Fit:
     """Multi-kernel REML by projected average-information steps from several starts.
 
@@ -61,19 +64,24 @@ def fit_reml(y, x, kernels: dict, n_starts: int = 1, seed: int | None = None, ma
     rng = np.random.default_rng(seed)
     starts = [np.array([0.3 * var / max(len(names), 1)] * len(names) + [0.7 * var])]
     starts += [np.exp(rng.uniform(np.log(1e-3), np.log(10), len(mats))) * var for _ in range(n_starts - 1)]
+
+    def slope(th, st):
+        """Gradient, the components that may move, and the largest change of the likelihood per unit of log theta."""
+        _, proj, py, _ = st
+        grad = np.array([-0.5 * (np.sum(proj * m) - py @ m @ py) for m in mats])
+        free = (th > floor) | (grad > 0)
+        return grad, free, float(np.max(np.abs(np.where(free, grad, 0)) * np.maximum(th, 1e-6 * var)))
+
     best = None
     for th in starts:
         th = np.maximum(th, floor)
         st = _reml_state(th, mats, y, x)
-        done = False
         for _ in range(max_iter):
             ll, proj, py, _ = st
-            grad = np.array([-0.5 * (np.sum(proj * m) - py @ m @ py) for m in mats])
+            grad, free, steep = slope(th, st)
             mp = np.stack([m @ py for m in mats], 1)
             ai = 0.5 * mp.T @ proj @ mp
-            free = (th > floor) | (grad > 0)
-            if np.all(np.abs(np.where(free, grad, 0)) * np.maximum(th, 1e-6 * var) < 1e-7):
-                done = True
+            if steep < 1e-7:
                 break
             step = np.zeros_like(th)
             a = ai[np.ix_(free, free)]
@@ -94,16 +102,13 @@ def fit_reml(y, x, kernels: dict, n_starts: int = 1, seed: int | None = None, ma
                 if moved:
                     break
             if not moved:
-                done = True
                 break
-            small = cand[0] - ll < 1e-10
             th, st = new, cand
-            if small:
-                done = True
-                break
         if best is None or st[0] > best[1][0]:
-            best = (th, st, done)
-    th, st, done = best
+            best = (th, st)
+    th, st = best
+    # a line search that finds nothing better is no proof; a flat likelihood is
+    done = slope(th, st)[2] < FLAT
     diag = np.array([np.trace(m) / n for m in mats])
     cv = th * diag
     tags = [*names, "e"]
@@ -165,12 +170,19 @@ def null_context(y, x, kernels: dict, sigma2: dict):
 
 
 def whitener(y, x, kernels: dict, seed: int = 42):
-    """V^(-1/2) from REML component variances with eigenvalues floored at 1e-10."""
-    f = fit_reml(y, x, kernels, n_starts=3, seed=seed % 100000)
-    n = len(y)
-    v = max(f.component_var["e"], 1e-6) * np.eye(n) + sum(f.component_var[k] * m for k, m in kernels.items())
-    w, q = np.linalg.eigh((v + v.T) / 2)
-    return (q / np.sqrt(np.clip(w, 1e-10, None))) @ q.T, f
+    """A root W of V^(-1) (W V W' = I) under the REML variances, and the fit.
+
+    Least squares after W do not depend on which root is taken: here the inverse of the
+    Cholesky factor, with a residual of at least 1e-6 of the scale of the trait.
+    """
+    fit = fit_reml(y, x, kernels, n_starts=3, seed=seed % 100000)
+    v = np.einsum("k,kij->ij", [fit.component_var[k] for k in kernels], np.stack([np.asarray(m, float) for m in kernels.values()]))
+    v[np.diag_indices_from(v)] += max(fit.component_var["e"], 1e-6)
+    return root_of_inverse(v), fit
+
+
+def root_of_inverse(v: np.ndarray) -> np.ndarray:
+    return np.linalg.solve(np.linalg.cholesky((v + v.T) / 2), np.eye(len(v)))
 
 
 def normal_scores(y) -> np.ndarray:
@@ -180,27 +192,33 @@ def normal_scores(y) -> np.ndarray:
     return sp.norm_ppf(((last - (cnt - 1) / 2)[inv] - 0.5) / len(y))
 
 
+def kernel_components(kernels: dict, count: int) -> np.ndarray:
+    """Leading unit-variance eigenvectors of the kernels' mean, at most ``count`` and n - 4, from positive eigenvalues only."""
+    mean = sum(np.asarray(m, float) for m in kernels.values()) / len(kernels)
+    values, vectors = np.linalg.eigh(0.5 * (mean + mean.T))
+    positive = values > 1e-8 * max(1.0, float(np.abs(values).max()))
+    take = np.flatnonzero(positive)[::-1][:max(0, min(count, len(mean) - 4))]
+    chosen = vectors[:, take]
+    spread = chosen.std(axis=0, keepdims=True)
+    return np.divide(chosen, spread, out=chosen.copy(), where=spread > 1e-12)
+
+
 def covariates(kernels: dict, n: int, n_pcs: int = 0, extra=None):
-    """[1, PCs of the mean kernel, standardised extras]; None when only the intercept is left."""
-    cols = [np.ones((n, 1))]
-    if n_pcs > 0:
-        k = np.mean(list(kernels.values()), axis=0)
-        w, q = np.linalg.eigh((k + k.T) / 2)
-        pos = int((w > 1e-8 * max(1.0, np.abs(w).max())).sum())
-        pc = q[:, ::-1][:, :min(n_pcs, pos, max(n - 4, 0))]
-        sd = pc.std(0)
-        cols.append(pc / np.where(sd > 1e-12, sd, 1))
-    if extra is not None:
-        e = np.asarray(extra, float).reshape(n, -1)
-        e = e[:, e.std(0) > 1e-12]
-        if e.shape[1]:
-            cols.append((e - e.mean(0)) / e.std(0))
-    if len(cols) == 1:
+    """Intercept, kernel components and standardised extra columns; None if there is the intercept only.
+
+    A QR decomposition of the block tells dependent columns by their small diagonal.
+    """
+    given = np.zeros((n, 0)) if extra is None else np.asarray(extra, float).reshape(n, -1)
+    varies = given.std(axis=0) > 1e-12
+    given = (given[:, varies] - given[:, varies].mean(axis=0)) / given[:, varies].std(axis=0)
+    parts = kernel_components(kernels, n_pcs) if n_pcs > 0 else np.zeros((n, 0))
+    if parts.shape[1] + given.shape[1] == 0:
         return None
-    c = np.column_stack(cols)
-    if np.linalg.matrix_rank(c) < c.shape[1]:
+    block = np.hstack((np.ones((n, 1)), parts, given))
+    diagonal = np.abs(np.diag(np.linalg.qr(block, mode="r")))
+    if len(diagonal) < block.shape[1] or diagonal.min() < 1e-10 * np.linalg.norm(block):
         raise ValueError("covariates are linearly dependent")
-    return c
+    return block
 
 
 def interaction_tests(wh, y, bx, by, c=None, dominance: bool = False):
@@ -235,7 +253,7 @@ def interaction_tests(wh, y, bx, by, c=None, dominance: bool = False):
     rss = np.maximum(yw @ yw - np.einsum("pi,pi->p", b, rhs / s), 1e-300)
     t = b[:, -1] / np.sqrt(rss / df * inv[:, -1, -1])
     beta = b[:, -1] / s[:, -1]
-    p = np.array([sp.t_sf2(v, df) if o else 1.0 for v, o in zip(t, ok)])
+    p = np.where(ok, sp.t_sf2(np.where(ok, t, 0.0), df), 1.0)
     return np.where(ok, beta, np.nan), np.where(ok, t, 0.0), p
 
 
@@ -253,7 +271,7 @@ def marginal_tests(wh, y, b, c=None):
     ok = ss > 1e-10
     safe = np.where(ok, ss, 1)
     t = xy / safe / np.sqrt(np.maximum(yw @ yw - xy * xy / safe, 1e-300) / df / safe)
-    return np.array([sp.t_sf2(v, df) if o else 1.0 for v, o in zip(t, ok)])
+    return np.where(ok, sp.t_sf2(np.where(ok, t, 0.0), df), 1.0)
 
 
 def cauchy(p) -> float:

@@ -33,29 +33,35 @@ def chi2_from_p(p: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.DoubleType())
 def student_p(t: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([sp.t_sf2(a, b) if b > 0 and a == a else np.nan for a, b in zip(t, df)])
+    t, df = t.to_numpy(float), df.to_numpy(float)
+    ok = (df > 0) & ~np.isnan(t)
+    return pd.Series(np.where(ok, sp.t_sf2(t, np.where(ok, df, 1.0)), np.nan))
 
 
 @F.pandas_udf(T.DoubleType())
 def f_upper(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
-    return pd.Series([sp.f_sf(a, b, c) if a == a else np.nan for a, b, c in zip(f, d1, d2)])
+    f = f.to_numpy(float)
+    return pd.Series(np.where(np.isnan(f), np.nan, sp.f_sf(f, d1.to_numpy(float), d2.to_numpy(float))))
 
 
 @F.pandas_udf(T.DoubleType())
 def chibar_p(t: pd.Series, k: pd.Series) -> pd.Series:
     """Boundary likelihood-ratio p for k added variance components."""
-    return pd.Series([sp.chibar_sf(a, sp.chibar_weights(int(b))) for a, b in zip(t, k)])
+    t, k = t.to_numpy(float), k.to_numpy(int)
+    out = np.empty(len(t))
+    for n in np.unique(k):
+        out[k == n] = sp.chibar_sf(t[k == n], sp.chibar_weights(int(n)))
+    return pd.Series(out)
 
 
 @F.pandas_udf(T.DoubleType())
 def hypergeom_p(k: pd.Series, n: pd.Series, marked: pd.Series, drawn: pd.Series) -> pd.Series:
-    return pd.Series([sp.hypergeom_sf(int(a), int(b), int(c), int(d))
-                      for a, b, c, d in zip(k, n, marked, drawn)])
+    return pd.Series(sp.hypergeom_sf(*(v.to_numpy(float) for v in (k, n, marked, drawn))))
 
 
 @F.pandas_udf(T.DoubleType())
 def beta_quantile(q: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([sp.beta_ppf(x, y, z) for x, y, z in zip(q, a, b)])
+    return pd.Series(sp.beta_ppf(*(v.to_numpy(float) for v in (q, a, b))))
 
 
 def neglog10(p: Column) -> Column:

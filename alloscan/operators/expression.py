@@ -106,28 +106,29 @@ def unique_kmers(seqs: DataFrame, k: int) -> DataFrame:
     s = s.select("grp", "cp", F.substring("seq", F.col("_s"), F.lit(step + k - 1)).alias("piece"))
     km = s.select("grp", "cp", "piece", F.explode(F.sequence(F.lit(1), F.length("piece") - (k - 1))).alias("_p")).select(
         "grp", "cp", F.substring("piece", F.col("_p"), F.lit(k)).alias("kmer"))
-    # copies of a k-mer as bits: copy numbers are small (the ploidy)
-    per = km.groupBy("grp", "kmer").agg(F.expr("bit_or(shiftleft(1L, cast(cp as int)))").alias("mask"))
-    rows = per.select("grp", "mask", F.explode(F.expr("filter(sequence(0, 62), c -> (shiftright(mask, c) & 1L) = 1L)")).alias("cp"))
-    return rows.groupBy("grp", F.col("cp").cast("bigint").alias("cp")).agg(
-        F.count("*").alias("n_kmers"), F.count_if(F.bit_count("mask") == 1).alias("u")).select(
-        "grp", "cp", "n_kmers", (F.col("u") / F.col("n_kmers")).alias("unique_fraction"))
+    found = km.distinct()
+    alone = (found.groupBy("grp", "kmer").agg(F.count("*").alias("_copies"), F.min("cp").alias("cp")).where("_copies = 1")
+             .groupBy("grp", "cp").agg(F.count("*").alias("u")))
+    return (found.groupBy("grp", "cp").agg(F.count("*").alias("n_kmers")).join(alone, ["grp", "cp"], "left").select(
+        "grp", F.col("cp").cast("bigint").alias("cp"), "n_kmers", (F.coalesce("u", F.lit(0)) / F.col("n_kmers")).alias("unique_fraction")))
 
 
 def mappability_tier(mean_fraction: Column, high: float = 0.5, medium: float = 0.2) -> Column:
     return F.when(mean_fraction >= high, "high").when(mean_fraction >= medium, "medium").otherwise("low")
 
 
-def stratum_enrichment(df: DataFrame, n_perm: int, seed: int = 7) -> DataFrame:
-    """Mean percentile of top-tier rows against draws matched on their stratum.
+def stratum_enrichment(df: DataFrame, n_perm: int = 10_000, seed: int = 7) -> DataFrame:
+    """Mean percentile of the tier (``top`` rows) against draws of other rows with the same strata.
 
-    ``df``: ``id, stratum, pct, top``. In replicate r every row gets a hash key; per stratum the
-    rows with the smallest keys stand in for its top rows. Ranks inside (replicate, stratum)
-    come from the distributed ordered scan, so a stratum may be any size.
+    ``df``: ``id, stratum, pct, top``. In replicate r every row outside the tier gets a hash key; per
+    stratum as many rows with the smallest keys as the tier has there are drawn. Ranks inside
+    (replicate, stratum) come from the distributed ordered scan, so a stratum may be any size. If some
+    stratum has fewer other rows than it needs, there is no null: ``infeasible`` is true, the rest null.
     """
-    need = df.groupBy("stratum").agg(F.count_if(F.col("top")).alias("k")).where("k > 0")
+    sizes = cut_lineage(df.groupBy("stratum").agg(F.count_if(F.col("top")).alias("k"), F.count_if(~F.col("top")).alias("free")).where("k > 0"))
     obs = df.where(F.col("top")).agg(F.avg("pct").alias("obs"), F.count("*").alias("n_top"))
-    pool = df.join(F.broadcast(need), "stratum").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
+    short = sizes.agg(F.coalesce(F.bool_or(F.col("free") < F.col("k")), F.lit(False))).scalar()
+    pool = df.where(~F.col("top")).join(sizes, "stratum").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
     pool = pool.withColumn("h", F.xxhash64(F.lit(seed), "rep", "id")).select("rep", "stratum", "h", "id", "pct", "k")
     s = so.ordered_scan(pool, ["rep", "stratum", "h", "id"], {"g": ("count", "")})
     first = s.groupBy("rep", "stratum").agg(F.min("g").alias("f"))
@@ -138,7 +139,9 @@ def stratum_enrichment(df: DataFrame, n_perm: int, seed: int = 7) -> DataFrame:
     draw = draw.withColumn("far", F.abs(F.col("m") - mid) >= F.abs(o - mid))
     a = draw.agg(F.avg("m").alias("null_mean"), F.stddev_samp("m").alias("null_sd"), F.count("*").alias("n_perm"),
                  ((1 + F.count_if("far")) / (F.count("*") + 1)).alias("p_two_sided"))
-    return a.select(o.alias("observed"), obs.select("n_top").scalar().alias("n_top"), "null_mean", "null_sd", "n_perm", "p_two_sided")
+    fits = lambda c: F.when(~short, F.col(c)).alias(c)
+    return a.select(o.alias("observed"), obs.select("n_top").scalar().alias("n_top"), short.alias("infeasible"), fits("null_mean"), fits("null_sd"),
+                    "n_perm", fits("p_two_sided"))
 
 
 def matched_controls(df: DataFrame, covariates: dict[str, int], target: str, caliper: float, pool_min: int) -> DataFrame:

@@ -144,13 +144,32 @@ def gene_coordinates(snp_gene: DataFrame) -> DataFrame:
     return chrom.select("gene", F.col("m.chrom").alias("chrom")).join(pos, "gene")
 
 
+def panel_slots(spark, panel: list) -> DataFrame:
+    """``_s, slot``: the place of each sample of the bounded panel."""
+    return spark.createDataFrame([(int(x), i) for i, x in enumerate(panel)], "_s bigint, slot int")
+
+
+def in_slots(values: DataFrame, key: str, value: str, n: int, empty: Column) -> DataFrame:
+    """``key, values``: one array of ``n`` places per key from rows ``key, slot, value``; places without a row hold ``empty``.
+
+    The rows of a key are sorted by place and laid out in one pass: a run of empty places before each
+    value, and one behind the last. The panel bounds a key's rows.
+    """
+    kind = values.schema[value].dataType.simpleString()
+    rows = values.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("slot", F.col(value).alias("x")))).alias("r"))
+    gap = lambda count: F.array_repeat(empty.cast(kind), count)
+    before = F.transform("r", lambda e, i: F.concat(
+        gap(e["slot"] - F.when(i == 0, F.lit(-1)).otherwise(F.get("r", i - 1)["slot"]) - 1), F.array(e["x"])))
+    return rows.select(key, F.concat(F.flatten(before), gap(n - 1 - F.element_at("r", -1)["slot"])).alias("values"))
+
+
 def wide_variants(geno: DataFrame, panel: list, extra: DataFrame | None = None) -> DataFrame:
     """One row per marker with a dosage array in panel order; missing = null.
 
     The panel is the bounded sample list of the study, so an array per marker is bounded.
     """
-    order = F.array(*[F.lit(int(x)).cast("bigint") for x in panel])
-    m = geno.groupBy("v").agg(F.map_from_entries(F.collect_list(
-        F.struct(F.col("s").cast("bigint"), F.col("d").cast("float")))).alias("m"))
-    out = m.select("v", F.transform(order, lambda x: F.try_element_at(F.col("m"), x)).alias("dosage"))
+    slots = panel_slots(geno.sparkSession, panel)
+    rows = geno.select("v", "s", F.col("d").cast("float").alias("d")).join(
+        F.broadcast(slots), F.col("s").cast("bigint") == F.col("_s")).select("v", "slot", "d")
+    out = in_slots(rows, "v", "d", len(panel), F.lit(None)).withColumnRenamed("values", "dosage")
     return out if extra is None else out.join(extra, "v")

@@ -7,12 +7,13 @@ import json
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from alloscan.functions import mixed_model as mm
 from alloscan.functions import special as sp
 from alloscan.functions import stat_columns as sc
+from alloscan.session import cut_lineage
 
 
 def fan_out(spark: SparkSession, jobs: list[tuple], ddl_in: str, fn, ddl_out: str, shared) -> DataFrame:
@@ -201,7 +202,7 @@ def cross_validation(spark, y, x, kernels, n_folds=5, n_repeats=20, seed=2026, p
         if predictions:
             return [{**base, "i": int(i), "y": float(a), "y_pred": float(b)} for i, a, b in zip(test, y_[test], pred)]
         r = float(np.corrcoef(y_[test], pred)[0, 1]) if np.std(pred) > 0 else float("nan")
-        k = max(1, int(np.ceil(0.1 * len(test))))
+        k = max(1, round(0.1 * len(test)))  # half to even
         top = len(set(np.argsort(-y_[test])[:k]) & set(np.argsort(-pred)[:k])) / k / 0.1
         return [{**base, "r": r, "r2": r * r, "top10_enrichment": top, "drop_reason": "kept"}]
     jobs = [(a, b, c) for a in range(n_repeats) for b in range(n_folds) for c in ("tier0", "tier1", "tier2")]
@@ -222,21 +223,18 @@ def tier_summary(folds: DataFrame) -> DataFrame:
 def paired_fold_bootstrap(folds: DataFrame, n_boot: int = 1000, baseline: str = "tier0") -> DataFrame:
     """Percentile interval of the mean r2 difference to the baseline over resampled folds.
 
-    A bootstrap draw weighs each fold by a Poisson(1)-like count from a hash of (fold, draw);
-    draws are an exploded sequence on the fold table, which has repeats x folds rows.
+    A draw takes as many folds as there are, with replacement, by a hash of (draw, place). The fold
+    table has repeats x folds rows; its numbering is a window over those few.
     """
     w = folds.groupBy("repeat", "fold").pivot("tier", ["tier0", "tier1", "tier2"]).agg(F.first("r2")).dropna()
-    long = w.select("repeat", "fold", F.explode(F.array(*[F.struct(F.lit(t).alias("tier"), (F.col(t) - F.col(baseline)).alias("d"))
-                                                          for t in ("tier0", "tier1", "tier2") if t != baseline])).alias("x")).select("repeat", "fold", "x.*")
-    u = F.pmod(F.xxhash64("repeat", "fold", "b"), F.lit(2 ** 31)) / 2.0 ** 31
-    cdf, acc, fact = [], 0.0, 1.0
-    for k in range(8):
-        fact = fact * (k or 1)
-        acc += float(np.exp(-1)) / fact
-        cdf.append(acc)
-    cnt = sum((F.when(u > c, 1).otherwise(0) for c in cdf[1:]), F.when(u > cdf[0], 1).otherwise(0))
-    d = long.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(n_boot)))).withColumn("w", cnt)
-    m = d.groupBy("tier", "b").agg(F.try_divide(F.sum(F.col("w") * F.col("d")), F.sum("w")).alias("m"))
+    w = w.withColumn("i", F.row_number().over(Window.orderBy("repeat", "fold")) - 1).select(
+        "i", F.explode(F.array(*[F.struct(F.lit(t).alias("tier"), (F.col(t) - F.col(baseline)).alias("d"))
+                                 for t in ("tier0", "tier1", "tier2") if t != baseline])).alias("x")).select("i", "x.*")
+    w = cut_lineage(w)
+    n = w.agg(F.countDistinct("i")).first()[0]
+    draws = (w.sparkSession.range(1, n_boot + 1).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(1), F.lit(max(n, 1)))).alias("place"))
+             .select("b", F.pmod(F.xxhash64(F.lit("fold"), "b", "place"), F.lit(max(n, 1))).cast("int").alias("i")))
+    m = draws.join(w, "i").groupBy("tier", "b").agg(F.avg("d").alias("m"))
     return m.groupBy("tier").agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.5).alias("mid"), F.percentile("m", 0.975).alias("hi"))
 
 

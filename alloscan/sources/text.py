@@ -29,10 +29,19 @@ def read_table(spark: SparkSession, path, schema, sep: str = "\t", needed=()) ->
 
 
 def gff_attribute(attrs: Column, key: str) -> Column:
-    """Value of ``key`` in GFF3 ``k=v`` or GTF ``k "v"`` attributes; null when absent."""
-    a = F.regexp_extract(attrs, rf"(?:^|;)\s*{key}=([^;]*)", 1)
-    b = F.regexp_extract(attrs, rf'(?:^|;)\s*{key} "([^"]*)"', 1)
-    return F.coalesce(F.nullif(F.trim(a), F.lit("")), F.nullif(b, F.lit("")))
+    """Value of ``key`` in GFF3 ``k=v`` or GTF ``k v`` attributes, quotes stripped; null when absent or empty.
+
+    Fields end at semicolons; a field with an equals sign is of the first kind, others are of the second.
+    """
+    def parts(field: Column) -> Column:
+        text = F.trim(field)
+        at = F.instr(text, "=")
+        blank = F.length(F.regexp_extract(text, r"^\S*", 0))
+        cut = F.when(at > 0, at - 1).otherwise(blank)
+        return F.struct(F.trim(F.substr(text, F.lit(1), cut)).alias("k"),
+                        F.trim(F.substr(text, cut + F.when(at > 0, 2).otherwise(1))).alias("v"))
+    own = F.filter(F.transform(F.split(attrs, ";"), parts), lambda x: x["k"] == key)
+    return F.nullif(F.regexp_replace(F.get(own, F.lit(0))["v"], r'^"+|"+$', ""), F.lit(""))
 
 
 def parse_gff(lines: DataFrame, feature: str = "gene", id_attr: str = "ID", keep_chroms=None) -> DataFrame:
@@ -75,7 +84,7 @@ def parse_vcf(lines: DataFrame, multiallelic: bool = False) -> DataFrame:
     return v.select(F.get("c", F.lit(0)).alias("chrom"), F.get("c", F.lit(1)).cast("bigint").alias("pos"),
                     F.when(F.get("c", F.lit(2)) == ".", F.concat_ws(":", F.get("c", F.lit(0)), F.get("c", F.lit(1)))).otherwise(F.get("c", F.lit(2))).alias("snp_id"),
                     F.get("c", F.lit(3)).alias("ref"), F.get("c", F.lit(4)).alias("alt"),
-                    F.transform(F.slice("c", 10, 1_000_000), dose).alias("dosage"))
+                    F.transform(F.slice("c", F.lit(10), F.greatest(F.size("c") - 9, F.lit(0))), dose).alias("dosage"))
 
 
 def call_to_gt(call: Column, ref: Column, alt: Column) -> Column:
@@ -129,18 +138,31 @@ def parse_blast6(lines: DataFrame) -> DataFrame:
     return t.where(F.col("bitscore").isNotNull())
 
 
-def parse_collinearity(lines: DataFrame, order: list[str]) -> DataFrame:
-    """Gene pairs with the block of the last header line above them."""
-    head = r"^## Alignment (\d+):.*?(\S+)&(\S+)"
-    pair = r"^\s*(\d+)-\s*\d+:\s+(\S+)\s+(\S+)\s+(\S+)"
+def parse_collinearity(lines: DataFrame, order: list[str], chroms: tuple[str, str] = ("aa", "dd"),
+                       marks: tuple[str, str] = ("_A", "_D")) -> DataFrame:
+    """Gene pairs of the blocks between two subgenomes, the first subgenome's gene first.
+
+    A header names its block before the colon and two chromosomes joined by ``&``; only blocks with one
+    chromosome of either prefix count. The pair lines below it have, behind a colon, two genes and an
+    e-value (1 if it is no number), and count if one gene holds either mark.
+    """
     v = F.col("value")
-    h = F.struct(*order, F.regexp_extract(v, head, 1).cast("bigint").alias("block"),
-                 F.regexp_extract(v, head, 2).alias("x"), F.regexp_extract(v, head, 3).alias("y"))
-    s = ordered_scan(lines.select(*order, "value", F.when(v.rlike(head), h).alias("_h")), order, {"_b": ("max", "_h")})
-    return s.where(v.rlike(pair) & F.col("_b").isNotNull()).select(
-        F.col("_b.block").alias("block"), F.concat_ws("&", "_b.x", "_b.y").alias("header_pair"),
-        F.regexp_extract(v, pair, 2).alias("gene1"), F.regexp_extract(v, pair, 3).alias("gene2"),
-        F.coalesce(F.regexp_extract(v, pair, 4).try_cast("double"), F.lit(1.0)).alias("e_value"), *order)
+    fields = F.filter(F.split(F.substr(v, F.instr(v, ":") + 1), r"\s+"), lambda x: x != "")
+    left = F.trim(F.substring_index(v, ":", 1))
+    is_head = F.startswith(v, F.lit("## Alignment ")) & F.contains(v, F.lit("&"))
+    names = F.split(F.get(F.filter(fields, lambda x: F.contains(x, F.lit("&"))), F.lit(0)), "&")
+    x, y = F.get(names, F.lit(0)), F.get(names, F.lit(1))
+    between = lambda a, b: F.startswith(a, F.lit(chroms[0])) & F.startswith(b, F.lit(chroms[1]))
+    head = F.struct(*order, F.substring_index(left, " ", -1).try_cast("bigint").alias("block"), F.concat_ws("&", x, y).alias("pair"),
+                    (between(x, y) | between(y, x)).alias("inter"))
+    s = ordered_scan(lines.select(*order, "value", F.when(is_head, head).alias("_h")), order, {"_b": ("max", "_h")})
+    one, two = F.get(fields, F.lit(0)), F.get(fields, F.lit(1))
+    ordered = lambda a, b: F.contains(a, F.lit(marks[0])) & F.contains(b, F.lit(marks[1]))
+    return (s.where(F.col("_b.inter") & left.rlike(r"^\d+-\s*\d+$") & (F.size(fields) >= 3))
+            .where(ordered(one, two) | ordered(two, one)).select(
+                F.col("_b.block").alias("block"), F.col("_b.pair").alias("header_pair"),
+                F.when(ordered(one, two), one).otherwise(two).alias("gene1"), F.when(ordered(one, two), two).otherwise(one).alias("gene2"),
+                F.coalesce(F.get(fields, F.lit(2)).try_cast("double"), F.lit(1.0)).alias("e_value"), *order))
 
 
 def expression_matrix(quant: DataFrame, genotypes: list[str]) -> DataFrame:

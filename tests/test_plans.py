@@ -41,19 +41,28 @@ def test_stateful_text_across_files(spark, tmp_path):
     (tmp_path / "a.fa").write_text(">c1 x\nACGT\nAC\n>c2\nTTTT\n")
     p = tx.parse_fasta(tx.read_lines(spark, str(tmp_path / "a.fa")), tx.LINE_ORDER)
     assert sorted((r["chrom"], r["start"], r["seq"]) for r in p.collect()) == [("c1", 1, "ACGT"), ("c1", 5, "AC"), ("c2", 1, "TTTT")]
-    (tmp_path / "a.col").write_text("# x\n## Alignment 0: score=1 aa1&dd1 plus\n  0-  0:\tA_1\tD_1\t1e-5\n  0-  1:\tA_2\tD_2\tbad\n## Alignment 7: s dd2&aa2 minus\n  7-  0:\tD_9\tA_9\t0\n")
+    (tmp_path / "a.col").write_text("# x\n## Alignment 0: score=1 aa1&dd1 plus\n  0-  0:\tt_A1\tt_D1\t1e-5\n  0-  1:\tt_A2\tt_D2\tbad\n"
+                                      "## Alignment 7: s dd2&aa2 minus\n  7-  0:\tt_D9\tt_A9\t0\n## Alignment 8: s aa2&aa3 plus\n  8-  0:\tt_A3\tt_D4\t0\n")
     c = tx.parse_collinearity(tx.read_lines(spark, str(tmp_path / "a.col")), tx.LINE_ORDER)
-    assert sorted((r["block"], r["gene1"], r["e_value"]) for r in c.collect()) == [(0, "A_1", 1e-5), (0, "A_2", 1.0), (7, "D_9", 0.0)]
+    assert sorted((r["block"], r["gene1"], r["e_value"]) for r in c.collect()) == [(0, "t_A1", 1e-5), (0, "t_A2", 1.0), (7, "t_A9", 0.0)]
+
+
+def test_gff_attribute_forms(spark):
+    cases = [("ID=g1;Name=x", "g1"), ('ID="g 2"; Note=a', "g 2"), ('gene_name "n"; ID g3', "g3"), ('ID "g4"', "g4"), ("Parent=g5;XID=g6", None), ("ID=", None), (None, None)]
+    df = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(cases)], "i int, a string")
+    got = {r["i"]: r["v"] for r in df.select("i", tx.gff_attribute(F.col("a"), "ID").alias("v")).collect()}
+    assert [got[i] for i in range(len(cases))] == [w for _, w in cases]
 
 
 def test_gff_windows_hand_table(spark, tmp_path):
-    lines = []
-    for s in "ABC":
-        lines += [f"chr{s}\tx\tgene\t100\t200\t.\t+\t.\tID=g{s}1", f"chr{s}\tx\tgene\t300\t400\t.\t-\t.\tID=g{s}2", f"chr{s}\tx\tmRNA\t300\t400\t.\t-\t.\tID=m{s}2"]
+    # two genes a subgenome, one with its end just short of a marker; a transcript that must not count
+    spans = {"1": (1010, 1300), "2": (5000, 5750)}
+    lines = [f"chr{s}\tx\tgene\t{a}\t{b}\t.\t+\t.\tName=n;ID=\"g{s}{k}\"" for s in "ABC" for k, (a, b) in spans.items()]
+    lines += [f"chr{s}\tx\tmRNA\t1\t9000\t.\t-\t.\tID=m{s}" for s in "ABC"]
     (tmp_path / "g.gff").write_text("##gff\n" + "\n".join(lines) + "\n")
-    bim = {s: spark.createDataFrame([(i, f"chr{s}", p) for i, p in enumerate((150, 205, 350, 900))], "variant_index bigint, chrom string, pos bigint") for s in "ABC"}
+    bim = {s: spark.createDataFrame([(i, f"chr{s}", p) for i, p in enumerate((1010, 1312, 5400, 7000))], "variant_index bigint, chrom string, pos bigint") for s in "ABC"}
     sg = spark.createDataFrame([(f"chr{s}", s) for s in "ABC"], "chrom string, subgenome string")
-    for flank, want in ((0, [0]), (5, [0, 1])):
+    for flank, want in ((11, [0]), (12, [0, 1])):
         table, m = interact.prepare_snps(spark, str(tmp_path / "g.gff"), bim, sg, flank)
         got = {r["gene_id"]: list(r["snp_idx"]) for r in m.collect()}
         assert got["gA1"] == want and got["gB2"] == [2] and len(got) == 6 and table.count() == 6
