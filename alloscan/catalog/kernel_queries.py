@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import functions as F
 
 from alloscan.catalog import tables as t
@@ -12,9 +10,8 @@ from alloscan.operators import genotype as gt
 from alloscan.operators import relationship as rel
 
 
-@lru_cache(maxsize=16)
 def panel(spark, d):
-    """Sample list of a data set (bounded and checked), read once per session."""
+    """Sample list of a data set (bounded and checked)."""
     return rel.panel_of(t.pheno(spark, d))
 
 
