@@ -105,12 +105,13 @@ def host_rates(measured: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, carry: list[str], text: str = "text", source: str = "source") -> DataFrame:
     """Every row of ``docs`` with the columns ``carry``, its counts, ``host_rate`` and ``kept``.
 
-    The measured rows are written once, because the hosts' rates need all of them before any is judged.
-    Hosts are few next to documents; Spark broadcasts them if they are small and splits a hot one if not.
+    The measured rows are written once, because the hosts' rates need all of them before any is judged. The
+    hosts are written too, so that Spark knows their size before it moves a document: it broadcasts them if
+    they are small and splits a hot one if not.
     """
     measured = written(rule_counts(docs, text).withColumn("host", host_of(F.col(source))).withColumn("failed", rules_failed())
                        .select(*carry, "host", "failed", *COUNTS))
-    hosts = host_rates(measured).select("host", "host_rate")
+    hosts = written(host_rates(measured).select("host", "host_rate"))
     return (measured.join(hosts, "host")
             .withColumn("kept", ~F.col("failed") & (F.col("host_rate") <= MAX_HOST_RATE)))
 
