@@ -125,7 +125,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that hold an item; rows meet by id and text, so a shared id does no harm."""
     keyed = docs.withColumns({"_id": F.col("doc_id").cast("string"), "_th": F.xxhash64("text")})
-    bad = matches(keyed, benchmark, ["_id", "_th"]).select(F.col("_id").alias("_bid"), F.col("_th").alias("_bth")).distinct()
+    # written first, so that its size is known before the documents are moved
+    bad = written(matches(keyed, benchmark, ["_id", "_th"]).select(F.col("_id").alias("_bid"), F.col("_th").alias("_bth")).distinct())
     return (keyed.join(bad, F.col("_id").eqNullSafe(F.col("_bid")) & (F.col("_th") == F.col("_bth")), "left_anti")
             .select(*docs.columns))
 
