@@ -282,20 +282,28 @@ def fn_normppf(spark, d):
     return t.sumstats(spark, d).where("p > 1e-12").select("snp", r(sc.chi2_from_p(F.col("p")), "chi2", 5))
 
 
-@query("fn_tsf")
+# two-sided Student p for whole degrees of freedom: finite sums of powers of a cosine, for even and for odd n - 2
+_T = """
+, th AS (SELECT v, env, n, tt, n - 2 AS nu, atan(abs(tt) / sqrt(n - 2)) AS a FROM fx),
+tp AS (SELECT v, env, n, tt, 1 - CASE WHEN nu % 2 = 0 THEN sin(a) * list_sum(list_transform(range(0, nu // 2), lambda k: exp(lgamma(2 * k + 1) - 2 * lgamma(k + 1) - 2 * k * ln(2)) * power(cos(a), 2 * k)))
+         ELSE 2 / pi() * (a + sin(a) * coalesce(list_sum(list_transform(range(0, (nu - 1) // 2), lambda k: exp(2 * k * ln(2) + 2 * lgamma(k + 1) - lgamma(2 * k + 2)) * power(cos(a), 2 * k + 1))), 0)) END AS p FROM th)
+"""
+
+
+@query("fn_tsf", _ENV + _T + "SELECT v AS lead, env, round(tt, 5) + 0.0 AS t, round(p, 8) + 0.0 AS p FROM tp")
 def fn_tsf(spark, d):
     e = env_fits(spark, d)
-    return e.select("lead", "env", r("t", "t"), r(sc.student_p("t", (F.col("n") - 2).cast("double")), "p", 9))
+    return e.select("lead", "env", r("t", "t", 5), r(sc.student_p("t", (F.col("n") - 2).cast("double")), "p", 8))
 
 
-@query("fn_fsf")
+@query("fn_fsf", _ENV + _T + "SELECT v AS lead, env, round(p, 8) + 0.0 AS p FROM tp")
 def fn_fsf(spark, d):
     """F upper tail of t^2 equals the two-sided t p."""
     e = env_fits(spark, d)
-    return e.select("lead", "env", r(sc.f_upper(F.col("t") * F.col("t"), F.lit(1.0), (F.col("n") - 2).cast("double")), "p", 9))
+    return e.select("lead", "env", r(sc.f_upper(F.col("t") * F.col("t"), F.lit(1.0), (F.col("n") - 2).cast("double")), "p", 8))
 
 
-@query("fn_chibar")
+@query("fn_chibar", "SELECT snp, round(CASE WHEN chi2 <= 0 THEN 1.0 ELSE p / 2 END, 9) + 0.0 AS p1, round(CASE WHEN chi2 <= 0 THEN 1.0 ELSE p / 2 + exp(-chi2 / 2) / 4 END, 9) + 0.0 AS p2 FROM ss")
 def fn_chibar(spark, d):
     s = t.sumstats(spark, d, p=False)
     return s.select("snp", r(sc.chibar_p("chi2", F.lit(1)), "p1", 9), r(sc.chibar_p("chi2", F.lit(2)), "p2", 9))

@@ -233,10 +233,11 @@ def agg_curve(spark, d):
 
 @query("agg_tier_pivot", _EV + """
 SELECT user_id, round(avg(p1) FILTER (event_type = 'click'), 6) AS click, round(avg(p1) FILTER (event_type = 'view'), 6) AS view, round(avg(p1) FILTER (event_type = 'error'), 6) AS error,
+  round(avg(p1) FILTER (event_type = 'purchase'), 6) AS purchase, round(avg(p1) FILTER (event_type = 'signup'), 6) AS signup,
   round(round(avg(p1) FILTER (event_type = 'view'), 6) - round(avg(p1) FILTER (event_type = 'click'), 6), 6) + 0.0 AS delta_view FROM ev GROUP BY user_id""")
 def agg_tier_pivot(spark, d):
-    p = replicate_table(spark, d).groupBy("user_id").pivot("event_type", ["click", "view", "error"]).agg(F.round(F.avg("p1"), 6))
-    return p.select("user_id", "click", "view", "error", r(F.col("view") - F.col("click"), "delta_view"))
+    p = replicate_table(spark, d).groupBy("user_id").pivot("event_type", ["click", "view", "error", "purchase", "signup"]).agg(F.round(F.avg("p1"), 6))
+    return p.select("user_id", "click", "view", "error", "purchase", "signup", r(F.col("view") - F.col("click"), "delta_view"))
 
 
 @query("k_paired_tests")
@@ -413,13 +414,13 @@ def prj_env_mean(spark, d):
 
 
 @query("agg_unpivot_env", """
-, w AS (SELECT o_custkey AS s, avg(o_totalprice) FILTER (o_orderpriority = '1-URGENT') AS h_1, avg(o_totalprice) FILTER (o_orderpriority = '2-HIGH') AS h_2, avg(o_totalprice) FILTER (o_orderpriority = '5-LOW') AS h_3 FROM orders GROUP BY 1)
-SELECT c_custkey AS s, round((coalesce(h_1, 0) + coalesce(h_2, 0)) / nullif((h_1 IS NOT NULL)::INT + (h_2 IS NOT NULL)::INT, 0), 6) AS y FROM customer LEFT JOIN w ON s = c_custkey""")
+, w AS (SELECT o_custkey AS s, avg(o_totalprice) FILTER (o_orderpriority = '1-URGENT') AS h_1, avg(o_totalprice) FILTER (o_orderpriority = '2-HIGH') AS h_2, avg(o_totalprice) FILTER (o_orderpriority = '3-MEDIUM') AS h_3, avg(o_totalprice) FILTER (o_orderpriority = '4-NOT SPECIFIED') AS h_4 FROM orders GROUP BY 1)
+SELECT c_custkey AS s, round((coalesce(h_1, 0) + coalesce(h_2, 0) + coalesce(h_3, 0) + coalesce(h_4, 0)) / nullif((h_1 IS NOT NULL)::INT + (h_2 IS NOT NULL)::INT + (h_3 IS NOT NULL)::INT + (h_4 IS NOT NULL)::INT, 0), 6) AS y FROM customer LEFT JOIN w ON s = c_custkey""")
 def agg_unpivot_env(spark, d):
     """Columns whose name matches the trait, excluded prefixes left out, averaged per sample."""
-    w = t.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("s")).pivot("o_orderpriority", ["1-URGENT", "2-HIGH", "5-LOW"]).agg(F.avg("o_totalprice"))
-    w = w.toDF("s", "height_1", "height_2", "Min.height")
-    u = w.unpivot(["s"], [F.col("height_1"), F.col("height_2"), F.col("`Min.height`")], "col", "value")
+    w = t.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("s")).pivot("o_orderpriority", ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]).agg(F.avg("o_totalprice"))
+    w = w.toDF("s", "height_1", "height_2", "height_3", "height_4", "Min.height")
+    u = w.unpivot(["s"], [*(F.col(f"height_{i}") for i in range(1, 5)), F.col("`Min.height`")], "col", "value")
     ok = F.col("col").rlike("(?i)height") & ~F.col("col").rlike(r"^(Rep|date_ymd|Min\.|Max\.)") & F.col("value").isNotNull()
     m = u.where(ok).groupBy("s").agg(F.avg("value").alias("y"))
     return t.table(spark, d, "customer").select(F.col("c_custkey").alias("s")).join(m, "s", "left").select("s", r("y", "y"))

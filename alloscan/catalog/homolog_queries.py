@@ -327,7 +327,13 @@ def fn_homology_tier(spark, d):
     return b.select("q", hm.homology_tier().alias("tier"))
 
 
-@query("fn_hyper")
+@query("fn_hyper", _HIT + """
+, hm AS (SELECT pr, x, max(bit) > 490000 AS strong FROM hit GROUP BY ALL), rx AS (SELECT DISTINCT pr, x, true AS ins FROM rbh),
+hg AS (SELECT pr, count(*) AS n, count(*) FILTER (strong) AS marked, count(ins) AS drawn, count(*) FILTER (strong AND ins) AS k FROM hm LEFT JOIN rx USING (pr, x) GROUP BY pr),
+lc AS (SELECT *, unnest(range(greatest(k, drawn - (n - marked)), least(marked, drawn) + 1)) AS i FROM hg),
+pu AS (SELECT pr, sum(exp(lgamma(marked + 1) - lgamma(i + 1) - lgamma(marked - i + 1) + lgamma(n - marked + 1) - lgamma(drawn - i + 1) - lgamma(n - marked - drawn + i + 1)
+         - lgamma(n + 1) + lgamma(drawn + 1) + lgamma(n - drawn + 1))) AS p FROM lc GROUP BY pr)
+SELECT pr, n, marked, drawn, k, round(k * n / (marked * drawn), 6) AS fold, round(least(1.0, coalesce(p, 0)), 8) + 0.0 AS p_upper FROM hg LEFT JOIN pu USING (pr)""")
 def fn_hyper(spark, d):
     """Enrichment of strong genes among genes in reciprocal pairs, per pair type."""
     from alloscan.functions import stat_columns as sc
@@ -337,7 +343,7 @@ def fn_hyper(spark, d):
         F.count("*").alias("n"), F.count_if(F.col("m") > 490000).alias("marked"), F.count("in_set").alias("drawn"),
         F.count_if((F.col("m") > 490000) & F.col("in_set").isNotNull()).alias("k"))
     return g.select("pr", "n", "marked", "drawn", "k", r(F.col("k") * F.col("n") / (F.col("marked") * F.col("drawn")), "fold"),
-                    r(sc.hypergeom_p("k", "n", "marked", "drawn"), "p_upper", 9))
+                    r(sc.hypergeom_p("k", "n", "marked", "drawn"), "p_upper", 8))
 
 
 @query("agg_group_min", """

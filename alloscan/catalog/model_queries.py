@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from alloscan.catalog import tables as t
-from alloscan.catalog.kernel_queries import kernels, panel, parts, wide
+from alloscan.catalog.kernel_queries import _G, kernels, panel, parts, wide
 from alloscan.catalog.registry import big, query, r
 from alloscan.functions import mixed_model as mm
 from alloscan.operators import genotype as gt
@@ -98,7 +98,8 @@ def k_scan_stream(spark, d):
                                                    "n_obs", "maf", "call_rate")
 
 
-@query("flt_scan_status")
+@query("flt_scan_status", """
+SELECT CASE WHEN n_obs = 0 OR flat THEN 'zero_var_or_allmiss' WHEN call_rate < 0.9 THEN 'call_rate' WHEN maf < 0.25 THEN 'maf' ELSE 'ok' END AS status, count(*) AS n FROM q GROUP BY 1""")
 def flt_scan_status(spark, d):
     s = scan.kernel_scan(wide(spark, d).select("v", "dosage"), {None: contexts(spark, d)}, maf_min=0.25)
     return s.groupBy("status").agg(F.count("*").alias("n"))
@@ -116,12 +117,19 @@ def loco_contexts(spark, d, geno=None):
     return {c: mm.null_context(y, x, {**k, subs[c]: mm.pull_psd(m, 1e-6)}, f.sigma2) for c, m in dense.items()}
 
 
-@query("k_loco_kernels")
+LOW_INFORMATION = 0.3
+
+
+@query("k_loco_kernels", _G + """
+, tr AS (SELECT sub, chrom, sum(num) FILTER (i = j) AS t FROM num GROUP BY ALL), td AS (SELECT sub, sum(den) AS td FROM den GROUP BY sub), tt AS (SELECT sub, sum(t) AS tt FROM tr GROUP BY sub)
+SELECT chrom AS grp, sub AS family, round((tt - t) / (td - den), 6) + 0.0 AS trace, round((td - den) / td, 9) AS retained, (td - den) / td < 0.3 AS low_information
+FROM tr JOIN den USING (sub, chrom) JOIN td USING (sub) JOIN tt USING (sub)""")
 def k_loco_kernels(spark, d):
-    """Trace and retained information of each chromosome's kernel."""
+    """Trace and retained information of each chromosome's kernel; little retained is flagged."""
     of = t.markers(spark, d).select(F.col("chrom").alias("grp"), F.col("sub").alias("family")).distinct()
-    return rel.loco(parts(spark, d, "chrom"), of).groupBy("grp", "family").agg(
+    k = rel.loco(parts(spark, d, "chrom"), of).groupBy("grp", "family").agg(
         F.sum(F.when(F.col("i") == F.col("j"), F.col("k"))).alias("trace"), F.max("retained").alias("retained"))
+    return k.select("grp", "family", r("trace", "trace"), r("retained", "retained", 9), (F.col("retained") < LOW_INFORMATION).alias("low_information"))
 
 
 @query("k_loco_ctx")

@@ -98,12 +98,12 @@ def src_csv_geno(spark, d):
 
 @query("src_split", """
 SELECT sub AS subgenome, chrom || ':' || pos AS snp_id, round(maf, 6) AS maf FROM q JOIN mk USING (v)
-WHERE maf >= 0.25 AND 1 - call_rate <= 0.1 AND sub IN ('A', 'D')""")
+WHERE maf >= 0.25 AND 1 - call_rate <= 0.1""")
 def src_split(spark, d):
     """Per-subgenome marker sets after the split filters (frequency, missingness), ids chrom:pos."""
     from alloscan.plans.split import split_filter
     s = t.with_map(t.stats(spark, d))
-    return split_filter(s, {"A": ["1A", "2A", "3A"], "D": ["1D", "2D", "3D"]}, spark, maf=0.25, geno=0.1).select("subgenome", "snp_id", r("maf", "maf"))
+    return split_filter(s, {s_: [f"{k}{s_}" for k in (1, 2, 3)] for s_ in "ABD"}, spark, maf=0.25, geno=0.1).select("subgenome", "snp_id", r("maf", "maf"))
 
 
 @query("src_pheno", """
