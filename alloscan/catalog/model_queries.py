@@ -117,12 +117,12 @@ def loco_contexts(spark, d, geno=None):
     return {c: mm.null_context(y, x, {**k, subs[c]: mm.pull_psd(m, 1e-6)}, f.sigma2) for c, m in dense.items()}
 
 
-LOW_INFORMATION = 0.3
+LOW_INFORMATION = 0.01
 
 
 @query("k_loco_kernels", _G + """
 , tr AS (SELECT sub, chrom, sum(num) FILTER (i = j) AS t FROM num GROUP BY ALL), td AS (SELECT sub, sum(den) AS td FROM den GROUP BY sub), tt AS (SELECT sub, sum(t) AS tt FROM tr GROUP BY sub)
-SELECT chrom AS grp, sub AS family, round((tt - t) / (td - den), 6) + 0.0 AS trace, round((td - den) / td, 9) AS retained, (td - den) / td < 0.3 AS low_information
+SELECT chrom AS grp, sub AS family, round((tt - t) / (td - den), 6) + 0.0 AS trace, round((td - den) / td, 9) AS retained, (td - den) / td < 0.01 AS low_information
 FROM tr JOIN den USING (sub, chrom) JOIN td USING (sub) JOIN tt USING (sub)""")
 def k_loco_kernels(spark, d):
     """Trace and retained information of each chromosome's kernel; little retained is flagged."""

@@ -125,13 +125,124 @@ def test_interaction_matches_least_squares():
     assert p[0] < 1e-4 and mm.interaction_tests(np.eye(n), y, bx[:1], np.zeros((1, n)))[2][0] == 1.0
 
 
-def test_conditional_identities(spark):
-    rng = np.random.default_rng(5)
+def burden_frames(spark, n, genes, seed):
+    rng = np.random.default_rng(seed)
+    vec = {f"g{i}": rng.standard_normal(n) for i in range(genes)}
+    vec["flat"] = np.zeros(n)
+    b = spark.createDataFrame([(k, v.tolist()) for k, v in vec.items()], "gene string, vec array<double>")
+    names = [("g0", "g1"), ("g2", "g3"), ("g4", "g4"), ("g5", "flat")]
+    return rng, vec, b, spark.createDataFrame(names, "gene_x string, gene_y string"), names
+
+
+def rss_of(d, z):
+    return float(((z - d @ np.linalg.lstsq(d, z, rcond=None)[0]) ** 2).sum())
+
+
+def test_conditional_diagnostics_equal_least_squares(spark):
     n = 50
-    b = spark.createDataFrame([(f"g{i}", rng.standard_normal(n).tolist()) for i in range(4)], "gene string, vec array<double>")
-    pr = spark.createDataFrame([("g0", "g1"), ("g2", "g3")], "gene_x string, gene_y string")
-    for r in ps.conditional_diagnostics(pr, b, (np.eye(n), rng.standard_normal(n), None)).collect():
-        assert abs(r["f_int"] - r["t"] ** 2) < 1e-8 and abs(r["p_f_int"] - r["p_wald"]) < 1e-8 and r["t_resid_diff"] < 1e-8 and r["vif_int"] >= 1
+    rng, vec, b, pr, names = burden_frames(spark, n, 6, 5)
+    y, c = rng.standard_normal(n), np.column_stack([np.ones(n), rng.standard_normal(n)])
+    m = rng.standard_normal((n, n))
+    wh = np.linalg.inv(np.linalg.cholesky(m @ m.T / n + np.eye(n)))
+    got = {(r["gene_x"], r["gene_y"]): r for r in ps.conditional_diagnostics(pr, b, (wh, y, c)).collect()}
+    for x, z in names[:2]:
+        r = got[(x, z)]
+        cx, cz, ci, c0, yw = wh @ vec[x], wh @ vec[z], wh @ (vec[x] * vec[z]), wh @ c, wh @ y
+        null, main, full = c0, np.column_stack([c0, cx, cz]), np.column_stack([c0, cx, cz, ci])
+        r0, rm, rf = (rss_of(d, yw) for d in (null, main, full))
+        df, dm = n - 5, n - 4
+        assert (r["design_rank"], r["estimable"]) == (5, True)
+        assert np.isclose(r["beta"], np.linalg.lstsq(full, yw, rcond=None)[0][-1])
+        assert np.isclose(r["f_int"], (rm - rf) / (rf / df)) and np.isclose(r["f_int"], r["t"] ** 2) and np.isclose(r["p_f_int"], r["p_wald"])
+        assert np.isclose(r["f_main"], (r0 - rm) / 2 / (rm / dm)) and np.isclose(r["f_pair"], (r0 - rf) / 3 / (rf / df)) and r["t_resid_diff"] < 1e-8
+        shared = 1 - rss_of(main, ci) / rss_of(null, ci)
+        assert np.isclose(r["r2_int_marg"], shared) and np.isclose(r["vif_int"], 1 / (1 - shared))
+        assert np.isclose(r["corr_int_x"], np.corrcoef(ci, cx)[0, 1]) and np.isclose(r["corr_int_y"], np.corrcoef(ci, cz)[0, 1])
+        for col, alone, joint in ((cx, "p_x_alone", "p_x_joint"), (cz, "p_y_alone", "p_y_joint")):
+            one, other = np.column_stack([c0, col]), np.column_stack([c0, cz if col is cx else cx])
+            r1 = rss_of(one, yw)
+            assert np.isclose(r[alone], sp.f_sf((r0 - r1) / (r1 / (n - 3)), 1, n - 3))
+            assert np.isclose(r[joint], sp.f_sf((rss_of(other, yw) - rm) / (rm / dm), 1, dm))
+    assert not got[("g4", "g4")]["estimable"] and not got[("g5", "flat")]["estimable"] and got[("g5", "flat")]["design_rank"] == 3
+
+
+def test_dosage_balance_equals_least_squares(spark):
+    n = 45
+    rng, vec, b, pr, names = burden_frames(spark, n, 6, 9)
+    y = rng.standard_normal(n) + vec["g0"] + vec["g1"] + 2 * vec["g2"] * vec["g3"]
+    got = {(r["gene_x"], r["gene_y"]): r for r in ps.dosage_balance(pr, b, (np.eye(n), y, None)).collect()}
+    for x, z in names[:2]:
+        d = np.column_stack([np.ones(n), (vec[x] + vec[z]) / 2 ** 0.5, (vec[x] - vec[z]) / 2 ** 0.5, vec[x] * vec[z]])
+        want = np.linalg.lstsq(d, y, rcond=None)[0][1:]
+        r = got[(x, z)]
+        assert np.allclose([r["b_s"], r["b_i"], r["b_q"]], want)
+        for j, k in enumerate("siq"):
+            f = (rss_of(np.delete(d, j + 1, 1), y) - rss_of(d, y)) / (rss_of(d, y) / (n - 4))
+            assert np.isclose(r[f"p_{k}"], sp.f_sf(f, 1, n - 4))
+    assert got[("g0", "g1")]["architecture"] == "dosage_S" and got[("g2", "g3")]["architecture"] == "epistasis_Q"
+
+
+@pytest.mark.parametrize("refit", [False, True])
+def test_leave_one_out_whitens_what_is_left(spark, refit):
+    n = 16
+    rng, vec, b, pr, names = burden_frames(spark, n, 6, 2)
+    g = rng.standard_normal((n, 40))
+    k = {"A": g @ g.T / 40}
+    x = np.ones((n, 1))
+    y = rng.standard_normal(n) + 0.5 * vec["g0"] * vec["g1"]
+    got = {(r["gene_x"], r["gene_y"]): r for r in ps.leave_one_out(pr, b, (y, x), k, refit=refit).collect()}
+    fit = mm.fit_reml(y, x, k, n_starts=3, seed=42)
+
+    def tests(keep, cv):
+        v = cv["A"] * k["A"][np.ix_(keep, keep)] + max(cv["e"], 1e-6) * np.eye(len(keep))
+        values, vectors = np.linalg.eigh(v)
+        root = (vectors / np.sqrt(values)) @ vectors.T  # another root of the same inverse
+        return mm.interaction_tests(root, y[keep], *(np.stack([vec[p[j]][keep] for p in names[:2]]) for j in (0, 1)))
+    whole = tests(np.arange(n), fit.component_var)
+    each = []
+    for i in range(n):
+        keep = np.delete(np.arange(n), i)
+        cv = mm.fit_reml(y[keep], x[keep], {"A": k["A"][np.ix_(keep, keep)]}, n_starts=3, seed=42).component_var if refit else fit.component_var
+        each.append(tests(keep, cv))
+    for j, name in enumerate(names[:2]):
+        p, move = np.array([e[2][j] for e in each]), np.abs(np.array([e[0][j] for e in each]) - whole[0][j])
+        r = got[name]
+        assert np.isclose(r["p_all"], whole[2][j], rtol=1e-6) and np.isclose(r["p_max"], p.max(), rtol=1e-5) and np.isclose(r["p_min"], p.min(), rtol=1e-5)
+        assert r["worst_sample"] == p.argmax() and np.isclose(r["dfbeta_max"], move.max(), rtol=1e-5) and r["dfbeta_sample"] == move.argmax()
+
+
+def test_covariates_and_dependence():
+    g, _ = panel(n=30, m=60, seed=4)
+    k = {"A": kernel(g)}
+    c = mm.covariates(k, 30, 3)
+    assert c.shape == (30, 4) and np.allclose(c[:, 1:].std(0), 1) and mm.covariates(k, 30) is None
+    values, vectors = np.linalg.eigh(k["A"])
+    assert np.allclose(np.abs(np.corrcoef(c[:, 1], vectors[:, -1])[0, 1]), 1)
+    with pytest.raises(ValueError):
+        mm.covariates(k, 30, 0, np.column_stack([np.arange(30.0), 2 * np.arange(30.0) + 1]))
+
+
+def test_tier_is_matched_with_rows_outside_it(spark):
+    from alloscan.operators.expression import stratum_enrichment
+    # two strata; the tier has the highest values, so its own rows would pull the null up
+    rows = [(i, i % 2, i / 100, i >= 90) for i in range(100)]
+    df = spark.createDataFrame(rows, "id bigint, stratum int, pct double, top boolean")
+    r = stratum_enrichment(df, 200).first()
+    outside = np.mean([p for _, _, p, t in rows if not t])
+    assert not r["infeasible"] and r["n_top"] == 10 and abs(r["null_mean"] - outside) < 0.03 and r["p_two_sided"] < 0.02
+    few = spark.createDataFrame([(i, 0, i / 10, i >= 4) for i in range(10)], "id bigint, stratum int, pct double, top boolean")
+    r = stratum_enrichment(few, 20).first()
+    assert r["infeasible"] and r["null_mean"] is None and r["observed"] is not None
+
+
+def test_fold_bootstrap_resamples_folds(spark):
+    rng = np.random.default_rng(1)
+    diff = rng.normal(0.02, 0.1, 20)
+    rows = [(i // 5, i % 5, t, 0.3 + (float(diff[i]) if t == "tier1" else 0.0)) for i in range(20) for t in ("tier0", "tier1", "tier2")]
+    out = {r["tier"]: r for r in rp.paired_fold_bootstrap(spark.createDataFrame(rows, "repeat bigint, fold bigint, tier string, r2 double"), 2000).collect()}
+    own = np.array([diff[rng.integers(0, 20, 20)].mean() for _ in range(4000)])
+    assert abs(out["tier1"]["lo"] - np.quantile(own, 0.025)) < 0.012 and abs(out["tier1"]["hi"] - np.quantile(own, 0.975)) < 0.012
+    assert abs(out["tier2"]["hi"]) < 1e-12
 
 
 def test_permutation_detects_planted_pair(spark):
