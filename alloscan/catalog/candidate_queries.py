@@ -148,9 +148,10 @@ fx AS (SELECT *, beta / sqrt((1 - rr * rr) * syy / sxx / (n - 2)) AS tt FROM fe
 """
 
 
-def env_fits(spark, d):
-    lead = t.sumstats(spark, d, p=False).where("chi2 > 4").select("v")
-    w = wide(spark, d).join(lead, "v", "left_semi")
+def env_fits(spark, d, calls=None):
+    calls = cut_lineage(t.geno(spark, d)) if calls is None else calls
+    lead = t.sumstats(spark, d, p=False, calls=calls).where("chi2 > 4").select("v")
+    w = wide(spark, d, calls).join(lead, "v", "left_semi")
     seen = F.filter("dosage", lambda x: x.isNotNull())
     mean = F.aggregate(seen, F.lit(0.0), lambda a, x: a + x) / F.size(seen)
     from alloscan.catalog.kernel_queries import panel
@@ -169,8 +170,8 @@ def agg_ols_env(spark, d):
                                      r("beta", "beta_env", 4), r("r", "r_env"), r("t", "t_env", 5))
 
 
-def scan_beta(spark, d):
-    return t.sumstats(spark, d, p=False).where("chi2 > 4").select(F.col("v").alias("lead"), "beta")
+def scan_beta(spark, d, calls=None):
+    return t.sumstats(spark, d, p=False, calls=calls).where("chi2 > 4").select(F.col("v").alias("lead"), "beta")
 
 
 @query("agg_env", _ENV + """
@@ -195,15 +196,16 @@ mr AS (SELECT v, max(r2) AS mr FROM kr GROUP BY v)
 def tiered(spark, d):
     """Leads with LD to markers near known QTLs, second-scan support, environment support, tier."""
     from alloscan.operators import intervals as iv
-    s = t.sumstats(spark, d).where("chi2 > 4").select("v", "chrom", "pos", "p")
-    mk = t.markers(spark, d).select("v", "chrom", "pos")
+    calls = cut_lineage(t.geno(spark, d))
+    s = cut_lineage(t.sumstats(spark, d, calls=calls).where("chi2 > 4").select("v", "chrom", "pos", "p"))
+    mk = t.markers(spark, d, calls).select("v", "chrom", "pos")
     known = iv.points_in_intervals(mk, t.qtl(spark, d).select("chrom", "qpos"), F.col("qpos") - 60000, F.col("qpos") + 60000).select(
         "chrom", F.col("v").alias("vb"), F.col("pos").alias("pb")).distinct()
     pr = iv.points_in_intervals(s.select(F.col("v").alias("va"), "chrom", "pos"), known, F.col("pb") - 1_000_000, F.col("pb") + 1_000_000)
-    ld = gt.ld_pairs(t.geno(spark, d), t.stats(spark, d), pr.where("va <> vb").select("va", "vb").distinct())
+    ld = gt.ld_pairs(calls, t.stats(spark, d, calls), pr.where("va <> vb").select("va", "vb").distinct())
     mr = ld.groupBy(F.col("va").alias("v")).agg(F.max("r2").alias("max_r2_known"))
-    b = t.sumstats(spark, d, 2, p=False).select("v", (F.col("chi2") > 0.05).alias("concordant"))
-    e = cd.environment_summary(env_fits(spark, d), F.abs("t") > 0.3, scan_beta(spark, d)).withColumnRenamed("lead", "v")
+    b = t.sumstats(spark, d, 2, p=False, calls=calls).select("v", (F.col("chi2") > 0.05).alias("concordant"))
+    e = cd.environment_summary(env_fits(spark, d, calls), F.abs("t") > 0.3, scan_beta(spark, d, calls)).withColumnRenamed("lead", "v")
     j = s.join(mr, "v", "left").join(b, "v", "left").join(e, "v", "left").na.fill(0)
     j = j.withColumn("max_r2_known", F.coalesce("max_r2_known", F.lit(0.0))).withColumn("concordant", F.coalesce("concordant", F.lit(False)))
     return j.withColumn("tier", cd.confidence_tier(0.05, 0.2, 2))

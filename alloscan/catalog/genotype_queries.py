@@ -10,6 +10,7 @@ from alloscan.functions import stat_columns as sc
 from alloscan.operators import genotype as gt
 from alloscan.operators import scan_order as so
 from alloscan.operators import score_scan as scan
+from alloscan.session import cut_lineage
 
 
 @query("entry_scan", """
@@ -153,8 +154,9 @@ def top_hits(spark, d):
 SELECT gene, s, round(sum(z) / max(n), 6) + 0.0 AS burden
 FROM zs JOIN mg USING (v) JOIN sz USING (gene) GROUP BY gene, s""")
 def agg_burden(spark, d):
-    sg = t.markers(spark, d).select("v", "gene")
-    return (gt.gene_burden(t.geno(spark, d), t.stats(spark, d), sg)
+    calls = cut_lineage(t.geno(spark, d))
+    sg = t.markers(spark, d, calls).select("v", "gene")
+    return (gt.gene_burden(calls, t.stats(spark, d, calls), sg)
             .select("gene", "s", r("burden", "burden")))
 
 

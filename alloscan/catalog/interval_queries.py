@@ -9,6 +9,7 @@ from alloscan.catalog.registry import big, query, r
 from alloscan.operators import genotype as gt
 from alloscan.operators import intervals as iv
 from alloscan.operators import scan_order as so
+from alloscan.session import cut_lineage
 
 
 def gene_hits(spark, d, flank):
@@ -239,11 +240,12 @@ SELECT cv AS causal, m.v AS marker FROM ca JOIN mk m ON m.chrom = ca.chrom AND a
 UNION SELECT cv, v FROM ld WHERE r2 >= 0.2""")
 def k_truth(spark, d):
     """Markers tagging each causal marker: near it, or further out in LD with it."""
-    mk = t.markers(spark, d)
-    ca = t.sumstats(spark, d, p=False).where(F.col("chi2") > 5).select("chrom", F.col("v").alias("cv"), F.col("pos").alias("cpos"))
+    calls = cut_lineage(t.geno(spark, d))
+    mk = t.markers(spark, d, calls)
+    ca = t.sumstats(spark, d, p=False, calls=calls).where(F.col("chi2") > 5).select("chrom", F.col("v").alias("cv"), F.col("pos").alias("cpos"))
     hit = iv.points_in_intervals(mk.select("v", "chrom", "pos"), ca, F.col("cpos") - 600000, F.col("cpos") + 600000)
     far = F.abs(F.col("pos") - F.col("cpos")) > 200000
-    r2 = gt.ld_pairs(t.geno(spark, d), t.stats(spark, d), hit.where(far).select(F.col("cv").alias("va"), F.col("v").alias("vb")))
+    r2 = gt.ld_pairs(calls, t.stats(spark, d, calls), hit.where(far).select(F.col("cv").alias("va"), F.col("v").alias("vb")))
     return (hit.where(~far).select(F.col("cv").alias("causal"), F.col("v").alias("marker"))
             .unionByName(r2.where(F.col("r2") >= 0.2).select(F.col("va").alias("causal"), F.col("vb").alias("marker"))).distinct())
 

@@ -305,9 +305,11 @@ def k_cap_sweep(spark, d):
     """Whitening once, burden size cap varied."""
     y, x, k, _, pairs = pair_setup(spark, d)
     ctx = (mm.whitener(y, x, k)[0], y, None)
-    out = None
+    out, ids = None, panel(spark, d)
+    calls = cut_lineage(t.geno(spark, d))
+    stats, genes = cut_lineage(t.stats(spark, d, calls)), t.markers(spark, d, calls).select("v", "gene")
     for cap in (2, 3, 5):
-        b = ps.burden_vectors(t.geno(spark, d), t.stats(spark, d), t.markers(spark, d).select("v", "gene"), panel(spark, d), cap=cap)
+        b = ps.burden_vectors(calls, stats, genes, ids, cap=cap)
         s = ps.pair_tests(pairs, b, {"t": ctx}).agg(F.min("p").alias("min_p"), F.count("*").alias("n_pairs")).withColumn("cap", F.lit(cap))
         out = s if out is None else out.unionByName(s)
     return out

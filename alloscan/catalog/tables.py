@@ -45,7 +45,10 @@ def with_map(df: DataFrame) -> DataFrame:
     return out.withColumn("gene", F.concat(F.lit("G"), "chrom", F.lit("_"), F.col("jj").cast("string")))
 
 
-def markers(spark: SparkSession, d: str) -> DataFrame:
+def markers(spark: SparkSession, d: str, calls: DataFrame | None = None) -> DataFrame:
+    """All markers; ``calls`` is a genotype table that is at hand already."""
+    if calls is not None:
+        return with_map(calls.select("v").distinct())
     li = table(spark, d, "lineitem")
     return with_map(li.select(F.floor(F.col("l_partkey") / PARTS_PER_MARKER).alias("v")).distinct())
 
@@ -69,13 +72,13 @@ def panel_size(spark: SparkSession, d: str) -> Column:
     return pheno(spark, d).agg(F.count("*")).scalar()
 
 
-def stats(spark: SparkSession, d: str) -> DataFrame:
-    return gt.allele_stats(geno(spark, d), panel_size(spark, d))
+def stats(spark: SparkSession, d: str, calls: DataFrame | None = None) -> DataFrame:
+    return gt.allele_stats(geno(spark, d) if calls is None else calls, panel_size(spark, d))
 
 
-def sumstats(spark: SparkSession, d: str, trait: int = 1, p: bool = True) -> DataFrame:
+def sumstats(spark: SparkSession, d: str, trait: int = 1, p: bool = True, calls: DataFrame | None = None) -> DataFrame:
     ph = pheno(spark, d) if trait == 1 else pheno2(spark, d)
-    out = scan.null_scan(geno(spark, d), scan.centered_trait(ph))
+    out = scan.null_scan(geno(spark, d) if calls is None else calls, scan.centered_trait(ph))
     out = with_map(out.withColumn("chi2", F.round("chi2", 9)))
     return scan.with_p(out) if p else out
 

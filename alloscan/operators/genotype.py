@@ -60,12 +60,19 @@ def center(geno: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def ld_pairs(geno: DataFrame, stats: DataFrame, pairs: DataFrame) -> DataFrame:
-    """r² for the listed marker pairs ``(va, vb)``, missing calls filled by the mean."""
-    c = center(geno, stats)
-    a = c.select(F.col("v").alias("va"), "s", F.col("z").alias("za"))
-    b = c.select(F.col("v").alias("vb"), "s", F.col("z").alias("zb"))
-    prod = (pairs.select("va", "vb").join(a, "va").join(b, ["vb", "s"])
-            .groupBy("va", "vb").agg(F.sum(F.col("za") * F.col("zb")).alias("sab")))
+    """r² for the listed marker pairs ``(va, vb)``, missing calls filled by the mean.
+
+    A marker is one array over the bounded panel, so a pair is one row when its two arrays meet, and
+    no row of a pair and a sample is ever made.
+    """
+    from alloscan.operators.relationship import panel_of
+    panel = panel_of(geno)
+    z = center(geno, stats).join(F.broadcast(panel_slots(geno.sparkSession, panel)), F.col("s").cast("bigint") == F.col("_s"))
+    arrays = in_slots(z.select("v", "slot", "z"), "v", "z", len(panel), F.lit(0.0))
+    two = F.zip_with("za", "zb", lambda x, y: x * y)
+    prod = (pairs.select("va", "vb").join(arrays.select(F.col("v").alias("va"), F.col("values").alias("za")), "va")
+            .join(arrays.select(F.col("v").alias("vb"), F.col("values").alias("zb")), "vb")
+            .select("va", "vb", F.aggregate(two, F.lit(0.0), lambda x, y: x + y).alias("sab")))
     ss = stats.select("v", (F.col("sum_dd") - F.col("sum_d") * F.col("mean")).alias("ss"), "is_flat")
     return (pairs.select("va", "vb").join(prod, ["va", "vb"], "left")
             .join(ss.select(F.col("v").alias("va"), F.col("ss").alias("ssa"),

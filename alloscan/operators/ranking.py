@@ -78,7 +78,8 @@ def qq_expected(df: DataFrame, p: str, key: list[str], keep_p: float, n_true: Co
     """Expected -log10 p. The tail (p <= keep_p) has exact ranks; thinned bulk rows stand at
     the midpoints of equal shares of the remaining true ranks."""
     pos = so.row_position(df, [p, *key], "i0")
-    c = df.agg(F.count("*").alias("m"), F.count_if(F.col(p) <= keep_p).alias("tail"))
+    # both numbers come from the ordered pass, which is stored
+    c = pos.agg(F.count("*").alias("m"), F.count_if(F.col(p) <= keep_p).alias("tail"))
     m, tail = c.select("m").scalar(), c.select("tail").scalar()
     n = m if n_true is None else F.greatest(n_true, m)
     i = F.col("i0") + 1
