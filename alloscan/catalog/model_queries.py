@@ -233,21 +233,19 @@ def k_cov(spark, d):
 
 @query("k_pair_scan")
 def k_pair_scan(spark, d):
-    """Pair ranking of the A-B pairs with marginal p, plus the permutation summary columns."""
+    """Pair ranking of all pairs with marginal p."""
     y, x, k, b, pairs = pair_setup(spark, d)
-    ab = pairs.where((F.col("sub_x") == "A") & (F.col("sub_y") == "B"))
     ctx = (mm.whitener(y, x, k)[0], y, None)
-    tests = cut_lineage(ps.pair_tests(ab, b, {"t": ctx}))
+    tests = cut_lineage(ps.pair_tests(pairs, b, {"t": ctx}))
     ranked = ps.pair_ranking(tests, ps.marginal_tests(b, ctx), ps.gene_sizes(t.markers(spark, d)))
     return ranked
 
 
 @query("sink_ranking")
 def sink_ranking(spark, d):
-    """Per-sample burdens of the five best A-B pairs."""
+    """Per-sample burdens of the five best pairs."""
     y, x, k, b, pairs = pair_setup(spark, d)
-    ab = pairs.where((F.col("sub_x") == "A") & (F.col("sub_y") == "B"))
-    tests = cut_lineage(ps.pair_tests(ab, b, {"t": (mm.whitener(y, x, k)[0], y, None)}))
+    tests = cut_lineage(ps.pair_tests(pairs, b, {"t": (mm.whitener(y, x, k)[0], y, None)}))
     from alloscan.operators import ranking as rk
     ranked = rk.rank_with_ties(tests, "p", ["gene_x", "gene_y"]).withColumnRenamed("rank0", "rank")
     return ps.top_burdens(ranked, b, y, y - y.mean())
@@ -255,10 +253,9 @@ def sink_ranking(spark, d):
 
 @query("k_pair_perm")
 def k_pair_perm(spark, d):
-    """Observed combined p of the A-B scan against permuted traits."""
+    """Observed combined p of all pairs against permuted traits."""
     y, x, k, b, pairs = pair_setup(spark, d)
-    ab = pairs.where((F.col("sub_x") == "A") & (F.col("sub_y") == "B"))
-    return ps.permutation_summary(ab, b, {"t": y}, x, k, n_perm=8)
+    return ps.permutation_summary(pairs, b, {"t": y}, x, k, n_perm=2000)
 
 
 @query("k_clique")
@@ -285,7 +282,7 @@ def k_multitrait(spark, d):
 def k_multitrait_perm(spark, d):
     y, x, k, b, pairs = pair_setup(spark, d)
     y2 = mm.normal_scores(trait(spark, d, 2))
-    return ps.permutation_summary(pairs, b, {"t1": y, "t2": y2}, x, k, n_perm=4)
+    return ps.permutation_summary(pairs, b, {"t1": y, "t2": y2}, x, k, n_perm=2000)
 
 
 @query("k_cond_diag")
