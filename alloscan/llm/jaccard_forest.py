@@ -34,7 +34,7 @@ TREES, DEPTH, TARGET_RECALL = 16, 8, 0.999
 #: the share is below it with a probability of 1e-6.
 CLOSE = 0.62
 #: Sets of a block; a group of more is dealt out as pairs of blocks.
-BUCKET_BLOCK, CLUSTER_BLOCK = 2048, 1024
+BUCKET_BLOCK, CLUSTER_BLOCK = 512, 1024
 BLOCK_CHARS = 1_000_000
 #: Bits of the set that picks the texts to be read again. A fixed size; a fuller one only picks more.
 PICK_BITS = 23
