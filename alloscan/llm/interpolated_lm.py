@@ -298,7 +298,6 @@ def score(docs: DataFrame, model: Model, buckets: int) -> DataFrame:
             w, ctx, owner, tf = number[first], ctx[first], owner[first], np.diff(np.append(first, len(order)))
             to = model.bucket(words[w], ctx, is_hot[w], buckets)
             flat = lambda v, kind: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v.combine_chunks() if isinstance(v, pa.ChunkedArray) else pa.array(v, kind))
-            schema = None
             head = pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([block], pa.int64()),
                                                pa.array([pack(np.arange(len(sizes), dtype=np.uint32), *here)], pa.binary()),
                                                flat(ids, None), flat(flags, None), flat(sizes, pa.int64())], names=packed.names)

@@ -63,10 +63,9 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
         start, end = runs(inside)
         words = run_hashes(cp, inside, start, end)
         edges = np.searchsorted(start, np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts[lo:hi]]))))
-        rolled = words.copy()
         joined = np.zeros(max(0, len(words) - WORDS + 1), np.uint64)
         for k in range(WORDS):
-            joined = (joined * np.uint64(0x100000001B3)) ^ rolled[k:k + len(joined)]
+            joined = (joined * np.uint64(0x100000001B3)) ^ words[k:k + len(joined)]
             joined = mix64(joined)
         for i in range(hi - lo):
             a, b = edges[i], edges[i + 1]
