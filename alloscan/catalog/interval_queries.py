@@ -201,8 +201,6 @@ def agg_callable(spark, d):
         F.floor(F.col("gid") / 9).alias("t"), F.substring("chrom", 1, 1).alias("base"),
         F.substring("chrom", 2, 1).alias("sub"), F.coalesce("n", F.lit(0)).alias("n"))
     w = c.groupBy("t", "base").agg(*[F.max(F.when(F.col("sub") == s, F.col("n"))).alias(s) for s in "ABD"])
-    m = w.select(F.explode(F.array(F.least("A", "B"), F.least("A", "D"), F.least("B", "D"),)).alias("m"),
-                 *["A", "B", "D"]).where(F.col("m").isNotNull())
     # least() skips nulls: a group without one copy has no pair with it
     w2 = w.select(*[F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), F.least(x, y)).alias(x + y)
                     for x, y in (("A", "B"), ("A", "D"), ("B", "D"))])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from alloscan.catalog import tables as t
 from alloscan.catalog.kernel_queries import _G, kernels, panel, parts, wide
-from alloscan.catalog.registry import big, query, r
+from alloscan.catalog.registry import query, r
 from alloscan.functions import mixed_model as mm
 from alloscan.operators import genotype as gt
 from alloscan.operators import pair_scan as ps

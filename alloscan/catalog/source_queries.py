@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from alloscan.catalog import tables as t
 from alloscan.catalog.kernel_queries import panel, wide
 from alloscan.catalog.registry import big, query, r
-from alloscan.operators import genotype as gt
 from alloscan.sources import plink
 from alloscan.sources import text as tx
 

@@ -6,8 +6,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alloscan.operators.intervals import points_in_intervals  # noqa: F401  (re-exported for plots of hits)
-
 
 def gene_track(loci: DataFrame, genes: DataFrame, half: int, bin_bp: int = 100_000) -> DataFrame:
     """Genes overlapping each locus window, packed into the fewest display rows (greedy by start).
