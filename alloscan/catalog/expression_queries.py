@@ -329,15 +329,32 @@ def k_design_inverse(spark, d):
     return y.groupBy("mode").agg(F.min(F.when(F.col("g") >= 300, F.col("depth"))).alias("depth_feasible"), F.min(F.when(F.col("g") >= 1000, F.col("depth"))).alias("depth_strong"))
 
 
+DENSITY_RATES, DENSITY_DRAWS = (0.1, 0.25, 0.5, 1.0), 200
+
+
 @query("k_density")
 def k_density(spark, d):
-    """Callable pairs after Bernoulli thinning of markers at several rates (a sampling feature)."""
-    m = t.markers(spark, d).select("v", "base", "jj", "sub")
-    u = F.pmod(F.xxhash64(F.lit(17), "v"), F.lit(2 ** 31)) / 2.0 ** 31
-    x = m.withColumn("rate", F.explode(F.array(*[F.lit(q) for q in (0.1, 0.25, 0.5, 1.0)]))).where(u < F.col("rate"))
-    c = x.groupBy("rate", "base", "jj").agg(*[F.count_if(F.col("sub") == s).alias(s) for s in "ABD"])
-    g = c.groupBy("rate").agg(sum((F.count_if(F.least(a, b) >= 3) for a, b in (("A", "D"), ("B", "D"))), F.count_if(F.least("A", "B") >= 3)).alias("g_callable"))
-    return g.withColumn("band", ds.band(F.col("g_callable")))
+    """Callable pairs after thinning at several rates: markers one by one, or genes as a whole.
+
+    A draw keeps what has a hash below the rate (a sampling feature); the mean over the draws has its
+    band and a percentile interval. Draws that leave no callable pair count as 0.
+    """
+    u = lambda *c: F.pmod(F.xxhash64(F.lit(17), *c), F.lit(2 ** 31)) / 2.0 ** 31
+    m = cut_lineage(t.markers(spark, d).select("v", "base", "jj", "sub"))
+    cells = spark.range(1, DENSITY_DRAWS + 1).select(F.col("id").alias("draw"), F.explode(F.array(*map(F.lit, DENSITY_RATES))).alias("rate"))
+    each = m.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(DENSITY_DRAWS)).cast("array<bigint>")))
+    each = each.withColumn("rate", F.explode(F.array(*map(F.lit, DENSITY_RATES))))
+    kept = {"uniform": u("v", "draw") < F.col("rate"), "clustered": u("base", "jj", "sub", "draw") < F.col("rate")}
+    sides = [F.count_if(F.col("sub") == s).alias(s) for s in "ABD"]
+    called = sum((F.least(a, b) >= 3).cast("int") for a, b in (("A", "B"), ("A", "D"), ("B", "D")))
+    out = None
+    for mode, keep in kept.items():
+        c = each.where(keep).groupBy("rate", "draw", "base", "jj").agg(*sides).groupBy("rate", "draw").agg(F.sum(called).alias("g"))
+        c = cells.join(c, ["rate", "draw"], "left").withColumn("g", F.coalesce("g", F.lit(0)).cast("double")).groupBy("rate").agg(
+            F.avg("g").alias("g_callable"), F.percentile("g", 0.025).alias("g_lo"), F.percentile("g", 0.975).alias("g_hi"))
+        c = c.withColumn("mode", F.lit(mode)).withColumn("band", ds.band(F.col("g_callable")))
+        out = c if out is None else out.unionByName(c)
+    return out
 
 
 @query("fn_mde")

@@ -373,25 +373,25 @@ def k_spike(spark, d):
 @query("k_blup")
 def k_blup(spark, d):
     y, x, k = model(spark, d)
-    return rp.cross_validation(spark, y, x, k, n_folds=5, n_repeats=1, predictions=True)
+    return rp.cross_validation(spark, y, x, k, n_folds=5, n_repeats=20, predictions=True)
 
 
 @query("k_cv")
 def k_cv(spark, d):
     y, x, k = model(spark, d)
-    return rp.cross_validation(spark, y, x, k, n_folds=5, n_repeats=3)
+    return rp.cross_validation(spark, y, x, k, n_folds=5, n_repeats=20)
 
 
 @query("agg_fold")
 def agg_fold(spark, d):
     y, x, k = model(spark, d)
-    return rp.tier_summary(rp.cross_validation(spark, y, x, k, n_folds=5, n_repeats=3))
+    return rp.tier_summary(rp.cross_validation(spark, y, x, k, n_folds=5, n_repeats=20))
 
 
 @query("agg_boot_ci")
 def agg_boot_ci(spark, d):
     y, x, k = model(spark, d)
-    return rp.paired_fold_bootstrap(rp.cross_validation(spark, y, x, k, n_folds=5, n_repeats=3), n_boot=200)
+    return rp.paired_fold_bootstrap(rp.cross_validation(spark, y, x, k, n_folds=5, n_repeats=20), n_boot=1000)
 
 
 @query("win_stratified")
