@@ -38,6 +38,8 @@ END, START = np.uint64(0x5D5F454E445F5F01), np.uint64(0x7A5F53544152545F)
 HOT_SHARE = 1e-4
 #: Tokens and texts of a block, and characters read at once.
 BLOCK_TOKENS, BLOCK_TEXTS, READ_CHARS = 1_200_000, 50_000, 1_000_000
+#: Word buckets for each shuffle partition: a task holds one bucket at a time.
+BUCKETS_PER_PARTITION = 2
 #: Held-out counts are gathered in cells of a quarter power of two.
 CELL = 4
 ROUNDS = 60
@@ -369,7 +371,7 @@ def score(docs: DataFrame, model: Model, buckets: int) -> DataFrame:
 def score_documents(docs: DataFrame) -> DataFrame:
     """Scores of every document, learned from those whose id's remainder by 7 is not 2."""
     side = remainder(F.col("doc_id"), 7)
-    buckets = shuffle_width(docs.sparkSession)
+    buckets = BUCKETS_PER_PARTITION * shuffle_width(docs.sparkSession)
     training = docs.where((side != 2) & (side != -1)).select("text")
     model = count_model(training)
     cells, model.pairs, model.pair_n = held_out_cells(training, model, buckets)
