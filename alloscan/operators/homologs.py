@@ -101,11 +101,10 @@ def pair_audit(pairs: DataFrame) -> DataFrame:
     gene (by e, then order), reciprocal best, final one-to-one flag and the drop reason.
     """
     p = pairs = cut_lineage(pairs)
-    n = p.count()
     o = F.struct("e", "ord")
     for name, keys in (("ba", ["block", "a"]), ("bd", ["block", "d"])):
         m = pairs.groupBy(*keys).agg(F.min_by("ord", o).alias(f"_{name}"))
-        p = hot_join(p, m, keys, left_rows=n)
+        p = hot_join(p, m, keys)
     for name, key in (("rank_a", "a"), ("rank_d", "d")):
         # position within a gene = global position minus the gene's first position
         s = ordered_scan(pairs.select(key, "e", "ord"), [key, "e", "ord"], {"_g": ("count", "")})
@@ -143,27 +142,22 @@ def components(edges: DataFrame) -> DataFrame:
         both = e.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionByName(
             e.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
         m = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        return (hot_join(both.where(F.col("v") > F.col("u")), m, ["u"], left_rows=size)
+        return (hot_join(both.where(F.col("v") > F.col("u")), m, ["u"])
                 .select(F.col("m").alias("lo"), F.col("v").alias("hi")).where(F.col("lo") < F.col("hi")).distinct())
 
     def small(e):
         m = e.groupBy("hi").agg(F.min("lo").alias("m"))
-        j = hot_join(e, m, ["hi"], left_rows=size)
+        j = hot_join(e, m, ["hi"])
         return (j.select(F.col("m").alias("lo"), F.col("lo").alias("hi"))
                 .unionByName(m.select(F.col("m").alias("lo"), "hi"))
                 .where(F.col("lo") < F.col("hi")).distinct())
 
-    mark = lambda d: d.agg(F.count("*"), F.sum(F.hash("lo", "hi").cast("bigint"))).first()
-    seen = mark(e)
-    while True:
-        size = seen[0]
-        nxt = cut_lineage(small(large(e)))
-        now = mark(nxt)
-        # equal counts and hash sums first, then the exact test
-        same = now == seen and nxt.exceptAll(e).isEmpty()
-        e, seen = nxt, now
-        if same:
-            break
+    # a round that changes nothing has the same edges: their number and the sum of their 64-bit hashes tell
+    mark = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
+    seen, now = None, mark(e)
+    while now != seen:
+        e = cut_lineage(small(large(e)))
+        seen, now = now, mark(e)
     return nodes.join(e.select(F.col("hi").alias("node"), F.col("lo").alias("comp")), "node", "left").select(
         "node", F.coalesce("comp", "node").alias("comp"))
 

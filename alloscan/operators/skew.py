@@ -3,31 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from alloscan.session import cut_lineage
 
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys``, of which a few may hold most of the left rows and few of the right.
 
-def hot_join(left: DataFrame, right: DataFrame, keys: list[str], rows_per_task: int = 1_000_000,
-             how: str = "inner", left_rows: int | None = None) -> DataFrame:
-    """Join on ``keys``; a key with over ``rows_per_task`` left rows is split over salts.
-
-    The keys are counted first (map-side combined); without hot keys the join is plain.
-    Hot keys number at most rows / rows_per_task, so their table is safe to broadcast;
-    only the right rows of hot keys are repeated, once per salt. ``how`` is ``inner``,
-    ``left`` or ``left_semi``. Where the caller has counted the left side (``left_rows``)
-    and it fits one task, no key can be hot and the join is plain.
+    The join is stated plainly, as ``inner``, ``left`` or ``left_semi``: at run time Spark knows the
+    sizes of the shuffled partitions, splits a large left one and sends each part the key's right rows
+    (``spark.sql.adaptive.skewJoin``). Counting keys beforehand would read the left side twice.
     """
-    if left_rows is not None and left_rows <= rows_per_task:
-        return left.join(right, keys, how)
-    hot = cut_lineage(left.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > rows_per_task)
-                      .select(*keys, F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_m")))
-    if hot.isEmpty():
-        return left.join(right, keys, how)
-    lt = (left.join(F.broadcast(hot), keys, "left")
-          .withColumn("_salt", F.coalesce(F.pmod(F.hash(*left.columns), F.col("_m")), F.lit(0)))
-          .drop("_m"))
-    rt = (right.join(F.broadcast(hot), keys, "left")
-          .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_m"), F.lit(1)) - 1)))
-          .drop("_m"))
-    return lt.join(rt, [*keys, "_salt"], how).drop("_salt")
+    return left.join(right, keys, how)
