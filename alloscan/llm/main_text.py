@@ -30,6 +30,8 @@ LEFT_OUT = RAW | frozenset("head nav footer aside form button select option menu
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer "
                   "form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th "
                   "thead tr ul".split())
+#: Elements that are never left out for their names: those hold the whole page or its main part.
+WHOLE = frozenset("html body main".split())
 HEADINGS = frozenset("h1 h2 h3".split())
 CONTAINER = frozenset("article body div main section td blockquote center".split())
 #: Words of a class, id or role that leave an element out.
@@ -139,7 +141,7 @@ def blocks_of(page: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
                 continue
             depth_a = 0
             here = _Node(name, here, here.out or name in LEFT_OUT or name == "header" and not _inside(here, "article")
-                         or name != "body" and _unwanted(m[3]))
+                         or name not in WHOLE and _unwanted(m[3]))
             nodes.append(here)
     flush()
     return nodes, found

@@ -138,6 +138,7 @@ PAGES = [
      "here and there, and more</p></div></div>", "Head\nOne, two, three and many more words, long enough.\nSecond para, again."),
     ("<article><p>x &lt;b&gt; y<script>var a='</p>';</script><style>p{}</style><!-- no <p> --> z</p></article", "x <b> y\nz"),
     ("<div><p>Cut off in a ta<a hre", "Cut off in a ta"),
+    ("<html class=cookie><body class=ads><main class='sidebar-right'><p>Main words, here.</p><div id=comment-1><p>reader, says</p></div></main></body>", "Main words, here."),
     ("<div class='content has-sidebar'><p>Kept text, with commas, here.</p></div>", "Kept text, with commas, here."),
 ]
 
