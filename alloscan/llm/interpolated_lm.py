@@ -38,8 +38,8 @@ END, START = np.uint64(0x5D5F454E445F5F01), np.uint64(0x7A5F53544152545F)
 HOT_SHARE = 1e-4
 #: Tokens and texts of a block, and characters read at once.
 BLOCK_TOKENS, BLOCK_TEXTS, READ_CHARS = 1_200_000, 50_000, 1_000_000
-#: Word buckets for each shuffle partition: a task holds one bucket at a time.
-BUCKETS_PER_PARTITION = 2
+#: Word buckets for each shuffle partition. More take less memory of a task, but send more parts of the texts' sums.
+BUCKETS_PER_PARTITION = 1
 #: Held-out counts are gathered in cells of a quarter power of two.
 CELL = 4
 ROUNDS = 60
