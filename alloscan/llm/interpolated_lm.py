@@ -1,16 +1,17 @@
 """Language model by deleted interpolation of word n-grams.
 
 A token's probability mixes three estimates: its frequency after its context, its own frequency, and one
-share for every token there is. A context is the class of the word before (the upper bits of its hash; the
-start of a text is a word of its own). The weights depend on the bucket of the context's frequency, by
+share for every token there is. A context is the word before, by its 64-bit hash (the start of a text is a
+word of its own). The weights depend on the bucket of the context's frequency, by
 powers of two, and are learned by expectation-maximisation on held-out counts: every training token is
 predicted from counts from which it has been deleted.
 
 Counts are exact over all training tokens. Text is read in blocks; a block sends, for each word hash that
 falls to a bucket, its contexts, texts and counts, packed as arrays. A bucket sees all counts of its words,
-scores them and sends every block its part of the texts' sums. Words with more than ``HOT_SHARE`` of all tokens
+scores them and sends every block its part of the texts' sums. The counts of its contexts come to it from the
+tasks that hold them: a block asks for them, by context, and each task answers the buckets it was asked for. Words with more than ``HOT_SHARE`` of all tokens
 are spread over the buckets by context, and word pairs above that share are scored where they are read; both
-are at most 1 / HOT_SHARE many, so their counts are sent to all tasks.
+are at most 1 / HOT_SHARE many, so their counts, also as contexts, are sent to all tasks.
 
 Defined cases: a null or empty text has its end as the only token; with no training text N and V are 0, every
 count is 0 and every score that of the uniform share; a null id is neither held out nor learned from; repeated
@@ -32,6 +33,8 @@ from alloscan.llm.common import blank, code_points, lower_ascii, mix64, remainde
 from alloscan.llm.jaccard_forest import complete_groups
 from alloscan.session import shuffle_width
 
+#: Upper bits of a word's hash by which context counts are also kept in a table of a fixed size. It only tells
+#: contexts that were never seen, which then need not be asked for.
 CLASS_BITS = 16
 CLASSES = 1 << CLASS_BITS
 END, START = np.uint64(0x5D5F454E445F5F01), np.uint64(0x7A5F53544152545F)
@@ -55,12 +58,13 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(words, edge, END), np.diff(edge, prepend=0) + 1
 
 
-def contexts(tok: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Class of the word before each token."""
-    before = np.empty_like(tok)
-    before[1:] = tok[:-1]
-    before[np.cumsum(sizes) - sizes] = START
-    return (before >> np.uint64(64 - CLASS_BITS)).astype(np.int64)
+def contexts(tok: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names of the distinct tokens, in order, and of the start; each token's number among them, and that of the word before."""
+    words, number = np.unique(tok, return_inverse=True)
+    before = np.empty(len(tok), np.int64)
+    before[1:] = number[:-1]
+    before[np.cumsum(sizes) - sizes] = len(words)
+    return np.append(words, START), number.astype(np.int64), before
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -129,38 +133,61 @@ def word_counts(training: DataFrame) -> DataFrame:
 
 
 class Model:
-    """What every task needs: N, V, the classes' counts, hot words and pairs with their counts, and the weights."""
+    """What every task needs: N, V, the classes' counts, hot words and pairs with their counts, and the weights.
 
-    def __init__(self, total: int, distinct: int, classes: np.ndarray, hot: np.ndarray, hot_n: np.ndarray):
+    ``asked`` stays with the driver: the table of ``context_counts``.
+    """
+
+    def __init__(self, total: int, distinct: int, classes: np.ndarray, hot: np.ndarray, hot_n: np.ndarray, texts: int):
         self.total, self.distinct, self.classes = total, distinct, classes
         order = np.argsort(hot)
         self.hot, self.hot_n = hot[order], hot_n[order]
+        before, before_n = np.append(hot, START), np.append(hot_n, texts)
+        order = np.argsort(before)
+        self.before, self.before_n = before[order], before_n[order]
+        self.asked: DataFrame | None = None
         self.pairs, self.pair_n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.weights = np.tile(np.array([0.0, 0.0, 1.0]), (64, 1))
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"asked": None}
+
     def find_hot(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return _find(words, self.hot, self.hot_n)
 
     def bucket(self, words: np.ndarray, ctx: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
         """By word; of a hot word by word and context."""
-        by = np.where(hot, mix64(words ^ (ctx.astype(np.uint64) << np.uint64(20))), words)
-        return ((by & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
-
-    def levels(self, ctx: np.ndarray) -> np.ndarray:
+        return _dealt(np.where(hot, mix64(words ^ mix64(ctx)), words), buckets)
+
+    def find_contexts(self, ctx: np.ndarray, blobs: list[bytes]) -> np.ndarray:
+        """Counts of the contexts: known to all tasks, or in what the bucket was sent."""
+        known, n = _find(ctx, self.before, self.before_n)
+        if blobs:
+            parts = [unpack(x, "QQ") for x in blobs]
+            names, counts = (np.concatenate([p[k] for p in parts]) for k in range(2))
+            order = np.argsort(names)
+            n = np.where(known, n, _find(ctx, names[order], counts[order].astype(np.int64))[1])
+        return n
+
+    def levels(self, c: np.ndarray) -> np.ndarray:
         """Bucket of the contexts' frequencies: 0 if none, else 1 + the power of two."""
-        c = self.classes[ctx]
         return np.where(c > 0, 1 + np.floor(np.log2(np.maximum(c, 1))).astype(np.int64), 0)
 
-    def log10(self, ctx: np.ndarray, word_n: np.ndarray, pair_n: np.ndarray) -> np.ndarray:
-        out = np.empty(len(ctx))
+    def log10(self, ctx_n: np.ndarray, ctx: np.ndarray, word_n: np.ndarray, pair_n: np.ndarray) -> np.ndarray:
+        """``ctx`` are places in ``ctx_n``."""
+        out, level = np.empty(len(ctx)), self.levels(ctx_n)
         for lo in range(0, len(ctx), 1 << 18):
             c, i = ctx[lo:lo + (1 << 18)], slice(lo, lo + (1 << 18))
-            w = self.weights[self.levels(c)]
-            out[i] = np.log10(w[:, 0] * pair_n[i] / np.maximum(self.classes[c], 1) + w[:, 1] * word_n[i] / max(self.total, 1)
+            w = self.weights[level[c]]
+            out[i] = np.log10(w[:, 0] * pair_n[i] / np.maximum(ctx_n[c], 1) + w[:, 1] * word_n[i] / max(self.total, 1)
                               + w[:, 2] / (self.distinct + 1))
         return out
 
 
+def _dealt(names: np.ndarray, buckets: int) -> np.ndarray:
+    return ((names & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
+
+
 def _find(x: np.ndarray, known: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(known):
         return np.zeros(len(x), bool), np.zeros(len(x), np.int64)
@@ -170,7 +197,7 @@ def _find(x: np.ndarray, known: np.ndarray, n: np.ndarray) -> tuple[np.ndarray,
 
 
 def pair_name(words: np.ndarray, ctx: np.ndarray) -> np.ndarray:
-    return mix64(words + mix64(ctx.astype(np.uint64) + np.uint64(1)))
+    return mix64(words + mix64(ctx + np.uint64(1)))
 
 
 def count_model(training: DataFrame) -> Model:
@@ -184,8 +211,9 @@ def count_model(training: DataFrame) -> Model:
         classes[r.c] = r.n
     hot = counts.where(F.col("n") >= max(1, int(HOT_SHARE * total))).collect()
     texts = [r.n for r in hot if r.h == signed] or [r.n for r in counts.where(F.col("h") == signed).collect()]
-    classes[int(START >> np.uint64(64 - CLASS_BITS))] += texts[0] if texts else 0
-    return Model(total, distinct, classes, np.array([r.h for r in hot], np.int64).view(np.uint64), np.array([r.n for r in hot], np.int64))
+    n_texts = texts[0] if texts else 0
+    classes[int(START >> np.uint64(64 - CLASS_BITS))] += n_texts
+    return Model(total, distinct, classes, np.array([r.h for r in hot], np.int64).view(np.uint64), np.array([r.n for r in hot], np.int64), n_texts)
 
 
 def _rows(buckets: np.ndarray, sort: np.ndarray, count: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -195,6 +223,56 @@ def _rows(buckets: np.ndarray, sort: np.ndarray, count: int) -> Iterator[tuple[i
             yield b, sort[edge[b]:edge[b + 1]]
 
 
+def context_counts(docs: DataFrame, model: Model, buckets: int) -> DataFrame:
+    """``bucket, blob``: for every bucket of ``docs`` (``train, text``) its contexts and their counts in the training texts.
+
+    Left out are those that all tasks know. A context's count is summed where its name is dealt to, and goes from
+    there to the buckets that have a pair with it.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def row(b: int, *arrays: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([pack(*arrays)], pa.binary())], names=["bucket", "blob"])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for held, tok, sizes in token_blocks(batches):
+            train = np.concatenate([x.column("train").to_numpy(zero_copy_only=False) for x in held]).astype(bool)
+            names, number, before = contexts(tok, sizes)
+            n = np.bincount(before, np.repeat(train, sizes), len(names)).astype(np.uint64)
+            seen = model.classes[(names >> np.uint64(64 - CLASS_BITS)).astype(np.int64)] > 0
+            sought = (seen & ~_find(names, model.before, model.before_n)[0])[before]
+            w, v = np.divmod(np.unique(number[sought] * len(names) + before[sought]), len(names))
+            to = model.bucket(names[w], names[v], model.find_hot(names)[0][w], buckets)
+            v, to = np.divmod(np.unique(v * buckets + to), buckets)
+            at = _dealt(names[v], buckets)
+            for b, i in _rows(at, np.argsort(at, kind="stable"), buckets):
+                own, count = np.unique(v[i], return_counts=True)
+                yield row(b, names[own], n[own], count.astype(np.uint32), to[i].astype(np.uint32))
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, starts in complete_groups(batches, ["bucket"]):
+            blobs = batch.column("blob").to_pylist()
+            for lo, hi in zip(starts[:-1], starts[1:]):
+                parts = [unpack(x, "QQII") for x in blobs[lo:hi]]
+                names, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+                n = np.bincount(at, np.concatenate([p[1] for p in parts]), len(names)).astype(np.uint64)
+                asked = np.repeat(at.astype(np.int64), np.concatenate([p[2] for p in parts])) * buckets + np.concatenate([p[3] for p in parts])
+                v, to = np.divmod(np.unique(asked), buckets)
+                v, to = v[n[v] > 0], to[n[v] > 0]
+                for b, i in _rows(to, np.argsort(to, kind="stable"), buckets):
+                    yield row(b, names[v[i]], n[v[i]])
+
+    asked = docs.select("train", "text").mapInArrow(ask, "bucket int, blob binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return asked.mapInArrow(answer, "bucket int, blob binary")
+
+
+def _places(parts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct contexts of a bucket's parts (names third, places fourth), and the place of each entry's among them."""
+    names = np.unique(np.concatenate([p[2] for p in parts]))
+    return names, np.concatenate([np.searchsorted(names, p[2]).astype(np.int32)[p[3]] for p in parts])
+
+
 def held_out_cells(training: DataFrame, model: Model, buckets: int) -> tuple[list, np.ndarray, np.ndarray]:
     """Cells (level, cell of the deleted pair frequency, cell of the deleted word frequency, tokens), and the hot pairs."""
     shared = training.sparkSession.sparkContext.broadcast(model)
@@ -202,42 +280,49 @@ def held_out_cells(training: DataFrame, model: Model, buckets: int) -> tuple[lis
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for _, tok, sizes in token_blocks(batches):
-            words, number = np.unique(tok, return_inverse=True)
-            pair, n = np.unique((number.astype(np.int64) << CLASS_BITS) | contexts(tok, sizes), return_counts=True)
-            w, ctx = pair >> CLASS_BITS, pair & (CLASSES - 1)
-            to = model.bucket(words[w], ctx, model.find_hot(words)[0][w], buckets)
+            names, number, before = contexts(tok, sizes)
+            pair, n = np.unique(number * len(names) + before, return_counts=True)
+            w, ctx = np.divmod(pair, len(names))
+            to = model.bucket(names[w], names[ctx], model.find_hot(names)[0][w], buckets)
             for b, i in _rows(to, np.argsort(to, kind="stable"), buckets):
                 own, count = np.unique(w[i], return_counts=True)
+                around, at = np.unique(ctx[i], return_inverse=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([b], pa.int32()), pa.array([pack(words[own], count.astype(np.uint32), ctx[i].astype(np.uint16), n[i].astype(np.uint32))], pa.binary())],
-                    names=["bucket", "blob"])
+                    [pa.array([b], pa.int32()), pa.array([False]),
+                     pa.array([pack(names[own], count.astype(np.uint32), names[around], at.astype(np.uint32), n[i].astype(np.uint32))], pa.binary())],
+                    names=["bucket", "asked", "blob"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch, starts in complete_groups(batches, ["bucket"]):
-            blobs = batch.column("blob").to_pylist()
+            blobs, asked = batch.column("blob").to_pylist(), batch.column("asked").to_pylist()
             for lo, hi in zip(starts[:-1], starts[1:]):
-                parts = [unpack(x, "QIHI") for x in blobs[lo:hi]]
+                parts = [unpack(x, "QIQII") for x, a in zip(blobs[lo:hi], asked[lo:hi]) if not a]
+                if not parts:
+                    continue
                 h = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
                 words, number = np.unique(h, return_inverse=True)
-                pair, at = np.unique((number.astype(np.int64) << CLASS_BITS) | np.concatenate([p[2] for p in parts]), return_inverse=True)
-                n = np.bincount(at, np.concatenate([p[3] for p in parts])).astype(np.int64)
-                w, ctx = pair >> CLASS_BITS, pair & (CLASSES - 1)
+                names, before = _places(parts)
+                pair, at = np.unique(number.astype(np.int64) * len(names) + before, return_inverse=True)
+                n = np.bincount(at, np.concatenate([p[4] for p in parts])).astype(np.int64)
+                w, ctx = np.divmod(pair, len(names))
+                ctx_n = model.find_contexts(names, [x for x, a in zip(blobs[lo:hi], asked[lo:hi]) if a])[ctx]
                 word_n = np.bincount(w, n, len(words)).astype(np.int64)
                 is_hot, hot_n = model.find_hot(words)
                 c = np.where(is_hot, hot_n, word_n)[w]
-                f2 = (n - 1) / np.maximum(model.classes[ctx] - 1, 1)
+                f2 = (n - 1) / np.maximum(ctx_n - 1, 1)
                 f1 = (c - 1) / max(model.total - 1, 1)
                 cell = lambda f: np.where(f > 0, np.round(-CELL * np.log2(np.maximum(f, 1e-300))), -1).astype(np.int64)
-                cells, where = np.unique((model.levels(ctx) << 40) | ((cell(f2) + 1) << 20) | (cell(f1) + 1), return_inverse=True)
+                cells, where = np.unique((model.levels(ctx_n) << 40) | ((cell(f2) + 1) << 20) | (cell(f1) + 1), return_inverse=True)
                 mass = np.bincount(where, n)
                 top = np.flatnonzero(n >= max(1, HOT_SHARE * model.total))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate((np.zeros(len(cells), np.int32), np.ones(len(top), np.int32))), pa.int32()),
-                     pa.array(np.concatenate((cells, pair_name(words[w[top]], ctx[top]).view(np.int64))), pa.int64()),
+                     pa.array(np.concatenate((cells, pair_name(words[w[top]], names[ctx[top]]).view(np.int64))), pa.int64()),
                      pa.array(np.concatenate((mass, n[top])).astype(np.int64), pa.int64())], names=["hot", "name", "n"])
 
-    sent = training.select("text").mapInArrow(send, "bucket int, blob binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    sent = training.select("text").mapInArrow(send, "bucket int, asked boolean, blob binary").unionByName(model.asked.select("bucket", F.lit(True).alias("asked"), "blob"))
+    sent = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     found = sent.mapInArrow(gather, "hot int, name long, n long").groupBy("hot", "name").agg(F.sum("n").alias("n")).collect()
     cells = [(r.name >> 40, (r.name >> 20 & 0xFFFFF) - 1, (r.name & 0xFFFFF) - 1, r.n) for r in found if not r.hot]
     pairs = sorted((int(np.int64(r.name).view(np.uint64)), r.n) for r in found if r.hot)
@@ -282,23 +367,22 @@ def score(docs: DataFrame, model: Model, buckets: int) -> DataFrame:
             ids, flags = whole.column("doc_id"), whole.column("held_out")
             train = whole.column("train").to_numpy().astype(bool)
             owner = np.repeat(np.arange(len(sizes)), sizes)
-            words, number = np.unique(tok, return_inverse=True)
-            ctx = contexts(tok, sizes)
-            known, pair_n = _find(pair_name(tok, ctx), model.pairs, model.pair_n)
-            is_hot, hot_n = model.find_hot(words)
-            # pairs above the share are scored here
+            names, number, ctx = contexts(tok, sizes)
+            known, pair_n = _find(pair_name(tok, names[ctx]), model.pairs, model.pair_n)
+            is_hot, hot_n = model.find_hot(names)
+            # pairs above the share are scored here: their contexts are above it too
             here = np.zeros((3, len(sizes)))
             word_n = hot_n[number[known]]
-            for row, v in zip(here, (np.ones(known.sum()), np.log10(word_n + 1), model.log10(ctx[known], word_n, pair_n[known]))):
+            for row, v in zip(here, (np.ones(known.sum()), np.log10(word_n + 1), model.log10(model.find_contexts(names, []), ctx[known], word_n, pair_n[known]))):
                 row += np.bincount(owner[known], v, len(sizes))
             number, ctx, owner = number[~known], ctx[~known], owner[~known]
-            order = np.lexsort((owner, (number.astype(np.int64) << CLASS_BITS) | ctx))
+            order = np.lexsort((owner, number * len(names) + ctx))
             number, ctx, owner = number[order], ctx[order], owner[order]
             new = np.ones(len(order), bool)
             new[1:] = (np.diff(number) != 0) | (np.diff(ctx) != 0) | (np.diff(owner) != 0)
             first = np.flatnonzero(new)
             w, ctx, owner, tf = number[first], ctx[first], owner[first], np.diff(np.append(first, len(order)))
-            to = model.bucket(words[w], ctx, is_hot[w], buckets)
+            to = model.bucket(names[w], names[ctx], is_hot[w], buckets)
             flat = lambda v, kind: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v.combine_chunks() if isinstance(v, pa.ChunkedArray) else pa.array(v, kind))
             head = pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([block], pa.int64()),
                                                pa.array([pack(np.arange(len(sizes), dtype=np.uint32), *here)], pa.binary()),
@@ -307,7 +391,8 @@ def score(docs: DataFrame, model: Model, buckets: int) -> DataFrame:
             yield head
             for b, i in _rows(to, np.argsort(to, kind="stable"), buckets):
                 own, count = np.unique(w[i], return_counts=True)
-                blob = pack(words[own], count.astype(np.uint32), ctx[i].astype(np.uint16), owner[i].astype(np.uint16), tf[i].astype(np.uint32),
+                around, at = np.unique(ctx[i], return_inverse=True)
+                blob = pack(names[own], count.astype(np.uint32), names[around], at.astype(np.uint32), owner[i].astype(np.uint16), tf[i].astype(np.uint32),
                             train.astype(np.uint8))
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([block], pa.int64()), pa.array([blob], pa.binary()),
                                                   *(pa.nulls(1, schema.field(k).type) for k in range(3, 6))], names=packed.names)
@@ -321,14 +406,20 @@ def score(docs: DataFrame, model: Model, buckets: int) -> DataFrame:
                 if numbers[lo] < 0:
                     yield batch.slice(lo, hi - lo)
                     continue
-                parts = [unpack(x, "QIHHIB") for x in batch.column("blob").slice(lo, hi - lo).to_pylist()]
+                # what was asked for comes first
+                mid = lo + sum(x < 0 for x in block_of[lo:hi])
+                if mid == hi:
+                    continue
+                parts = [unpack(x, "QIQIHIB") for x in batch.column("blob").slice(mid, hi - mid).to_pylist()]
                 # each block's words are sorted and distinct, so the bucket's are found without its entries
                 words = np.unique(np.concatenate([p[0] for p in parts]))
                 number = np.concatenate([np.repeat(np.searchsorted(words, p[0]).astype(np.int32), p[1]) for p in parts])
-                ctx = np.concatenate([p[2] for p in parts])
-                tf = np.concatenate([p[4] for p in parts]).astype(np.int32)
-                learned = np.concatenate([p[5][p[3]] for p in parts]) * tf
-                pair = (number.astype(np.int64) << CLASS_BITS) | ctx
+                names, ctx = _places(parts)
+                ctx_n = model.find_contexts(names, batch.column("blob").slice(lo, mid - lo).to_pylist())
+                tf = np.concatenate([p[5] for p in parts]).astype(np.int32)
+                learned = np.concatenate([p[6][p[4]] for p in parts]) * tf
+                parts = [p[4] for p in parts]
+                pair = number.astype(np.int64) * len(names) + ctx
                 known = np.unique(pair)
                 at = np.searchsorted(known, pair).astype(np.int32)
                 pair_n = np.bincount(at, learned, len(known)).astype(np.int64)[at]
@@ -336,13 +427,13 @@ def score(docs: DataFrame, model: Model, buckets: int) -> DataFrame:
                 is_hot, hot_n = model.find_hot(words)
                 word_n = np.where(is_hot, hot_n, np.bincount(number, learned, len(words)).astype(np.int64))[number]
                 del number, learned
-                values = tf * (word_n > 0), tf * np.log10(word_n + 1), tf * model.log10(ctx.astype(np.int32), word_n, pair_n)
+                values = tf * (word_n > 0), tf * np.log10(word_n + 1), tf * model.log10(ctx_n, ctx, word_n, pair_n)
                 del ctx, tf, word_n, pair_n
-                edge = np.cumsum([0] + [len(p[3]) for p in parts])
+                edge = np.cumsum([0] + [len(p) for p in parts])
                 for k, p in enumerate(parts):
-                    texts, where = np.unique(p[3], return_inverse=True)
+                    texts, where = np.unique(p, return_inverse=True)
                     sums = [np.bincount(where, v[edge[k]:edge[k + 1]]) for v in values]
-                    yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([block_of[lo + k]], pa.int64()),
+                    yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([block_of[mid + k]], pa.int64()),
                                                       pa.array([pack(texts.astype(np.uint32), *sums)], pa.binary()),
                                                       *(pa.nulls(1, batch.schema.field(j).type) for j in range(3, 6))], names=packed.names)
 
@@ -362,7 +453,8 @@ def score(docs: DataFrame, model: Model, buckets: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids, held, sizes, pa.array(np.round(sums[0]).astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])],
                                                  names=result.names)
 
-    sent = docs.select("doc_id", "held_out", "train", "text").mapInArrow(send, packed)
+    asked = model.asked.select("bucket", F.lit(-1).cast("long").alias("block"), "blob", *(F.lit(None).cast(packed[k].dataType).alias(k) for k in ("ids", "held", "sizes")))
+    sent = docs.select("doc_id", "held_out", "train", "text").mapInArrow(send, packed).unionByName(asked)
     spread = F.when(F.col("bucket") >= 0, F.col("bucket").cast("long")).otherwise(F.col("block"))
     weighed = sent.repartition(buckets, spread).sortWithinPartitions("bucket", "block").mapInArrow(weigh, packed)
     return weighed.repartition(buckets, "block").sortWithinPartitions("block", "bucket").mapInArrow(finish, result)
@@ -373,10 +465,12 @@ def score_documents(docs: DataFrame) -> DataFrame:
     side = remainder(F.col("doc_id"), 7)
     buckets = BUCKETS_PER_PARTITION * shuffle_width(docs.sparkSession)
     training = docs.where((side != 2) & (side != -1)).select("text")
+    docs = docs.select("doc_id", (side == 2).alias("held_out"), ((side != 2) & (side != -1)).alias("train"), "text")
     model = count_model(training)
+    model.asked = written(context_counts(docs, model, buckets))
     cells, model.pairs, model.pair_n = held_out_cells(training, model, buckets)
     model.weights = learn_weights(cells, model.distinct)
-    out = score(docs.select("doc_id", (side == 2).alias("held_out"), ((side != 2) & (side != -1)).alias("train"), "text"), model, buckets)
+    out = score(docs, model, buckets)
     shift = float(np.log10(model.total + model.distinct + 1))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"),
                       (F.col("base_sum") - F.col("n_tokens") * shift).alias("base_score"), "score")

@@ -132,6 +132,35 @@ def test_scores_equal_plain_interpolation(spark, monkeypatch, hot):
         assert r["held_out"] == (r["doc_id"] is not None and side(r["doc_id"], 7) == 2)
 
 
+def test_contexts_with_the_same_upper_bits_are_told_apart(spark, monkeypatch):
+    upper = {}
+    for w in (f"w{i}" for i in range(3000)):
+        upper.setdefault(int(lm.tokens([w])[0][0] >> np.uint64(48)), []).append(w)
+    alike = [ws[:2] for ws in upper.values() if len(ws) > 1][:8]
+    assert len(alike) == 8
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"{v} {k}x{j}" for _ in range(5) for j, two in [rng.choice(list(enumerate(alike)))] for k, v in [rng.choice(list(enumerate(two)))]))
+            for i in range(300)]
+    models, keep = [], lm.score
+    monkeypatch.setattr(lm, "HOT_SHARE", 0.02)
+    monkeypatch.setattr(lm, "BLOCK_TOKENS", 500)
+    monkeypatch.setattr(lm, "score", lambda d, m, b: (models.append(m), keep(d, m, b))[1])
+    got = {r["doc_id"]: r["score"] for r in lm.score_documents(frame(spark, rows)).collect()}
+    pairs, before, c = Counter(), Counter(), Counter()
+    for i, t in rows:
+        if side(i, 7) != 2:
+            ws = words(t)
+            pairs.update(zip([None, *ws[:-1]], ws))
+            before.update([None, *ws[:-1]])
+            c.update(ws)
+    for i, t in rows:
+        ws, s = words(t), 0.0
+        for v, w in zip([None, *ws[:-1]], ws):
+            lam = models[0].weights[0 if not before[v] else 1 + int(math.floor(math.log2(before[v])))]
+            s += math.log10(lam[0] * pairs[(v, w)] / max(1, before[v]) + lam[1] * c[w] / sum(c.values()) + lam[2] / (len(c) + 1))
+        assert math.isclose(got[i], s, rel_tol=1e-9)
+
+
 def test_weights_maximise_the_held_out_likelihood():
     cells = [(5, 4, 20, 100), (5, -1, 16, 50), (5, 8, 30, 25), (7, 2, 20, 60), (0, -1, 12, 5)]
     w = lm.learn_weights(cells, 1000)
