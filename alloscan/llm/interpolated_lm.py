@@ -77,14 +77,20 @@ def pack(*arrays: np.ndarray) -> bytes:
     return b"".join(out)
 
 
+def narrow(a: np.ndarray) -> np.ndarray:
+    """Unsigned, in as few bytes as the largest needs."""
+    return a.astype(np.min_scalar_type(int(a.max(initial=0))))
+
+
 def unpack(blob: bytes, kinds: str) -> list[np.ndarray]:
+    """The packed arrays, by kind: ``d`` floating, else unsigned of the packed width."""
     out, at = [], 4
     for kind in kinds:
         width, n = (int(x) for x in np.frombuffer(blob, np.uint64, 2, at))
         at += 16
         planes = np.frombuffer(blob, np.uint8, width * n, at).reshape(width, n)
         at += width * n
-        out.append(np.ascontiguousarray(planes.T).view({"H": np.uint16, "I": np.uint32, "Q": np.uint64, "d": np.float64, "B": np.uint8}[kind]).ravel())
+        out.append(np.ascontiguousarray(planes.T).view(np.float64 if kind == "d" else f"u{width}").ravel())
     return out
 
 
@@ -163,7 +169,7 @@ class Model:
         """Counts of the contexts: known to all tasks, or in what the bucket was sent."""
         known, n = _find(ctx, self.before, self.before_n)
         if blobs:
-            parts = [unpack(x, "QQ") for x in blobs]
+            parts = [unpack(x, "uu") for x in blobs]
             names, counts = (np.concatenate([p[k] for p in parts]) for k in range(2))
             order = np.argsort(names)
             n = np.where(known, n, _find(ctx, names[order], counts[order].astype(np.int64))[1])
@@ -173,13 +179,12 @@ class Model:
         """Bucket of the contexts' frequencies: 0 if none, else 1 + the power of two."""
         return np.where(c > 0, 1 + np.floor(np.log2(np.maximum(c, 1))).astype(np.int64), 0)
 
-    def log10(self, ctx_n: np.ndarray, ctx: np.ndarray, word_n: np.ndarray, pair_n: np.ndarray) -> np.ndarray:
-        """``ctx`` are places in ``ctx_n``."""
-        out, level = np.empty(len(ctx)), self.levels(ctx_n)
-        for lo in range(0, len(ctx), 1 << 18):
-            c, i = ctx[lo:lo + (1 << 18)], slice(lo, lo + (1 << 18))
-            w = self.weights[level[c]]
-            out[i] = np.log10(w[:, 0] * pair_n[i] / np.maximum(ctx_n[c], 1) + w[:, 1] * word_n[i] / max(self.total, 1)
+    def log10(self, ctx_n: np.ndarray, word_n: np.ndarray, pair_n: np.ndarray) -> np.ndarray:
+        out = np.empty(len(ctx_n))
+        for lo in range(0, len(ctx_n), 1 << 18):
+            c, i = ctx_n[lo:lo + (1 << 18)], slice(lo, lo + (1 << 18))
+            w = self.weights[self.levels(c)]
+            out[i] = np.log10(w[:, 0] * pair_n[i] / np.maximum(c, 1) + w[:, 1] * word_n[i] / max(self.total, 1)
                               + w[:, 2] / (self.distinct + 1))
         return out
 
@@ -248,20 +253,20 @@ def context_counts(docs: DataFrame, model: Model, buckets: int) -> DataFrame:
             at = _dealt(names[v], buckets)
             for b, i in _rows(at, np.argsort(at, kind="stable"), buckets):
                 own, count = np.unique(v[i], return_counts=True)
-                yield row(b, names[own], n[own], count.astype(np.uint32), to[i].astype(np.uint32))
+                yield row(b, names[own], narrow(n[own]), narrow(count), narrow(to[i]))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, starts in complete_groups(batches, ["bucket"]):
             blobs = batch.column("blob").to_pylist()
             for lo, hi in zip(starts[:-1], starts[1:]):
-                parts = [unpack(x, "QQII") for x in blobs[lo:hi]]
+                parts = [unpack(x, "uuuu") for x in blobs[lo:hi]]
                 names, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
                 n = np.bincount(at, np.concatenate([p[1] for p in parts]), len(names)).astype(np.uint64)
                 asked = np.repeat(at.astype(np.int64), np.concatenate([p[2] for p in parts])) * buckets + np.concatenate([p[3] for p in parts])
                 v, to = np.divmod(np.unique(asked), buckets)
                 v, to = v[n[v] > 0], to[n[v] > 0]
                 for b, i in _rows(to, np.argsort(to, kind="stable"), buckets):
-                    yield row(b, names[v[i]], n[v[i]])
+                    yield row(b, names[v[i]], narrow(n[v[i]]))
 
     asked = docs.select("train", "text").mapInArrow(ask, "bucket int, blob binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
     return asked.mapInArrow(answer, "bucket int, blob binary")
@@ -289,7 +294,7 @@ def held_out_cells(training: DataFrame, model: Model, buckets: int) -> tuple[lis
                 around, at = np.unique(ctx[i], return_inverse=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([b], pa.int32()), pa.array([False]),
-                     pa.array([pack(names[own], count.astype(np.uint32), names[around], at.astype(np.uint32), n[i].astype(np.uint32))], pa.binary())],
+                     pa.array([pack(names[own], narrow(count), names[around], narrow(at), narrow(n[i]))], pa.binary())],
                     names=["bucket", "asked", "blob"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,7 +302,7 @@ def held_out_cells(training: DataFrame, model: Model, buckets: int) -> tuple[lis
         for batch, starts in complete_groups(batches, ["bucket"]):
             blobs, asked = batch.column("blob").to_pylist(), batch.column("asked").to_pylist()
             for lo, hi in zip(starts[:-1], starts[1:]):
-                parts = [unpack(x, "QIQII") for x, a in zip(blobs[lo:hi], asked[lo:hi]) if not a]
+                parts = [unpack(x, "uuuuu") for x, a in zip(blobs[lo:hi], asked[lo:hi]) if not a]
                 if not parts:
                     continue
                 h = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
@@ -373,7 +378,7 @@ def score(docs: DataFrame, model: Model, buckets: int) -> DataFrame:
             # pairs above the share are scored here: their contexts are above it too
             here = np.zeros((3, len(sizes)))
             word_n = hot_n[number[known]]
-            for row, v in zip(here, (np.ones(known.sum()), np.log10(word_n + 1), model.log10(model.find_contexts(names, []), ctx[known], word_n, pair_n[known]))):
+            for row, v in zip(here, (np.ones(known.sum()), np.log10(word_n + 1), model.log10(model.find_contexts(names, [])[ctx[known]], word_n, pair_n[known]))):
                 row += np.bincount(owner[known], v, len(sizes))
             number, ctx, owner = number[~known], ctx[~known], owner[~known]
             order = np.lexsort((owner, number * len(names) + ctx))
@@ -392,8 +397,7 @@ def score(docs: DataFrame, model: Model, buckets: int) -> DataFrame:
             for b, i in _rows(to, np.argsort(to, kind="stable"), buckets):
                 own, count = np.unique(w[i], return_counts=True)
                 around, at = np.unique(ctx[i], return_inverse=True)
-                blob = pack(names[own], count.astype(np.uint32), names[around], at.astype(np.uint32), owner[i].astype(np.uint16), tf[i].astype(np.uint32),
-                            train.astype(np.uint8))
+                blob = pack(names[own], narrow(count), names[around], narrow(at), narrow(owner[i]), narrow(tf[i]), train.astype(np.uint8))
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([block], pa.int64()), pa.array([blob], pa.binary()),
                                                   *(pa.nulls(1, schema.field(k).type) for k in range(3, 6))], names=packed.names)
             block += 1
@@ -410,29 +414,30 @@ def score(docs: DataFrame, model: Model, buckets: int) -> DataFrame:
                 mid = lo + sum(x < 0 for x in block_of[lo:hi])
                 if mid == hi:
                     continue
-                parts = [unpack(x, "QIQIHIB") for x in batch.column("blob").slice(mid, hi - mid).to_pylist()]
+                parts = [unpack(x, "uuuuuuu") for x in batch.column("blob").slice(mid, hi - mid).to_pylist()]
                 # each block's words are sorted and distinct, so the bucket's are found without its entries
                 words = np.unique(np.concatenate([p[0] for p in parts]))
                 number = np.concatenate([np.repeat(np.searchsorted(words, p[0]).astype(np.int32), p[1]) for p in parts])
                 names, ctx = _places(parts)
                 ctx_n = model.find_contexts(names, batch.column("blob").slice(lo, mid - lo).to_pylist())
                 tf = np.concatenate([p[5] for p in parts]).astype(np.int32)
-                learned = np.concatenate([p[6][p[4]] for p in parts]) * tf
+                learned = np.concatenate([p[6][p[4]] for p in parts]) * tf  # in 32 bits, as are the places
                 parts = [p[4] for p in parts]
                 pair = number.astype(np.int64) * len(names) + ctx
                 known = np.unique(pair)
                 at = np.searchsorted(known, pair).astype(np.int32)
-                pair_n = np.bincount(at, learned, len(known)).astype(np.int64)[at]
-                del pair, known, at
+                pair_n = np.bincount(at, learned, len(known)).astype(np.int64)
+                del pair, known
                 is_hot, hot_n = model.find_hot(words)
-                word_n = np.where(is_hot, hot_n, np.bincount(number, learned, len(words)).astype(np.int64))[number]
-                del number, learned
-                values = tf * (word_n > 0), tf * np.log10(word_n + 1), tf * model.log10(ctx_n, ctx, word_n, pair_n)
-                del ctx, tf, word_n, pair_n
+                word_n = np.where(is_hot, hot_n, np.bincount(number, learned, len(words)).astype(np.int64))
+                del learned
                 edge = np.cumsum([0] + [len(p) for p in parts])
                 for k, p in enumerate(parts):
                     texts, where = np.unique(p, return_inverse=True)
-                    sums = [np.bincount(where, v[edge[k]:edge[k + 1]]) for v in values]
+                    i = slice(edge[k], edge[k + 1])
+                    own, times = word_n[number[i]], tf[i]
+                    values = times * (own > 0), times * np.log10(own + 1), times * model.log10(ctx_n[ctx[i]], own, pair_n[at[i]])
+                    sums = [np.bincount(where, v) for v in values]
                     yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([block_of[mid + k]], pa.int64()),
                                                       pa.array([pack(texts.astype(np.uint32), *sums)], pa.binary()),
                                                       *(pa.nulls(1, batch.schema.field(j).type) for j in range(3, 6))], names=packed.names)
@@ -448,7 +453,7 @@ def score(docs: DataFrame, model: Model, buckets: int) -> DataFrame:
                 ids, held, sizes = (batch.column(c).slice(at, 1).flatten() for c in ("ids", "held", "sizes"))
                 sums = np.zeros((3, len(sizes)))
                 for x in blobs[lo:hi]:
-                    texts, *parts = unpack(x, "Iddd")
+                    texts, *parts = unpack(x, "uddd")
                     sums[:, texts] += np.stack(parts)
                 yield pa.RecordBatch.from_arrays([ids, held, sizes, pa.array(np.round(sums[0]).astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])],
                                                  names=result.names)
