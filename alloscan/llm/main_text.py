@@ -5,11 +5,12 @@ length and its commas; its container gets them whole, the containers above in ha
 Each container's points are lowered by its link density. The container with most points is the article;
 its siblings that score well enough by the same measure are kept with it, and so are headings and long
 prose with few links. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-comments are left out before scoring, by tag or by the words of their class, id and role.
+comments are left out before scoring, by tag or by the words of their class, id and role. Embedded elements (``ASIDE``)
+are left out if their own end tag closes them.
 
 Defined cases: a null or empty page, and one without a text block, give an empty text; broken nesting is
 closed at the next end tag that fits, and what is open at the end of a page ends there, so a page cut
-short keeps its text; a page without any container gives its body's blocks; repeated rows get the same
+short keeps its text, also after an embedded element that is never closed; a page without any container gives its body's blocks; repeated rows get the same
 result; an empty table gives an empty result. Only ``html`` is read, other columns are passed on.
 """
 
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 
 # fixed values: HTML's elements by their role here
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes svg math object canvas audio video".split())
+RAW = frozenset("script style textarea title xmp".split())
+ASIDE = frozenset("noscript iframe template noembed noframes svg object canvas audio video".split())
 LEFT_OUT = RAW | frozenset("head nav footer aside form button select option menu dialog label fieldset input".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer "
                   "form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th "
@@ -57,10 +59,10 @@ _WORDS = re.compile(r"[a-z]+")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "out", "points", "chars", "links", "own")
+    __slots__ = ("tag", "parent", "out", "aside", "points", "chars", "links", "own")
 
     def __init__(self, tag: str, parent: _Node | None, out: bool):
-        self.tag, self.parent, self.out = tag, parent, out
+        self.tag, self.parent, self.out, self.aside = tag, parent, out, False
         self.points = 0.0
         self.chars = self.links = 0
         self.own: list[tuple[int, str, int]] = []
@@ -112,12 +114,13 @@ def blocks_of(page: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
         if m[1]:
             if name == "a":
                 depth_a = max(0, depth_a - 1)
-            elif name in BLOCK or name in LEFT_OUT:
+            elif name in BLOCK or name in LEFT_OUT or name in ASIDE:
                 flush()
                 node = here
                 while node is not None and node.tag != name:
                     node = node.parent
                 if node is not None and node.parent is not None:
+                    node.aside = name in ASIDE
                     here = node.parent
                     depth_a = 0
             continue
@@ -133,7 +136,9 @@ def blocks_of(page: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        if name in BLOCK or name in LEFT_OUT:
+        if name in ASIDE and m[3].endswith("/"):
+            continue
+        if name in BLOCK or name in LEFT_OUT or name in ASIDE:
             flush()
             if name == "p" and here.tag == "p" or name == "li" and here.tag == "li":
                 here = here.parent
@@ -144,7 +149,9 @@ def blocks_of(page: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
                          or name not in WHOLE and _unwanted(m[3]))
             nodes.append(here)
     flush()
-    return nodes, found
+    for node in nodes[1:]:
+        node.out = node.out or node.aside or node.parent.out
+    return nodes, [x for x in found if not x[0].out]
 
 
 def _inside(node: _Node | None, tag: str) -> bool:

@@ -139,6 +139,11 @@ PAGES = [
     ("<article><p>x &lt;b&gt; y<script>var a='</p>';</script><style>p{}</style><!-- no <p> --> z</p></article", "x <b> y\nz"),
     ("<div><p>Cut off in a ta<a hre", "Cut off in a ta"),
     ("<html class=cookie><body class=ads><main class='sidebar-right'><p>Main words, here.</p><div id=comment-1><p>reader, says</p></div></main></body>", "Main words, here."),
+    ("<article><p>One <svg class=icon viewBox='0 0 1 1'/> two.</p><p>Three, four.</p><svg><path d=x /></svg><p>Five.</p></article>", "One two.\nThree, four.\nFive."),
+    ("<article><p>One, two.</p><noscript>Three.<p>Four.</p></article><footer>x</footer>", "One, two.\nThree.\nFour."),
+    ("<article><p>One, two.</p><object data=x><p>Three</p><noscript><p>no</p></noscript><p>Four.</p>", "One, two.\nThree\nFour."),
+    ("<article><p>One, two.</p><noscript><p>no</p><iframe>no</noscript><video src=x>no <b>no</b></video><p>Three.</p></article>", "One, two.\nThree."),
+    ("<article><p>Let <math><mi>x</mi> <mo>=</mo> <mn>1</mn></math> hold.</p></article>", "Let x = 1 hold."),
     ("<div class='content has-sidebar'><p>Kept text, with commas, here.</p></div>", "Kept text, with commas, here."),
 ]
 
