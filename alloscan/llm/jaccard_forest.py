@@ -310,7 +310,10 @@ def _shingles_of(docs: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``doc_id, key`` per document and ``key, class_id, least_id, n_links`` per set (none for texts without words)."""
+    """``doc_id, key`` per document and ``key, root, class_id, least_id, n_links`` per set (none for texts without words).
+
+    ``root`` names the class, which ``class_id`` does not; it is null for a set without links to others.
+    """
     rows = written(docs.select("doc_id", "text").mapInArrow(
         _read, docs.select("doc_id").schema.add("key", "string").add("size", "long").add("signature", "binary")))
     sets = written(rows.where("key is not null").groupBy("key").agg(
@@ -332,10 +335,10 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = written(compared.mapInArrow(_verify, "key string, first string, links long"))
     roots = components(links.select(F.col("key").alias("a"), F.col("first").alias("b"))).join(sets.select("key", "least_id"), "key")
     heads = roots.groupBy("root").agg(F.min("least_id").alias("class_id"))
-    linked = roots.join(heads, "root").select("key", "class_id").join(links.groupBy("key").agg(F.sum("links").alias("links")), "key")
+    linked = roots.join(heads, "root").select("key", "root", "class_id").join(links.groupBy("key").agg(F.sum("links").alias("links")), "key")
     every = sets.select("key", "least_id", "copies").join(linked, "key", "left")
     return rows.select("doc_id", "key"), written(every.select(
-        "key", F.coalesce("class_id", "least_id").alias("class_id"), "least_id",
+        "key", "root", F.when(F.col("root").isNull(), F.col("least_id")).otherwise(F.col("class_id")).alias("class_id"), "least_id",
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
 
 
@@ -347,7 +350,7 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents of ``docs`` that are first of their class by id; of equal rows one, and all rows of texts without words.
+    """Of each class of ``docs`` one document, with the least id (or a null one, if it has no other), and all rows of texts without words.
 
     Rows meet the classes by the name of their set, computed again on the way.
     """
@@ -362,8 +365,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     own = aside[docs.columns.index("doc_id")]
     _, sets = classes(docs)
     # the head of a class is one set; of its documents the one with the least id
-    heads = sets.groupBy("class_id").agg(F.min(F.struct(F.coalesce(F.col("least_id") != F.col("class_id"), F.lit(False)).alias("o"), "key")).alias("h"))
-    heads = heads.select(F.col("h.key").alias("key"), F.col("class_id").alias("_first"))
+    heads = sets.groupBy(F.coalesce("root", "key").alias("class")).agg(
+        F.min(F.struct((~F.col("least_id").eqNullSafe(F.col("class_id"))).alias("o"), "key", "class_id")).alias("h"))
+    heads = heads.select("h.key", F.col("h.class_id").alias("_first"))
     named = docs.toDF(*aside)
     named = named.mapInArrow(name, StructType([*named.schema.fields, StructField("key", StringType())]))
     kept = named.join(heads, "key").where(F.col(own).eqNullSafe(F.col("_first"))).drop("_first").dropDuplicates(["key"])

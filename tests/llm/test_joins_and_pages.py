@@ -97,6 +97,15 @@ def test_join_equals_all_pairs(spark, monkeypatch, bucket, cluster, chars):
     assert sum(not shingles(r["text"]) for r in kept) == sum(not shingles(t) for _, t in rows)
 
 
+def test_classes_with_null_or_shared_ids_keep_one_text_each(spark):
+    text = lambda k, n=100: " ".join(f"{k}{i}" for i in range(n))
+    near = lambda k: text(k) + " and more"
+    rows = [(None, text("a")), (None, text("b")), (None, near("b")), (None, text("c")), (None, text("c")), (7, near("c")), (3, text("d")), (3, text("e")),
+            (3, near("e")), (4, near("e")), (9, text("f")), (None, near("f")), (None, None), (3, "")]
+    kept = [(r["doc_id"], (r["text"] or "").split(" ")[0][:1]) for r in jf.one_of_each(frame(spark, rows)).collect()]
+    assert Counter(kept) == Counter([(None, "a"), (None, "b"), (7, "c"), (3, "d"), (3, "e"), (9, "f"), (None, ""), (3, "")])
+
+
 def test_join_of_no_rows(spark):
     assert jf.join(frame(spark, [(1, "a")]).limit(0)).count() == 0
 
