@@ -6,9 +6,9 @@ bounded sample of documents, some of them rewritten the way people write them to
 ``@``, a phone number without its ``+``). Overlapping windows are decoded by Viterbi; each character then
 takes the tag of the window that holds it nearest its middle, and spans are read off the whole text.
 
-The four kinds all hold a digit or an ``@``, so windows with neither are outside throughout and are not run.
-A span of the network is added if it overlaps no span of the patterns; a card number or IP address must
-also pass the patterns' check of its digits.
+Every window is run, as an address can be written without a digit or an ``@``. A span of the network is added if
+it overlaps no span of the patterns; a card number, IP address or phone number must also pass the patterns' check
+of its digits.
 
 Defined cases: a null text is an empty one and has no spans; if the sample has no span, the patterns work
 alone; spans are in code points, end exclusive; repeated rows get the same result; an empty table gives an
@@ -37,6 +37,8 @@ TAGS = 1 + 2 * len(KINDS)
 STEPS, BATCH, RATE = 420, 48, 0.01
 #: Share of the labelled spans that are shown rewritten.
 REWRITTEN = 0.3
+#: Windows of a text that are learned from wherever they lie.
+PLAIN_WINDOWS = 4
 WINDOWS_AT_ONCE = 2048
 SEED = 11
 
@@ -91,7 +93,7 @@ def character_rows(cp: np.ndarray) -> np.ndarray:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
 def fresh(rng: np.random.Generator) -> dict[str, np.ndarray]:
@@ -175,6 +177,20 @@ def viterbi(p: dict[str, np.ndarray], e: np.ndarray) -> np.ndarray:
     return tags
 
 
+def may_hold_a_span(p: dict[str, np.ndarray], e: np.ndarray) -> np.ndarray:
+    """Which windows can have a best path that is not outside throughout, by a bound with one tag for all others."""
+    step, first = steps_of(p)
+    gain = e[:, :, 1]
+    for k in range(2, TAGS):
+        gain = np.maximum(gain, e[:, :, k])
+    gain = gain - e[:, :, 0]
+    into, on, back = (x.max() - step[0, 0] for x in (step[0, 1:], step[1:, 1:], step[1:, 0]))
+    outside, within = np.zeros(e.shape[1], np.float32), first[1:].max() - first[0] + gain[0]
+    for g in gain[1:]:
+        outside, within = np.maximum(outside, within + back), np.maximum(outside + into, within + on) + g
+    return np.maximum(outside, within) > 0
+
+
 def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis, keepdims=True)
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis))
@@ -209,7 +225,7 @@ def rewritten(text: str, kind: int, rng: np.random.Generator) -> str:
 
 
 def examples(texts: list[str], rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Character rows and tags of windows at random offsets around digits and ``@`` of the texts."""
+    """Character rows and tags of windows at random offsets around digits, ``@`` and spans of the texts, and at some other places."""
     rows, tags = [], []
     for text in texts:
         parts, marks, at = [], [], 0
@@ -225,9 +241,9 @@ def examples(texts: list[str], rng: np.random.Generator) -> tuple[np.ndarray, np
         parts.append(text[at:])
         marks.append(np.zeros(len(text) - at, np.int64))
         r, g = character_rows(code_points("".join(parts))), np.concatenate(marks)
-        spots = np.flatnonzero(((r >= 48) & (r < 58)) | (r == 64))
+        spots = np.flatnonzero(((r >= 48) & (r < 58)) | (r == 64) | (g % 2 == 1))
         near = spots[np.concatenate(([True], np.diff(spots) > WINDOW // 2))] if len(spots) else spots
-        for spot in near[:20]:
+        for spot in (*near[:20], *rng.integers(len(r), size=PLAIN_WINDOWS if len(r) else 0)):
             lo = max(0, spot - int(rng.integers(WINDOW)))
             cut = slice(lo, lo + WINDOW)
             pad = WINDOW - len(r[cut])
@@ -274,28 +290,31 @@ def train(texts: list[str]) -> dict[str, np.ndarray] | None:
 
 def network_spans(texts: list[str], p: dict[str, np.ndarray]) -> list[list[tuple[int, int, int]]]:
     """Spans of each text by the network alone, before any check."""
-    windows, places, out = [], [], [[] for _ in texts]
+    windows, places, out = [np.zeros((0, WINDOW), np.uint8)], [], [[] for _ in texts]
     for i, text in enumerate(texts):
+        if not text:
+            continue
         r = character_rows(code_points(text))
-        hit = ((r >= 48) & (r < 58)) | (r == 64)
         last = max(0, -(-(len(r) - WINDOW) // STRIDE))
-        spots = np.flatnonzero(hit) // STRIDE
-        for k in np.unique(np.concatenate((spots, spots - 1))):
-            if 0 <= k <= last:
-                cut = r[k * STRIDE:k * STRIDE + WINDOW]
-                windows.append(np.concatenate((cut, np.full(WINDOW - len(cut), CHARACTERS - 1))))
-                places.append((i, int(k), k == 0, k == last, len(cut)))
-    tags = np.zeros((0, WINDOW), np.int64)
-    if windows:
-        rows = np.array(windows)
-        tags = np.concatenate([viterbi(p, emissions(p, rows[lo:lo + WINDOWS_AT_ONCE])) for lo in range(0, len(rows), WINDOWS_AT_ONCE)])
+        padded = np.full(last * STRIDE + WINDOW, CHARACTERS - 1, np.uint8)
+        padded[:len(r)] = r
+        windows.append(np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STRIDE])
+        places += [(i, k, k == 0, k == last, min(WINDOW, len(r) - k * STRIDE)) for k in range(last + 1)]
+    rows = np.concatenate(windows)
+    tags = np.zeros(rows.shape, np.int8)
+    for lo in range(0, len(rows), WINDOWS_AT_ONCE):
+        e = emissions(p, rows[lo:lo + WINDOWS_AT_ONCE])
+        likely = np.flatnonzero(may_hold_a_span(p, e))
+        if len(likely):
+            tags[lo + likely] = viterbi(p, e[:, likely])
     edge = (WINDOW - STRIDE) // 2
     i_open, open_span = -1, None
-    for (i, k, head, tail, size), row in zip(places, tags):
+    for w in np.flatnonzero(tags.any(1)):
+        (i, k, head, tail, size), row = places[w], tags[w]
         lo, hi = 0 if head else edge, size if tail else edge + STRIDE
         if i != i_open:
             i_open, open_span = i, None
-        for j in range(lo, hi) if row[lo:hi].any() else ():
+        for j in range(lo, hi):
             t = int(row[j])
             if t == 0:
                 continue
@@ -312,15 +331,15 @@ def all_spans(texts: list[str], p: dict[str, np.ndarray] | None) -> list[tuple[l
     """For each text the patterns' spans, and those with what the network adds."""
     likely = [i for i, t in enumerate(texts) if re.search("[0-9@]", t)]
     base = {i: base_spans(texts[i]) for i in likely}
-    found = dict(zip(likely, network_spans([texts[i] for i in likely], p))) if p is not None else {}
+    found = network_spans(texts, p) if p is not None else [[]] * len(texts)
     out = []
     for i, text in enumerate(texts):
         own, added = base.get(i, []), []
-        for start, kind, end in found.get(i, []):
+        for start, kind, end in found[i]:
             part = text[start:end]
             start, end = start + len(part) - len(part.lstrip()), end - len(part) + len(part.rstrip())
             part = text[start:end]
-            if len(_digits(part)) + part.count("@") == 0 or any(s < end and start < e for s, _, e in own):
+            if not part or any(s < end and start < e for s, _, e in own):
                 continue
             if kind == 1 and not ip_address(part) or kind == 2 and not card_number(part) or kind == 3 and not 9 <= len(_digits(part)) <= 15:
                 continue

@@ -336,6 +336,33 @@ def test_network_finds_held_out_spans(spark):
     assert pd_.scan(frame(spark, [(1, "no digit here")])).first()["spans"] == ""
 
 
+def test_addresses_without_digit_or_at_sign_come_back():
+    rng = random.Random(7)
+    plain = ["the", "of", "Mann", "être", "thing.", "host", "(or)", "[sic]", "at", "look at (this)"]
+    name = lambda: "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(3, 8)))
+
+    def text(mark):
+        ws = [rng.choice(plain) for _ in range(30)]
+        mail = f"{name()}{mark}{name()}.{rng.choice(['org', 'net', 'example.com'])}"
+        at = rng.randrange(30)
+        return " ".join([*ws[:at], mail, *ws[at:]]), (len(" ".join([*ws[:at], ""])), mail)
+    p = pd_.train([text("@")[0] for _ in range(600)])
+    cases = [text(m) for m in (" (at) ", " [at] ") for _ in range(60)]
+    found = pd_.all_spans([t for t, _ in cases], p)
+    hit = sum(any(k == 0 and a < start + len(mail) and start < b for a, k, b in every) for (_, (start, mail)), (_, every) in zip(cases, found))
+    assert hit > 0.5 * len(cases)
+    assert not any(every for _, every in pd_.all_spans([" ".join(rng.choice(plain) for _ in range(60)) for _ in range(60)], p))
+
+
+def test_windows_left_out_of_decoding_are_outside():
+    rng = np.random.default_rng(2)
+    p = pd_.fresh(rng)
+    e = rng.normal(size=(12, 400, pd_.TAGS)).astype(np.float32)
+    e[:, :, 0] += np.linspace(0, 4, 400)
+    may = pd_.may_hold_a_span(p, e)
+    assert not pd_.viterbi(p, e)[~may].any() and 0 < may.sum() < 400
+
+
 # --- pieces
 
 
