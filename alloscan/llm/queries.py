@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from alloscan.llm import (decontaminate, interpolated_lm, jaccard_forest, language_id, main_text, personal_data, piece_codec,
-                          quality_hosts, secret_markov, toxicity)
+                          quality_hosts, repeat_cutter, secret_markov, slot_negatives, spelling_variants, toxicity)
 from alloscan.llm.common import table
 
 
@@ -51,6 +51,18 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_repeat_cutter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_cutter.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.group(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_slot_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slot_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_quality_hosts": op2_quality_hosts,
@@ -62,9 +74,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_main_text": op8_main_text,
     "op9_piece_codec": op9_piece_codec,
     "op10_personal_data": op10_personal_data,
+    "op11_repeat_cutter": op11_repeat_cutter,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_slot_negatives": op13_slot_negatives,
 }
 
 ORACLES: dict[str, str] = {
     "op2_quality_hosts": quality_hosts.ORACLE_SQL,
     "op7_decontaminate": decontaminate.ORACLE_SQL,
+    "op13_slot_negatives": slot_negatives.ORACLE_SQL,
 }
