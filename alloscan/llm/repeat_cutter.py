@@ -42,7 +42,7 @@ GRAM = 128
 #: Bytes hashed at once, and the bits of a place in a block.
 BLOCK_BYTES, PLACE_BITS = 1 << 20, 21
 #: Bytes from which a shard takes no further anchor, and names of an anchor in one shard.
-SHARD_BYTES, ANCHOR_BLOCK = 1 << 20, 1000
+SHARD_BYTES, ANCHOR_BLOCK = 1 << 20, 200
 #: Strings of a range of the merge, at most about this many.
 RANGE_STRINGS = 1 << 19
 #: Neighbouring positions walked by a lane.
