@@ -1,15 +1,16 @@
 """Benchmark decontamination by spaced seeds (DataFrame operations only).
 
-Texts are lower-cased runs of letters and digits. A fixed mask reads ``WEIGHT`` of the tokens below it and
+Texts are lower-cased runs of letters and digits. A fixed mask reads six of the tokens below it and
 skips the others, so a substitution at a skipped place leaves its hash as it is. Hashes of the items and
 of the documents meet in an equi-join; around every hit the item is laid on the document at the hit's
 offset and the aligned tokens are compared. A document is contaminated by an item if some window of
 n = ``WINDOW`` aligned tokens (the whole item, if it is shorter) has at most n div 5 - 1 substitutions: 3
-of 20, 2 of 15 to 19, 1 of 13 or 14. The two masks below hit every such window, so none is lost.
+of 20, 2 of 15 to 19, 1 of 13 or 14. The two masks below hit every such window, so none is lost. An item of
+fewer than ``LEAST_MASKED`` tokens must be there word for word; the hash of all its tokens is its one seed.
 
-Defined cases: a null text has no tokens; items of fewer than ``LEAST_ITEM`` tokens are too short to be
-evidence and match nothing; repeated rows get the same result; rows with a null id are judged like
-others; empty tables give no matches. Only the named columns are read.
+Defined cases: a null text has no tokens; items without tokens match nothing; repeated rows get the same result;
+rows with a null id, documents or items, are judged like others (items of one id give one row); empty tables give
+no matches. Only the named columns are read, and ``clean`` returns all columns of its input as they are.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from alloscan.llm.common import written
 MASKS = ((0, 6, 8, 9, 10, 12), (0, 1, 2, 5, 6, 9))
 SPAN = max(m[-1] for m in MASKS) + 1
 WINDOW = 20
-LEAST_ITEM = 13
+LEAST_MASKED = 13
 #: Bits of the bit set for each item seed, and the range of its size: it only saves work, a full one drops no match.
 BITS_PER_SEED, SET_BITS = 512, (16, 22)
 
@@ -32,31 +33,30 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
-def _seeds(hashes: str, keep: str) -> str:
-    """SQL for array<struct<h, i>>: the hash of every mask at every place, where ``keep`` holds for it.
+def _seed(hashes: str, number: int, places: tuple[int, ...]) -> str:
+    """SQL for the hash of the tokens at ``places`` behind token ``i``; null where they reach beyond the last."""
+    read = ", ".join(f"get({hashes}, i + {o})" for o in places)
+    return f"if(i + {places[-1]} < size({hashes}), xxhash64({number}, {read}), cast(null as bigint))"
 
-    ``hashes`` names an array with one hash per token. The first test is made before a struct is.
-    """
-    parts = []
-    for number, mask in enumerate(MASKS):
-        seed = f"xxhash64({number}, " + ", ".join(f"{hashes}[i + {o}]" for o in mask) + ")"
-        places = f"filter(sequence(0, size({hashes}) - {mask[-1] + 1}), i -> {keep.format(h=seed)})"
-        parts.append(f"case when size({hashes}) > {mask[-1]} then transform({places}, i -> named_struct('h', {seed}, 'i', i)) "
-                     "else cast(array() as array<struct<h:bigint,i:int>>) end")
-    return f"concat({', '.join(parts)})"
+
+def _short(length: int) -> tuple[int, tuple[int, ...]]:
+    """Number and places of the seed of a short item."""
+    return 100 + length, tuple(range(length))
 
 
 def benchmark_items(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """``item, item_words`` of the items that are long enough."""
-    return (benchmark.select(F.col(item_id).alias("item"), tokens(F.col(text)).alias("item_words"))
-            .where(F.size("item_words") >= LEAST_ITEM))
+    """``row, item, item_words`` of the items that have a token; ``row`` tells them apart whatever their ids."""
+    return (benchmark.select(F.col(item_id).alias("item"), tokens(F.col(text)).alias("item_words")).where(F.size("item_words") > 0)
+            .select(F.monotonically_increasing_id().alias("row"), "item", "item_words"))
 
 
 def item_seeds(items: DataFrame) -> DataFrame:
-    """``h, item, item_at``: one row per item, mask and place."""
-    return (items.withColumn("_h", F.transform("item_words", lambda w: F.xxhash64(w)))
-            .select("item", F.explode(F.expr(_seeds("_h", "true"))).alias("x"))
-            .select("x.h", "item", F.col("x.i").alias("item_at")))
+    """``h, row, item_at``: one row per item, mask and place; one for a short item."""
+    at = items.select("row", F.transform("item_words", lambda w: F.xxhash64(w)).alias("_h")).select(
+        "row", "_h", F.explode(F.sequence(F.lit(0), F.size("_h") - 1)).alias("i"))
+    masked = " ".join(f"when size(_h) = {n} then if(i = 0, array({_seed('_h', *_short(n))}), array())" for n in range(1, LEAST_MASKED))
+    masked = f"case {masked} else array({', '.join(_seed('_h', k, m) for k, m in enumerate(MASKS))}) end"
+    return at.select("row", F.col("i").alias("item_at"), F.explode(F.expr(masked)).alias("h")).where("h is not null").select("h", "row", "item_at")
 
 
 def _bit_test(seeds: DataFrame) -> str:
@@ -94,26 +94,32 @@ def _best_window() -> Column:
 def matches(docs: DataFrame, benchmark: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """``keys, item, best_equal``: the documents that hold an item, with the most equal tokens of a good window.
 
-    Document hashes pass the items' bit set inside their row before any row is made of them. Those that
-    pass carry the tokens around them, so verification needs no second look at the documents. Spark
+    Every place of a document becomes a row only within its task: those whose hashes pass the items' bit set
+    go on, with the tokens around them, so verification needs no second look at the documents. Spark
     broadcasts the seeds if their written table is small and joins by hash if it is not.
     """
     items = written(benchmark_items(benchmark))
     seeds = written(item_seeds(items))
-    before = WINDOW - 1
-    passed = (docs.select(*keys, tokens(F.col(text)).alias("_w"))
+    lengths = [r[0] for r in items.where(F.size("item_words") < LEAST_MASKED).select(F.size("item_words")).distinct().collect()]
+    kinds = [*enumerate(MASKS), *map(_short, sorted(lengths))]
+    before, test = WINDOW - 1, _bit_test(seeds)
+    places = (docs.select(*keys, tokens(F.col(text)).alias("_w")).where(F.size("_w") > 0)
               .withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
-              .withColumn("_x", F.expr(_seeds("_h", _bit_test(seeds))))
-              .select(*keys, F.explode(F.expr(
-                  f"transform(_x, x -> named_struct('h', x.h, 'at', least(x.i, {before}), "
-                  f"'words', slice(_w, greatest(x.i - {before}, 0) + 1, least(x.i, {before}) + {SPAN + before})))")).alias("x"))
-              .select(*keys, "x.h", "x.at", "x.words"))
+              .select(*keys, "_w", "_h", F.explode(F.sequence(F.lit(0), F.size("_h") - 1)).alias("i"))
+              .select(*keys, "_w", "i", *[F.expr(_seed("_h", *k)).alias(f"_s{n}") for n, k in enumerate(kinds)]))
+    likely = [test.format(h=f"_s{n}") for n in range(len(kinds))]
+    passed = (places.where(" or ".join(likely))
+              .select(*keys, F.least("i", F.lit(before)).alias("at"),
+                      F.expr(f"slice(_w, greatest(i - {before}, 0) + 1, least(i, {before}) + {SPAN + before})").alias("words"),
+                      F.explode(F.expr(f"array({', '.join(f'if({x}, _s{n}, null)' for n, x in enumerate(likely))})")).alias("h"))
+              .where("h is not null"))
     n = F.least(F.lit(WINDOW), F.size("item_words"))
-    return (passed.join(seeds, "h").join(items, "item")
+    most = F.when(n < LEAST_MASKED, 0).otherwise(F.floor(n / 5) - 1)
+    return (passed.join(seeds, "h").join(items, "row")
             .withColumn("offset", F.col("at") - F.col("item_at"))
             .withColumn("best_equal", _best_window())
             .groupBy(*keys, "item")
-            .agg(F.max(F.when(n - F.col("best_equal") <= F.floor(n / 5) - 1, F.col("best_equal"))).cast("long").alias("best_equal"))
+            .agg(F.max(F.when(n - F.col("best_equal") <= most, F.col("best_equal"))).cast("long").alias("best_equal"))
             .where(F.col("best_equal").isNotNull()))
 
 
@@ -124,24 +130,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that hold an item; rows meet by id and text, so a shared id does no harm."""
-    keyed = docs.withColumns({"_id": F.col("doc_id").cast("string"), "_th": F.xxhash64("text")})
+    keyed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"), F.col("doc_id").cast("string").alias("id"), F.xxhash64("text").alias("th"))
     # written first, so that its size is known before the documents are moved
-    bad = written(matches(keyed, benchmark, ["_id", "_th"]).select(F.col("_id").alias("_bid"), F.col("_th").alias("_bth")).distinct())
-    return (keyed.join(bad, F.col("_id").eqNullSafe(F.col("_bid")) & (F.col("_th") == F.col("_bth")), "left_anti")
-            .select(*docs.columns))
+    bad = written(matches(keyed.select("id", "th", "doc.text"), benchmark, ["id", "th"]).select(F.col("id").alias("bid"), F.col("th").alias("bth")).distinct())
+    return (keyed.join(bad, F.col("id").eqNullSafe(F.col("bid")) & (F.col("th") == F.col("bth")), "left_anti")
+            .select("doc.*"))
 
 
 ORACLE_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
                   list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM documents),
-b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS bw FROM benchmark),
-bi AS (SELECT item_id, bw, least(20, len(bw)) AS n FROM b WHERE len(bw) >= 13),
+b AS (SELECT row_number() OVER () AS bid, item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS bw FROM benchmark),
+bi AS (SELECT bid, item_id, bw, least(20, len(bw)) AS n, CASE WHEN len(bw) < 13 THEN 0 ELSE least(20, len(bw)) // 5 - 1 END AS most FROM b WHERE len(bw) > 0),
 dg AS (SELECT rid, i, ws[i:i + 4] AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 3)) AS i FROM d)),
-bg AS (SELECT item_id, j, bw[j:j + 4] AS g FROM (SELECT item_id, bw, unnest(range(1, len(bw) - 3)) AS j FROM bi)),
-cand AS (SELECT DISTINCT rid, item_id, i - j AS o FROM dg JOIN bg USING (g)),
-al AS (SELECT rid, doc_id, item_id, n, [CASE WHEN j + o < 1 OR j + o > len(ws) THEN -1000 WHEN ws[j + o] = bw[j] THEN 1 ELSE 0 END
+bg AS (SELECT bid, j, bw[j:j + 4] AS g FROM (SELECT bid, bw, unnest(range(1, len(bw) - 3)) AS j FROM bi WHERE n >= 13)),
+ds AS (SELECT rid, i, ws[i:i + l - 1] AS g FROM (SELECT rid, ws, l, unnest(range(1, len(ws) - l + 2)) AS i FROM d, (SELECT DISTINCT n AS l FROM bi WHERE n < 13))),
+cand AS (SELECT DISTINCT rid, bid, i - j AS o FROM dg JOIN bg USING (g)
+         UNION SELECT rid, bid, i - 1 FROM ds JOIN bi ON ds.g = bi.bw AND bi.n < 13),
+al AS (SELECT rid, doc_id, item_id, n, most, [CASE WHEN j + o < 1 OR j + o > len(ws) THEN -1000 WHEN ws[j + o] = bw[j] THEN 1 ELSE 0 END
               FOR j IN range(1, len(bw) + 1)] AS v
-       FROM cand JOIN d USING (rid) JOIN bi USING (item_id)),
-best AS (SELECT doc_id, item_id, n, list_max([list_sum(v[s:s + n - 1]) FOR s IN range(1, len(v) - n + 2)]) AS e FROM al)
-SELECT doc_id, item_id, max(e)::BIGINT AS best_equal FROM best WHERE n - e <= n // 5 - 1 GROUP BY doc_id, item_id
+       FROM cand JOIN d USING (rid) JOIN bi USING (bid)),
+best AS (SELECT doc_id, item_id, n, most, list_max([list_sum(v[s:s + n - 1]) FOR s IN range(1, len(v) - n + 2)]) AS e FROM al)
+SELECT doc_id, item_id, max(e)::BIGINT AS best_equal FROM best WHERE n - e <= most GROUP BY doc_id, item_id
 """

@@ -6,9 +6,9 @@ bounded sample of documents, some of them rewritten the way people write them to
 ``@``, a phone number without its ``+``). Overlapping windows are decoded by Viterbi; each character then
 takes the tag of the window that holds it nearest its middle, and spans are read off the whole text.
 
-Every window is run, as an address can be written without a digit or an ``@``. A span of the network is added if
-it overlaps no span of the patterns; a card number, IP address or phone number must also pass the patterns' check
-of its digits.
+A span of the network is added if it overlaps no span of the patterns and passes a check of its kind: the patterns'
+check of its digits; an e-mail address must touch a name, a mark (``@``, ``(at)``, ``[at]``) and a host with a dot, and
+takes their borders. What passes holds a digit or a mark, so windows that have none, nor one within a window's length, are not run.
 
 Defined cases: a null text is an empty one and has no spans; if the sample has no span, the patterns work
 alone; spans are in code points, end exclusive; repeated rows get the same result; an empty table gives an
@@ -50,6 +50,11 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 
+#: fixed values: what the network may add as an address, and the marks in it
+_ADDRESS = re.compile(r"[A-Za-z0-9._%+-]*[A-Za-z0-9] ?(?:@|[(\[]at[)\]]) ?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", re.I)
+_EVIDENCE = re.compile(r"[0-9@]|[(\[]at[)\]]", re.I)
+
+
 def _digits(text: str) -> list[int]:
     return [ord(c) - 48 for c in text if "0" <= c <= "9"]
 
@@ -288,18 +293,30 @@ def train(texts: list[str]) -> dict[str, np.ndarray] | None:
     return p
 
 
+def evidence(r: np.ndarray) -> np.ndarray:
+    """Which characters (rows of the input table) are a digit, an ``@`` or the first of another mark."""
+    out = ((r >= 48) & (r < 58)) | (r == 64)
+    if len(r) > 3:
+        low = r | 32  # as the letters in lower case; brackets are compared as they are
+        out[:-3] |= ((r[:-3] == 40) | (r[:-3] == 91)) & (low[1:-2] == 97) & (low[2:-1] == 116) & ((r[3:] == 41) | (r[3:] == 93))
+    return out
+
+
 def network_spans(texts: list[str], p: dict[str, np.ndarray]) -> list[list[tuple[int, int, int]]]:
     """Spans of each text by the network alone, before any check."""
     windows, places, out = [np.zeros((0, WINDOW), np.uint8)], [], [[] for _ in texts]
     for i, text in enumerate(texts):
-        if not text:
+        if not _EVIDENCE.search(text):
             continue
         r = character_rows(code_points(text))
         last = max(0, -(-(len(r) - WINDOW) // STRIDE))
         padded = np.full(last * STRIDE + WINDOW, CHARACTERS - 1, np.uint8)
         padded[:len(r)] = r
-        windows.append(np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STRIDE])
-        places += [(i, k, k == 0, k == last, min(WINDOW, len(r) - k * STRIDE)) for k in range(last + 1)]
+        first = np.arange(last + 1) * STRIDE
+        seen = np.concatenate(([0], np.cumsum(evidence(r))))
+        run = np.flatnonzero(seen[np.minimum(first + 2 * WINDOW, len(r))] > seen[np.maximum(first - WINDOW, 0)])
+        windows.append(np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STRIDE][run])
+        places += [(i, k, k == 0, k == last, min(WINDOW, len(r) - k * STRIDE)) for k in run.tolist()]
     rows = np.concatenate(windows)
     tags = np.zeros(rows.shape, np.int8)
     for lo in range(0, len(rows), WINDOWS_AT_ONCE):
@@ -334,17 +351,22 @@ def all_spans(texts: list[str], p: dict[str, np.ndarray] | None) -> list[tuple[l
     found = network_spans(texts, p) if p is not None else [[]] * len(texts)
     out = []
     for i, text in enumerate(texts):
-        own, added = base.get(i, []), []
+        own, added = base.get(i, []), set()
         for start, kind, end in found[i]:
             part = text[start:end]
             start, end = start + len(part) - len(part.lstrip()), end - len(part) + len(part.rstrip())
+            if kind == 0:
+                near = _ADDRESS.finditer(text, max(0, start - WINDOW), end + WINDOW)
+                start, end = next((m.span() for m in near if m.start() < end and start < m.end()), (start, start))
             part = text[start:end]
             if not part or any(s < end and start < e for s, _, e in own):
                 continue
             if kind == 1 and not ip_address(part) or kind == 2 and not card_number(part) or kind == 3 and not 9 <= len(_digits(part)) <= 15:
                 continue
-            added.append((start, kind, end))
-        out.append((own, sorted(own + added)))
+            if kind == 3 and (text[max(0, start - 2):start].strip()[-1:].isdigit() or text[end:end + 2].strip()[:1].isdigit()):
+                continue  # a part of a longer run of numbers
+            added.add((start, kind, end))
+        out.append((own, sorted([*own, *added])))
     return out
 
 

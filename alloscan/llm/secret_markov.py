@@ -158,7 +158,7 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every span of ``text`` replaced by ``mark``; overlapping spans become one mark."""
+    """``docs`` with every span of ``text`` replaced by ``mark``; overlapping spans become one mark. All other columns stay as they are."""
     merged = F.aggregate(
         "secret_spans", F.expr("cast(array() as array<struct<s:bigint,e:bigint>>)"),
         lambda acc, x: F.when((F.size(acc) > 0) & (x.s < F.element_at(acc, -1).e),
@@ -166,9 +166,10 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
                                   F.element_at(acc, -1).s.alias("s"), F.greatest(F.element_at(acc, -1).e, x.e).alias("e")))))
         .otherwise(F.concat(acc, F.array(F.struct(x.s.alias("s"), x.e.alias("e"))))))
     parts = F.transform(F.sequence(F.lit(0), F.size("_m")), lambda i: F.substring(
-        F.col(text), (F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("_m"), i - 1).e) + 1).cast("int"),
-        (F.when(i == F.size("_m"), F.length(text)).otherwise(F.get(F.col("_m"), i).s)
+        F.col("body"), (F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("_m"), i - 1).e) + 1).cast("int"),
+        (F.when(i == F.size("_m"), F.length("body")).otherwise(F.get(F.col("_m"), i).s)
          - F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("_m"), i - 1).e)).cast("int")))
-    out = with_spans(docs, text).withColumn("_m", merged)
-    clean = F.when(F.size("_m") == 0, F.col(text)).otherwise(F.array_join(parts, mark))
-    return out.withColumn(text, clean).select(*docs.columns)
+    aside = docs.select(F.col(text).alias("body"), F.struct(*[F.col(c) for c in docs.columns]).alias("doc"))
+    out = with_spans(aside, "body").withColumn("_m", merged)
+    clean = F.when(F.size("_m") == 0, F.col("body")).otherwise(F.array_join(parts, mark))
+    return out.select(*[clean.alias(c) if c == text else F.col("doc")[c].alias(c) for c in docs.columns])
