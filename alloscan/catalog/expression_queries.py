@@ -133,6 +133,26 @@ def k_enrich(spark, d):
     return ex.stratum_enrichment(cut_lineage(enrichment_input(spark, d)))
 
 
+MISSING_BELOW = 1.0
+
+
+def matched_input(spark, d):
+    """Triads with the five covariates of a match: expression level, its variation, share of low samples, length and markers."""
+    e = long_expression(spark, d).select("base", "jj", (F.col("a") + F.col("b") + F.col("d")).alias("x"))
+    e = e.groupBy("base", "jj").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"), F.avg((F.col("x") < MISSING_BELOW).cast("double")).alias("missing"))
+    e = e.select((F.col("base") * 1000000 + F.col("jj")).alias("id"), F.log1p("mean").alias("level"),
+                 F.when(F.col("mean") > 1e-9, F.col("sd") / F.col("mean")).otherwise(0.0).alias("variation"), "missing")
+    m = t.markers(spark, d).groupBy("base", "jj").agg((F.max("pos") - F.min("pos")).cast("double").alias("length"))
+    m = m.select((F.col("base") * 1000000 + F.col("jj")).alias("id"), "length")
+    return enrichment_input(spark, d).select("id", "pct", "top", "n_snp").join(e, "id").join(m, "id")
+
+
+@query("k_matched_controls")
+def k_matched_controls(spark, d):
+    """Background of every top triad: triads of its stratum, or all, within a caliper of it in each of five covariates."""
+    return ex.caliper_controls(cut_lineage(matched_input(spark, d)), {"level": 10, "missing": 5, "n_snp": 5, "variation": 0, "length": 0}, "top", 0.5, 50)
+
+
 @query("k_matched_null")
 def k_matched_null(spark, d):
     x = cut_lineage(enrichment_input(spark, d).withColumn("lm", F.log1p("total")))
@@ -334,27 +354,9 @@ DENSITY_RATES, DENSITY_DRAWS = (0.1, 0.25, 0.5, 1.0), 200
 
 @query("k_density")
 def k_density(spark, d):
-    """Callable pairs after thinning at several rates: markers one by one, or genes as a whole.
-
-    A draw keeps what has a hash below the rate (a sampling feature); the mean over the draws has its
-    band and a percentile interval. Draws that leave no callable pair count as 0.
-    """
-    u = lambda *c: F.pmod(F.xxhash64(F.lit(17), *c), F.lit(2 ** 31)) / 2.0 ** 31
-    m = cut_lineage(t.markers(spark, d).select("v", "base", "jj", "sub"))
-    cells = spark.range(1, DENSITY_DRAWS + 1).select(F.col("id").alias("draw"), F.explode(F.array(*map(F.lit, DENSITY_RATES))).alias("rate"))
-    each = m.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(DENSITY_DRAWS)).cast("array<bigint>")))
-    each = each.withColumn("rate", F.explode(F.array(*map(F.lit, DENSITY_RATES))))
-    kept = {"uniform": u("v", "draw") < F.col("rate"), "clustered": u("base", "jj", "sub", "draw") < F.col("rate")}
-    sides = [F.count_if(F.col("sub") == s).alias(s) for s in "ABD"]
-    called = sum((F.least(a, b) >= 3).cast("int") for a, b in (("A", "B"), ("A", "D"), ("B", "D")))
-    out = None
-    for mode, keep in kept.items():
-        c = each.where(keep).groupBy("rate", "draw", "base", "jj").agg(*sides).groupBy("rate", "draw").agg(F.sum(called).alias("g"))
-        c = cells.join(c, ["rate", "draw"], "left").withColumn("g", F.coalesce("g", F.lit(0)).cast("double")).groupBy("rate").agg(
-            F.avg("g").alias("g_callable"), F.percentile("g", 0.025).alias("g_lo"), F.percentile("g", 0.975).alias("g_hi"))
-        c = c.withColumn("mode", F.lit(mode)).withColumn("band", ds.band(F.col("g_callable")))
-        out = c if out is None else out.unionByName(c)
-    return out
+    """Callable pairs after thinning at several rates: markers one by one, or genes as a whole, with the curve's held-out error."""
+    m = t.markers(spark, d).groupBy("base", "jj", "sub").agg(F.count("*").alias("n"))
+    return ds.thinned_curve(m, ["base", "jj"], "sub", ["A", "B", "D"], DENSITY_RATES, DENSITY_DRAWS)
 
 
 @query("fn_mde")

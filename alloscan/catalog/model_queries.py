@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from alloscan.catalog import tables as t
 from alloscan.catalog.kernel_queries import _G, kernels, panel, parts, wide
-from alloscan.catalog.registry import query, r
+from alloscan.catalog.registry import big, query, r
 from alloscan.functions import mixed_model as mm
 from alloscan.operators import genotype as gt
 from alloscan.operators import pair_scan as ps
@@ -105,16 +105,26 @@ def flt_scan_status(spark, d):
     return s.groupBy("status").agg(F.count("*").alias("n"))
 
 
-def loco_contexts(spark, d, geno=None):
-    """One context per chromosome: only its own subgenome's kernel loses the chromosome."""
+def loco_context_pairs(spark, d, geno=None, homolog=False):
+    """One context per chromosome, one by one: only its own subgenome's kernel loses the chromosome, and with ``homolog``
+    the homolog kernel is made anew from what is left."""
     geno = cut_lineage(t.geno(spark, d)) if geno is None else geno
     y, x, k = model(spark, d, geno)
-    f = mm.fit_reml(y, x, k, n_starts=2, seed=1)
+    full = {**k, "K_hom": mm.homolog_kernel(k)} if homolog else k
+    f = mm.fit_reml(y, x, full, n_starts=2, seed=1)
     of = t.markers(spark, d).select(F.col("chrom").alias("grp"), F.col("sub").alias("family")).distinct()
-    lk = rel.loco(parts(spark, d, "chrom", geno=geno), of)
-    subs = {x_["grp"]: x_["family"] for x_ in of.collect()}  # one row per chromosome of the karyotype
-    dense = rel.dense(lk, len(y))
-    return {c: mm.null_context(y, x, {**k, subs[c]: mm.pull_psd(m, 1e-6)}, f.sigma2) for c, m in dense.items()}
+    left = cut_lineage(rel.loco(parts(spark, d, "chrom", geno=geno), of))
+    hom = cut_lineage(rel.loco_homolog(left, kernels(spark, d, geno=geno), sorted(k))) if homolog else None
+    for row in of.orderBy("grp").collect():  # one row per chromosome of the karyotype
+        chrom, sub = row["grp"], row["family"]
+        own = {sub: mm.pull_psd(rel.dense(left.where(F.col("grp") == chrom), len(y))[chrom], 1e-6)}
+        if homolog:
+            own["K_hom"] = mm.pull_psd(rel.dense(hom.where(F.col("grp") == chrom), len(y))[chrom], 1e-6)
+        yield chrom, mm.null_context(y, x, {**full, **own}, f.sigma2)
+
+
+def loco_contexts(spark, d, geno=None):
+    return dict(loco_context_pairs(spark, d, geno))
 
 
 LOW_INFORMATION = 0.01
@@ -145,6 +155,37 @@ def k_scan_loco(spark, d):
     return s.where(F.col("status") == "ok").drop("status")
 
 
+@query("k_scan_hom")
+def k_scan_hom(spark, d):
+    """The scan under a null model with the homolog kernel beside the subgenomes' own."""
+    geno = cut_lineage(t.geno(spark, d))
+    y, x, k = model(spark, d, geno)
+    k = {**k, "K_hom": mm.homolog_kernel(k)}
+    context = mm.null_context(y, x, k, mm.fit_reml(y, x, k, n_starts=2, seed=1).sigma2)
+    s = scan.kernel_scan(wide(spark, d, geno).select("v", "chrom", "dosage"), {None: context}, keep=["chrom"])
+    return s.where(F.col("status") == "ok").drop("status")
+
+
+@query("k_scan_loco_hom")
+def k_scan_loco_hom(spark, d):
+    geno = cut_lineage(t.geno(spark, d))
+    pairs = loco_context_pairs(spark, d, geno, homolog=True)
+    s = scan.kernel_scan(wide(spark, d, geno).select("v", "chrom", "dosage"), pairs, chrom_col="chrom", keep=["chrom"])
+    return s.where(F.col("status") == "ok").drop("status")
+
+
+@query("k_loco_hom", _G + """
+, tt AS (SELECT sub, i, j, sum(num) AS tn FROM num GROUP BY ALL), td AS (SELECT sub, sum(den) AS td FROM den GROUP BY sub),
+own AS (SELECT a.chrom, a.sub, a.i, a.j, (tt.tn - a.num) / (td.td - den.den) AS k FROM num a JOIN tt USING (sub, i, j) JOIN den USING (sub, chrom) JOIN td USING (sub))
+SELECT o.chrom, o.i, o.j, round(any_value(o.k) * product(b.k), 6) + 0.0 AS k FROM own o JOIN kk b ON b.i = o.i AND b.j = o.j AND b.grp <> o.sub GROUP BY o.chrom, o.i, o.j""")
+def k_loco_hom(spark, d):
+    """Homolog kernel of every chromosome, from its subgenome's kernel without it and the other subgenomes' whole ones."""
+    geno = cut_lineage(t.geno(spark, d))
+    of = t.markers(spark, d).select(F.col("chrom").alias("grp"), F.col("sub").alias("family")).distinct()
+    k = rel.loco_homolog(rel.loco(parts(spark, d, "chrom", geno=geno), of), kernels(spark, d, geno=geno), ["A", "B", "D"])
+    return k.select(F.col("grp").alias("chrom"), big("i"), big("j"), r("k", "k"))
+
+
 @query("agg_grm_x")
 def agg_grm_x(spark, d):
     """Kernel of standardised markers, eigenvalues clipped at 1e-6, trace n."""
@@ -319,6 +360,24 @@ def k_loo(spark, d):
     return ps.leave_one_out(pairs, b, (y, x), k)
 
 
+@query("k_loo_floors")
+def k_loo_floors(spark, d):
+    """Product term of every pair from markers of at least a minor allele frequency."""
+    y, x, k, _, pairs = pair_setup(spark, d)
+    geno = cut_lineage(t.geno(spark, d))
+    stats, genes = cut_lineage(t.stats(spark, d, geno)), t.markers(spark, d, geno).select("v", "gene")
+    return ps.frequency_floors(pairs, geno, stats, genes, panel(spark, d), (mm.whitener(y, x, k)[0], y, None))
+
+
+@query("k_loo_marker")
+def k_loo_marker(spark, d):
+    """Product term of every pair with each marker of its genes left out in turn."""
+    y, x, k, _, pairs = pair_setup(spark, d)
+    geno = cut_lineage(t.geno(spark, d))
+    stats, genes = cut_lineage(t.stats(spark, d, geno)), t.markers(spark, d, geno).select("v", "gene")
+    return ps.leave_one_marker_out(pairs, geno, stats, genes, panel(spark, d), (mm.whitener(y, x, k)[0], y, None))
+
+
 @query("k_nested")
 def k_nested(spark, d):
     y, x, k = model(spark, d)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alloscan.functions.stat_columns import interpolate, poisson_sf
@@ -34,6 +34,51 @@ def predicted_pairs(retained: Column, g_full: Column, lambda_full: Column) -> Co
     return g_full * rho
 
 
+def at_least_three(n: Column, rate: float) -> Column:
+    """Probability that a binomial draw from ``n`` at ``rate`` is 3 or more."""
+    if rate >= 1:
+        return (n >= 3).cast("double")
+    q, x = 1.0 - rate, n.cast("double")
+    few = F.pow(F.lit(q), x) + x * rate * F.pow(F.lit(q), x - 1) + x * (x - 1) / 2 * rate ** 2 * F.pow(F.lit(q), x - 2)
+    return F.when(n < 3, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - few))
+
+
+def thinned_curve(sizes: DataFrame, unit: list[str], side: str, sides: list[str], rates: tuple, draws: int, seed: int = 17, folds: int = 5) -> DataFrame:
+    """Callable copy pairs of all units after thinning, by ``mode`` and ``rate``: mean, interval, band and held-out error.
+
+    ``sizes``: ``unit, side, n`` with the number of markers of each copy. ``uniform`` keeps each marker with probability
+    ``rate``: a copy stays callable if a binomial draw from its number is 3 or more, which one hash per (copy, draw) decides by
+    the inverse of the distribution. ``clustered`` keeps or loses a copy as a whole. A pair of copies is callable if both are.
+    No marker is a row, and what is counted of a unit is summed within its task.
+
+    ``held_out_error``: the units are dealt into folds; the share of callable pairs that the other folds keep at
+    the rate predicts the fold's, and the error is the mean of |predicted - own| / own over folds.
+    """
+    wide = sizes.groupBy(*unit).pivot(side, sides).agg(F.max("n")).na.fill(0, sides)
+    fold = F.pmod(F.xxhash64(F.lit(seed + 1), *unit), F.lit(folds)).cast("int")
+    hashes = F.transform(F.sequence(F.lit(1), F.lit(draws)), lambda k: F.struct(k.alias("draw"), *[
+        (F.pmod(F.xxhash64(F.lit(seed), *unit, F.lit(s), k), F.lit(2 ** 31)) / 2.0 ** 31).alias(f"u{s}") for s in sides]))
+    each = wide.select(fold.alias("fold"), *sides, F.explode(hashes).alias("h")).select("fold", "h.*", *sides)
+    called = []
+    for mode in ("uniform", "clustered"):
+        for rate in rates:
+            stays = {s: (F.col(f"u{s}") >= 1 - at_least_three(F.col(s), rate)) & (F.col(s) >= 3) if mode == "uniform"
+                     else (F.col(f"u{s}") < rate) & (F.col(s) >= 3) for s in sides}
+            both = sum((stays[a] & stays[b]).cast("long") for i, a in enumerate(sides) for b in sides[i + 1:])
+            called.append(F.struct(F.lit(mode).alias("mode"), F.lit(rate).alias("rate"), F.sum(both).alias("g")))
+    full = sum(((F.col(a) >= 3) & (F.col(b) >= 3)).cast("long") for i, a in enumerate(sides) for b in sides[i + 1:])
+    cells = (each.groupBy("fold", "draw").agg(F.sum(full).alias("full"), F.array(*called).alias("c"))
+             .select("fold", "draw", "full", F.explode("c").alias("c")).select("fold", "draw", "full", "c.*"))
+    g = (cells.groupBy("mode", "rate", "draw").agg(F.sum("g").cast("double").alias("g")).groupBy("mode", "rate")
+         .agg(F.avg("g").alias("g_callable"), F.percentile("g", 0.025).alias("g_lo"), F.percentile("g", 0.975).alias("g_hi")))
+    by_fold = cells.groupBy("mode", "rate", "fold").agg(F.avg("g").alias("own"), F.max("full").alias("full"))
+    every = by_fold.groupBy("mode", "rate").agg(F.sum("own").alias("all_own"), F.sum("full").alias("all_full"))
+    other = F.try_divide(F.col("all_own") - F.col("own"), F.col("all_full") - F.col("full")) * F.col("full")
+    error = (by_fold.join(every, ["mode", "rate"]).where("own > 0").groupBy("mode", "rate")
+             .agg(F.avg(F.abs(other - F.col("own")) / F.col("own")).alias("held_out_error")))
+    return g.join(error, ["mode", "rate"], "left").select("mode", "rate", "g_callable", "g_lo", "g_hi", "held_out_error", band(F.col("g_callable")).alias("band"))
+
+
 def detectable_share(df, power: float, alpha: float):
     """Variance share ncp^2 / (ncp^2 + n) with the exact noncentral-t power at alpha / g.
 

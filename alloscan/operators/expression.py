@@ -176,3 +176,54 @@ def matched_controls(df: DataFrame, covariates: dict[str, int], target: str, cal
     m = end.join(beg, "_id")
     return tg.join(m, tg["id"] == m["_id"]).select("id", "pool", (F.col("n1") - F.col("n0")).alias("n_matched"),
                                                    F.try_divide(F.col("y1") - F.col("y0"), F.col("n1") - F.col("n0")).alias("matched_mean"), "pct")
+
+
+def caliper_controls(df: DataFrame, covariates: dict[str, int], target: str, caliper: float, pool_min: int) -> DataFrame:
+    """Per target row, number, mean and spread of its controls, and its place among them.
+
+    ``df``: ``id, pct, target`` and the covariates. Those with a number of bins make strata of quantile
+    bins. A target's pool is its stratum, if that holds ``pool_min`` other rows outside the target set, else
+    all such rows; of the pool, its controls are the rows within ``caliper`` standard deviations of it in every covariate.
+
+    Cells of a grid as wide as the caliper, over the first three covariates, bring targets and pool together: a
+    target looks into the 27 cells around its own, the pool is grouped by its covariates first, and the other
+    covariates are tested in the join, so only rows that match are summed and none of them is sent on.
+    """
+    names = list(covariates)
+    t = df
+    for c, k in covariates.items():
+        if k:
+            n = t.agg(F.count("*")).scalar()
+            t = cut_lineage(so.attach_by_value(t, so.value_ranks(t, c), c))
+            t = t.withColumn(f"_b_{c}", F.least(F.lit(k - 1), F.floor((F.col("rank_avg") - 0.5) / n * k))).drop("n_tie", "rank_min", "rank_max", "rank_avg")
+    stratum = F.concat_ws("|", *[F.col(f"_b_{c}").cast("string") for c, k in covariates.items() if k])
+    scales = t.agg(*[F.struct(F.avg(c), F.stddev_pop(c)).alias(c) for c in names]).first()  # two numbers per covariate
+    z = [((F.col(c) - F.lit(scales[c][0])) / F.lit(scales[c][1] if scales[c][1] > 1e-12 else 1.0)).alias(f"_z{i}") for i, c in enumerate(names)]
+    t = t.select("id", "pct", F.col(target).alias("_t"), stratum.alias("_s"), *z)
+    keys = [F.floor(F.col(f"_z{i}") / caliper).cast("bigint").alias(f"_c{i}") for i in range(min(3, len(names)))]
+    cells, zs = [f"_c{i}" for i in range(len(keys))], [f"_z{i}" for i in range(len(names))]
+    t = cut_lineage(t.select("*", *keys))
+    free = t.where(~F.col("_t"))
+    size = free.groupBy("_s").agg(F.count("*").alias("_n"))
+    aim = t.where("_t").join(size, "_s", "left").withColumn("pool", F.when(F.col("_n") >= pool_min, F.col("_s")).otherwise("all"))
+    probe = aim.select("id", F.col("pct").alias("own"), "pool", *[F.col(x).alias(f"{x}t") for x in zs], *cells)
+    for c in cells:
+        probe = probe.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
+    pool = free.withColumn("pool", F.explode(F.array(F.col("_s"), F.lit("all"))))
+    pool = pool.groupBy("pool", *cells, *zs, "pct").agg(F.count("*").alias("w"))
+    near = [F.abs(F.col(x) - F.col(f"{x}t")) <= caliper for x in zs]
+    test = near[0]
+    for x in near[1:]:
+        test = test & x
+    same = F.col("p.pool") == F.col("q.pool")
+    for c in cells:
+        same = same & (F.col(f"p.{c}") == F.col(f"q.{c}"))
+    hit = probe.alias("p").join(pool.alias("q"), same & test)
+    w, y = F.col("w"), F.col("q.pct")
+    s = hit.groupBy("id").agg(F.sum(w).alias("n"), F.sum(w * y).alias("s1"), F.sum(w * y * y).alias("s2"),
+                              F.sum(F.when(y >= F.col("own"), w).otherwise(0)).alias("above"))
+    n = F.col("n")
+    return aim.join(s, "id", "left").select(
+        "id", (F.col("pool") != "all").alias("in_stratum"), F.coalesce("n", F.lit(0)).alias("n_matched"), (F.col("s1") / n).alias("matched_mean"),
+        F.sqrt(F.greatest(F.lit(0.0), F.col("s2") / n - F.pow(F.col("s1") / n, F.lit(2)))).alias("matched_sd"),
+        ((F.col("above") + 1) / (n + 1)).alias("p_above"), "pct")

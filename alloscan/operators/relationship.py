@@ -116,6 +116,25 @@ def homolog_kernel(k: DataFrame, n_groups: int, mode: str = "auto", threshold: i
     return hadamard(k) if mode == "hadamard" or (mode == "auto" and n_groups <= threshold) else pairwise_mean(k)
 
 
+def loco_homolog(left: DataFrame, full: DataFrame, families: list[str], mode: str = "auto", threshold: int = 3) -> DataFrame | None:
+    """Homolog kernel of every left-out group, as tall cells ``grp, i, j, k``; none for one family.
+
+    ``left`` comes from :func:`loco`: the family's own kernel without the group. ``full`` holds all families'
+    kernels. The other families enter a cell by their product, or by their sum and sum of squares, so a
+    group's cells need one join whatever the number of families.
+    """
+    if mode == "none" or len(families) < 2:
+        return None
+    other = full.select(F.explode(F.array(*map(F.lit, families))).alias("family"), "grp", "i", "j", "k").where(F.col("family") != F.col("grp"))
+    other = other.groupBy("family", "i", "j").agg(F.product("k").alias("p"), F.sum("k").alias("s1"), F.sum(F.col("k") * F.col("k")).alias("s2"))
+    k, c = F.col("k"), len(families)
+    if mode == "hadamard" or (mode == "auto" and c <= threshold):
+        cell = k * F.col("p")
+    else:
+        cell = ((F.col("s1") + k) * (F.col("s1") + k) - F.col("s2") - k * k) / (c * (c - 1))
+    return left.join(other, ["family", "i", "j"]).select("grp", "i", "j", cell.alias("k"))
+
+
 def weighted_sum(k: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     w = F.lit(1.0)
     for g, x in (weights or {}).items():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -91,27 +91,28 @@ def score_block(g: np.ndarray, proj: np.ndarray, py: np.ndarray, maf_min: float,
     return beta, se, chi2, p, n_obs, maf, cr, status
 
 
-def kernel_scan(variants: DataFrame, contexts: dict, maf_min: float = 0.01,
+def kernel_scan(variants: DataFrame, contexts: dict | Iterable[tuple], maf_min: float = 0.01,
                 call_rate_min: float = 0.9, chrom_col: str | None = None,
                 keep: list[str] | None = None) -> DataFrame:
     """Score scan of wide variants (``v``, ``dosage`` array, carried ``keep`` columns).
 
-    ``contexts`` maps a chromosome (or ``None``) to ``(P, Py)`` of the null model. They
-    are n x n for the bounded sample panel and travel as one broadcast; markers never
+    ``contexts`` maps a chromosome (or ``None``) to ``(P, Py)`` of the null model, or gives such pairs one by
+    one, so that the driver need not hold them all. Each is n x n for the bounded sample panel and a broadcast of
+    its own: a task loads those of the chromosomes that it meets. Markers never
     move: the scan is a narrow map over the input partitions, in Arrow batches.
     A chromosome without a context is an error, never a silent fallback.
     """
     sc = variants.sparkSession.sparkContext
-    bc = sc.broadcast(contexts)
+    shared = {c: sc.broadcast(x) for c, x in (contexts.items() if isinstance(contexts, dict) else contexts)}
     keep = keep or []
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             parts = [(None, pdf)] if chrom_col is None else list(pdf.groupby(chrom_col, sort=False))
             for chrom, b in parts:
-                if chrom not in bc.value:
+                if chrom not in shared:
                     raise KeyError(f"no null-model context for chromosome {chrom!r}")
-                proj, py = bc.value[chrom]
+                proj, py = shared[chrom].value
                 g = _block_matrix(b["dosage"], len(py))
                 beta, se, chi2, p, n_obs, maf, cr, st = score_block(
                     g, proj, py, maf_min, call_rate_min)
