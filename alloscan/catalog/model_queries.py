@@ -10,6 +10,7 @@ from alloscan.catalog.kernel_queries import _G, kernels, panel, parts, wide
 from alloscan.catalog.registry import big, query, r
 from alloscan.functions import mixed_model as mm
 from alloscan.operators import genotype as gt
+from alloscan.operators import local_structure as ls
 from alloscan.operators import pair_scan as ps
 from alloscan.operators import relationship as rel
 from alloscan.operators import replicates as rp
@@ -378,6 +379,23 @@ def k_loo_marker(spark, d):
     return ps.leave_one_marker_out(pairs, geno, stats, genes, panel(spark, d), (mm.whitener(y, x, k)[0], y, None))
 
 
+@query("k_local_structure")
+def k_local_structure(spark, d):
+    """Every pair of copies under five controls for what lies around them, in three windows."""
+    y, x, k, b, pairs = pair_setup(spark, d)
+    ids, geno = panel(spark, d), cut_lineage(t.geno(spark, d))
+    m = t.markers(spark, d, geno)
+    g = m.select("gene", "base", "jj").distinct()
+    third = pairs.join(g.select(F.col("gene").alias("gene_x"), "base", "jj"), "gene_x").join(g.select(F.col("gene").alias("focal"), "base", "jj"), ["base", "jj"])
+    third = third.where((F.col("focal") != F.col("gene_x")) & (F.col("focal") != F.col("gene_y"))).groupBy("gene_x", "gene_y").agg(F.min("focal").alias("focal"))
+    coord = gt.gene_coordinates(m.select("gene", "chrom", "pos"))
+    # a gene of its own for every marker gives its standardised vector
+    one = m.select("v", F.col("v").cast("string").alias("gene"))
+    vectors = ps.burden_vectors(geno, gt.allele_stats(geno, len(ids)), one, ids).select(F.col("gene").cast("bigint").alias("v"), "vec")
+    return ls.local_controls(pairs.select("gene_x", "gene_y").join(third, ["gene_x", "gene_y"], "left"), coord, b,
+                             m.select("v", "chrom", "pos").join(vectors, "v"), (mm.whitener(y, x, k)[0], y, None))
+
+
 @query("k_nested")
 def k_nested(spark, d):
     y, x, k = model(spark, d)

@@ -6,6 +6,7 @@ import pytest
 from alloscan.functions import mixed_model as mm
 from alloscan.operators import design as ds
 from alloscan.operators import expression as ex
+from alloscan.operators import local_structure as ls
 from alloscan.operators import pair_scan as ps
 from alloscan.operators import relationship as rel
 from alloscan.operators import score_scan as scan
@@ -154,3 +155,50 @@ def test_controls_within_a_caliper_equal_all_pairs(spark, pool_min):
         else:
             assert r["matched_mean"] is None
     assert max(r["n_matched"] for r in got.values()) > 50 and sum(r["n_matched"] > 0 for r in got.values()) > 10
+
+
+@pytest.mark.parametrize("at_once", [16, 1])
+def test_local_controls_equal_least_squares(spark, monkeypatch, at_once):
+    monkeypatch.setattr(ls, "GENES_AT_ONCE", at_once)
+    rng = np.random.default_rng(11)
+    n = 36
+    place = {"x1": ("A", 1_900_000), "x2": ("A", 2_300_000), "x3": ("A", 3_300_000), "y1": ("B", 500_000), "y2": ("B", 1_000_001), "z1": ("D", 10), "x9": ("C", 5)}
+    vec = {g: rng.standard_normal(n) for g in place}
+    marks = [(i, "AB"[i % 2], int(rng.integers(0, 5_000_000)), rng.standard_normal(n)) for i in range(40)]
+    genes = spark.createDataFrame([(g, c, p) for g, (c, p) in place.items()], "gene string, chrom string, pos bigint")
+    burdens = spark.createDataFrame([(g, v.tolist()) for g, v in vec.items()], "gene string, vec array<double>").repartition(3)
+    markers = spark.createDataFrame([(i, c, p, v.tolist()) for i, c, p, v in marks], "v bigint, chrom string, pos bigint, vec array<double>").repartition(3)
+    todo = [("x1", "y1", "z1"), ("x2", "y2", None), ("x9", "z1", "y1")]
+    y = rng.standard_normal(n)
+    wh = np.eye(n) + 0.1 * np.tril(rng.standard_normal((n, n)), -1)
+    rows = ls.local_controls(spark.createDataFrame(todo, "gene_x string, gene_y string, focal string"), genes, burdens, markers, (wh, y, None), top=4).collect()
+    got = {(r["gene_x"], r["gene_y"], r["window_bp"], r["control"]): r for r in rows}
+    assert len(rows) == len(got) == len(todo) * 15
+
+    def t(v):
+        d = np.column_stack([wh @ np.ones(n), wh @ v])
+        b, *_ = np.linalg.lstsq(d, wh @ y, rcond=None)
+        r = wh @ y - d @ b
+        return abs(b[1]) / np.sqrt(r @ r / (n - 2) * np.linalg.inv(d.T @ d)[1, 1])
+
+    def components(m):
+        u, s, _ = np.linalg.svd((m - m.mean(1, keepdims=True)).T, full_matrices=False)
+        k = min(int(np.searchsorted(np.cumsum(s ** 2) / (s ** 2).sum(), 0.85) + 1), n - 8, len(m))
+        return list((u[:, :k] * s[:k]).T)
+    for a, b, f in todo:
+        beta0 = mm.interaction_tests(wh, y, vec[a][None], vec[b][None])[0][0]
+        for w in ls.WINDOWS:
+            near = [vec[g] for e in (a, b) for g, (c, p) in place.items() if g != e and c == place[e][0] and abs(p - place[e][1]) <= w]
+            local = [v for e in (a, b) for _, c, p, v in marks if c == place[e][0] and abs(p - place[e][1]) <= w]
+            sets = dict(zip(ls.CONTROLS, ([] if f else None, near and [max(near, key=t)], near and components(np.stack(near)),
+                                          sorted(local, key=t, reverse=True)[:4], local and components(np.stack(local)))))
+            for control, extra in sets.items():
+                r = got[(a, b, w, control)]
+                assert np.isclose(r["beta0"], beta0)
+                if extra is None or (control != "focal_copy" and not extra):
+                    assert r["p"] is None and r["attenuation"] is None
+                    continue
+                c = np.column_stack([np.ones(n), *([vec[f]] if f else []), *extra])
+                beta, _, p = mm.interaction_tests(wh, y, vec[a][None], vec[b][None], c)
+                assert np.isclose(r["p"], p[0]) and np.isclose(r["beta"], beta[0]) and np.isclose(r["attenuation"], 1 - abs(beta[0]) / abs(beta0)), (a, b, w, control)
+    assert any(r["control"] == "marker_components" and r["n_terms"] > 3 for r in rows)
