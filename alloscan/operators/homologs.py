@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alloscan.operators.scan_order import ordered_scan
-from alloscan.operators.skew import hot_join
+from alloscan.operators.skew import hot_join, with_least
 from alloscan.session import cut_lineage
 
 
@@ -138,25 +138,23 @@ def components(edges: DataFrame) -> DataFrame:
                     .where(F.col("lo") < F.col("hi")).distinct())
     nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
 
-    def large(e):
+    def large(e, rows):
         both = e.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionByName(
             e.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
-        m = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        return (hot_join(both.where(F.col("v") > F.col("u")), m, ["u"])
-                .select(F.col("m").alias("lo"), F.col("v").alias("hi")).where(F.col("lo") < F.col("hi")).distinct())
+        return (with_least(both, "u", "v", rows).where(F.col("v") > F.col("u"))
+                .select(F.least("u", "m").alias("lo"), F.col("v").alias("hi")).where(F.col("lo") < F.col("hi")).distinct())
 
-    def small(e):
-        m = e.groupBy("hi").agg(F.min("lo").alias("m"))
-        j = hot_join(e, m, ["hi"])
+    def small(e, rows):
+        j = with_least(e, "hi", "lo", rows)
         return (j.select(F.col("m").alias("lo"), F.col("lo").alias("hi"))
-                .unionByName(m.select(F.col("m").alias("lo"), "hi"))
+                .unionByName(j.select(F.col("m").alias("lo"), "hi"))
                 .where(F.col("lo") < F.col("hi")).distinct())
 
     # a round that changes nothing has the same edges: their number and the sum of their 64-bit hashes tell
     mark = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
     seen, now = None, mark(e)
     while now != seen:
-        e = cut_lineage(small(large(e)))
+        e = cut_lineage(small(large(e, now[0]), now[0]))
         seen, now = now, mark(e)
     return nodes.join(e.select(F.col("hi").alias("node"), F.col("lo").alias("comp")), "node", "left").select(
         "node", F.coalesce("comp", "node").alias("comp"))

@@ -1,8 +1,23 @@
-"""Equi joins whose left side may hold hot keys."""
+"""Joins whose left side may hold hot keys."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def with_least(edges: DataFrame, key: str, value: str, rows: int, share: float = 1e-3) -> DataFrame:
+    """``edges`` with ``m``, the least ``value`` of their ``key``; ``rows`` is about their number.
+
+    Keys with more than ``share`` of the rows are at most 1 / share many: their least values go to
+    all tasks and their edges stay where they are. All other edges meet theirs by a shuffle.
+    """
+    least = edges.groupBy(key).agg(F.min(value).alias("m"), F.count("*").alias("_n"))
+    is_hot = F.col("_n") > share * rows
+    hot = least.where(is_hot).select(key, "m")
+    few = edges.join(F.broadcast(hot), key)
+    rest = edges.join(F.broadcast(hot.select(key)), key, "left_anti").join(least.where(~is_hot).select(key, "m"), key)
+    return few.unionByName(rest)
 
 
 def hot_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
