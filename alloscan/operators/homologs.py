@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alloscan.operators.scan_order import ordered_scan
-from alloscan.operators.skew import hot_join, with_least
+from alloscan.operators.skew import hot_join, hot_keys, with_least
 from alloscan.session import cut_lineage
 
 
@@ -138,14 +138,14 @@ def components(edges: DataFrame) -> DataFrame:
                     .where(F.col("lo") < F.col("hi")).distinct())
     nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
 
-    def large(e, rows):
+    def large(e, hot):
         both = e.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionByName(
             e.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
-        return (with_least(both, "u", "v", rows).where(F.col("v") > F.col("u"))
+        return (with_least(both, "u", "v", hot).where(F.col("v") > F.col("u"))
                 .select(F.least("u", "m").alias("lo"), F.col("v").alias("hi")).where(F.col("lo") < F.col("hi")).distinct())
 
-    def small(e, rows):
-        j = with_least(e, "hi", "lo", rows)
+    def small(e, hot):
+        j = with_least(e, "hi", "lo", hot)
         return (j.select(F.col("m").alias("lo"), F.col("lo").alias("hi"))
                 .unionByName(j.select(F.col("m").alias("lo"), "hi"))
                 .where(F.col("lo") < F.col("hi")).distinct())
@@ -154,7 +154,10 @@ def components(edges: DataFrame) -> DataFrame:
     mark = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
     seen, now = None, mark(e)
     while now != seen:
-        e = cut_lineage(small(large(e, now[0]), now[0]))
+        # a node's edges grow in neither step, so those that are hot now hold for both
+        ends = e.select(F.explode(F.array("lo", "hi")).alias("u"))
+        hot = hot_keys(ends, "u", now[0])
+        e = cut_lineage(small(large(e, hot), hot))
         seen, now = now, mark(e)
     return nodes.join(e.select(F.col("hi").alias("node"), F.col("lo").alias("comp")), "node", "left").select(
         "node", F.coalesce("comp", "node").alias("comp"))

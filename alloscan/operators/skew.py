@@ -6,18 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def with_least(edges: DataFrame, key: str, value: str, rows: int, share: float = 1e-3) -> DataFrame:
-    """``edges`` with ``m``, the least ``value`` of their ``key``; ``rows`` is about their number.
+#: Parts of a hot key's rows.
+SALTS = 64
 
-    Keys with more than ``share`` of the rows are at most 1 / share many: their least values go to
-    all tasks and their edges stay where they are. All other edges meet theirs by a shuffle.
-    """
-    least = edges.groupBy(key).agg(F.min(value).alias("m"), F.count("*").alias("_n"))
-    is_hot = F.col("_n") > share * rows
-    hot = least.where(is_hot).select(key, "m")
-    few = edges.join(F.broadcast(hot), key)
-    rest = edges.join(F.broadcast(hot.select(key)), key, "left_anti").join(least.where(~is_hot).select(key, "m"), key)
-    return few.unionByName(rest)
+
+def hot_keys(rows: DataFrame, key: str, n: int, share: float = 1e-3) -> list:
+    """The keys with more than ``share`` of ``n`` rows: about 1 / share at most, so the driver may hold them."""
+    return [r[0] for r in rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > share * n).select(key).collect()]
+
+
+def with_least(edges: DataFrame, key: str, value: str, hot: list) -> DataFrame:
+    """``edges`` with ``m``, the least ``value`` of their ``key``. The edges of a ``hot`` key are dealt to SALTS parts, each with its least."""
+    least = edges.groupBy(key).agg(F.min(value).alias("m"))
+    if not hot:
+        return edges.join(least, key)
+    is_hot = F.col(key).isin(hot)
+    salt = F.when(is_hot, F.pmod(F.hash(value), F.lit(SALTS))).otherwise(0)
+    parts = F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    return edges.withColumn("_salt", salt).join(least.withColumn("_salt", parts), [key, "_salt"]).drop("_salt")
 
 
 def hot_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
