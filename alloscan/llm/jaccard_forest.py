@@ -2,8 +2,9 @@
 
 A text is the set of its runs of five words (all its words, if it has fewer). Texts with the same set are
 one *set* from then on, with a number of copies. A set's signature is read as several trees' labels; in
-each tree, sets are sorted by label and those that share a prefix meet. Prefixes start at full depth and
-are shortened until the expected recall at the threshold reaches the target. Sets that meet and whose
+each tree, sets that share a prefix of their label meet. The prefix is as long as the target recall at the threshold
+allows, the same for all sets: a prefix that followed the similarities found so far would lose links at
+the threshold where most copies are closer than that. Sets that meet and whose
 signatures agree closely enough are joined into clusters; inside a cluster every pair of sets is compared
 exactly. Links of at least the threshold make the classes, and a document's number of links counts the
 other documents linked to it, copies included.
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from alloscan.llm.common import blank, code_points, mix64, run_hashes, runs, written
+from alloscan.operators.skew import hot_keys, with_least
 
 WORDS, THRESHOLD = 5, 0.8
 TREES, DEPTH, TARGET_RECALL = 16, 8, 0.999
@@ -243,12 +245,8 @@ def components(edges: DataFrame) -> DataFrame:
     """``key, root`` for every end of the edges ``a, b``: the least key of its component.
 
     Rounds of large and small stars: each end is tied to the least key around it, until nothing changes.
-    Every round is a written table; hot centres are aggregated before they are joined.
+    Every round is a written table; the edges of hot centres are dealt in parts.
     """
-    def star(e: DataFrame) -> DataFrame:
-        least = e.groupBy("u").agg(F.min("v").alias("m"))
-        return e.join(least, "u")
-
     oriented = lambda e: (e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     now, before = written(oriented(edges)), None
     while True:
@@ -258,8 +256,9 @@ def components(edges: DataFrame) -> DataFrame:
                 now.select(F.col("b").alias("key"), F.col("b").alias("root"))).distinct()
         before = state
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = star(both).where("v > u").select(F.col("v").alias("a"), F.least("u", "m").alias("b")).distinct()
-        small = star(large.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        hot = hot_keys(both, "u", state[0])
+        large = with_least(both, "u", "v", hot).where("v > u").select(F.col("v").alias("a"), F.least("u", "m").alias("b")).distinct()
+        small = with_least(large.select(F.col("a").alias("u"), F.col("b").alias("v")), "u", "v", hot)
         tied = small.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(small.select(F.col("u").alias("a"), F.col("m").alias("b")))
         now = written(oriented(tied))
 
