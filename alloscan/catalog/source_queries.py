@@ -2,23 +2,37 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from alloscan.catalog import tables as t
 from alloscan.catalog.kernel_queries import panel, wide
 from alloscan.catalog.registry import big, query, r
+from alloscan.operators import scan_order as so
+from alloscan.session import shared_folder
 from alloscan.sources import plink
 from alloscan.sources import text as tx
 
 S = lambda c: F.col(c).cast("string")
 
 
+def stored_bed(spark, d, chunk_size):
+    """All markers in order of ``v`` through a bed set in the shared folder; a marker without calls is all missing."""
+    ids = panel(spark, d)
+    none = F.array_repeat(F.lit(None).cast("float"), len(ids))
+    m = so.row_position(t.markers(spark, d).select("v", "chrom", "pos"), ["v"], "variant_index")
+    m = m.join(wide(spark, d).select("v", F.col("dosage").cast("array<float>").alias("dosage")), "v", "left")
+    prefix = f"{shared_folder(spark)}/bed-{uuid.uuid4().hex}/all"
+    plink.write_bed(m.select("variant_index", S("v").alias("snp_id"), "chrom", "pos", F.lit("A").alias("a1"), F.lit("G").alias("a2"),
+                             F.coalesce("dosage", none).alias("dosage")), prefix, [f"s{i}" for i in ids])
+    return plink.read_bed(spark, prefix, chunk_size).withColumn("v", F.col("snp_id").cast("bigint"))
+
+
 @query("src_bed", "SELECT v, round(CAST(sum(d) AS DOUBLE), 3) AS dose_sum, count(*) AS n_called FROM g GROUP BY v")
 def src_bed(spark, d):
-    """Two-bit records of every marker, packed and decoded."""
-    n = len(panel(spark, d))
-    rec = plink.unpack_calls(plink.pack_calls(wide(spark, d), ["v"]), ["v"], n)
-    e = rec.select("v", F.explode("dosage").alias("d"))
+    """Dosages of every marker, written as one bed set and read again."""
+    e = stored_bed(spark, d, 20_000).select("v", F.explode("dosage").alias("d")).where(F.col("d").isNotNull())
     return e.groupBy("v").agg(r(F.sum("d"), "dose_sum", 3), F.count("d").alias("n_called"))
 
 
@@ -26,10 +40,10 @@ def src_bed(spark, d):
 SELECT CAST(floor(i / 100) AS BIGINT) AS chunk, count(*) AS n, min(v) AS first_v, max(v) AS last_v FROM
  (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM mk) GROUP BY 1""")
 def src_bed_chunks(spark, d):
-    """Marker ranges of a chunked read: global index, chunk bounds."""
-    from alloscan.operators import scan_order as so
-    s = so.row_position(t.markers(spark, d).select("v"), ["v"], "i")
-    return s.groupBy(F.floor(F.col("i") / 100).alias("chunk")).agg(F.count("*").alias("n"), F.min("v").alias("first_v"), F.max("v").alias("last_v"))
+    """The same set read in chunks of 100 markers: global index, chunk bounds."""
+    s = stored_bed(spark, d, 100)
+    return s.groupBy(F.floor(F.col("variant_index") / 100).alias("chunk")).agg(
+        F.count("*").alias("n"), F.min("v").alias("first_v"), F.max("v").alias("last_v"))
 
 
 def bim_lines(spark, d):

@@ -37,6 +37,41 @@ def test_bed_roundtrip_and_chunks(spark, tmp_path):
         plink.read_bed(spark, pre, 0)
 
 
+def test_bed_index_seeks_to_every_chunk(spark, tmp_path, monkeypatch):
+    """Small index blocks and steps: lines cross blocks, chunks start between stored offsets."""
+    n = 500
+    v = spark.range(n).select(F.col("id").alias("variant_index"), F.concat(F.lit("r"), F.repeat(F.lit("x"), (F.col("id") % 9).cast("int")), "id").alias("snp_id"),
+                              F.lit("1A").alias("chrom"), (F.col("id") * 7).alias("pos"), F.lit("A").alias("a1"), F.lit("C").alias("a2"),
+                              F.array(*[((F.col("id") + k) % 3).cast("float") for k in range(5)]).alias("dosage"))
+    pre = "file://" + str(tmp_path / "u" / "all")
+    assert plink.write_bed(v.repartition(7), pre, [f"s{i}" for i in range(5)]) == n
+    assert sorted(p.name for p in (tmp_path / "u").iterdir()) == ["all.bed", "all.bim", "all.fam"]
+    want = sorted(tuple(r) for r in v.select("variant_index", "snp_id", "pos").collect())
+    monkeypatch.setattr(plink, "INDEX_BLOCK", 97)
+    monkeypatch.setattr(plink, "INDEX_STEP", 3)
+    bim = pre + ".bim"
+    blocks = [plink._index_block(bim, i) for i in plink._index_blocks(bim)]
+    assert sum(k for k, _ in blocks) == n
+    text = (tmp_path / "u" / "all.bim").read_bytes()
+    for step in (1, 7, 64, 1000):
+        starts = plink._chunk_starts(blocks, n, step)
+        for a, (offset, skip) in zip(range(0, n, step), starts):
+            assert text[:offset].count(b"\n") + skip == a and skip < 97 // 10 + 2 * 3
+    monkeypatch.undo()
+    for step in (64, 1000):
+        got = plink.read_bed(spark, pre, step).select("variant_index", "snp_id", "pos").collect()
+        assert sorted(tuple(r) for r in got) == want
+    with pytest.raises(ValueError, match="fewer lines"):
+        plink._chunk_starts(blocks, n + 2, 10)
+
+
+def test_bed_set_without_markers(spark, tmp_path):
+    v = spark.createDataFrame([], "variant_index bigint, snp_id string, chrom string, pos bigint, a1 string, a2 string, dosage array<float>")
+    pre = str(tmp_path / "none")
+    assert plink.write_bed(v, pre, ["a", "b"]) == 0
+    assert plink.read_bed(spark, pre).count() == 0
+
+
 def test_stateful_text_across_files(spark, tmp_path):
     (tmp_path / "a.fa").write_text(">c1 x\nACGT\nAC\n>c2\nTTTT\n")
     p = tx.parse_fasta(tx.read_lines(spark, str(tmp_path / "a.fa")), tx.LINE_ORDER)
