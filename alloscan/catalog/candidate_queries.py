@@ -13,6 +13,7 @@ from alloscan.operators import candidates as cd
 from alloscan.operators import clumping as cl
 from alloscan.operators import genotype as gt
 from alloscan.operators import ranking as rk
+from alloscan.operators import resampling as rs
 from alloscan.operators import scan_order as so
 from alloscan.session import cut_lineage
 
@@ -98,13 +99,21 @@ def k_loqo(spark, d):
 , f AS (SELECT rq.qtl, nb.b, nb.i, CASE WHEN rc.qtl IS NULL THEN 0 ELSE 1 END AS hit, nb.n - CASE WHEN rc.qtl IS NULL THEN 0 ELSE 1 END AS oth
         FROM rq CROSS JOIN nb LEFT JOIN rc ON rc.i = nb.i AND rc.qtl = rq.qtl),
 w AS (SELECT qtl, max(oth) FILTER (i = 0) AS o0, max(hit) FILTER (i = 0) AS h0, max(hit) FILTER (i = 2) AS hd, max(oth) AS om, arg_max(b, (oth, -i)) AS bm, arg_max(hit, (oth, -i)) AS hm FROM f GROUP BY qtl)
-SELECT qtl, CASE WHEN om <= o0 THEN 0.25 ELSE bm END AS beta, CAST(CASE WHEN om <= o0 THEN hd ELSE hm END AS BIGINT) AS hit_fused, CAST(h0 AS BIGINT) AS hit_gwas FROM w""")
+SELECT qtl, CASE WHEN om <= o0 OR few THEN 0.25 ELSE bm END AS beta, CAST(CASE WHEN om <= o0 OR few THEN hd ELSE hm END AS BIGINT) AS hit_fused, CAST(h0 AS BIGINT) AS hit_gwas
+FROM w CROSS JOIN (SELECT count(*) - 1 < 5 AS few FROM rq)""")
 def k_nested_loqo(spark, d):
     c = for_fusion(spark, d)
     n = cd.nested_lift(cd.recovered_by_beta(c, 60), c.where("in_window").select("qtl").distinct())
     return n.select("qtl", r("beta", "beta"), big("hit_fused"), big("hit_gwas"))
 
 
+@query("k_nested_prior")
+def k_nested_prior(spark, d):
+    """Nested lift with its interval over resampled QTLs and its place among permuted priors."""
+    p = rs.prior_lift(for_fusion(spark, d), 60, n_perm=2000, n_boot=10_000)
+    return p.select(big("n_recoverable"), "locked", *[r(c, c) for c in ("lift", "lo", "hi", "p_perm", "null_q50", "null_q95", "null_q99")], big("n_perm"))
+
+
 _BEST = _CAND + """
 , rr AS (SELECT qtl, in_window, row_number() OVER (ORDER BY -coalesce(zg, 0), v) AS rg, row_number() OVER (ORDER BY -(coalesce(zg, 0) + 0.5 * coalesce(z1, 0)), v) AS rf FROM cz),
 bq AS (SELECT qtl, count(*) AS n_in_window, min(rg) AS g, min(rf) AS f FROM rr WHERE in_window GROUP BY qtl)

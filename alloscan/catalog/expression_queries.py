@@ -15,6 +15,7 @@ from alloscan.operators import design as ds
 from alloscan.operators import expression as ex
 from alloscan.operators import ranking as rk
 from alloscan.operators import replicates as rp
+from alloscan.operators import resampling as rs
 from alloscan.operators import scan_order as so
 from alloscan.session import cut_lineage
 
@@ -277,6 +278,15 @@ def k_paired_tests(spark, d):
         1 - sc.chi2_sf1(F.col("z") * F.col("z")) / 2), "p_greater", 9))
 
 
+@query("k_paired_bootstrap")
+def k_paired_bootstrap(spark, d):
+    """Per arm: mean difference of two methods in power and in run time, with bootstrap interval and p."""
+    e = replicate_table(spark, d).withColumn("c", F.round(F.col("value") * 100).cast("bigint"))
+    x = e.select((F.col("user_id") % 3).alias("arm"), F.explode(F.create_map(
+        F.lit("power"), F.round(F.col("p1") - F.col("p2"), 9), F.lit("runtime"), ((F.col("c") % 53) - (F.col("c") % 47)).cast("double"))).alias("metric", "diff"))
+    return rs.paired_bootstrap(x, ["arm", "metric"], "diff", 2000).select("arm", "metric", big("n"), *[r(c, c) for c in ("delta", "lo", "hi", "p")])
+
+
 @query("top_enrich", """
 , o AS (SELECT s, row_number() OVER (ORDER BY y DESC, s) AS ro FROM ph), p AS (SELECT s, row_number() OVER (ORDER BY y DESC, s) AS rp FROM ph2),
 k AS (SELECT greatest(1, CAST(round_even(0.1125 * count(*), 0) AS BIGINT)) AS k FROM ph)

@@ -90,6 +90,7 @@ def ensemble(*z: str) -> Column:
 # fixed values: weights tried for the prior, and the weight used when they cannot be told apart
 BETA_GRID = (0.0, 0.1, 0.25, 0.5, 1.0, 2.0, 5.0)
 BETA_DEFAULT = 0.25
+MIN_QTLS = 5
 
 
 def recovered_by_beta(cand: DataFrame, top_n: int, grid=BETA_GRID) -> DataFrame:
@@ -124,7 +125,11 @@ def choose_beta(rec: DataFrame, recoverable: DataFrame, grid=BETA_GRID) -> DataF
 
 
 def nested_lift(rec: DataFrame, recoverable: DataFrame, grid=BETA_GRID) -> DataFrame:
-    """Per QTL: weight chosen on the other QTLs, and whether it recovers this one (against weight 0)."""
+    """Per QTL: weight chosen on the other QTLs, and whether it recovers this one (against weight 0).
+
+    Where the others are fewer than ``MIN_QTLS``, or no weight finds more of them than weight 0, the default is used.
+    """
+    m = recoverable.agg(F.count("*")).scalar()
     n = rec.join(recoverable, "qtl", "left_semi").groupBy("beta").agg(F.count("*").alias("n"))
     cells = recoverable.select("qtl", F.explode(F.array(*[F.struct(F.lit(float(x)).alias("beta"), F.lit(-i).alias("o"))
                                                           for i, x in enumerate(grid)])).alias("g")).select("qtl", "g.*")
@@ -133,7 +138,7 @@ def nested_lift(rec: DataFrame, recoverable: DataFrame, grid=BETA_GRID) -> DataF
     g = f.groupBy("qtl").agg(F.max(F.struct("others", "o", "beta", "hit")).alias("best"),
                              F.max(F.when(F.col("beta") == 0, F.struct("others", "hit"))).alias("base"),
                              F.max(F.when(F.col("beta") == BETA_DEFAULT, F.col("hit"))).alias("hit_default"))
-    flat = F.col("best.others") <= F.col("base.others")
+    flat = (F.col("best.others") <= F.col("base.others")) | (m - 1 < MIN_QTLS)
     return g.select("qtl", F.when(flat, BETA_DEFAULT).otherwise(F.col("best.beta")).alias("beta"),
                     F.when(flat, F.col("hit_default")).otherwise(F.col("best.hit")).alias("hit_fused"), F.col("base.hit").alias("hit_gwas"))
 
