@@ -69,7 +69,7 @@ def neglog10(p: Column) -> Column:
 
 
 # Cauchy combination: fixed clip limits of the test
-_P_LOW, _P_HIGH, _P_TAIL, _T_TAIL = 1e-300, 1 - 1e-16, 1e-15, 1e15
+_P_LOW, _P_HIGH, _P_TAIL, _T_TAIL = sp.P_LOW, sp.P_HIGH, sp.P_TAIL, sp.T_TAIL
 
 
 def cauchy_term(p: Column) -> Column:

@@ -257,6 +257,42 @@ def test_permutation_detects_planted_pair(spark):
     assert r["acat_obs"] < 1e-6 and abs(r["acat_emp"] - 1 / 13) < 1e-12 and r["n_perm"] == 12
 
 
+@pytest.mark.parametrize("n_pairs,flat", [(9, False), (10, True)])
+def test_permutation_summary_equals_all_rows(spark, n_pairs, flat):
+    """Two traits, odd and even counts, ties at p = 1 (flat burdens): folded blocks against every (replicate, pair) row."""
+    rng = np.random.default_rng(5)
+    n, n_perm = 40, 6
+    vec = {f"g{i}": rng.standard_normal(n) if i % 5 or not flat else np.zeros(n) for i in range(2 * n_pairs)}
+    pr = [(f"g{2 * i}", f"g{2 * i + 1}") for i in range(n_pairs)]
+    y = {"a": rng.standard_normal(n), "b": rng.standard_normal(n)}
+    g, _ = panel(n)
+    k, x = {"K": kernel(g)}, np.ones((n, 1))
+    b = spark.createDataFrame([(i, v.tolist()) for i, v in vec.items()], "gene string, vec array<double>")
+    got = ps.permutation_summary(spark.createDataFrame(pr, "gene_x string, gene_y string").repartition(3), b, y, x, k, n_perm).first()
+    bx, by = (np.stack([vec[p[i]] for p in pr]) for i in (0, 1))
+    rows = []
+    for rep in range(n_perm + 1):
+        terms = []
+        for v in y.values():
+            if rep:
+                v = v.mean() + (v - v.mean())[np.random.default_rng(900_000 + rep - 1).permutation(n)]
+            f = mm.fit_reml(v, x, k, n_starts=3, seed=(900_000 + rep - 1) % 100000 if rep else 1)
+            cv = list(f.component_var.values())
+            w, q = np.linalg.eigh(max(cv[-1], 1e-6) * np.eye(n) + cv[0] * k["K"])
+            p = mm.interaction_tests((q / np.sqrt(np.clip(w, 1e-10, None))) @ q.T, v, bx, by, None)[2]
+            terms.append(np.tan((0.5 - np.clip(np.where(np.isfinite(p), p, 1.0), 1e-300, 1 - 1e-16)) * np.pi))
+        p = 0.5 - np.arctan(np.mean(terms, axis=0)) / np.pi
+        acat = 0.5 - np.arctan(np.mean(np.tan((0.5 - np.minimum(p, 1 - 1e-16)) * np.pi))) / np.pi
+        rows.append((acat, p.min(), np.median(sp.norm_ppf(p / 2) ** 2) / sp.CHI2_1_MEDIAN))
+    obs, null = rows[0], np.array(rows[1:])
+    assert got["n_pairs"] == n_pairs and got["n_perm"] == n_perm
+    assert np.allclose([got["acat_obs"], got["min_p_obs"], got["lambda_obs"]], obs, rtol=1e-6, atol=1e-9)
+    assert np.isclose(got["lambda_perm_median"], np.median(null[:, 2]), rtol=1e-6, atol=1e-9)
+    if not flat:  # one p of 1 puts every combined p at 1 but for rounding
+        assert np.isclose(got["acat_emp"], (1 + (null[:, 0] <= obs[0]).sum()) / (n_perm + 1))
+    assert np.isclose(got["min_p_emp"], (1 + (null[:, 1] <= obs[1]).sum()) / (n_perm + 1))
+
+
 def test_fan_out_is_reproducible(spark):
     g, y = panel(40)
     k = {"A": kernel(g[::2]), "B": kernel(g[1::2])}
