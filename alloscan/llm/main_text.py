@@ -2,11 +2,12 @@
 
 A page is read into a tree of blocks. Every text block (what lies between block tags) earns points for its
 length and its commas; its container gets them whole, the containers above in halves and smaller parts.
-Each container's points are lowered by its link density. The container with most points is the article;
-its siblings that score well enough by the same measure are kept with it, and so are headings and long
-prose with few links. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-comments are left out before scoring, by tag or by the words of their class, id and role. Embedded elements (``ASIDE``)
-are left out if their own end tag closes them.
+Each container's points are lowered by its link density. The container with most points is the article, or
+the widest box around it that adds no list of links, as articles may lie in several sections;
+its siblings that score well enough by the same measure are kept with it, and so are headings and other
+text beside it with few links. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
+comments are left out before scoring, by tag or by the words of their class, id and role; a form that holds most of
+the page's text and prose is its frame and stays. Embedded elements (``ASIDE``) are left out if their own end tag closes them.
 
 Defined cases: a null or empty page, and one without a text block, give an empty text; broken nesting is
 closed at the next end tag that fits, and what is open at the end of a page ends there, so a page cut
@@ -28,19 +29,25 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp".split())
 ASIDE = frozenset("noscript iframe template noembed noframes svg object canvas audio video".split())
-LEFT_OUT = RAW | frozenset("head nav footer aside form button select option menu dialog label fieldset input".split())
+LEFT_OUT = RAW | frozenset("head nav footer aside button select option menu dialog label fieldset input".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer "
                   "form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th "
                   "thead tr ul".split())
 #: Elements that are never left out for their names: those hold the whole page or its main part.
 WHOLE = frozenset("html body main".split())
 HEADINGS = frozenset("h1 h2 h3".split())
-CONTAINER = frozenset("article body div main section td blockquote center".split())
+CONTAINER = frozenset("article body div form main section td blockquote center".split())
+#: Elements of running text. Inside an article only the words of adverts, notices and the like leave them out.
+TEXT = frozenset("blockquote h1 h2 h3 h4 h5 h6 p pre".split())
 #: Words of a class, id or role that leave an element out.
 UNWANTED = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs consent cookie "
                      "cookies disclaimer footer gdpr header masthead menu nav navbar navigation newsletter notice notification "
                      "pagination pager popup promo promoted related reply share sharing sidebar signup "
                      "social sponsor sponsored subscribe toolbar widget alert complementary contentinfo search".split())
+PAID = frozenset("ad ads advert adverts advertisement advertising consent cookie cookies gdpr newsletter notice promo promoted related share "
+                 "sharing signup social sponsor sponsored subscribe".split())
+#: Words that name the top of an article when they are inside it.
+TOP = frozenset("header masthead".split())
 #: Names with these words are about something else than the element (``has-sidebar``).
 ABOUT = frozenset("has with no without".split())
 READERS = frozenset("comment comments commentlist disqus respond replies".split())
@@ -59,20 +66,21 @@ _WORDS = re.compile(r"[a-z]+")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "out", "aside", "points", "chars", "links", "own")
+    __slots__ = ("tag", "parent", "out", "aside", "points", "chars", "links", "own", "article")
 
     def __init__(self, tag: str, parent: _Node | None, out: bool):
         self.tag, self.parent, self.out, self.aside = tag, parent, out, False
         self.points = 0.0
         self.chars = self.links = 0
         self.own: list[tuple[int, str, int]] = []
+        self.article = tag == "article" or parent is not None and parent.article
 
 
-def _unwanted(attributes: str) -> bool:
+def _unwanted(attributes: str, unwanted: frozenset = UNWANTED) -> bool:
     for m in _ATTRIBUTE.finditer(attributes):
         for name in (m[2] or m[3] or m[4] or "").lower().split():
             words = set(_WORDS.findall(name))
-            if not words & ABOUT and (words & READERS or words & UNWANTED and not words & WANTED):
+            if not words & ABOUT and (words & READERS or words & unwanted and not words & WANTED):
                 return True
     return False
 
@@ -145,21 +153,30 @@ def blocks_of(page: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
             elif name in ("html", "body") and here.parent is None and here.tag == name:
                 continue
             depth_a = 0
-            here = _Node(name, here, here.out or name in LEFT_OUT or name == "header" and not _inside(here, "article")
-                         or name not in WHOLE and _unwanted(m[3]))
+            here = _Node(name, here, here.out or name in LEFT_OUT or name == "header" and not here.article
+                         or name not in WHOLE and _unwanted(m[3], UNWANTED if not here.article else PAID if name in TEXT else UNWANTED - TOP))
             nodes.append(here)
     flush()
     for node in nodes[1:]:
         node.out = node.out or node.aside or node.parent.out
+    found = [x for x in found if not x[0].out]
+    _leave_forms(nodes, found)
     return nodes, [x for x in found if not x[0].out]
 
 
-def _inside(node: _Node | None, tag: str) -> bool:
-    while node is not None:
-        if node.tag == tag:
-            return True
-        node = node.parent
-    return False
+def _leave_forms(nodes: list[_Node], found: list[tuple[_Node, str, int]]) -> None:
+    """Forms are left out, but for one around the page: it holds most of the text, and prose."""
+    inside: dict[_Node, list[int]] = {}
+    for node, text, _ in found:
+        while node is not None:
+            if node.tag == "form":
+                inside.setdefault(node, []).append(len(text))
+            node = node.parent
+    total = sum(len(text) for _, text, _ in found)
+    for node in nodes[1:]:
+        own = inside.get(node, [0])
+        small = node.tag == "form" and (2 * sum(own) <= total or max(own) < PROSE_CHARS)
+        node.out = node.out or small or node.parent.out
 
 
 def _container(node: _Node) -> _Node:
@@ -168,6 +185,19 @@ def _container(node: _Node) -> _Node:
     return node
 
 
+def _whole(best: _Node, nodes: list[_Node]) -> _Node:
+    """The widest box around ``best``, short of the body, that adds no list of links to it."""
+    children: dict[_Node, list[_Node]] = {}
+    for x in nodes[1:]:
+        if x.chars:
+            children.setdefault(x.parent, []).append(x)
+    while best.tag != "article" and best.parent is not None and best.parent.tag in CONTAINER - WHOLE | {"main"}:
+        if any(x.links >= PROSE_LINKS * x.chars for x in children[best.parent] if x is not best):
+            break
+        best = best.parent
+    return best
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks, joined by newlines."""
     nodes, found = blocks_of(page or "")
@@ -190,8 +220,9 @@ def main_text(page: str | None) -> str:
     score = lambda x: x.points * (1 - x.links / x.chars) if x.chars else 0.0
     boxes = [x for x in nodes if x.points > 0]
     best = max(boxes, key=score)
-    while best.tag != "article" and best.parent is not None and _inside(best.parent, "article"):
+    while best.tag != "article" and best.parent is not None and best.parent.article:
         best = best.parent
+    best = _whole(best, nodes)
     floor = SIBLING_SHARE * score(best)
     kept = []
     for node, text, linked in found:
@@ -205,7 +236,7 @@ def main_text(page: str | None) -> str:
         elif top is not None and best.parent is not None:
             if top.tag in HEADINGS or top.tag in CONTAINER and score(top) >= floor:
                 kept.append(text)
-            elif top.tag not in CONTAINER and len(text) >= PROSE_CHARS and linked < PROSE_LINKS * len(text):
+            elif top.tag not in CONTAINER and linked < PROSE_LINKS * len(text):
                 kept.append(text)
     return "\n".join(kept)
 

@@ -157,6 +157,41 @@ PAGES = [
 ]
 
 
+LONG = "A long, quiet sentence about rivers, hills, and the weather of the year. " * 6
+WHOLE_ARTICLES = {
+    "sections": (f"<main><section><h2>One</h2><p>{LONG}</p></section><section><h2>Two</h2><p>Short end.</p></section></main>",
+                 ["One", LONG, "Two", "Short end."]),
+    "divs": (f"<main><div class=lead><p>First.</p></div><div class=body><p>{LONG}</p></div><div class=outro><p>Last.</p></div></main>",
+             ["First.", LONG, "Last."]),
+    "short_neighbours": (f"<body><p>Short intro.</p><div><p>{LONG}</p></div><p>End.</p></body>", ["Short intro.", LONG, "End."]),
+    "other_text": (f"<body><h4>Head</h4><div><p>{LONG}</p></div><ul><li>one</li><li>two</li></ul><pre>x = 1</pre></body>",
+                   ["Head", LONG, "one", "two", "x = 1"]),
+    "names_in_article": (f"<article><div class=header><h1>Title</h1></div><p class=search>On search.</p><p>{LONG}</p>"
+                         "<p class=advert>Buy now.</p><div class=related><p>Other news.</p></div></article>", ["Title", "On search.", LONG]),
+    "form_as_frame": (f"<form><article><h1>T</h1><p>{LONG}</p></article><input name=q><button>Go</button></form>", ["T", LONG]),
+}
+
+
+@pytest.mark.parametrize("form", WHOLE_ARTICLES)
+def test_articles_in_several_containers_are_whole(form):
+    page, want = WHOLE_ARTICLES[form]
+    around = "<nav><a href=/>Home</a></nav><div><a href=/a>A page</a> <a href=/b>B page</a></div><footer>Imprint</footer>"
+    for html in (page, f"<html><body>{around}{page.removeprefix('<body>').removesuffix('</body>')}{around}</body></html>"):
+        assert mt.main_text(html) == "\n".join(x.strip() for x in want)
+
+
+def test_small_and_empty_forms_are_left_out():
+    page = f"<body><div><p>{LONG}</p><form><p>Your name, please.</p></form></div></body>"
+    assert mt.main_text(page) == LONG.strip()
+    assert mt.main_text("<form><p>Name</p><p>Password</p></form>") == ""
+
+
+def test_lists_of_links_end_the_article():
+    links = "<div class=more>" + "".join(f"<p><a href=/{i}>Some other page {i}</a></p>" for i in range(9)) + "</div>"
+    page = f"<div><div><p>{LONG}</p></div>{links}</div>"
+    assert mt.main_text(page) == LONG.strip()
+
+
 @pytest.mark.parametrize("page,want", PAGES)
 def test_main_text_by_hand(page, want):
     assert mt.main_text(page) == want
