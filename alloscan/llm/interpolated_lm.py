@@ -8,7 +8,7 @@ predicted from counts from which it has been deleted.
 
 Counts are exact over all training tokens. Text is read in blocks; a block sends, for each word hash that
 falls to a bucket, its contexts, texts and counts, packed as arrays. A bucket sees all counts of its words,
-scores them and sends every block its part of the texts' sums. The counts of its contexts come to it from the
+scores them, one range of the words' hashes after the other, and sends every block its part of the texts' sums. The counts of its contexts come to it from the
 tasks that hold them: a block asks for them, by context, and each task answers the buckets it was asked for. Words with more than ``HOT_SHARE`` of all tokens
 are spread over the buckets by context, and word pairs above that share are scored where they are read; both
 are at most 1 / HOT_SHARE many, so their counts, also as contexts, are sent to all tasks.
@@ -27,10 +27,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from alloscan.llm.common import blank, code_points, lower_ascii, mix64, remainder, run_hashes, runs, written
-from alloscan.llm.jaccard_forest import complete_groups
 from alloscan.session import shuffle_width
 
 #: Upper bits of a word's hash by which context counts are also kept in a table of a fixed size. It only tells
@@ -41,6 +41,8 @@ END, START = np.uint64(0x5D5F454E445F5F01), np.uint64(0x7A5F53544152545F)
 HOT_SHARE = 1e-4
 #: Tokens and texts of a block, and characters read at once.
 BLOCK_TOKENS, BLOCK_TEXTS, READ_CHARS = 1_200_000, 50_000, 1_000_000
+#: Entries of a bucket that are weighed at once: a bucket is worked off by ranges of its words' hashes.
+RANGE_ENTRIES = 1_500_000
 #: Word buckets for each shuffle partition. More take less memory of a task, but send more parts of the texts' sums.
 BUCKETS_PER_PARTITION = 1
 #: Held-out counts are gathered in cells of a quarter power of two.
@@ -68,12 +70,12 @@ def contexts(tok: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Unsigned arrays as byte planes, so that compression finds the planes that are nearly constant."""
-    out = [np.array([len(arrays)], np.uint32).tobytes()]
+    """Arrays as byte planes, compressed one by one: the planes that are nearly constant cost little."""
+    codec, out = pa.Codec("zstd", compression_level=1), []
     for a in arrays:
         a = np.ascontiguousarray(a)
-        out.append(np.array([a.dtype.itemsize, len(a)], np.uint64).tobytes())
-        out.append(a.view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes())
+        planes = codec.compress(a.view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes(), asbytes=True)
+        out += [np.array([a.dtype.itemsize, len(a), len(planes)], np.uint64).tobytes(), planes]
     return b"".join(out)
 
 
@@ -82,18 +84,60 @@ def narrow(a: np.ndarray) -> np.ndarray:
     return a.astype(np.min_scalar_type(int(a.max(initial=0))))
 
 
+def steps(a: np.ndarray) -> np.ndarray:
+    """Differences in the array's own unsigned width, which wrap where it falls; small where it mostly rises."""
+    return np.diff(a, prepend=a.dtype.type(0))
+
+
 def unpack(blob: bytes, kinds: str) -> list[np.ndarray]:
-    """The packed arrays, by kind: ``d`` floating, else unsigned of the packed width."""
-    out, at = [], 4
+    """The packed arrays, by kind: ``d`` floating, ``s`` unsigned given as steps, else unsigned of the packed width."""
+    codec, out, at = pa.Codec("zstd"), [], 0
     for kind in kinds:
-        width, n = (int(x) for x in np.frombuffer(blob, np.uint64, 2, at))
-        at += 16
-        planes = np.frombuffer(blob, np.uint8, width * n, at).reshape(width, n)
-        at += width * n
-        out.append(np.ascontiguousarray(planes.T).view(np.float64 if kind == "d" else f"u{width}").ravel())
+        width, n, size = (int(x) for x in np.frombuffer(blob, np.uint64, 3, at))
+        at += 24
+        planes = np.frombuffer(codec.decompress(blob[at:at + size], width * n, asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
+        at += size
+        a = np.ascontiguousarray(planes.reshape(width, n).T).view(np.float64 if kind == "d" else f"u{width}").ravel()
+        out.append(np.cumsum(a, dtype=a.dtype) if kind == "s" else a)
     return out
 
 
+def _groups(batches: Iterable[pa.RecordBatch], key: str, columns: list[str]) -> Iterator[tuple[int | None, list[tuple] | pa.RecordBatch]]:
+    """Rows of each value of ``key``, which follow one another; rows of a negative value come first, as batches, under None."""
+    held: list[tuple] = []
+    now = None
+    for batch in batches:
+        keys = batch.column(key).to_numpy(zero_copy_only=False)
+        ahead = int((keys < 0).sum())
+        if ahead:
+            yield None, batch.slice(0, ahead)
+        values = [batch.column(c) for c in columns]
+        for i in range(ahead, len(keys)):
+            if held and keys[i] != now:
+                yield now, held
+                held = []
+            now = int(keys[i])
+            held.append(tuple(v[i].as_py() for v in values))
+    if held:
+        yield now, held
+
+
+def _ranges(parts: list) -> Iterator[tuple[np.ndarray, np.ndarray, list[slice]]]:
+    """A bucket's parts (words in order first, entries of each second) by ranges of the words' hashes, about
+    ``RANGE_ENTRIES`` at once: the range's distinct words, each entry's number among them, each part's entries."""
+    edges = [np.concatenate(([0], np.cumsum(p[1], dtype=np.int64))) for p in parts]
+    count = max(1, -(-int(sum(e[-1] for e in edges)) // RANGE_ENTRIES))
+    cuts = np.arange(1, count, dtype=np.uint64) * np.uint64(((1 << 64) - 1) // count)
+    at = [np.concatenate(([0], np.searchsorted(p[0], cuts), [len(p[0])])) for p in parts]
+    for k in range(count):
+        mine = [slice(a[k], a[k + 1]) for a in at]
+        # each part's words are sorted and distinct, so the range's are found without its entries
+        words = np.unique(np.concatenate([p[0][i] for p, i in zip(parts, mine)]))
+        if len(words):
+            number = np.concatenate([np.repeat(np.searchsorted(words, p[0][i]).astype(np.int32), p[1][i]) for p, i in zip(parts, mine)])
+            yield words, number, [slice(e[i.start], e[i.stop]) for e, i in zip(edges, mine)]
+
+
 def _pieces(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches without their texts, and with their tokens."""
     for batch in batches:
@@ -169,7 +213,7 @@ class Model:
         """Counts of the contexts: known to all tasks, or in what the bucket was sent."""
         known, n = _find(ctx, self.before, self.before_n)
         if blobs:
-            parts = [unpack(x, "uu") for x in blobs]
+            parts = [unpack(x, "su") for x in blobs]
             names, counts = (np.concatenate([p[k] for p in parts]) for k in range(2))
             order = np.argsort(names)
             n = np.where(known, n, _find(ctx, names[order], counts[order].astype(np.int64))[1])
@@ -253,29 +297,27 @@ def context_counts(docs: DataFrame, model: Model, buckets: int) -> DataFrame:
             at = _dealt(names[v], buckets)
             for b, i in _rows(at, np.argsort(at, kind="stable"), buckets):
                 own, count = np.unique(v[i], return_counts=True)
-                yield row(b, names[own], narrow(n[own]), narrow(count), narrow(to[i]))
+                yield row(b, steps(names[own]), narrow(n[own]), narrow(count), narrow(to[i]))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, starts in complete_groups(batches, ["bucket"]):
-            blobs = batch.column("blob").to_pylist()
-            for lo, hi in zip(starts[:-1], starts[1:]):
-                parts = [unpack(x, "uuuu") for x in blobs[lo:hi]]
-                names, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-                n = np.bincount(at, np.concatenate([p[1] for p in parts]), len(names)).astype(np.uint64)
-                asked = np.repeat(at.astype(np.int64), np.concatenate([p[2] for p in parts])) * buckets + np.concatenate([p[3] for p in parts])
-                v, to = np.divmod(np.unique(asked), buckets)
-                v, to = v[n[v] > 0], to[n[v] > 0]
-                for b, i in _rows(to, np.argsort(to, kind="stable"), buckets):
-                    yield row(b, names[v[i]], narrow(n[v[i]]))
+        for _, rows in _groups(batches, "bucket", ["blob"]):
+            parts = [unpack(x, "suuu") for x, in rows]
+            names, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([p[1] for p in parts]), len(names)).astype(np.uint64)
+            asked = np.repeat(at.astype(np.int64), np.concatenate([p[2] for p in parts])) * buckets + np.concatenate([p[3] for p in parts])
+            v, to = np.divmod(np.unique(asked), buckets)
+            v, to = v[n[v] > 0], to[n[v] > 0]
+            for b, i in _rows(to, np.argsort(to, kind="stable"), buckets):
+                yield row(b, steps(names[v[i]]), narrow(n[v[i]]))
 
     asked = docs.select("train", "text").mapInArrow(ask, "bucket int, blob binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
     return asked.mapInArrow(answer, "bucket int, blob binary")
 
 
-def _places(parts: list) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct contexts of a bucket's parts (names third, places fourth), and the place of each entry's among them."""
+def _places(parts: list) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Distinct contexts of a bucket's parts (names third), and the place among them of each part's."""
     names = np.unique(np.concatenate([p[2] for p in parts]))
-    return names, np.concatenate([np.searchsorted(names, p[2]).astype(np.int32)[p[3]] for p in parts])
+    return names, [np.searchsorted(names, p[2]).astype(np.int32) for p in parts]
 
 
 def held_out_cells(training: DataFrame, model: Model, buckets: int) -> tuple[list, np.ndarray, np.ndarray]:
@@ -294,24 +336,25 @@ def held_out_cells(training: DataFrame, model: Model, buckets: int) -> tuple[lis
                 around, at = np.unique(ctx[i], return_inverse=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([b], pa.int32()), pa.array([False]),
-                     pa.array([pack(names[own], narrow(count), names[around], narrow(at), narrow(n[i]))], pa.binary())],
+                     pa.array([pack(steps(names[own]), narrow(count), steps(names[around]), steps(narrow(at)), narrow(n[i]))], pa.binary())],
                     names=["bucket", "asked", "blob"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch, starts in complete_groups(batches, ["bucket"]):
-            blobs, asked = batch.column("blob").to_pylist(), batch.column("asked").to_pylist()
-            for lo, hi in zip(starts[:-1], starts[1:]):
-                parts = [unpack(x, "uuuuu") for x, a in zip(blobs[lo:hi], asked[lo:hi]) if not a]
-                if not parts:
-                    continue
-                h = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
-                words, number = np.unique(h, return_inverse=True)
-                names, before = _places(parts)
+        for _, rows in _groups(batches, "bucket", ["blob", "asked"]):
+            asked = [x for x, a in rows if a]
+            parts = [unpack(x, "sussu") for x, a in rows if not a]
+            del rows
+            if not parts:
+                continue
+            names, place = _places(parts)
+            context_n = model.find_contexts(names, asked)
+            for words, number, mine in _ranges(parts):
+                before = np.concatenate([q[p[3][i]] for p, q, i in zip(parts, place, mine)])
                 pair, at = np.unique(number.astype(np.int64) * len(names) + before, return_inverse=True)
-                n = np.bincount(at, np.concatenate([p[4] for p in parts])).astype(np.int64)
+                n = np.bincount(at, np.concatenate([p[4][i] for p, i in zip(parts, mine)])).astype(np.int64)
                 w, ctx = np.divmod(pair, len(names))
-                ctx_n = model.find_contexts(names, [x for x, a in zip(blobs[lo:hi], asked[lo:hi]) if a])[ctx]
+                ctx_n = context_n[ctx]
                 word_n = np.bincount(w, n, len(words)).astype(np.int64)
                 is_hot, hot_n = model.find_hot(words)
                 c = np.where(is_hot, hot_n, word_n)[w]
@@ -361,8 +404,10 @@ def score(docs: DataFrame, model: Model, buckets: int) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     id_type = docs.schema["doc_id"].dataType
+    id_arrow = to_arrow_type(id_type)
     packed = StructType([StructField("bucket", IntegerType()), StructField("block", LongType()), StructField("blob", BinaryType()),
                          StructField("ids", ArrayType(id_type)), StructField("held", ArrayType(BooleanType())), StructField("sizes", ArrayType(LongType()))])
+    packed_arrow = to_arrow_schema(packed)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -397,66 +442,57 @@ def score(docs: DataFrame, model: Model, buckets: int) -> DataFrame:
             for b, i in _rows(to, np.argsort(to, kind="stable"), buckets):
                 own, count = np.unique(w[i], return_counts=True)
                 around, at = np.unique(ctx[i], return_inverse=True)
-                blob = pack(names[own], narrow(count), names[around], narrow(at), narrow(owner[i]), narrow(tf[i]), train.astype(np.uint8))
+                blob = pack(steps(names[own]), narrow(count), steps(names[around]), steps(narrow(at)), narrow(owner[i]), narrow(tf[i]), train.astype(np.uint8))
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([block], pa.int64()), pa.array([blob], pa.binary()),
                                                   *(pa.nulls(1, schema.field(k).type) for k in range(3, 6))], names=packed.names)
             block += 1
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch, starts in complete_groups(batches, ["bucket"]):
-            numbers, block_of = batch.column("bucket").to_pylist(), batch.column("block").to_pylist()
-            for lo, hi in zip(starts[:-1], starts[1:]):
-                if numbers[lo] < 0:
-                    yield batch.slice(lo, hi - lo)
-                    continue
-                # what was asked for comes first
-                mid = lo + sum(x < 0 for x in block_of[lo:hi])
-                if mid == hi:
-                    continue
-                parts = [unpack(x, "uuuuuuu") for x in batch.column("blob").slice(mid, hi - mid).to_pylist()]
-                # each block's words are sorted and distinct, so the bucket's are found without its entries
-                words = np.unique(np.concatenate([p[0] for p in parts]))
-                number = np.concatenate([np.repeat(np.searchsorted(words, p[0]).astype(np.int32), p[1]) for p in parts])
-                names, ctx = _places(parts)
-                ctx_n = model.find_contexts(names, batch.column("blob").slice(lo, mid - lo).to_pylist())
-                tf = np.concatenate([p[5] for p in parts]).astype(np.int32)
-                learned = np.concatenate([p[6][p[4]] for p in parts]) * tf  # in 32 bits, as are the places
-                parts = [p[4] for p in parts]
-                pair = number.astype(np.int64) * len(names) + ctx
-                known = np.unique(pair)
-                at = np.searchsorted(known, pair).astype(np.int32)
+        for b, rows in _groups(batches, "bucket", ["block", "blob"]):
+            if b is None:
+                yield rows
+                continue
+            asked = [x for block, x in rows if block < 0]
+            blocks, parts = [block for block, _ in rows if block >= 0], [unpack(x, "sussuuu") for block, x in rows if block >= 0]
+            del rows
+            if not parts:
+                continue
+            names, place = _places(parts)
+            context_n = model.find_contexts(names, asked)
+            texts = [np.unique(p[4]) for p in parts]
+            sums = [np.zeros((3, len(x))) for x in texts]
+            for words, number, mine in _ranges(parts):
+                ctx = np.concatenate([q[p[3][i]] for p, q, i in zip(parts, place, mine)])
+                tf = np.concatenate([p[5][i] for p, i in zip(parts, mine)]).astype(np.int32)
+                learned = np.concatenate([p[6][p[4][i]] for p, i in zip(parts, mine)]) * tf
+                known, at = np.unique(number.astype(np.int64) * len(names) + ctx, return_inverse=True)
                 pair_n = np.bincount(at, learned, len(known)).astype(np.int64)
-                del pair, known
                 is_hot, hot_n = model.find_hot(words)
                 word_n = np.where(is_hot, hot_n, np.bincount(number, learned, len(words)).astype(np.int64))
-                del learned
-                edge = np.cumsum([0] + [len(p) for p in parts])
-                for k, p in enumerate(parts):
-                    texts, where = np.unique(p, return_inverse=True)
+                edge = np.cumsum([0] + [i.stop - i.start for i in mine])
+                for k, (p, mine_of) in enumerate(zip(parts, mine)):
                     i = slice(edge[k], edge[k + 1])
                     own, times = word_n[number[i]], tf[i]
-                    values = times * (own > 0), times * np.log10(own + 1), times * model.log10(ctx_n[ctx[i]], own, pair_n[at[i]])
-                    sums = [np.bincount(where, v) for v in values]
-                    yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([block_of[mid + k]], pa.int64()),
-                                                      pa.array([pack(texts.astype(np.uint32), *sums)], pa.binary()),
-                                                      *(pa.nulls(1, batch.schema.field(j).type) for j in range(3, 6))], names=packed.names)
+                    where = np.searchsorted(texts[k], p[4][mine_of])
+                    for row, v in zip(sums[k], (times * (own > 0), times * np.log10(own + 1), times * model.log10(context_n[ctx[i]], own, pair_n[at[i]]))):
+                        row += np.bincount(where, v, len(row))
+            for block, t, own in zip(blocks, texts, sums):
+                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([block], pa.int64()), pa.array([pack(t.astype(np.uint32), *own)], pa.binary()),
+                                                  *(pa.nulls(1, packed_arrow.field(j).type) for j in range(3, 6))], names=packed.names)
 
     result = StructType([StructField("doc_id", id_type), StructField("held_out", BooleanType()), StructField("n_tokens", LongType()),
                          StructField("n_known", LongType()), StructField("base_sum", DoubleType()), StructField("score", DoubleType())])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, starts in complete_groups(batches, ["block"]):
-            blobs = batch.column("blob").to_pylist()
-            for lo, hi in zip(starts[:-1], starts[1:]):
-                at = lo + next(i for i in range(hi - lo) if batch.column("ids").slice(lo + i, 1).null_count == 0)
-                ids, held, sizes = (batch.column(c).slice(at, 1).flatten() for c in ("ids", "held", "sizes"))
-                sums = np.zeros((3, len(sizes)))
-                for x in blobs[lo:hi]:
-                    texts, *parts = unpack(x, "uddd")
-                    sums[:, texts] += np.stack(parts)
-                yield pa.RecordBatch.from_arrays([ids, held, sizes, pa.array(np.round(sums[0]).astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])],
-                                                 names=result.names)
+        for _, rows in _groups(batches, "block", ["blob", "ids", "held", "sizes"]):
+            ids, held, sizes = next(x[1:] for x in rows if x[1] is not None)
+            sums = np.zeros((3, len(sizes)))
+            for blob, *_ in rows:
+                texts, *parts = unpack(blob, "uddd")
+                sums[:, texts] += np.stack(parts)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, id_arrow), pa.array(held, pa.bool_()), pa.array(sizes, pa.int64()),
+                                              pa.array(np.round(sums[0]).astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=result.names)
 
     asked = model.asked.select("bucket", F.lit(-1).cast("long").alias("block"), "blob", *(F.lit(None).cast(packed[k].dataType).alias(k) for k in ("ids", "held", "sizes")))
     sent = docs.select("doc_id", "held_out", "train", "text").mapInArrow(send, packed).unionByName(asked)

@@ -420,3 +420,26 @@ def test_codec_equals_brute_force_and_comes_back(spark):
     back = {r["doc_id"]: r["text"] for r in pc.decode(out).collect()}
     assert all(back[i] == (t or "").replace(pc.MARK, " ") for i, t in rows)
     assert pc.encode(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_ranges_of_a_bucket_cover_every_entry_once(monkeypatch):
+    rng = np.random.default_rng(5)
+    parts = []
+    for size in (0, 1, 40, 300):
+        words = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64) << np.uint64(1))
+        parts.append((words, rng.integers(1, 4, len(words)).astype(np.uint8)))
+    entries = [np.repeat(w, n) for w, n in parts]
+    for limit in (7, 100, 10**6):
+        monkeypatch.setattr(lm, "RANGE_ENTRIES", limit)
+        seen, words_before = [[] for _ in parts], -1
+        for words, number, mine in lm._ranges(parts):
+            assert int(words[0]) > words_before  # a word is in one range only
+            words_before = int(words[-1])
+            assert np.array_equal(words[number], np.concatenate([e[i] for e, i in zip(entries, mine)]))
+            for k, i in enumerate(mine):
+                seen[k].append(entries[k][i])
+        assert all(np.array_equal(np.concatenate(s), e) for s, e in zip(seen, entries))
+    rising = np.sort(rng.integers(0, 1 << 63, 50, dtype=np.uint64))
+    wraps = np.array([250, 3, 255, 0], np.uint8)
+    got = lm.unpack(lm.pack(lm.steps(rising), lm.steps(wraps), wraps, np.array([0.5, -1.0]), wraps[:0]), "ssudu")
+    assert all(np.array_equal(a, b) for a, b in zip(got, (rising, wraps, wraps, np.array([0.5, -1.0]), wraps[:0])))
