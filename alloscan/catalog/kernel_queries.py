@@ -107,6 +107,21 @@ def agg_kernel_diag(spark, d):
     return rel.kernel_correlation(kernels(spark, d)).select("grp_a", "grp_b", r("r", "r"))
 
 
+@query("agg_kernel_gram", _G + """
+, ka AS (SELECT grp, i, j, k FROM kk UNION ALL SELECT DISTINCT 'I', i, j, 1.0 FROM kk WHERE i = j)
+SELECT a.grp AS grp_a, b.grp AS grp_b, round(sum(a.k * b.k * CASE WHEN a.i = a.j THEN 1 ELSE 2 END), 6) + 0.0 AS g
+FROM ka a JOIN ka b ON a.i = b.i AND a.j = b.j AND a.grp <= b.grp GROUP BY ALL""")
+def agg_kernel_gram(spark, d):
+    """Inner products of the subgenome kernels and the identity, as vectors."""
+    return rel.kernel_gram(kernels(spark, d)).select("grp_a", "grp_b", r("g", "g"))
+
+
+@query("agg_kernel_condition")
+def agg_kernel_condition(spark, d):
+    """Condition number of the kernels and the identity, as vectors, from their Gram matrix."""
+    return rel.kernel_condition(kernels(spark, d)).select("n_columns", r("condition", "condition"))
+
+
 @query("join_panel", """
 SELECT s FROM g JOIN mk USING (v) WHERE sub = 'A' INTERSECT SELECT s FROM g JOIN mk USING (v) WHERE sub = 'B'
 INTERSECT SELECT s FROM g JOIN mk USING (v) WHERE sub = 'D'""")

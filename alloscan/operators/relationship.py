@@ -159,6 +159,36 @@ def kernel_correlation(k: DataFrame) -> DataFrame:
             .groupBy(F.col("grp").alias("grp_a"), "grp_b").agg(F.corr("k", "kb").alias("r")))
 
 
+def kernel_gram(k: DataFrame, identity: str = "I") -> DataFrame:
+    """``grp_a, grp_b, g`` (grp_a <= grp_b): inner products of the vectorised kernels and the identity.
+
+    ``k`` has the cells with i <= j; those off the diagonal count twice. The kernels of a cell meet in one row, so the
+    cells are shuffled once and each task sends one partial sum for each pair of kernels.
+    """
+    unit = k.where("i = j").select(F.lit(identity).alias("grp"), "i", "j", F.lit(1.0).alias("k")).distinct()
+    cells = (k.select(F.col("grp").cast("string").alias("grp"), "i", "j", F.col("k").cast("double").alias("k")).unionByName(unit)
+             .groupBy("i", "j").agg(F.collect_list(F.struct("grp", "k")).alias("c")))
+    weight = F.when(F.col("i") == F.col("j"), 1.0).otherwise(2.0)
+    pairs = cells.select(weight.alias("w"), "c", F.explode("c").alias("a")).select("w", "a", F.explode("c").alias("b")).where("a.grp <= b.grp")
+    return pairs.groupBy(F.col("a.grp").alias("grp_a"), F.col("b.grp").alias("grp_b")).agg(F.sum(F.col("w") * F.col("a.k") * F.col("b.k")).alias("g"))
+
+
+def kernel_condition(k: DataFrame) -> DataFrame:
+    """``n_columns, condition``: condition number of the vectorised kernels beside the identity, from their Gram matrix.
+
+    One row; infinite where they are linearly dependent, none for an empty ``k``. The matrix is as wide as there
+    are kernels, whatever the panel or the marker count.
+    """
+    def solve(gram: pd.DataFrame) -> pd.DataFrame:
+        names = sorted({*gram["grp_a"], *gram["grp_b"]})
+        m = gram.set_index(["grp_a", "grp_b"])["g"].unstack().reindex(index=names, columns=names).fillna(0.0).to_numpy()
+        roots = np.linalg.eigvalsh(m + np.triu(m, 1).T)
+        ratio = roots[-1] / roots[0] if roots[0] > roots[-1] * len(names) * np.finfo(float).eps else np.inf
+        return pd.DataFrame({"n_columns": [len(names)], "condition": [float(np.sqrt(ratio))]})
+
+    return kernel_gram(k).groupBy(F.lit(0).alias("one")).applyInPandas(solve, "n_columns long, condition double")
+
+
 def dense(k: DataFrame, n: int) -> dict[str, np.ndarray]:
     """Bring kernels of the bounded panel to the driver as {grp: n x n}."""
     if n > MAX_PANEL:
