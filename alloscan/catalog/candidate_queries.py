@@ -330,6 +330,22 @@ def plt_manhattan(spark, d):
                     F.when(F.col("p") <= 0.001, "genomewide").when(F.col("p") <= 0.05, "suggestive").otherwise("none").alias("level"))
 
 
+@query("plt_manhattan_labels", """
+, c AS (SELECT sub, chrom, min(pos) AS lo, max(pos) AS hi, greatest(max(pos) - min(pos), 1) AS span FROM ss GROUP BY ALL),
+o AS (SELECT *, coalesce(sum(span + greatest(span * 0.01, 1)) OVER (PARTITION BY sub ORDER BY chrom ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM c),
+wd AS (SELECT sub, 0.02 * (max(off + hi - lo) + 1) AS gap FROM o GROUP BY sub),
+b AS (SELECT sub, snp, chrom, pos, p, CAST(off + pos - lo AS DOUBLE) AS x, gap, row_number() OVER (PARTITION BY sub ORDER BY p, chrom, pos, snp) AS rn
+  FROM ss JOIN o USING (sub, chrom) JOIN wd USING (sub) WHERE p <= 0.05 QUALIFY rn <= 5),
+rec AS (SELECT DISTINCT sub, CAST(0 AS BIGINT) AS rn, CAST([] AS DOUBLE[]) AS kept, false AS shown FROM b UNION ALL
+  SELECT b.sub, b.rn, CASE WHEN len(list_filter(rec.kept, lambda k: abs(k - b.x) < b.gap)) = 0 THEN list_append(rec.kept, b.x) ELSE rec.kept END,
+    len(list_filter(rec.kept, lambda k: abs(k - b.x) < b.gap)) = 0 FROM rec JOIN b ON b.sub = rec.sub AND b.rn = rec.rn + 1)
+SELECT b.sub AS subgenome, b.chrom || ':' || b.pos AS label, round(b.x, 3) AS x, round(-log10(b.p), 6) + 0.0 AS y FROM rec JOIN b USING (sub, rn) WHERE shown""")
+def plt_manhattan_labels(spark, d):
+    """Labels of the strongest markers of each subgenome's panel, at least 2 % of its width apart."""
+    s = rk.panel_labels(t.sumstats(spark, d).select("sub", "snp", "chrom", "pos", "p"), "sub", ["snp"], 5, 0.05)
+    return s.select(F.col("sub").alias("subgenome"), F.concat("chrom", F.lit(":"), F.col("pos").cast("string")).alias("label"), r("x", "x", 3), r(sc.neglog10(F.col("p")), "y"))
+
+
 @query("plt_from_results", """
 , o AS (SELECT *, row_number() OVER (PARTITION BY p <= 0.05 ORDER BY sub, chrom, pos, snp) - 1 AS rn FROM ss), n AS (SELECT greatest(1, ceil(count(*) / 100)) AS st FROM ss WHERE p > 0.05)
 SELECT snp, sub AS subgenome, chrom, pos, round(p, 6) AS p FROM o CROSS JOIN n WHERE p <= 0.05 OR rn % st = 0""")

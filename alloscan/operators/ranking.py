@@ -107,6 +107,32 @@ def genome_layout(df: DataFrame) -> DataFrame:
             .withColumn("x", F.col("offset") + F.col("pos") - F.col("lo")).drop("lo", "offset"))
 
 
+def panel_labels(df: DataFrame, panel: str, key: list[str], n: int, level: float, share: float = 0.02) -> DataFrame:
+    """``panel, x, p, *key`` of the labels of each panel: of its ``n`` smallest p, those up to ``level`` that keep ``share``
+    of the panel's width away from every label with a smaller p. Ties go by chromosome, position and ``key``.
+
+    ``x`` is laid out within the panel. ``n`` labels are the most a panel can have, so the choice is a fold over n points.
+    """
+    from pyspark.sql import Window
+
+    from alloscan.operators import scan_order as so
+    ch = df.groupBy(panel, "chrom").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+    span = F.greatest(F.col("hi") - F.col("lo"), F.lit(1)).cast("double")
+    w = Window.partitionBy(panel).orderBy("chrom")
+    before = F.coalesce(F.sum(span + F.greatest(span * 0.01, F.lit(1.0))).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    ch = ch.withColumn("offset", before)
+    gap = F.max(F.col("offset") + F.col("hi") - F.col("lo")).over(Window.partitionBy(panel))
+    ch = ch.select(panel, "chrom", "lo", "offset", ((gap + 1) * share).alias("gap"))
+    best = so.top_k(df.where(F.col("p") <= level).select(panel, "chrom", "pos", "p", *key), [panel], [F.col(c) for c in ("p", "chrom", "pos", *key)], n)
+    best = best.join(F.broadcast(ch), [panel, "chrom"]).withColumn("x", F.col("offset") + F.col("pos") - F.col("lo"))
+    point = F.struct("rnk", "x", "p", "chrom", "pos", *key)
+    lists = best.groupBy(panel).agg(F.sort_array(F.collect_list(point)).alias("points"), F.first("gap").alias("gap"))
+    none = F.slice("points", 1, 0)
+    kept = F.aggregate("points", none, lambda acc, q: F.when(F.exists(acc, lambda o: F.abs(o["x"] - q["x"]) < F.col("gap")), acc)
+                       .otherwise(F.concat(acc, F.array(q))))
+    return lists.select(panel, F.explode(kept).alias("q")).select(panel, "q.*").drop("rnk")
+
+
 def robust_z(df: DataFrame, cols: dict[str, str]) -> DataFrame:
     """(x - median) / (1.4826 MAD) for each ``x -> output``; MAD = 0 falls back to the sd;
     under 2 values gives null. All columns share the passes; only their few medians, spreads
