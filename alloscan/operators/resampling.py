@@ -122,7 +122,8 @@ def permuted_lifts(cand: DataFrame, top_n: int, n_perm: int, seed: int = 31, gri
         qtl = np.array([*pdf["qtl"], *[q for _, q in rest]], dtype=object)
         return pd.DataFrame({"rep": [pdf["rep"].iloc[0]], "lift": [_lift(zg, zl, place, qtl, top_n, m, list(grid))]})
     p = spark.range(1, n_perm + 1, 1, shuffle_width(spark)).mapInPandas(pairs, "rep bigint, i bigint, j bigint")
-    met = p.join(s.select("i", "zg", "qtl"), "i").join(s.select("j", "zl"), "j")
+    # the planner takes the pairs for as few as the replicates and would broadcast them: both joins shuffle
+    met = p.join(s.select("i", "zg", "qtl").hint("merge"), "i").join(s.select("j", "zl").hint("merge"), "j")
     return met.groupBy("rep").applyInPandas(lift, ddl)
 
 

@@ -91,3 +91,16 @@ def test_paired_bootstrap_equals_resampled_rows(spark, monkeypatch):
         assert abs(r["lo"] - np.quantile(own, 0.025)) < 0.15 * sd and abs(r["hi"] - np.quantile(own, 0.975)) < 0.15 * sd
         assert abs(r["p"] - (own <= 0).mean()) < 0.03
         assert all(abs(r[c] - again[k][c]) < 1e-12 for c in ("delta", "lo", "hi", "p"))
+
+
+def test_permuted_pairs_are_never_broadcast(spark):
+    c = spark.createDataFrame([(i, float(i % 7), float(i % 5), "a", True) for i in range(50)], "id bigint, z_gwas double, z_llr_abs double, qtl string, in_window boolean")
+    plan = rs.permuted_lifts(c, 5, 20)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 2
+
+
+def test_signed_rank_score_of_many_differences(spark):
+    from alloscan.catalog.expression_queries import signed_rank_z
+    n = 4_000_000  # n (n + 1) (2 n + 1) is beyond a bigint
+    g = spark.createDataFrame([(n, n * (n + 1) / 4 + 1e9, 0.0)], "n bigint, w double, tie double")
+    assert signed_rank_z(g).first()["z"] == pytest.approx(1e9 / (n * (n + 1.0) * (2 * n + 1) / 24) ** 0.5)
