@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from alloscan.functions import stat_columns as sc
 from alloscan.operators import ranking as rk
@@ -93,24 +96,83 @@ def classify_bias(df: DataFrame) -> DataFrame:
                         .when(F.col("sd") >= 0.10, "variable_HEB").otherwise("balanced"))
 
 
+#: Letters of a group that one task holds at most (a larger group is dealt in parts), letters of a row, and length of the words that deal a group.
+KMER_PART, KMER_ROW, KMER_WORD = 1 << 20, 1 << 16, 11
+
+
+def kmer_runs(seq: str, k: int, parts: int) -> list[tuple[int, str]]:
+    """(part, piece of ``seq``) so that every k-mer lies in one piece, and equal k-mers have equal parts.
+
+    A k-mer's part comes from the least hash of its words, so neighbours mostly share it and go as one piece.
+    """
+    if parts == 1 or len(seq) <= k:
+        return [(0, seq)]
+    x = np.frombuffer(seq.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    m, h = min(k, KMER_WORD), np.zeros(1, np.uint64)
+    for i in range(m):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + x[i:len(x) - m + 1 + i]
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    least = h[:len(x) - k + 1].copy()
+    for i in range(1, k - m + 1):
+        np.minimum(least, h[i:i + len(least)], out=least)
+    part = (least % np.uint64(parts)).astype(np.int64)
+    starts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+    return [(int(part[i]), seq[i:j + k - 1]) for i, j in zip(starts[:-1], starts[1:])]
+
+
 def unique_kmers(seqs: DataFrame, k: int) -> DataFrame:
     """Distinct k-mers per copy and the share found in no other copy: ``grp, cp, seq`` in.
 
-    Repeats fold before the shuffle; a k-mer then meets its copies under (group, k-mer), so a
-    group is never gathered.
+    Only text is shuffled, about once, and k-mers are made behind the shuffle: a small group meets whole, a group of
+    more than KMER_PART letters in parts that each hold all copies of their k-mers. A task holds one part at a time.
     """
-    # pieces first: a substring walks the text from its start, so long texts are cut once
-    step = 2048
-    s = seqs.where(F.length("seq") >= k).select("grp", "cp", "seq", F.explode(
-        F.sequence(F.lit(1), F.length("seq") - (k - 1), F.lit(step))).alias("_s"))
-    s = s.select("grp", "cp", F.substring("seq", F.col("_s"), F.lit(step + k - 1)).alias("piece"))
-    km = s.select("grp", "cp", "piece", F.explode(F.sequence(F.lit(1), F.length("piece") - (k - 1))).alias("_p")).select(
-        "grp", "cp", F.substring("piece", F.col("_p"), F.lit(k)).alias("kmer"))
-    found = km.distinct()
-    alone = (found.groupBy("grp", "kmer").agg(F.count("*").alias("_copies"), F.min("cp").alias("cp")).where("_copies = 1")
-             .groupBy("grp", "cp").agg(F.count("*").alias("u")))
-    return (found.groupBy("grp", "cp").agg(F.count("*").alias("n_kmers")).join(alone, ["grp", "cp"], "left").select(
-        "grp", F.col("cp").cast("bigint").alias("cp"), "n_kmers", (F.coalesce("u", F.lit(0)) / F.col("n_kmers")).alias("unique_fraction")))
+    s = seqs.where(F.length("seq") >= k)
+    large = s.groupBy(F.col("grp").alias("_g")).agg(F.sum(F.length("seq").cast("bigint")).alias("_n")).where(F.col("_n") > KMER_PART)
+    # at most one row for KMER_PART letters of the input
+    s = s.join(F.broadcast(large.select("_g", F.ceil(F.col("_n") / KMER_PART).cast("int").alias("_parts"))), F.col("grp").eqNullSafe(F.col("_g")), "left")
+    s = s.select("grp", "cp", F.coalesce("_parts", F.lit(1)).alias("_parts"), "seq", F.explode(
+        F.sequence(F.lit(1), F.length("seq") - (k - 1), F.lit(KMER_ROW))).alias("_s"))
+    s = s.select("grp", "cp", "_parts", F.substring("seq", F.col("_s"), F.lit(KMER_ROW + k - 1)).alias("seq"))
+    kinds = pa.schema([(c, to_arrow_type(s.schema[c].dataType)) for c in ("grp", "cp")])
+
+    def deal(batches):
+        for batch in batches:
+            at, part, piece = [], [], []
+            for i, (seq, parts) in enumerate(zip(batch["seq"].to_pylist(), batch["_parts"].to_pylist())):
+                for p, x in dict.fromkeys(kmer_runs(seq, k, parts)):
+                    at.append(i)
+                    part.append(p)
+                    piece.append(x)
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["grp"].take(rows), batch["cp"].take(rows), pa.array(part, pa.int32()), pa.array(piece, pa.string())],
+                                             names=["grp", "cp", "part", "piece"])
+
+    def count(batches):
+        held, own = None, {}
+
+        def done():
+            seen, again = set(), set()
+            for x in own.values():
+                again |= seen & x
+                seen |= x
+            cps = list(own)
+            return pa.RecordBatch.from_arrays([
+                pa.array([held[0]] * len(cps), kinds.field("grp").type), pa.array(cps, kinds.field("cp").type), pa.array([len(own[c]) for c in cps], pa.int64()),
+                pa.array([0 if held[0] is None or c is None else len(own[c] - again) for c in cps], pa.int64())], names=["grp", "cp", "n", "u"])
+        for batch in batches:
+            for g, c, p, piece in zip(*(batch[x].to_pylist() for x in ("grp", "cp", "part", "piece"))):
+                if (g, p) != held:
+                    if own:
+                        yield done()
+                    held, own = (g, p), {}
+                own.setdefault(c, set()).update([piece[i:i + k] for i in range(len(piece) - k + 1)])
+        if own:
+            yield done()
+    keys = ", ".join(f"{c} {s.schema[c].dataType.simpleString()}" for c in ("grp", "cp"))
+    dealt = s.mapInArrow(deal, f"{keys}, part int, piece string").repartition("grp", "part").sortWithinPartitions("grp", "part")
+    found = dealt.mapInArrow(count, f"{keys}, n bigint, u bigint").groupBy("grp", "cp").agg(F.sum("n").alias("n_kmers"), F.sum("u").alias("u"))
+    return found.select("grp", F.col("cp").cast("bigint").alias("cp"), "n_kmers", (F.col("u") / F.col("n_kmers")).alias("unique_fraction"))
 
 
 def mappability_tier(mean_fraction: Column, high: float = 0.5, medium: float = 0.2) -> Column:
