@@ -11,7 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from alloscan.functions import stat_columns as sc
 from alloscan.operators import ranking as rk
 from alloscan.operators import scan_order as so
-from alloscan.session import cut_lineage
+from alloscan.session import cut_lineage, shuffle_width
 
 # fixed values: ideal expression shares (A, B, D) of the seven balance categories
 IDEALS = {
@@ -179,23 +179,57 @@ def mappability_tier(mean_fraction: Column, high: float = 0.5, medium: float = 0
     return F.when(mean_fraction >= high, "high").when(mean_fraction >= medium, "medium").otherwise("low")
 
 
+#: Standard deviations around the expected place of a draw's last key within which keys are ordered.
+SPREAD = 6.0
+#: Replicates that a row of the pool meets in one task.
+BLOCK = 100
+
+
 def stratum_enrichment(df: DataFrame, n_perm: int = 10_000, seed: int = 7) -> DataFrame:
     """Mean percentile of the tier (``top`` rows) against draws of other rows with the same strata.
 
     ``df``: ``id, stratum, pct, top``. In replicate r every row outside the tier gets a hash key; per
-    stratum as many rows with the smallest keys as the tier has there are drawn. Ranks inside
-    (replicate, stratum) come from the distributed ordered scan, so a stratum may be any size. If some
-    stratum has fewer other rows than it needs, there is no null: ``infeasible`` is true, the rest null.
+    stratum as many rows with the smallest keys as the tier has there are drawn. The k-th smallest of n hashes
+    lies near k / n: keys well below are drawn and summed where they are made, keys well above are not, and only
+    the few between, about 2 * SPREAD * sqrt(k), are ordered. A (replicate, stratum) whose k-th key lies elsewhere
+    is ordered whole. If some stratum has fewer other rows than it needs, there is no null: ``infeasible``
+    is true, the rest null.
     """
+    from pyspark.sql import Window
     sizes = cut_lineage(df.groupBy("stratum").agg(F.count_if(F.col("top")).alias("k"), F.count_if(~F.col("top")).alias("free")).where("k > 0"))
     obs = df.where(F.col("top")).agg(F.avg("pct").alias("obs"), F.count("*").alias("n_top"))
     short = sizes.agg(F.coalesce(F.bool_or(F.col("free") < F.col("k")), F.lit(False))).scalar()
-    pool = df.where(~F.col("top")).join(sizes, "stratum").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
-    pool = pool.withColumn("h", F.xxhash64(F.lit(seed), "rep", "id")).select("rep", "stratum", "h", "id", "pct", "k")
-    s = so.ordered_scan(pool, ["rep", "stratum", "h", "id"], {"g": ("count", "")})
-    first = s.groupBy("rep", "stratum").agg(F.min("g").alias("f"))
-    draw = cut_lineage(s.join(first, ["rep", "stratum"]).where(F.col("g") - F.col("f") < F.col("k"))
-                       .groupBy("rep").agg(F.avg("pct").alias("m")))
+    # borders as hashes: a share x of all hashes lies below (2 x - 1) * 2^63
+    slack = SPREAD * F.sqrt("k") + SPREAD
+    border = lambda n: ((2 * F.least(F.lit(1.0), F.greatest(F.lit(0.0), n / F.col("free"))) - 1) * F.lit(2.0 ** 63)).cast("double")
+    pool = df.where(~F.col("top")).join(sizes, "stratum").select(
+        "stratum", "id", "pct", "k", border(F.col("k") - slack).alias("lo"), border(F.col("k") + slack).alias("hi"))
+    # a row goes once to every block of replicates; replicates are made, cut and folded behind that shuffle
+    blocks = -(-n_perm // BLOCK)
+    pool = pool.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    pool = pool.repartition(max(blocks, shuffle_width(df.sparkSession)), "stratum", "block")
+    draws = pool.withColumn("rep", F.explode(F.sequence(F.col("block") * BLOCK + 1, F.least(F.col("block") * BLOCK + BLOCK, F.lit(n_perm)))))
+    draws = draws.withColumn("h", F.xxhash64(F.lit(seed), "rep", "id"))
+    below, between = F.col("h") < F.col("lo"), (F.col("h") >= F.col("lo")) & (F.col("h") <= F.col("hi"))
+    cell = ["rep", "stratum"]
+    near = F.when(between, F.struct("h", "id", "pct"))
+    # rows well below fold to sums; a cell's list is bounded by its slack
+    got = draws.where(below | between).groupBy("stratum", "block", "rep").agg(
+        F.first("k").alias("k"), F.count_if(below).alias("n0"), F.count_if(below & F.col("pct").isNotNull()).alias("c0"),
+        F.sum(F.when(below, F.col("pct"))).alias("s0"), F.sort_array(F.collect_list(near)).alias("near"))
+    got = got.withColumn("rest", F.col("k") - F.col("n0"))
+    inside = (F.col("rest") >= 0) & (F.col("rest") <= F.size("near"))
+    picked = F.transform(F.slice("near", 1, F.greatest(F.col("rest"), F.lit(0)).cast("int")), lambda x: x["pct"])
+    some = F.filter(picked, lambda x: x.isNotNull())
+    got = cut_lineage(got.select(*cell, inside.alias("inside"), (F.col("c0") + F.size(some)).alias("c"),
+                                 (F.coalesce("s0", F.lit(0.0)) + F.aggregate(some, F.lit(0.0), lambda x, y: x + y)).alias("s")))
+    every = df.sparkSession.range(1, n_perm + 1).select(F.col("id").cast("int").alias("rep")).join(F.broadcast(sizes.select("stratum", "free")))
+    missed = cut_lineage(every.join(got.where("inside").select(*cell), cell, "left_anti").where("free > 0"))
+    whole = draws.join(missed.select(*cell), cell).withColumn("_r", F.row_number().over(Window.partitionBy(*cell).orderBy("h", "id"))).where("_r <= k")
+    sums = got.where("inside").select("rep", "c", "s")
+    if not missed.isEmpty():
+        sums = sums.unionByName(whole.select("rep", F.when(F.col("pct").isNotNull(), 1).otherwise(0).cast("bigint").alias("c"), F.coalesce("pct", F.lit(0.0)).alias("s")))
+    draw = cut_lineage(sums.groupBy("rep").agg(F.try_divide(F.sum("s"), F.sum("c")).alias("m")))
     o = obs.select("obs").scalar()
     mid = draw.agg(F.avg("m")).scalar()
     draw = draw.withColumn("far", F.abs(F.col("m") - mid) >= F.abs(o - mid))

@@ -326,3 +326,24 @@ def test_poisson_band_wilson(spark):
     for x in (r["l"], r["h"]):
         assert abs(abs(0.05 - x) - 1.959963984540054 * math.sqrt(x * (1 - x) / 100)) < 1e-12
     assert r["l"] < 0.05 < r["h"]
+
+
+@pytest.mark.parametrize("spread", [6.0, 0.0])
+def test_enrichment_draws_equal_a_whole_order(spark, monkeypatch, spread):
+    """Draws by hash borders are those of ordering every row; borders that miss are made good."""
+    from alloscan.operators import expression as ex
+    monkeypatch.setattr(ex, "SPREAD", spread)
+    rows = [(i, i % 3, (i * 37 % 101) / 101, i % 7 == 0) for i in range(400)]
+    df = spark.createDataFrame(rows, "id bigint, stratum bigint, pct double, top boolean").repartition(4)
+    reps = 150
+    h = spark.createDataFrame([(r, i) for r in range(1, reps + 1) for i in range(400)], "rep int, id bigint").selectExpr("rep", "id", "xxhash64(7, rep, id) AS h")
+    h = {(x.rep, x.id): x.h for x in h.collect()}
+    means = []
+    for r in range(1, reps + 1):
+        drawn = []
+        for s in range(3):
+            k = sum(t for _, z, _, t in rows if z == s)
+            drawn += [p for _, p in sorted((h[r, i], p) for i, z, p, t in rows if z == s and not t)[:k]]
+        means.append(np.mean(drawn))
+    got = ex.stratum_enrichment(df, reps).first()
+    assert got.n_perm == reps and got.null_mean == pytest.approx(np.mean(means), abs=1e-12) and got.null_sd == pytest.approx(np.std(means, ddof=1), abs=1e-12)
