@@ -347,3 +347,18 @@ def test_enrichment_draws_equal_a_whole_order(spark, monkeypatch, spread):
         means.append(np.mean(drawn))
     got = ex.stratum_enrichment(df, reps).first()
     assert got.n_perm == reps and got.null_mean == pytest.approx(np.mean(means), abs=1e-12) and got.null_sd == pytest.approx(np.std(means, ddof=1), abs=1e-12)
+
+
+def test_closed_form_of_interaction_p():
+    rng = np.random.default_rng(8)
+    n = 40
+    wh, y = np.linalg.inv(np.linalg.cholesky(np.cov(rng.standard_normal((n, 90))))), rng.standard_normal(n)
+    bx, by = rng.standard_normal((500, n)), rng.standard_normal((500, n))
+    by[0], by[1], bx[2], by[3] = bx[0], bx[1] + 1e-9 * by[1], 0.0, bx[3] + 0.01 * by[3]
+    bx[4] = by[4] * 0 + y / np.where(np.abs(by[4]) > 0.1, by[4], 1)  # a product close to the trait
+    for c in (None, np.column_stack([np.ones(n), rng.standard_normal((n, 3))])):
+        want = mm.interaction_tests(wh, y, bx, by, c)[2]
+        assert np.allclose(mm.interaction_p(wh, y, bx, by, c), want, rtol=1e-7, atol=0)
+    for df in (2, 3, 5, 36, 37):
+        t = np.concatenate([[0.0], rng.standard_normal(300) * 4, [60.0, -1e6]])
+        assert np.allclose(sp.t_sf2_whole(t, df), sp.t_sf2(t, df), rtol=1e-9, atol=0)
