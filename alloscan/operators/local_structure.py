@@ -17,7 +17,7 @@ CONTROLS = ("focal_copy", "strongest_neighbour", "burden_components", "top_marke
 BIN = 1_000_000
 #: Genes whose sums a task holds at once.
 GENES_AT_ONCE = 16
-_AROUND = ("gene string, window_bp bigint, kind int, n bigint, gram array<double>, t array<double>, key array<string>, vec array<array<double>>")
+_AROUND = ("gene string, xs array<string>, ys array<string>, window_bp bigint, kind int, n bigint, gram array<double>, t array<double>, key array<string>, vec array<array<double>>")
 
 
 def _marginal_t(wh: np.ndarray, y: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -49,6 +49,8 @@ class _Sums:
 def around(focal: DataFrame, genes: DataFrame, burdens: DataFrame, markers: DataFrame, context: tuple, windows: tuple = WINDOWS, top: int = 10) -> DataFrame:
     """Sums over the burdens (kind 1) and markers (kind 2) within each window of each ``focal`` gene, itself left out.
 
+    ``focal``: ``gene`` once, and ``xs, ys``, the pairs that its sums are for. ``gram`` is the upper triangle by rows.
+
     ``genes``: ``gene, chrom, pos``; ``markers``: ``v, chrom, pos, vec``. Vectors are sent to the bins that they
     can matter to; a task reads a bin's genes first and then adds vector after vector, so it holds n x n sums for
     GENES_AT_ONCE genes, however many markers there are. A bin of more genes is dealt in parts.
@@ -56,30 +58,32 @@ def around(focal: DataFrame, genes: DataFrame, burdens: DataFrame, markers: Data
     wh, y, _ = context
     n, widest = len(y), max(windows)
     shared = focal.sparkSession.sparkContext.broadcast((wh, y))
-    at = focal.select("gene").distinct().join(genes, "gene").withColumn("bin", F.floor(F.col("pos") / BIN))
+    at = focal.join(genes, "gene").withColumn("bin", F.floor(F.col("pos") / BIN))
     parts = at.groupBy("chrom", "bin").agg(F.ceil(F.count("*") / GENES_AT_ONCE).cast("int").alias("parts"))
     at = cut_lineage(at.join(parts, ["chrom", "bin"]).withColumn("part", F.pmod(F.hash("gene"), F.col("parts"))))
     vectors = (burdens.join(genes, "gene").select(F.lit(1).alias("kind"), F.col("gene").alias("key"), "chrom", "pos", "vec").unionByName(
         markers.select(F.lit(2).alias("kind"), F.col("v").cast("string").alias("key"), "chrom", "pos", "vec")))
     sent = (vectors.withColumn("bin", F.explode(F.sequence(F.floor((F.col("pos") - widest) / BIN), F.floor((F.col("pos") + widest) / BIN))))
             .join(parts, ["chrom", "bin"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts"))
-    rows = at.select(F.lit(0).alias("kind"), F.col("gene").alias("key"), "chrom", "pos", F.lit(None).cast("array<double>").alias("vec"), "bin", "part").unionByName(sent)
+    rows = at.select(F.lit(0).alias("kind"), F.col("gene").alias("key"), "chrom", "pos", F.lit(None).cast("array<double>").alias("vec"), "bin", "part", "xs", "ys").unionByName(sent, allowMissingColumns=True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         wh, y = shared.value
-        held, here, sums = None, [], {}
+        held, here, sums, of = None, [], {}, {}
+        upper = np.triu_indices(n)
 
         def done() -> pd.DataFrame:
-            return pd.DataFrame([(g, w, k, s.count, s.gram.ravel().tolist(), s.t.tolist(), s.key.tolist(), s.vec.tolist()) for (g, w, k), s in sums.items()],
+            return pd.DataFrame([(g, *of[g], w, k, s.count, s.gram[upper].tolist(), s.t.tolist(), s.key.tolist(), s.vec.tolist()) for (g, w, k), s in sums.items()],
                                 columns=[c.split()[0] for c in _AROUND.split(", ")])
         for pdf in batches:
             for place, b in pdf.groupby(["chrom", "bin", "part"], sort=False):
                 if place != held:
                     if sums:
                         yield done()
-                    held, here, sums = place, [], {}
+                    held, here, sums, of = place, [], {}, {}
                 own = b[b["kind"] == 0]
                 here += list(zip(own["key"], own["pos"]))
+                of |= {g: (list(x), list(y)) for g, x, y in zip(own["key"], own["xs"], own["ys"])}
                 for kind, v in b[b["kind"] > 0].groupby("kind"):
                     vec, pos, key = np.stack(v["vec"].to_list()).astype(float), v["pos"].to_numpy(), v["key"].to_numpy(object)
                     t = _marginal_t(wh, y, vec)
@@ -92,7 +96,7 @@ def around(focal: DataFrame, genes: DataFrame, burdens: DataFrame, markers: Data
             yield done()
 
     dealt = rows.repartition("chrom", "bin", "part").sortWithinPartitions("chrom", "bin", "part", "kind")
-    return dealt.select("kind", "key", "chrom", "pos", "vec", "bin", "part").mapInPandas(run, _AROUND)
+    return dealt.select("kind", "key", "chrom", "pos", "vec", "bin", "part", "xs", "ys").mapInPandas(run, _AROUND)
 
 
 def _components(gram: np.ndarray, share: float, most: int) -> np.ndarray:
@@ -117,20 +121,31 @@ def local_controls(pairs: DataFrame, genes: DataFrame, burdens: DataFrame, marke
     wh, y, _ = context
     n = len(y)
     shared = pairs.sparkSession.sparkContext.broadcast((wh, y))
-    both = pairs.select(F.col("gene_x").alias("gene")).unionByName(pairs.select(F.col("gene_y").alias("gene")))
-    near = cut_lineage(around(both, genes, burdens, markers, context, windows, top).groupBy("gene", "window_bp").agg(
-        F.collect_list(F.struct("kind", "n", "gram", "t", "key", "vec")).alias("s")))  # two at most
+    # a gene's sums go straight to its pairs, each once; the light columns of the pairs meet them there
+    once = pairs.select("gene_x", "gene_y").distinct().select(F.explode(F.array("gene_x", "gene_y")).alias("gene"), "gene_x", "gene_y")
+    focal = once.groupBy("gene").agg(F.collect_list(F.struct("gene_x", "gene_y")).alias("of")).select("gene", F.col("of.gene_x").alias("xs"), F.col("of.gene_y").alias("ys"))
+    key = ["gene_x", "gene_y", "window_bp"]
+    near = around(focal, genes, burdens, markers, context, windows, top).withColumn("of", F.explode(F.arrays_zip("xs", "ys")))
+    near = near.select(F.col("of.xs").alias("gene_x"), F.col("of.ys").alias("gene_y"), "window_bp", "gene", "kind", "n", "gram", "t", "key", "vec").repartition(*key)
+    near = near.groupBy(*key).agg(F.collect_list(F.struct("gene", "kind", "n", "gram", "t", "key", "vec")).alias("s"))  # four at most
     x = pairs.select("gene_x", "gene_y", "focal", F.explode(F.array(*map(F.lit, windows)).cast("array<bigint>")).alias("window_bp"))
     for side in "xy":
-        x = (x.join(burdens.select(F.col("gene").alias(f"gene_{side}"), F.col("vec").alias(f"b{side}")), f"gene_{side}")
-             .join(near.select(F.col("gene").alias(f"gene_{side}"), "window_bp", F.col("s").alias(f"s{side}")), [f"gene_{side}", "window_bp"], "left"))
+        x = x.join(burdens.select(F.col("gene").alias(f"gene_{side}"), F.col("vec").alias(f"b{side}")), f"gene_{side}")
     x = x.join(burdens.select(F.col("gene").alias("focal"), F.col("vec").alias("bf")), "focal", "left")
+    x = x.join(near, key, "left")
+    upper = np.triu_indices(n)
+
+    def whole(gram) -> np.ndarray:
+        out = np.zeros((n, n))
+        out[upper] = gram
+        return out + np.triu(out, 1).T
 
     def covariates(row) -> Iterator[tuple[str, np.ndarray | None, int]]:
         first = [np.ones((n, 1))] + ([] if row.bf is None else [np.asarray(row.bf)[:, None]])
         yield CONTROLS[0], np.hstack(first) if row.bf is not None else None, len(first) - 1
         for kind, strongest, components in ((1, CONTROLS[1], CONTROLS[2]), (2, CONTROLS[3], CONTROLS[4])):
-            own = [s for side in (row.sx, row.sy) for s in (side if side is not None else []) if s["kind"] == kind]
+            own = [s for s in (row.s if row.s is not None else []) if s["kind"] == kind]
+            own.sort(key=lambda s: s["gene"] != row.gene_x)
             if not own:
                 yield strongest, None, 0
                 yield components, None, 0
@@ -139,7 +154,7 @@ def local_controls(pairs: DataFrame, genes: DataFrame, burdens: DataFrame, marke
             vec = np.concatenate([np.stack(list(s["vec"])).astype(float) for s in own])
             best = np.lexsort((key.astype(str), -t))[:1 if kind == 1 else top]
             yield strongest, np.hstack([*first, vec[best].T]), len(best)
-            c = _components(sum(np.asarray(s["gram"]).reshape(n, n) for s in own), share, max(n - 8, 1))
+            c = _components(sum(whole(s["gram"]) for s in own), share, max(n - 8, 1))
             yield components, np.hstack([*first, c]), c.shape[1]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,5 +171,5 @@ def local_controls(pairs: DataFrame, genes: DataFrame, burdens: DataFrame, marke
                         beta, p = float(b[0]), float(q[0])
                     out.append((row.gene_x, row.gene_y, row.window_bp, control, k, beta0, beta, p, None if beta is None else 1 - abs(beta) / max(abs(beta0), 1e-12)))
             yield pd.DataFrame(out, columns=["gene_x", "gene_y", "window_bp", "control", "n_terms", "beta0", "beta", "p", "attenuation"])
-    return x.select("gene_x", "gene_y", "window_bp", "bx", "by", "bf", "sx", "sy").mapInPandas(
+    return x.select("gene_x", "gene_y", "window_bp", "bx", "by", "bf", "s").mapInPandas(
         run, "gene_x string, gene_y string, window_bp bigint, control string, n_terms int, beta0 double, beta double, p double, attenuation double")
