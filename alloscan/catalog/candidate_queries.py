@@ -238,9 +238,12 @@ SELECT h.snp, l.snp AS lead_snp, h.i = l.i AS lead_of_locus, round(CASE WHEN h.i
 FROM rec JOIN h ON h.i = rec.i JOIN h l ON l.i = rec.lead LEFT JOIN lk ON lk.a = h.i AND lk.b = l.i""")
 def top_ld_clump(spark, d):
     from alloscan.catalog.genotype_queries import neighbour_pairs
-    h = t.sumstats(spark, d).where("p < 0.3").select("v", "chrom", "pos", "p")
+    calls = cut_lineage(t.geno(spark, d))
+    h = cut_lineage(t.sumstats(spark, d, calls=calls).where("p < 0.3").select("v", "chrom", "pos", "p"))
+    # only the hits' calls and statistics meet the pairs
+    calls = cut_lineage(calls.join(h.select("v"), "v", "left_semi"))
     pr = neighbour_pairs(h, 1_000_000)
-    ld = gt.ld_pairs(t.geno(spark, d), t.stats(spark, d), pr).select(F.col("va").alias("a"), F.col("vb").alias("b"), "r2")
+    ld = gt.ld_pairs(calls, t.stats(spark, d, calls), pr).select(F.col("va").alias("a"), F.col("vb").alias("b"), "r2")
     x = cl.ld_loci(h.select(F.col("v").alias("id"), "chrom", "p"), ld, 0.05)
     m = lambda c: F.concat(F.lit("m"), F.col(c).cast("string"))
     return x.select(m("id").alias("snp"), m("lead_id").alias("lead_snp"), "lead_of_locus", r("r2_to_lead", "r2_to_lead"))
