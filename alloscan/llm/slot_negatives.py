@@ -7,9 +7,12 @@ a score is the last positive, in falling order, whose limit it keeps. Tasks keep
 positive may take is the union of its slot and those below, so one merge from the lowest slot upwards answers all
 positives, and their lower limits are applied last.
 
-Rows and anchors are packed into blocks once. Blocks of anchors meet blocks of rows in an equi-join: an anchor block is
-repeated for each of as many shares of the rows as there are shuffle partitions, a row block for each anchor block.
-A task multiplies blocks by label (positives only with their own) and keeps its best over all of its row blocks.
+Rows and anchors are packed into blocks once. Groups of anchor blocks and shares of the row blocks make a grid of tasks: an
+anchor block goes to each share, a row block to each group, both by one shuffle and never by a broadcast, whose size the planner
+would guess from the blocks before they are repeated. A task gets its anchors first and then one row block after the other;
+it multiplies blocks by label (positives only with their own) and keeps its best over all of its row blocks. Once an
+anchor has its k-th best, one comparison leaves few scores to order; products that stay whole numbers below 2^24 are taken
+in single precision, which is exact there.
 
 Defined cases: rows with a null id or label, a null vector, or a null or non-finite component take no part; rows of
 another vector length are not compared; rows with the anchor's own id are not its positives; of several rows with an
@@ -19,6 +22,7 @@ below 2^53; an empty table gives an empty result. Only the named columns are rea
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,14 +37,21 @@ from alloscan.session import shuffle_width
 #: fixed values: how many are wanted, and the limits in percent
 POSITIVES, NEGATIVES, LOWER, UPPER = 5, 3, 50, 95
 ROW_BLOCK, ANCHOR_BLOCK = 8192, 2048
+#: What a task keeps of anchors: so many blocks and so many numbers in their vectors.
+ANCHOR_GROUP, GROUP_NUMBERS = 32, 1 << 22
 #: Scores computed at once.
 CELLS = 1 << 21
+#: Columns that give a first limit, and the share of scores (one in so many) above which all are ordered by rows.
+FIRST, DENSE = 1024, 8
 NO_SCORE = -float("inf")
-_BLOCK = "block string, size int, ids binary, labels binary, type string, numbers binary, limits binary"
+_BLOCK = "task int, number int, size int, ids binary, labels binary, type string, numbers binary, limits binary"
 
 
-def _matrix(kind: str, numbers: bytes, size: int) -> np.ndarray:
-    return np.frombuffer(numbers, kind).reshape(-1, size).astype(np.float64)
+def _matrix(kind: str, numbers: bytes, size: int) -> tuple[np.ndarray, float]:
+    """Vectors, in single precision if that is exact, and the length of the longest; infinite if not all are whole numbers."""
+    vectors = np.frombuffer(numbers, kind).reshape(-1, size).astype(np.float64)
+    reach = float("inf") if kind == "<f8" else float(np.sqrt(np.einsum("ij,ij->i", vectors, vectors).max(initial=0)))
+    return vectors.astype(np.float32) if reach < 2 ** 24 else vectors, reach
 
 
 def _pack(block: int):
@@ -57,10 +68,10 @@ def _pack(block: int):
                     top = np.abs(flat).max(initial=0)
                     kind = "<f8" if top >= 2 ** 31 or (flat != np.floor(flat)).any() else "<i4" if top >= 2 ** 15 else "<i2"
                     limits = None if b.column(3).null_count else np.asarray(b.column(3).flatten(), np.float64).tobytes()
-                    row = (f"{task}-{number}", int(length), np.asarray(b.column(0), np.int64).tobytes(), np.asarray(b.column(1), np.int64).tobytes(),
+                    row = (task, number, int(length), np.asarray(b.column(0), np.int64).tobytes(), np.asarray(b.column(1), np.int64).tobytes(),
                            kind, flat.astype(kind).tobytes(), limits)
                     number += 1
-                    types = (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.binary(), pa.binary())
+                    types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.binary(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names=[x.split()[0] for x in _BLOCK.split(", ")])
     return run
 
@@ -86,37 +97,79 @@ class _Best:
     """The best scores of an anchor block so far: for each anchor and slot ``k`` of them, with their ids."""
 
     def __init__(self, row: dict, slots: int, k: int):
-        self.block, self.k, self.slots = row["a_block"], k, slots
-        self.ids, self.labels = np.frombuffer(row["a_ids"], np.int64), np.frombuffer(row["a_labels"], np.int64)
-        self.vectors = _matrix(row["a_type"], row["a_numbers"], row["size"])
-        self.limits = np.frombuffer(row["a_limits"]).reshape(-1, POSITIVES) if slots > 1 else None
-        shape = (len(self.ids), slots, k)
-        self.score, self.id = np.full(shape, NO_SCORE), np.zeros(shape, np.int64)
-
-    def meet(self, row: dict) -> None:
-        ids, labels = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["labels"], np.int64)
-        by = np.argsort(ids, kind="stable")
-        ids, labels, vectors = ids[by], labels[by], _matrix(row["type"], row["numbers"], row["size"])[by]
+        self.size, self.k, self.slots = row["size"], k, slots
+        self.ids, self.labels = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["labels"], np.int64)
+        self.vectors, self.reach = _matrix(row["type"], row["numbers"], row["size"])
+        n = len(self.ids)
+        self.limits = np.frombuffer(row["limits"]).reshape(n, POSITIVES) if slots > 1 else None
+        #: the last slot there is, and its upper limit
+        self.last = np.zeros(n, np.int64) if slots == 1 else np.maximum((self.limits > NO_SCORE).sum(1) - 1, 0)
+        self.under = np.full(n, np.inf) if slots == 1 else self.limits[np.arange(n), self.last]
+        self.score, self.id = np.full((n, slots, k), NO_SCORE), np.zeros((n, slots, k), np.int64)
+
+    def meet(self, ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray, reach: float) -> None:
+        """Rows in order of their ids."""
+        kind = np.float32 if self.reach * reach < 2 ** 24 else np.float64
         for label in np.unique(self.labels):
             mine = np.flatnonzero(self.labels == label)
             theirs = np.flatnonzero((labels == label) == (self.limits is None))
-            step = max(1, CELLS // max(1, len(theirs)))
-            for lo in range(0, len(mine) if len(theirs) else 0, step):
+            if not len(theirs):
+                continue
+            step, own, other = max(1, CELLS // len(theirs)), ids[theirs], vectors[theirs].astype(kind, copy=False).T
+            for lo in range(0, len(mine), step):
                 part = mine[lo:lo + step]
-                scores = self.vectors[part] @ vectors[theirs].T
-                if self.limits is None:
-                    scores[self.ids[part][:, None] == ids[theirs]] = NO_SCORE
-                    self.take(part, 0, scores, ids[theirs])
+                scores = self.vectors[part].astype(kind, copy=False) @ other
+                found = self.above(part, scores, own)
+                if len(found) * DENSE <= scores.size:
+                    a, c = np.divmod(found, len(theirs))
+                    self.put(part[a], scores.ravel()[found].astype(np.float64), own[c])
                 else:
-                    slot = np.full(scores.shape, -1, np.int8)
-                    for j in range(self.slots):
-                        slot += scores <= self.limits[part, j, None]
-                    for j in range(self.slots):
-                        # what a block cannot better is left out before any order is made
-                        better = (slot == j) & (scores >= self.score[part, j, -1, None])
-                        some = np.flatnonzero(better.any(1))
-                        if len(some):
-                            self.take(part[some], j, np.where(better[some], scores[some], NO_SCORE), ids[theirs])
+                    self.meet_all(part, scores.astype(np.float64, copy=False), own)
+
+    def above(self, part: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Places of the scores that can still be among the best; the limit of the last slot is below those of all others."""
+        low = self.score[part, self.last[part], -1]
+        if (low == NO_SCORE).any() and len(ids) >= self.k:
+            some = scores[:, :max(FIRST, self.k)].astype(np.float64)
+            out = some > self.under[part, None] if self.limits is not None else self.ids[part][:, None] == ids[:some.shape[1]]
+            some[out] = NO_SCORE
+            low = np.maximum(low, np.partition(some, -self.k, axis=1)[:, -self.k])
+        high = self.limits[part, 0] if self.limits is not None else np.full(len(part), np.inf)
+        with np.errstate(over="ignore"):
+            low, high = low.astype(scores.dtype), high.astype(scores.dtype)
+        return np.flatnonzero((scores >= low[:, None]) & (scores <= high[:, None]))
+
+    def put(self, a: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        """Scores of single rows ``ids`` with the anchors ``a``."""
+        kept, names = self.score.reshape(-1, self.k), self.id.reshape(-1, self.k)
+        slot = np.zeros(len(a), np.int64) if self.limits is None else (self.limits[a] >= score[:, None]).sum(1) - 1
+        place = a * self.slots + slot
+        good = (slot >= 0) & (score > NO_SCORE) & ((score > kept[place, -1]) | ((score == kept[place, -1]) & (ids < names[place, -1])))
+        if self.limits is None:
+            good &= ids != self.ids[a]
+        full = np.unique(place[good])
+        place, score, ids = (np.concatenate(x) for x in ((np.repeat(full, self.k), place[good]), (kept[full].ravel(), score[good]), (names[full].ravel(), ids[good])))
+        by = np.lexsort((ids, -score, place))
+        place = place[by]
+        start = np.flatnonzero(np.diff(place, prepend=-1))
+        rank = np.arange(len(place)) - np.repeat(start, np.diff(start, append=len(place)))
+        best = rank < self.k
+        kept[place[best], rank[best]], names[place[best], rank[best]] = score[by][best], ids[by][best]
+
+    def meet_all(self, part: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        if self.limits is None:
+            scores[self.ids[part][:, None] == ids] = NO_SCORE
+            self.take(part, 0, scores, ids)
+            return
+        slot = np.full(scores.shape, -1, np.int8)
+        for j in range(self.slots):
+            slot += scores <= self.limits[part, j, None]
+        for j in range(self.slots):
+            # what a block cannot better is left out before any order is made
+            better = (slot == j) & (scores >= self.score[part, j, -1, None])
+            some = np.flatnonzero(better.any(1))
+            if len(some):
+                self.take(part[some], j, np.where(better[some], scores[some], NO_SCORE), ids)
 
     def take(self, part: np.ndarray, slot: int, scores: np.ndarray, ids: np.ndarray) -> None:
         best = first_columns(scores, self.k)
@@ -133,31 +186,50 @@ class _Best:
 
 
 def _combine(slots: int, k: int):
+    """Of each cell the anchor blocks come first, then the row blocks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = None
+        cell, group = None, []
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
-                if best is None or best.block != row["a_block"]:
-                    if best is not None:
-                        yield best.rows()
-                    best = _Best(row, slots, k)
-                best.meet(row)
-        if best is not None:
-            yield best.rows()
+                if row["cell"] != cell:
+                    yield from (best.rows() for best in group)
+                    cell, group = row["cell"], []
+                if row["is_anchor"]:
+                    group.append(_Best(row, slots, k))
+                elif group:
+                    ids, labels = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["labels"], np.int64)
+                    by = np.argsort(ids, kind="stable")
+                    vectors, reach = _matrix(row["type"], row["numbers"], row["size"])
+                    ids, labels, vectors = ids[by], labels[by], vectors[by]
+                    for best in group:
+                        if best.size == row["size"]:
+                            best.meet(ids, labels, vectors, reach)
+        yield from (best.rows() for best in group)
     return run
 
 
-def best_of_slots(rows: DataFrame, anchors: DataFrame, slots: int, k: int) -> DataFrame:
+def grid(rows: int, anchors: int, numbers: int, tasks: int) -> tuple[int, int]:
+    """Groups of anchors and shares of rows, about ``tasks`` in all; ``numbers`` counts the anchors' components.
+
+    A row goes to each group; an anchor goes to each share and comes back with its best, about four times as long as a
+    row. Groups are as many as make the two alike, but enough for a task to keep one.
+    """
+    even = min(tasks, round(math.sqrt(4 * tasks * anchors / max(1, rows))))
+    groups = max(1, even, -(-anchors // (ANCHOR_GROUP * ANCHOR_BLOCK)), -(-numbers // GROUP_NUMBERS))
+    return groups, -(-tasks // groups)
+
+
+def best_of_slots(rows: DataFrame, anchors: DataFrame, groups: int, shares: int, slots: int, k: int) -> DataFrame:
     """``anchor, slot, best``: for each anchor and slot the ``k`` best of the row blocks, as (less, id) in order."""
-    width = shuffle_width(rows.sparkSession)
-    names = [r["block"] for r in anchors.select("block").collect()]  # one for ANCHOR_BLOCK anchors
-    if not names:
-        names = [""]
-    left = rows.select("*", F.explode(F.array(*map(F.lit, names))).alias("a_block"), F.pmod(F.hash("block"), F.lit(width)).alias("share"))
-    right = anchors.select(*[F.col(c).alias(f"a_{c}") for c in ("block", "ids", "labels", "type", "numbers", "limits")], "size",
-                           F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("share"))
-    met = left.drop("limits").join(right, ["a_block", "share", "size"])
+    # multiples of two irrational numbers spread the tasks' blocks evenly
+    spread = F.pmod(F.col("task") * F.lit(0.7548776662466927) + F.col("number") * F.lit(0.5698402909980532), F.lit(1.0))
+    left = rows.select("*", F.least(F.floor(spread * shares), F.lit(shares - 1)).cast("int").alias("share"),
+                       F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("team"), F.lit(False).alias("is_anchor"))
+    right = anchors.select("*", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"),
+                           F.pmod("task", F.lit(groups)).alias("team"), F.lit(True).alias("is_anchor"))
+    met = (left.unionByName(right).withColumn("cell", F.col("team") * shares + F.col("share")).drop("team", "share", "task", "number")
+           .repartitionById(groups * shares, F.col("cell")).sortWithinPartitions("cell", F.desc("is_anchor")))
     found = met.mapInArrow(_combine(slots, k), "anchor long, slot int, score long, id long")
     return (found.groupBy("anchor", "slot")
             .agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "id"))), 1, k).alias("best")))
@@ -170,14 +242,16 @@ def mine(rows: DataFrame, is_anchor: Column) -> DataFrame:
                    .select(F.col("id").cast("long").alias("id"), F.col("label").cast("long").alias("label"), F.col("v").cast("array<double>").alias("v")))
     anchors = (rows.where(is_anchor).groupBy("id").agg(F.min(F.struct("label", "v")).alias("x")).select("id", "x.label", "x.v"))
     anchors = written(anchors)
-    n_blocks = -(-anchors.count() // ANCHOR_BLOCK) or 1
+    n, numbers = anchors.agg(F.count("id"), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
+    groups, shares = grid(rows.count(), n, numbers, shuffle_width(rows.sparkSession))
     packed = blocks(rows, ROW_BLOCK)
-    positives = written(best_of_slots(packed, blocks(anchors.repartition(n_blocks), ANCHOR_BLOCK), 1, POSITIVES).select(F.col("anchor").alias("id"), "best"))
+    positives = written(best_of_slots(packed, blocks(anchors.repartition(groups), ANCHOR_BLOCK), groups, shares, 1, POSITIVES)
+                        .select(F.col("anchor").alias("id"), "best")).hint("merge")
     # upper limits in falling order, as whole numbers; a missing positive has one below all scores
     limits = F.transform(F.sequence(F.lit(1), F.lit(POSITIVES)), lambda j: F.coalesce(
         F.floor(F.try_element_at("best", j)["less"] * -UPPER / 100).cast("double"), F.lit(NO_SCORE)))
-    limited = anchors.join(positives, "id").withColumn("limits", limits).repartition(n_blocks)
-    slots = best_of_slots(packed, blocks(limited, ANCHOR_BLOCK), POSITIVES, NEGATIVES)
+    limited = anchors.join(positives, "id").withColumn("limits", limits).repartition(groups)
+    slots = best_of_slots(packed, blocks(limited, ANCHOR_BLOCK), groups, shares, POSITIVES, NEGATIVES)
     by_anchor = (slots.groupBy("anchor").agg(F.collect_list(F.struct("slot", "best")).alias("slots"))
                  .join(positives.withColumnRenamed("id", "anchor"), "anchor"))
     # from the lowest slot upwards: the best so far and what each positive takes of it

@@ -229,3 +229,53 @@ def test_first_columns_of_large_and_equal_scores():
         for row, best in zip(s, sn.first_columns(s, 5)):
             if row[0] > sn.NO_SCORE:
                 assert sorted(best.tolist()) == sorted(sorted(range(40), key=lambda i: (-row[i], i))[:5])
+
+
+def test_negatives_of_many_groups_without_a_broadcast(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    for name, value in (("ROW_BLOCK", 7), ("ANCHOR_BLOCK", 3), ("ANCHOR_GROUP", 1)):
+        monkeypatch.setattr(sn, name, value, raising=False)
+    plans, written = [], sn.written
+    monkeypatch.setattr(sn, "written", lambda df: plans.append(df) or written(df))
+    rng = random.Random(8)
+    rows = [(i, rng.randrange(3), [float(rng.randint(-3, 9)) for _ in range(4)]) for i in range(200)]
+    out = sn.mine(spark.createDataFrame(rows, "id long, label int, v array<double>").repartition(3), F.col("id") % 5 == 0)
+    assert sorted(tuple(r) for r in out.collect()) == plain_negatives(rows, 5)
+    # anchors repeated for every share are larger than the planner thinks: they must not pass through the driver
+    for df in [*plans, out]:
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_grid_of_groups_and_shares():
+    assert sn.grid(51282, 1026, 1026 * 64, 12) == (1, 12)
+    assert sn.grid(615384, 12312, 12312 * 64, 600) == (7, 86)
+    assert sn.grid(100, 0, 0, 8) == (1, 8) and sn.grid(10, 10, 640, 1) == (1, 1)
+    groups, shares = sn.grid(10 ** 9, 2 * 10 ** 7, 2 * 10 ** 7 * 1024, 600)
+    assert groups * sn.GROUP_NUMBERS >= 2 * 10 ** 7 * 1024 and shares == 1
+
+
+@pytest.mark.parametrize("dense, scale", [(1, 1), (8, 1), (10 ** 9, 1), (1, 1.5), (8, 10 ** 6)])
+def test_best_of_a_block_equal_brute_force(monkeypatch, dense, scale):
+    """Few scores above the limit, many, whole numbers in single and in double precision, and others."""
+    monkeypatch.setattr(sn, "DENSE", dense)
+    monkeypatch.setattr(sn, "FIRST", 20)
+    rng = np.random.default_rng(9)
+    kind = "<f8" if scale == 1.5 else "<i4"
+    n, size, labels, ids = 12, 3, rng.integers(0, 3, 300), rng.integers(0, 200, 300)
+    v = (rng.integers(-9, 10, (300, size)) * scale).astype(kind)
+    own, anchors, mine = rng.integers(0, 3, n), (rng.integers(-9, 10, (n, size)) * scale).astype(kind), np.arange(n) * 10
+    scores = anchors.astype(float) @ v.T.astype(float)
+    limits = -np.sort(-rng.integers(-150, 150, (n, sn.POSITIVES)) * float(scale) ** 2, axis=1)
+    limits[3, 2:], limits[4] = sn.NO_SCORE, sn.NO_SCORE
+    row = {"size": size, "ids": mine.tobytes(), "labels": own.tobytes(), "type": kind, "numbers": anchors.tobytes(), "limits": limits.tobytes()}
+    for slots, k in ((1, sn.POSITIVES), (sn.POSITIVES, sn.NEGATIVES)):
+        best = sn._Best(row, slots, k)
+        for lo in range(0, 300, 70):
+            some = np.arange(lo, min(300, lo + 70))
+            some = some[np.argsort(ids[some], kind="stable")]
+            best.meet(ids[some], labels[some], *sn._matrix(kind, v[some].tobytes(), size))
+        for a in range(n):
+            for j in range(slots):
+                fits = [labels[c] == own[a] and ids[c] != mine[a] if slots == 1 else labels[c] != own[a] and (limits[a] >= scores[a, c]).sum() == j + 1 for c in range(300)]
+                want = sorted((-scores[a, c], ids[c]) for c in range(300) if fits[c])[:k]
+                assert [(-s, i) for s, i in zip(best.score[a, j], best.id[a, j]) if s > sn.NO_SCORE] == want
